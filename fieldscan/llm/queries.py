@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name, module that has it as query().
 NAMES = {
     "op4_secret_scans": "secrets",
+    "op9_decontamination": "decontaminate",
 }
 
 
