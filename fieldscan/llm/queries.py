@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name, module that has it as query().
 NAMES = {
+    "op2_simhash": "simhash",
     "op4_secret_scans": "secrets",
     "op9_decontamination": "decontaminate",
 }
