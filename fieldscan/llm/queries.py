@@ -8,6 +8,7 @@ from importlib import import_module
 NAMES = {
     "op2_simhash": "simhash",
     "op4_secret_scans": "secrets",
+    "op5_substring_dedup": "substrings",
     "op9_decontamination": "decontaminate",
 }
 
