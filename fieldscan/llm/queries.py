@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name, module that has it as query().
 NAMES = {
+    "op1_packing": "packing",
     "op2_simhash": "simhash",
     "op4_secret_scans": "secrets",
     "op5_substring_dedup": "substrings",
