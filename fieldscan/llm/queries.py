@@ -10,6 +10,7 @@ NAMES = {
     "op2_simhash": "simhash",
     "op4_secret_scans": "secrets",
     "op5_substring_dedup": "substrings",
+    "op7_language_id": "language",
     "op9_decontamination": "decontaminate",
 }
 
