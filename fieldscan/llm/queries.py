@@ -8,6 +8,7 @@ from importlib import import_module
 NAMES = {
     "op1_packing": "packing",
     "op2_simhash": "simhash",
+    "op3_toxicity": "toxicity",
     "op4_secret_scans": "secrets",
     "op5_substring_dedup": "substrings",
     "op7_language_id": "language",
