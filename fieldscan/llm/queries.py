@@ -11,8 +11,11 @@ NAMES = {
     "op3_toxicity": "toxicity",
     "op4_secret_scans": "secrets",
     "op5_substring_dedup": "substrings",
+    "op6_quality": "quality",
     "op7_language_id": "language",
+    "op8_nearest": "nearest",
     "op9_decontamination": "decontaminate",
+    "op10_html_text": "html",
 }
 
 
