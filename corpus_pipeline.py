@@ -1,8 +1,78 @@
-"""Placeholder; the stages follow."""
+"""A document pipeline: reject toxic texts, keep one of each near-duplicate group, cut benchmark passages, mask secrets,
+pack into sequences. Each stage is one operator applied to all that the stage before it kept.
 
-STAGES: list = []
+Rows with a null doc_id cannot be joined or labelled and are kept by no stage but the first. Null texts are kept as they
+are; empty tables give empty tables. Columns beyond those of documents are dropped.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldscan.llm import decontaminate, packing, secrets, simhash, toxicity
+from fieldscan.llm.common import checkpoint_dir, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text goes at this toxicity: where the logistic model takes abuse for more likely than not.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the lexicon model rejects; it learns from all labelled rows."""
+    docs = docs.select(*COLUMNS)
+    labelled = docs.select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    scored = toxicity.score_toxicity(docs, *toxicity.train(labelled))
+    return scored.where(F.col("toxicity") < TOXIC).select(*COLUMNS)
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs whose id is the smallest of their near-duplicate component; shingles of five words."""
+    docs = docs.select(*COLUMNS)
+    found = simhash.near_duplicates(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), width=5)
+    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a window of a benchmark item."""
+    flagged = decontaminate.flag_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return flagged.where("_n_hit = 0").select(*COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with secrets masked and n_chars counted anew where the text changed."""
+    masked = secrets.redact(secrets.scan_secrets(docs.select(*COLUMNS)))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    pieces = packing.token_pieces(docs, packing.default_tokenizer())
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", keep_one_of_group),
+    ("benchmark_decontamination", cut_benchmark),
+    ("secret_scans", mask_secrets),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL cannot state the learned stages, the fingerprints and the packing; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; each stage's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        path = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
