@@ -29,9 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs whose id is the smallest of their near-duplicate component; shingles of five words."""
+    """docs whose id is the smallest of their component of near copies."""
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), width=5)
+    found = simhash.near_copies(docs.select("doc_id", "text"))
     return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
 
 
