@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import motion
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = motion.flagship
+ALL = {**motion.QUERIES}
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
