@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import motion
+from .plans import motion, space
 
 flagship = motion.flagship
-ALL = {**motion.QUERIES}
+ALL = {**motion.QUERIES, **space.QUERIES}
 
 
 def queries() -> dict:
