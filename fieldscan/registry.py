@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import motion, space
+from .plans import folds, motion, space
 
 flagship = motion.flagship
-ALL = {**motion.QUERIES, **space.QUERIES}
+ALL = {**motion.QUERIES, **space.QUERIES, **folds.QUERIES}
 
 
 def queries() -> dict:
