@@ -6,7 +6,7 @@ A window is `size` consecutive words. Four passes over partitions, each bounded
    equal anchors, and a document has some 4.5 anchors per 100 windows. A task adds each distinct anchor of a document once
    to a count-min sketch of saturating 8-bit counts; the tasks' sketches are merged block by block in a tree. The merged
    count of an anchor is never below the number of documents that hold it, so a window in two documents always has an
-   anchor estimated at two or more. The sketch has a fixed size (`rows` x 2^`bits` bytes, 16 MB): where the input has far
+   anchor estimated at two or more. The sketch has a fixed size (`rows` x 2^`bits` bytes, 48 MB): where the input has far
    more anchors than cells, it lets more windows pass and stays lossless.
 2. Candidates. Windows whose anchor is estimated to repeat are emitted with 128 bits of rolling hash, and grouped exactly:
    the smallest doc_id per window, combined before the shuffle, so a passage in a third of all rows is one row per task.
@@ -25,31 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, table
+from .common import BROADCAST_ROWS, cut, saved, table
 
-BLANKS = str.maketrans({c: " " for c in "\t\n\v\f\r"})
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: White space that parts words, \x20 and \x09-\x0D, which is also what bytes.split() takes.
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
 BLOCK_BITS = 18
-MASK = (1 << 64) - 1
-
-
-def words(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(BLANKS).split(" ") if w]
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, kept for words seen lately."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return value
+#: Bytes of text hashed at once; a longer document is hashed alone.
+CHUNK = 1 << 20
 
 
 class Powers:
@@ -72,12 +60,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def rolling(word_hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
-    """Hash of each run of `width` words: a polynomial over prefix sums, modulo 2^64."""
-    up, down = powers.get(len(word_hashes))
-    sums = np.zeros(len(word_hashes) + 1, dtype=np.uint64)
-    np.cumsum(word_hashes * up, out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * down[: len(sums) - width])
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
+    """Hash of each span of values: a polynomial over prefix sums, modulo 2^64, that does not depend on the place."""
+    up, down = powers.get(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[:-1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
@@ -89,25 +77,59 @@ def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(out[: len(values) - span + 1], out[span - have :]) if have < span else out
 
 
-class Hasher:
-    """Word hashes, anchors and window hashes of texts."""
-
-    def __init__(self, size: int, gram: int):
-        self.size, self.gram, self.cache = size, gram, WordHashes()
-        self.powers = [Powers(b) for b in ODD[:3]]
-
-    def words(self, text: str | None) -> np.ndarray:
-        w = words(text)
-        return np.fromiter(map(self.cache.__getitem__, w), dtype=np.uint64, count=len(w))
-
-    def anchors(self, hashes: np.ndarray) -> np.ndarray:
-        """Anchor of each window; empty under `size` words."""
-        if len(hashes) < self.size:
-            return hashes[:0]
-        return sliding_min(rolling(hashes, self.gram, self.powers[0]), self.size - self.gram + 1)
-
-    def windows(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return rolling(hashes, self.size, self.powers[1]), rolling(hashes, self.size, self.powers[2])
+class Chunk:
+    """Windows of several documents hashed together; `doc` and `start` place each window, none crosses a border."""
+
+    def __init__(self, texts: list[bytes], size: int, gram: int, powers: list[Powers]):
+        self.size, self.powers = size, powers
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        begins = np.cumsum([0, *map(len, texts)])
+        solid = np.ones(len(data) + 2, dtype=bool)
+        solid[0] = solid[-1] = False
+        solid[1:-1] = ~BLANK[data]
+        border = np.zeros(len(data) + 1, dtype=bool)
+        border[begins] = True
+        starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | border[:-1]))
+        ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | border[1:])) + 1
+        self.words = spans_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, powers[0])
+        first = np.searchsorted(starts, begins)
+        counts = np.diff(first)
+        at = np.arange(max(0, len(self.words) - size + 1))
+        doc = np.repeat(np.arange(len(texts)), counts)[: len(at)]
+        inside = at + size <= first[1:][doc]
+        self.at, self.doc = at[inside], doc[inside]
+        self.start = self.at - first[self.doc]
+        self.anchor = self.words[:0]
+        if len(self.at):
+            grams = spans_hash(self.words, np.arange(len(self.words) - gram + 1), np.arange(gram, len(self.words) + 1), powers[1])
+            self.anchor = sliding_min(grams, size - gram + 1)[self.at]
+
+    def runs(self) -> np.ndarray:
+        """Index of each first window of a run with one document and anchor."""
+        if not len(self.at):
+            return self.at
+        new = np.ones(len(self.at), dtype=bool)
+        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.doc[1:] != self.doc[:-1])
+        return np.flatnonzero(new)
+
+    def hashes(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.at[keep]
+        return spans_hash(self.words, at, at + self.size, self.powers[2]), spans_hash(self.words, at, at + self.size, self.powers[3])
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[tuple[np.ndarray, Chunk]]:
+    """Document ids and their windows, CHUNK bytes at a time."""
+    powers = [Powers(b) for b in ODD]
+    for batch in batches:
+        ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text").cast(pa.binary()).to_pylist()
+        begin = held = 0
+        for k, text in enumerate(texts):
+            if held and held + len(text) > CHUNK:
+                yield ids[begin:k], Chunk(texts[begin:k], size, gram, powers)
+                begin, held = k, 0
+            held += len(text)
+        if begin < len(texts):
+            yield ids[begin:], Chunk(texts[begin:], size, gram, powers)
 
 
 def cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -116,22 +138,22 @@ def cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 def merged_sketch(docs: DataFrame, size: int, gram: int, rows: int, bits: int) -> np.ndarray:
     """The count-min sketch of all documents' anchors, rows x 2^bits counts that stop at 2."""
-    block = 1 << BLOCK_BITS
+    block = 1 << min(BLOCK_BITS, bits)
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, hasher, used = np.zeros((rows, 1 << bits), dtype=np.uint8), Hasher(size, gram), False
-        for pdf in batches:
-            for text in pdf["text"]:
-                found = np.unique(hasher.anchors(hasher.words(text)))
-                used |= len(found) > 0
-                for r in range(rows if len(found) else 0):
-                    at, n = np.unique(cells(found, r, bits), return_counts=True)
-                    own[r, at] = np.minimum(own[r, at] + n, 2)
-        if used:
-            flat = own.reshape(-1, block)
-            yield pd.DataFrame({"block": np.arange(len(flat)), "source": TaskContext.get().partitionId(), "counts": [zlib.compress(x.tobytes(), 1) for x in flat]})
+        own = np.zeros((rows, 1 << bits), dtype=np.uint8)
+        for _, chunk in chunks(batches, size, gram):
+            first = chunk.runs()
+            anchors, doc = chunk.anchor[first], chunk.doc[first].astype(np.uint64)
+            anchors = anchors[np.unique(mix(anchors + doc * np.uint64(ODD[3])), return_index=True)[1]]
+            for r in range(rows):
+                at, n = np.unique(cells(anchors, r, bits), return_counts=True)
+                own[r, at] = np.minimum(own[r, at] + n, 2)
+        for k, x in enumerate(own.reshape(-1, block)):
+            if x.any():
+                yield pa.RecordBatch.from_pylist([{"block": k, "source": TaskContext.get().partitionId(), "counts": zlib.compress(x.tobytes(), 1)}], schema=pa.schema([("block", pa.int32()), ("source", pa.int32()), ("counts", pa.binary())]))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(block, dtype=np.uint8)
@@ -140,8 +162,7 @@ def merged_sketch(docs: DataFrame, size: int, gram: int, rows: int, bits: int) -
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "source": pdf["source"].iloc[:1] // 64, "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "block int, source int, counts binary"
-    texts = docs.select("text").where(F.length("text") >= 2 * size - 1)
-    parts = cut(texts.mapInPandas(sketch, schema))
+    parts = cut(docs.mapInArrow(sketch, schema))
     left = (parts.agg(F.max("source")).first()[0] or 0) + 1
     while True:  # groups of at most 64 sketches of a block, until one is left
         parts = parts.groupBy("block", F.floor(F.col("source") / 64).alias("_g")).applyInPandas(merge, schema)
@@ -158,33 +179,23 @@ def candidate_windows(docs: DataFrame, size: int, gram: int, rows: int, bits: in
     """(doc_id, start, h1, h2) of the windows whose anchor the sketch estimates in two documents or more."""
     sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, size, gram, rows, bits))
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, counts = Hasher(size, gram), sketch.value
-        for pdf in batches:
-            out, held = [], 0
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                hashes = hasher.words(text)
-                anchors = hasher.anchors(hashes)
-                if not len(anchors):
-                    continue
-                keep = np.ones(len(anchors), dtype=bool)
-                for r in range(rows):
-                    keep &= counts[r, cells(anchors, r, bits)] >= 2
-                at = np.flatnonzero(keep)
-                if len(at):
-                    h1, h2 = hasher.windows(hashes)
-                    out.append(pd.DataFrame({"doc_id": doc_id, "start": at.astype(np.int32), "h1": h1[at].view(np.int64), "h2": h2[at].view(np.int64)}))
-                    held += len(at)
-                if held > 200_000:
-                    yield pd.concat(out)
-                    out, held = [], 0
-            if out:
-                yield pd.concat(out)
-
-    return docs.select("doc_id", "text").mapInPandas(emit, "doc_id long, start int, h1 long, h2 long")
-
-
-def repeated_starts(docs: DataFrame, size: int = 50, gram: int = 8, rows: int = 4, bits: int = 22) -> DataFrame:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        for ids, chunk in chunks(batches, size, gram):
+            first = chunk.runs()
+            if not len(first):
+                continue
+            passed = np.ones(len(first), dtype=bool)
+            for r in range(rows):
+                passed &= counts[r, cells(chunk.anchor[first], r, bits)] >= 2
+            keep = np.flatnonzero(np.repeat(passed, np.diff(np.append(first, len(chunk.at)))))
+            h1, h2 = chunk.hashes(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[chunk.doc[keep]], pa.int64()), pa.array(chunk.start[keep], pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "start", "h1", "h2"])
+
+    return docs.mapInArrow(emit, "doc_id long, start int, h1 long, h2 long")
+
+
+def repeated_starts(docs: DataFrame, size: int = 50, gram: int = 8, rows: int = 3, bits: int = 24) -> DataFrame:
     """(doc_id, starts): places (in words) of windows that a document with a smaller id has too, and, for a whole copy
     of such a document, null starts."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -193,9 +204,9 @@ def repeated_starts(docs: DataFrame, size: int = 50, gram: int = 8, rows: int =
     copies = cut(classes.join(firsts, "class").where("doc_id > first").select("doc_id"))
     n = copies.count()
     left = docs.join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, "doc_id", "left_anti")
-    found = cut(candidate_windows(left, size, gram, rows, bits))
-    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    later = found.join(least.select("h1", "h2", "least"), ["h1", "h2"]).where("doc_id > least")
+    found = saved(candidate_windows(left, size, gram, rows, bits))
+    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    later = found.join(least, ["h1", "h2"]).where("doc_id > least")
     starts = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     return starts.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts")))
 
@@ -215,20 +226,30 @@ def removal_mask(n: int, starts: np.ndarray | None, size: int) -> np.ndarray:
 def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is what is left of each document's words, joined by one space."""
     marked = cut(repeated_starts(docs, size)).withColumn("_hit", F.lit(True))
-    both = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("doc_id", "text", "starts", F.coalesce("_hit", F.lit(False)).alias("hit"))
-
-    @F.pandas_udf("n_words long, n_removed long, kept string")
-    def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, starts, hits in batches:
-            out = []
-            for text, at, hit in zip(texts, starts, hits, strict=True):
-                w = words(text)
-                gone = removal_mask(len(w), None if at is None else np.asarray(at, dtype=np.int64), size) if hit else None
-                kept = w if gone is None else [x for x, g in zip(w, gone, strict=True) if not g]
-                out.append((len(w), len(w) - len(kept), " ".join(kept)))
-            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-
-    return both.select("doc_id", apply("text", "starts", "hit").alias("r")).select("doc_id", "r.*")
+    docs = docs.select("doc_id", "text")
+    n = marked.count()
+    if n <= BROADCAST_ROWS:  # texts that keep every word stay where they are
+        ids = F.broadcast(marked.select("doc_id"))
+        hit = docs.join(ids, "doc_id", "left_semi").join(marked, "doc_id")
+        both = docs.join(ids, "doc_id", "left_anti").select("*", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("_hit")).unionByName(hit)
+    else:
+        both = docs.join(marked, "doc_id", "left")
+    both = both.select("doc_id", "text", "starts", F.coalesce("_hit", F.lit(False)).alias("hit"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
+            for text, at, hit in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist(), batch.column("hit").to_pylist(), strict=True):
+                kept = words = (text or b"").split()
+                if hit:
+                    gone = removal_mask(len(words), None if at is None else np.asarray(at, dtype=np.int64), size)
+                    kept = [w for w, g in zip(words, gone, strict=True) if not g]
+                out["n_words"].append(len(words))
+                out["n_removed"].append(len(words) - len(kept))
+                out["kept"].append(b" ".join(kept))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.binary()).cast(pa.string())], names=["doc_id", *out])
+
+    return both.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark, sf_dir):
