@@ -51,3 +51,18 @@ def fold_ascii(text: Column) -> Column:
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id as text, modulo folds, equals fold; a null id counts as the text ''."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds) == fold
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label) of about `sample` rows of each label at most, and how many rows of each label that is about.
+
+    labels has (doc_id, label); the choice is by a hash of doc_id, before the join, so what is broadcast to the texts is
+    bounded by the sample and no text is shuffled. Null ids, labels and texts are left out.
+    """
+    labels = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
+    sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect() if r["label"] in (0, 1)}
+    share = {k: min(1.0, sample / n) for k, n in sizes.items()}
+    limit = F.when(F.col("label") == 1, int(1_000_003 * share.get(1, 0))).when(F.col("label") == 0, int(1_000_003 * share.get(0, 0)))
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= limit)
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    return rows, {k: int(n * share[k]) for k, n in sizes.items()}

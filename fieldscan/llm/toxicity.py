@@ -28,12 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, table
+from .common import cut, held_out, labelled_sample, table
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM_SIZES = range(4, 9)
 #: Labelled rows used at most, about.
-SAMPLE = 12_000
+SAMPLE = 4_000
 #: Terms kept at most.
 TERMS = 2_000
 WINDOW = 6
@@ -48,17 +48,44 @@ FEATURES = 6
 FAMILIES = (11, 23, 37)
 
 
-def term_counts(rows: DataFrame, least_positive: int) -> DataFrame:
-    """(term, stem, pos, neg): of terms in at least so many toxic rows, families of rows (text, label) of either label that hold a word or its beginning."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,40}"), F.lit(0)))
-    least = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(f"f{k}") for k in FAMILIES]
-    base = rows.select("label", words.alias("words")).select("label", *least, F.explode("words").alias("word"))
-    whole = F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("stem")))
-    sizes = [F.when(F.length("word") > n, F.struct(F.substring("word", 1, n).alias("term"), F.lit(True).alias("stem"))) for n in STEM_SIZES]
-    terms = base.select("label", *[f"f{k}" for k in FAMILIES], F.explode(F.array_compact(F.concat(whole, F.array(*sizes)))).alias("t"))
-    kinds = lambda label: F.least(*[F.count_distinct(F.when(F.col("label") == label, F.col(f"f{k}"))) for k in FAMILIES])
-    enough = terms.groupBy("t").agg(F.sum("label").alias("n")).where(F.col("n") >= least_positive).select("t")
-    return terms.join(enough, "t").groupBy("t").agg(kinds(1).alias("pos"), kinds(0).alias("neg")).select("t.*", "pos", "neg")
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, stem, pos, neg): families of rows (text, label) of either label that hold a word, or a word's beginning.
+
+    Rows are dealt by their first family hash, so near copies mostly meet in one task. A task counts each term's distinct
+    values of every family hash, keeps the least count, and the tasks' counts are added.
+    """
+
+    def families(words: set[str]) -> tuple[int, ...]:
+        import xxhash
+
+        return tuple(min(xxhash.xxh64_intdigest(w, k) for w in words) for k in FAMILIES)
+
+    @F.pandas_udf("long")
+    def first_family(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: families(words)[0] >> 1 if (words := set(WORD.findall(t.lower()))) else 0)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[str, bool], tuple[list[set], list[set]]] = {}
+        for pdf in batches:
+            for text, label in zip(pdf["text"], pdf["label"], strict=True):
+                words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 40}
+                if not words:
+                    continue
+                own = families(words)
+                terms = {(w, False) for w in words} | {(w[:n], True) for w in words for n in STEM_SIZES if len(w) > n}
+                for term in terms:
+                    sets = seen.get(term)
+                    if sets is None:
+                        sets = seen[term] = ([set(), set(), set()], [set(), set(), set()])
+                    for kinds, f in zip(sets[label], own, strict=True):
+                        kinds.add(f)
+        rows = [(t, stem, min(map(len, pos)), min(map(len, neg))) for (t, stem), (neg, pos) in seen.items()]
+        yield pd.DataFrame(rows, columns=["term", "stem", "pos", "neg"])
+
+    tasks = max(8, rows.sparkSession.sparkContext.defaultParallelism * 2)
+    dealt = rows.withColumn("_f", first_family("text")).repartition(tasks, "_f").select("text", "label")
+    partial = dealt.mapInPandas(count, "term string, stem boolean, pos long, neg long")
+    return partial.groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 Term = tuple[str, bool, float]
@@ -87,7 +114,7 @@ def learn_terms(rows: DataFrame, positives: int, negatives: int) -> list[Term]:
     candidates would not give it."""
     prior = positives / (positives + negatives)
     least = max(4, positives // 100, math.ceil((math.log(1e6) + 2) / -math.log(prior)))
-    apart = term_counts(rows, least).where((F.col("pos") >= least) & (F.col("pos") * negatives >= 6.0 * positives * F.col("neg")))
+    apart = term_counts(rows).where((F.col("pos") >= least) & (F.col("pos") * negatives >= 6.0 * positives * F.col("neg")))
     top = apart.orderBy(F.desc("pos"), "term", "stem").limit(TERMS).collect()
     return choose_terms([tuple(r) for r in top], positives, negatives)
 
@@ -241,20 +268,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[Term], list[float]]:
-    """Terms and weights from labelled (doc_id, text, label). At most about `sample` rows of each label are used, chosen by
-    a hash of doc_id; beside the terms, the driver gets one row of features for each of them."""
-    labelled = labelled.where("text IS NOT NULL AND label IS NOT NULL").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[Term], list[float]]:
+    """Terms and weights from docs (doc_id, text) and labels (doc_id, label). At most about `sample` rows of each label are
+    used, chosen by a hash of doc_id; beside the terms, the driver gets one row of features for each of them."""
+    rows, sizes = labelled_sample(docs, labels, sample)
     if not sizes.get(0) or not sizes.get(1):
         return [], []
-    share = {k: min(1.0, sample / n) for k, n in sizes.items()}
-    limit = F.when(F.col("label") == 1, int(1_000_003 * share[1])).otherwise(int(1_000_003 * share[0]))
-    rows = cut(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= limit).select("text", "label").repartition(max(8, labelled.sparkSession.sparkContext.defaultParallelism * 2)))
-    terms = learn_terms(rows, int(sizes[1] * share[1]), int(sizes[0] * share[0]))
+    rows = cut(rows.select("text", "label"))
+    terms = learn_terms(rows, sizes[1], sizes[0])
     got = with_features(rows, terms).select("_x", "label").collect()
     x, y = np.array([r["_x"] for r in got]), np.array([r["label"] for r in got], dtype=float)
-    return terms, fit_logistic(x, y).tolist()
+    return (terms, fit_logistic(x, y).tolist()) if len(set(y)) == 2 else ([], [])
 
 
 def score_toxicity(docs: DataFrame, terms: list[Term], weights: list[float]) -> DataFrame:
@@ -272,6 +296,6 @@ def query(spark, sf_dir):
     """op3: toxicity of every document, learned outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     fold = held_out(F.col("doc_id"), 4, 2)
-    labelled = docs.where(~fold).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    scored = score_toxicity(docs, *train(labelled))
+    known = labels.where(~fold).select("doc_id", F.col("toxic").alias("label"))
+    scored = score_toxicity(docs, *train(docs, known))
     return scored.select("doc_id", fold.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
