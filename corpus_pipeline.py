@@ -23,8 +23,8 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the lexicon model rejects; it learns from all labelled rows."""
     docs = docs.select(*COLUMNS)
-    labelled = docs.select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    scored = toxicity.score_toxicity(docs, *toxicity.train(labelled))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score_toxicity(docs, *toxicity.train(docs, labels))
     return scored.where(F.col("toxicity") < TOXIC).select(*COLUMNS)
 
 
