@@ -134,14 +134,14 @@ def mean_time_step(scale: float) -> tuple[Callable[[], Any], Step]:
     return lambda: (0, 0.0), step
 
 
-def track_clusters(clusters: DataFrame, key: list[str], reach: float, ttl: float) -> DataFrame:
-    """(key, t, seq, track): clusters (t, seq, x, y) of a device in order; each takes the nearest live track within reach that
-    no cluster of the same t has taken, or starts one. A track lives ttl seconds after its last cluster."""
+def track_step(reach: float, ttl: float) -> tuple[Callable[[], Any], Step]:
+    """Each cluster takes the nearest live track within reach that no cluster of the same t has taken, or starts one. A track
+    lives ttl seconds after its last cluster."""
 
     def step(state, row):
         tracks, serial, now, used = state
         if row["t"] != now:
-            now, used = row["t"], set()
+            now, used = row["t"], frozenset()
             tracks = {i: p for i, p in tracks.items() if p[2] > now}
         near = sorted((((p[0] - row["x"]) ** 2 + (p[1] - row["y"]) ** 2) ** 0.5, i) for i, p in tracks.items() if i not in used)
         if near and near[0][0] <= reach:
@@ -151,7 +151,12 @@ def track_clusters(clusters: DataFrame, key: list[str], reach: float, ttl: float
         tracks = {**tracks, chosen: (row["x"], row["y"], now + ttl)}
         return (tracks, serial, now, used | {chosen}), {"track": chosen}
 
-    return ordered_fold(clusters, key, ["x", "y"], "track long", lambda: ({}, 0, None, set()), step)
+    return lambda: ({}, 0, None, frozenset()), step
+
+
+def track_clusters(clusters: DataFrame, key: list[str], reach: float, ttl: float) -> DataFrame:
+    """(key, t, seq, track) of clusters (t, seq, x, y) in order."""
+    return ordered_fold(clusters, key, ["x", "y"], "track long", *track_step(reach, ttl))
 
 
 def stream_fold(stream: DataFrame, key: list[str], columns: list[str], out: str, init: Callable[[], Any], step: Step) -> DataFrame:

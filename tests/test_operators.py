@@ -116,3 +116,65 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "device_id int, seq int, t double, v double, w double")
     assert windows.dead_reckon(empty).count() == 0 and windows.path_length(windows.dead_reckon(empty)).count() == 0
     assert fold.ordered_fold(empty, ["device_id"], ["v"], "kept boolean", *fold.sample_step(1.0)).count() == 0
+
+
+def test_messages_round_trip(spark, tmp_path):
+    from fieldscan.sources import messages
+
+    df = spark.createDataFrame([("imu", 1), ("odom", 2), ("imu", 3)], "topic string, seq int").withColumn("ts", F.timestamp_seconds(F.col("seq") * 50_000))
+    messages.write_messages(df, str(tmp_path / "m"))
+    back = messages.read_messages(spark, str(tmp_path / "m"), ["imu"])
+    assert sorted(r.seq for r in back.collect()) == [1, 3]
+    names = spark.createDataFrame([("imu",), ("lidar",)], "topic string")
+    assert [r.topic for r in messages.required_topics(df, names).collect()] == ["lidar"]
+
+
+def test_waypoints_and_tracks(spark, tmp_path):
+    from fieldscan.sources import messages
+
+    (tmp_path / "w.json").write_text('{"name": "a", "latitude": 1.0, "longitude": 2.0}\n{"latitude_deg": 95.0, "longitude_deg": 2.0}\n')
+    got = messages.read_waypoints(spark, str(tmp_path / "w.json")).collect()
+    assert [(r.name, r.valid) for r in got] == [("a", True), ("wp_02", False)]
+    track = spark.createDataFrame([(1, 2.0, 1.0, float("nan"), 0.0, 0.0), (1, 1.0, 3.0, 4.0, 0.0, 0.0)], "track int, time double, lat double, lon double, alt double, heading_deg double")
+    messages.write_track_csv(track, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).where("lon IS NULL").count() == 1
+    messages.write_track_kml(track.na.fill(0.0), str(tmp_path / "kml"))
+    assert "4.0,3.0,0.0 0.0,1.0,0.0" in spark.read.text(str(tmp_path / "kml")).first()[0]
+
+
+def replay(spark, tmp_path, df, make, name):
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def test_stream_filter_equals_batch(spark, tmp_path):
+    from fieldscan.streaming import streams
+
+    rows = [(d, "a", i, float(i), float((i * 5 + d) % 7)) for d in (1, 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "device_id int, channel string, seq int, t double, value double")
+    got = replay(spark, tmp_path, df, lambda s: streams.stream_filter(s, 3, 2.5, 1.0, 3.0, 2, 2), "filtered_live").collect()
+    median = fold.ordered_fold(df, ["device_id", "channel"], ["value"], "filtered double", *fold.median_step(3, 2.5))
+    flags = fold.ordered_fold(median.withColumnRenamed("filtered", "value"), ["device_id", "channel"], ["value"], "danger boolean, warn boolean", *fold.debounce_step(1.0, 3.0, 2, 2))
+    want = {(r.device_id, r.seq): (r.danger, r.warn) for r in flags.collect()}
+    assert {(r.device_id, r.seq): (r.danger, r.warn) for r in got} == want
+
+
+def test_stream_metrics_and_frames(spark, tmp_path):
+    from fieldscan.streaming import streams
+
+    df = spark.range(100).select(F.timestamp_seconds(F.col("id") * 2).alias("ts"), F.lit("imu").alias("topic"), F.lit(1).alias("lidar_id"), *[F.col("id").cast("double").alias(c) for c in "xyz"])
+    rates = replay(spark, tmp_path / "a", df, lambda s: streams.stream_metrics(s, "20 seconds", "20 seconds", "1 second"), "rates_live")
+    assert {(r.n, r.rate) for r in rates.collect()} == {(10, 0.5)}
+    frames = replay(spark, tmp_path / "b", df, lambda s: streams.stream_frames(s, "10 seconds", "1 second"), "frames_live")
+    assert {r.n for r in frames.collect()} == {5}
+
+
+def test_health(spark):
+    from fieldscan.streaming import streams
+
+    df = spark.createDataFrame([(10.0, 9.9, 9.0), (10.0, 9.0, 9.9), (10.0, None, 9.9)], "t double, a double, b double")
+    assert [r.health for r in streams.health(df, {"a": "a", "b": "b"}, {"a": 0.5, "b": 0.5}).collect()] == ["b_timeout", "a_timeout", "a_timeout"]
