@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import folds, motion, space, vision
+from .plans import folds, maps, motion, space, vision
 
 flagship = motion.flagship
-ALL = {**motion.QUERIES, **space.QUERIES, **folds.QUERIES, **vision.QUERIES}
+ALL = {**motion.QUERIES, **space.QUERIES, **folds.QUERIES, **vision.QUERIES, **maps.QUERIES}
 
 
 def queries() -> dict:
