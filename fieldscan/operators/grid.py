@@ -164,14 +164,16 @@ def distance_2d(cells: DataFrame, occupied: Column, reach: int) -> DataFrame:
     """Distance in cells from each cell to the nearest cell of the other kind's border, negative inside obstacles, exact up
     to `reach` cells and null beyond: per axis max(|difference| - 0.5, 0).
 
-    Two passes. Along y, running last and first values give each cell the nearest cell of either kind in its column;
-    along x, each column looks at the columns within reach.
+    Two passes. Along y, running last and first values give each place of a column, missing cells too, the nearest cell of
+    either kind in it; along x, each column looks at the columns within reach.
     """
     kind = cells.select("map_id", "ix", "iy", occupied.cast("boolean").alias("occ"))
+    rows = kind.groupBy("map_id").agg(F.min("iy").alias("_lo"), F.max("iy").alias("_hi"))
+    whole = kind.select("map_id", "ix").distinct().join(rows, "map_id").select("map_id", "ix", F.explode(F.sequence("_lo", "_hi")).alias("iy"))
     w = W.partitionBy("map_id", "ix").orderBy("iy")
     up, down = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
     gap = lambda flag: F.least(*[F.abs(F.col("iy") - f(F.when(F.col("occ") == flag, F.col("iy")), ignorenulls=True).over(x)) for f, x in ((F.last, up), (F.first, down))])
-    column = kind.withColumn("to_occ", gap(True)).withColumn("to_free", gap(False))
+    column = whole.join(kind, ["map_id", "ix", "iy"], "left").withColumn("to_occ", gap(True)).withColumn("to_free", gap(False))
     half = lambda c: F.when(c.isNotNull(), F.greatest(c - 0.5, F.lit(0.0)))
     span = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
     seen = column.withColumn("_d", span).select("map_id", (F.col("ix") + F.col("_d")).alias("ix"), "iy", F.pow(half(F.abs("_d")), 2).alias("dx2"), "to_occ", "to_free")
