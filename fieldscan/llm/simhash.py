@@ -135,7 +135,7 @@ def golay_keys(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, bits: int = 2) -> DataFrame:
     """(view, a, b), a < b: verified links between distinct fingerprints of one view; within a full key, a star for each
     common word."""
-    keyed = saved(golay_keys(nodes))
+    keyed = golay_keys(nodes)  # made twice: cheaper than keeping 16 rows for each fingerprint
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = saved(keyed.join(shared, "key"))
     few = members.where(F.col("n") <= PAIR_LIMIT).groupBy("key").agg(F.first("view").alias("view"), F.collect_list("fp").alias("fps"))
@@ -201,12 +201,12 @@ def view_fingerprints(docs: DataFrame, views: int) -> DataFrame:
     return docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("class"), of("text").alias("fps"))
 
 
-def near_copies(docs: DataFrame, views: int = 12, bits: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, views: int = 8, bits: int = 2) -> DataFrame:
     """(doc_id, component_id) where near copies are wanted rather than one fixed fingerprint: texts that are equal, or whose
     sets of words give fingerprints within `bits` bits in any of the views, are linked.
 
     At a Jaccard similarity of 0.8 in five-word shingles the word sets of two texts agree so far that one view links
-    about a third of the pairs and twelve nearly all; unrelated texts of one language do not come near. Texts without a
+    about a third of the pairs and eight nine in ten; unrelated texts of one language do not come near. Texts without a
     word are linked to their equals only.
     """
     prints = saved(view_fingerprints(docs.where("doc_id IS NOT NULL"), views))
