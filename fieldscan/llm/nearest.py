@@ -7,9 +7,8 @@ Encoding. Every vector is encoded as the sum of one word of each codebook, found
 sums; its codes and the squared norm of its reconstruction are stored, chunk by chunk.
 
 Search. Queries go in blocks. A block meets each chunk of codes once: inner products of a query with all words are a
-table, the distance to a reconstruction is its stored norm less twice the sum of the codes' entries, and a chunk keeps
-the best `keep` of each query by (distance, id). Lists of one query are cut again after every chunk and merged by
-rank, then the true vectors of the survivors are fetched by a join and ranked by exact distance in double precision,
+table, the distance to a reconstruction is its stored norm less twice the sum of the codes' entries, and a chunk gives the
+best of each query by (distance, id), about twice its share of `keep`. Lists of one query are merged by rank and cut, then the true vectors of the survivors are fetched by a join and ranked by exact distance in double precision,
 ties to the smaller id. Vectors whose codes tie, as thousands of equal ones do, are taken in order of id.
 
 Null, zero, and non-finite vectors and those with a null component take no part, and neither do vectors of another length
@@ -34,6 +33,8 @@ CODEBOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE, CHUNK, BLOCK = 10_000, 8_192, 1_024
 #: Candidates of a query that are ranked exactly.
 KEEP = 600
+#: Candidates that a chunk gives beyond its share.
+SPARE = 40
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -123,8 +124,12 @@ def query_blocks(queries: DataFrame, count: int) -> DataFrame:
     return dealt.groupBy("block").applyInPandas(pack, "block int, query_ids binary, matrix binary")
 
 
-def scan(pairs: DataFrame, books: np.ndarray, keep: int) -> DataFrame:
-    """(query_id, vec_id, approx): the best of each query in each chunk, by table look-up."""
+def scan(pairs: DataFrame, books: np.ndarray, keep: int, total: int) -> DataFrame:
+    """(query_id, vec_id, approx): the best of each query in each chunk, by table look-up.
+
+    A chunk gives twice its even share of `keep` and SPARE more, so that what a query gathers over all chunks stays near
+    2 * keep however large the table is.
+    """
     shared = pairs.sparkSession.sparkContext.broadcast(books)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,16 +141,17 @@ def scan(pairs: DataFrame, books: np.ndarray, keep: int) -> DataFrame:
                 order = np.argsort(ids, kind="stable")
                 ids, codes, norms = ids[order], codes[order], norms[order]
                 asked, q = np.frombuffer(query_ids, "<i8"), np.frombuffer(matrix, "<f4").reshape(-1, d)
+                most = min(keep, -(-2 * keep * len(ids) // total) + SPARE)
                 tables = np.einsum("mkd,qd->qmk", books, q)
                 flat = codes.astype(np.int32) + np.arange(m, dtype=np.int32) * k
                 found: list[tuple[np.ndarray, ...]] = []
                 for x, t in zip(asked, tables, strict=True):
                     approx = norms - 2 * t.ravel()[flat].sum(axis=1)
                     approx[ids == x] = np.inf
-                    if len(approx) > keep:
-                        limit = np.partition(approx, keep - 1)[keep - 1]
+                    if len(approx) > most:
+                        limit = np.partition(approx, most - 1)[most - 1]
                         best = np.flatnonzero(approx <= limit)
-                        best = best[np.argsort(approx[best], kind="stable")[:keep]]  # ids rise, so ties keep the smaller
+                        best = best[np.argsort(approx[best], kind="stable")[:most]]  # ids rise, so ties keep the smaller
                     else:
                         best = np.arange(len(approx))
                     best = best[np.isfinite(approx[best])]
@@ -171,7 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, keep: int = KEEP
     numbers = F.sequence(F.lit(0), F.lit(max(1, -(-count // BLOCK)) - 1))
     pairs = chunks.withColumn("block", F.explode(numbers)).join(blocks, "block")
     rank = lambda *by: F.row_number().over(W.partitionBy("query_id").orderBy(*by))
-    best = scan(pairs, books, keep).withColumn("_r", rank("approx", "vec_id")).where(F.col("_r") <= keep).select("query_id", "vec_id")
+    best = scan(pairs, books, keep, n).withColumn("_r", rank("approx", "vec_id")).where(F.col("_r") <= keep).select("query_id", "vec_id")
     best = cut(best.distinct())
     near = best.join(vectors.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     exact = near.withColumn("score", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
