@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, labelled_sample, table
 
 #: Characters of a line piece, measures of a line, soft bins of a measure.
 LINE, MEASURES, BINS = 400, 12, 5
@@ -186,16 +186,12 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(bias)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """The field from labelled (doc_id, text, label): at most about `sample` rows of each label, chosen by a hash of
-    doc_id. Of their texts, whole lines spread over the text come to the driver, at most about 12,000 characters each."""
-    labelled = labelled.where("label IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
+    """The field from docs (doc_id, text) and labels (doc_id, label): at most about `sample` rows of each label, chosen by a
+    hash of doc_id. Of their texts, lines spread over the whole text come to the driver, at most TRAIN_LINES each."""
+    rows, sizes = labelled_sample(docs, labels, sample)
     if not sizes.get(0) or not sizes.get(1):
         return None
-    share = {k: min(1.0, sample / n) for k, n in sizes.items()}
-    limit = F.when(F.col("label") == 1, int(1_000_003 * share[1])).otherwise(int(1_000_003 * share[0]))
-    rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= limit)
 
     @F.pandas_udf("string")
     def spread(texts: pd.Series) -> pd.Series:
@@ -206,6 +202,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Field | None:
         return texts.map(some)
 
     got = rows.select("doc_id", spread("text").alias("text"), "label").toPandas().sort_values("doc_id")
+    if got["label"].nunique() < 2:
+        return None
     return fit(got["text"].tolist(), got["label"].tolist())
 
 
@@ -227,6 +225,6 @@ def query(spark, sf_dir):
     """op6: quality of every document, learned outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     fold = held_out(F.col("doc_id"), 5, 0)
-    labelled = docs.where(~fold).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    scored = score_quality(docs, train(labelled))
+    known = labels.where(~fold).select("doc_id", F.col("quality").alias("label"))
+    scored = score_quality(docs, train(docs, known))
     return scored.select("doc_id", fold.alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
