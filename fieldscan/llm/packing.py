@@ -19,10 +19,12 @@ known by a number of its own. Extra columns of the input are ignored.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,50 +38,99 @@ DISTRICT, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2000, 2, 2, 4, 4
 NOT_BLANK = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-class WordIds(dict):
-    """Little-endian ids of a white-space word. White space never reaches a token here, so words encode on their own."""
+class TextIds:
+    """Little-endian ids of texts.
+
+    White space never reaches a token of this tokenizer, and its own first split parts a text into runs of letters, single
+    digits and runs of the rest, which are encoded one by one. So each distinct part is encoded once and kept. In a
+    Latin-1 text lower case and composition need no context, and the split is a plain pattern; other texts, and those
+    with a special token, are encoded word by word by the tokenizer itself.
+    """
+
+    #: The tokenizer's first split, as its file states it, with its letters and numbers among Latin-1 in lower case.
+    LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+    FIRST_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+    END = "</w>"
+    #: Parts and words that are kept; beyond, the memory starts anew.
+    MOST = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, parts: set[str]) -> None:
+        """Encodes parts in one call: the last token of each part, and no other, carries the word-end mark."""
+        if len(self.parts) + len(parts) > self.MOST:
+            self.parts.clear()
+        new = list(parts)
+        ids = self.encode(" ".join(new))
+        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, dtype=int)
+        if len(stops) == len(new):
+            raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+            self.parts.update({p: raw[i:j] for p, i, j in zip(new, at, at[1:], strict=False)})
+        else:
+            self.parts.update({p: self.encode(p).tobytes() for p in new})
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > 300_000:
-            self.clear()
-        ids = self[word] = self.encode(word)
-        return ids
-
-    def of(self, text: str | None) -> bytes:
-        text = text or ""
+    def by_word(self, text: str) -> bytes:
         if any(c in text for c in NOT_BLANK):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+            return self.encode(text).tobytes()
+        out = []
+        for w in text.split():
+            if w not in self.words:
+                if len(self.words) > self.MOST:
+                    self.words.clear()
+                self.words[w] = self.encode(w).tobytes()
+            out.append(self.words[w])
+        return b"".join(out)
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        if "<|" in text or any(c in text for c in NOT_BLANK):
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        found = [self.FIRST_SPLIT.findall(t.lower()) if self.plain(t) else None for t in (t or "" for t in texts)]
+        seen = set().union(*(f for f in found if f))
+        if new := seen.difference(self.parts):
+            self.learn(new)
+            if lost := seen.difference(self.parts):  # when the memory was cleared
+                self.learn(lost)
+        part = self.parts.__getitem__
+        return [self.by_word(t) if f is None else b"".join(map(part, f)) for t, f in zip(texts, found, strict=True)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids): ids are little-endian unsigned 32-bit numbers in one binary."""
-
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end = WordIds(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for pdf in batches:
-            out, held = [], 0
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = words.of(text) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc_id, k, at // 4, len(part) // 4, part))
-                held += len(ids)
-                if held > 16_000_000:
-                    yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"])
-                    out, held = [], 0
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"])
-
-    return docs.select("doc_id", "text").mapInPandas(cut_up, "doc_id long, piece int, start long, length long, ids binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, end = TextIds(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                out = []
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts.of(part.column("text").to_pylist()), strict=True):
+                    ids = text + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[at : at + 4 * capacity]
+                        out.append((doc_id, k, at // 4, len(piece) // 4, piece))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids binary")
 
 
 Bins = list[list[int]]
