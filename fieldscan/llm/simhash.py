@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, saved, table
+from .common import LOWER, UPPER, cut, saved, small, table
 
 FOLD = str.maketrans(UPPER, LOWER)
 #: ASCII white space that parts words: \x20 and \x09-\x0D.
@@ -39,6 +39,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 #: Members of a key up to which all pairs in it are verified.
 PAIR_LIMIT = 48
+#: near_copies: words of a shingle, bands of least hashes, and hashes of a band.
+SHINGLE, BANDS, ROWS = 5, 30, 5
 
 
 def words(text: str) -> list[str]:
@@ -181,42 +183,96 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame
     return prints.join(named.join(firsts, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def view_fingerprints(docs: DataFrame, views: int) -> DataFrame:
-    """(doc_id, class, fps): the digest of the text, and a fingerprint of its set of words for each view, from one XXH64
-    of each word mixed with the view's odd constant. Without a word, fps is empty."""
-    odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(views)]
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each distinct shingle of `width` words, rising; of all words where there are fewer. Empty without a word."""
+    import xxhash
+
+    w = (text or "").translate(FOLD).encode().split()
+    shingles = {b" ".join(w)} if w and len(w) < width else set(map(b" ".join, zip(*(w[i:] for i in range(width)), strict=False)))
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles)))
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """One key for each of BANDS bands: the ROWS least values that as many mixings of the hashes take, as one number."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 1024):
+        mixed = h[at : at + 1024, None] * odd
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(least, mixed.min(axis=0), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
+def shingle_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, class, size, keys): the digest of the text, how many distinct shingles it has, and its band keys, none
+    without a word."""
+
+    @F.pandas_udf("size int, keys array<long>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            hashes = [shingle_hashes(t) for t in batch]
+            yield pd.DataFrame({"size": [len(h) for h in hashes], "keys": [band_keys(h) if len(h) else np.array([], dtype=np.int64) for h in hashes]})
+
+    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("class"), of("text").alias("k")).select("doc_id", "class", "k.size", "k.keys")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose texts have at least this Jaccard similarity of shingle sets, all compared in full.
+    Sets are made for the texts of the pairs alone."""
 
     @F.pandas_udf("array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xxhash
-
         for batch in texts:
-            out = []
-            for text in batch:
-                h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set((text or "").translate(FOLD).encode().split())), dtype=np.uint64)
-                mixed = [(h ^ k ^ ((h ^ k) >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) for k in odd]
-                out.append(np.array([fingerprint(g ^ (g >> np.uint64(32))) for g in mixed] if len(h) else [], dtype=np.uint64).view(np.int64))
-            yield pd.Series(out)
+            yield pd.Series([shingle_hashes(t).view(np.int64) for t in batch])
 
-    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("class"), of("text").alias("fps"))
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = saved(docs.join(small(wanted, wanted.count()), "doc_id", "left_semi").select("doc_id", of("text").alias("set")))
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return saved(both.where(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b"))
 
 
-def near_copies(docs: DataFrame, views: int = 8, bits: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) where near copies are wanted rather than one fixed fingerprint: texts that are equal, or whose
-    sets of words give fingerprints within `bits` bits in any of the views, are linked.
+    sets of five-word shingles have a Jaccard similarity of `similarity` or more, are linked. Ids should be distinct.
 
-    At a Jaccard similarity of 0.8 in five-word shingles the word sets of two texts agree so far that one view links
-    about a third of the pairs and eight nine in ten; unrelated texts of one language do not come near. Texts without a
-    word are linked to their equals only.
+    Candidates share one of BANDS keys of ROWS least hashes each: at 0.8 a pair has none in 7 of a million cases. Each is
+    verified on the full sets. A key with many texts is first compared with four of them; then all its pairs that are not in
+    one component by then are compared, but for those within its largest component, so that a group of copies costs
+    rows in proportion to its size and no pair is left out that could join two components. Texts without a word are linked
+    to their equals only.
     """
-    prints = saved(view_fingerprints(docs.where("doc_id IS NOT NULL"), views))
-    classes = prints.groupBy("class").agg(F.min("doc_id").alias("node"), F.min_by("fps", "doc_id").alias("fps"))
-    seen = saved(classes.select("node", F.posexplode("fps").alias("view", "fp")))
-    firsts = saved(seen.groupBy("view", "fp").agg(F.min("node").alias("first")))
-    same = seen.join(firsts, ["view", "fp"]).where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near = links(firsts, bits).join(firsts.withColumnsRenamed({"fp": "a", "first": "u"}), ["view", "a"]).join(firsts.withColumnsRenamed({"fp": "b", "first": "v"}), ["view", "b"])
-    edges = near.where("u != v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).unionByName(same).distinct()
+    docs = docs.where("doc_id IS NOT NULL")
+    prints = saved(shingle_keys(docs))
+    classes = saved(prints.groupBy("class").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    keyed = classes.select("node", "size", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = saved(keyed.join(shared, "key"))
+    fits = lambda x, y: F.least(x["size"], y["size"]) / F.greatest(x["size"], y["size"]) >= similarity  # noqa: E731  (else the sets cannot agree)
+    as_pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+    own = F.struct("node", "size")
+
+    few = members.where(F.col("n") <= PAIR_LIMIT).groupBy("key").agg(F.collect_list(own).alias("m"))
+    paired = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & fits(x, y)), lambda y: as_pair(x, y))))
+    pairs = few.select(F.explode(paired).alias("p")).select("p.a", "p.b")
+    full = members.where(F.col("n") > PAIR_LIMIT)
+    mixed = F.xxhash64("node")
+    centres = full.groupBy("key").agg(F.array(F.min(own), F.max(own), F.min_by(own, mixed), F.max_by(own, mixed)).alias("centres"))
+    stars = full.join(centres, "key").select(own.alias("x"), F.explode("centres").alias("y")).where(fits(F.col("x"), F.col("y"))).select(as_pair(F.col("x"), F.col("y")).alias("p")).select("p.a", "p.b").where("a < b")
+    edges = alike(saved(pairs.unionByName(stars).distinct()), docs, similarity)
     labels = saved(components(edges))
+
+    if not full.isEmpty():
+        placed = saved(full.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")))
+        groups = placed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+        apart = placed.join(groups, "key").where("label != largest").select("key", F.col("label").alias("own"), own.alias("x"))
+        rest = apart.join(placed.select("key", "label", own.alias("y")), "key").where((F.col("own") != F.col("label")) & fits(F.col("x"), F.col("y")))
+        more = alike(saved(rest.select(as_pair(F.col("x"), F.col("y")).alias("p")).select("p.a", "p.b").distinct()), docs, similarity)
+        labels = saved(components(edges.unionByName(more)))
     named = prints.select("doc_id", "class").join(classes.select("class", "node"), "class").join(labels, "node", "left")
     return named.select("doc_id", F.coalesce("label", "node").alias("component_id"))
 

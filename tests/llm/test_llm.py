@@ -156,6 +156,32 @@ def test_near_copies(spark):
     assert {got[i] for i in range(7)} == {0} and all(got[i] == i for i in range(7, 17)) and got[18] == 17
 
 
+@pytest.mark.parametrize("limit", [2, 48])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", limit)
+    rng, texts = random.Random(11), [None, "", "one two", "ONE  two", "one two three"]
+    for _ in range(12):
+        base = [f"word{rng.randrange(3000)}" for _ in range(rng.randrange(30, 200))]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rng.randrange(len(base) // 12)):
+                copy[rng.randrange(len(base))] = f"other{rng.randrange(3000)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(rng.sample(base, len(base))))  # the same words in another order
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (texts[i] or "") == (texts[j] or "") or (sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(awkward(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == label and 20 < len(set(label)) < len(texts) - 20
+
+
 # secrets
 
 
