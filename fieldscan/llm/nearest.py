@@ -4,12 +4,13 @@ Training. On a bounded sample, CODEBOOKS codebooks of WORDS full-dimensional wor
 k-means to what the earlier ones leave.
 
 Encoding. Every vector is encoded as the sum of one word of each codebook, found by a beam search that keeps BEAM partial
-sums; its codes and the squared norm of its reconstruction are stored, chunk by chunk.
+sums; its codes, the squared norm of its reconstruction and its distance from it are stored with it, chunk by chunk.
 
-Search. Queries go in blocks. A block meets each chunk of codes once: inner products of a query with all words are a
-table, the distance to a reconstruction is its stored norm less twice the sum of the codes' entries, and a chunk gives the
-best of each query by (distance, id), about twice its share of `keep`. Lists of one query are merged by rank and cut, then the true vectors of the survivors are fetched by a join and ranked by exact distance in double precision,
-ties to the smaller id. Vectors whose codes tie, as thousands of equal ones do, are taken in order of id.
+Search. Queries go in blocks. A block meets each chunk once: inner products of a query with all words are a table, and the
+distance to a reconstruction is its stored norm less twice the sum of the codes' entries. The `keep` nearest by codes are
+compared exactly, in double precision; their k-th distance bounds the k-th of the chunk from above, and every other vector
+whose distance to its reconstruction does not rule it out (triangle inequality) is compared too. So a chunk gives its true k
+nearest, ties to the smaller id, whatever the table's size and however many vectors are equal; those are merged by rank.
 
 Null, zero, and non-finite vectors and those with a null component take no part, and neither do vectors of another length
 than the most common one. With fewer candidates than asked for, all are returned. Ids should be distinct; a repeated id is
@@ -31,10 +32,8 @@ from .common import cut, saved, table
 CODEBOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors of the training sample, at most about; vectors of a chunk and queries of a block.
 SAMPLE, CHUNK, BLOCK = 10_000, 8_192, 1_024
-#: Candidates of a query that are ranked exactly.
+#: Vectors of a chunk that are compared exactly before the others are ruled out.
 KEEP = 600
-#: Candidates that a chunk gives beyond its share.
-SPARE = 40
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -66,8 +65,9 @@ def train(sample: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS) ->
     return np.stack(out)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(n, codebooks) codes and (n,) squared norms of the reconstructions, by beam search over partial sums."""
+def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, codebooks) codes, and (n,) squared norms of the reconstructions and distances from them, by beam search over
+    partial sums."""
     n = len(x)
     left = x.astype(np.float32)[:, None, :]
     codes = np.zeros((n, 1, 0), dtype=np.uint8)
@@ -81,35 +81,35 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         codes = np.concatenate([codes[rows, parent], word[:, :, None].astype(np.uint8)], axis=2)
     pick = np.argmin((left**2).sum(axis=2), axis=1)
     rows = np.arange(n)
-    made = x.astype(np.float32) - left[rows, pick]
-    return codes[rows, pick], (made**2).sum(axis=1)
+    codes = codes[rows, pick]
+    made = sum(book[codes[:, i]].astype(float) for i, book in enumerate(books))
+    return codes, (made**2).sum(axis=1), np.sqrt(((x - made) ** 2).sum(axis=1))
 
 
 def encoded_chunks(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """(ids, codes, norms): each row has up to CHUNK vectors as packed arrays."""
+    """(ids, codes, norms, errors, vectors): each row has up to CHUNK vectors as packed arrays."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
+    names, kinds = ("ids", "codes", "norms", "errors", "vectors"), ("<i8", "u1", "<f8", "<f8", "<f8")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, codes, norms, held = [], [], [], 0
+        parts, held = [], 0
 
         def row() -> pd.DataFrame:
-            return pd.DataFrame({"ids": [np.concatenate(ids).astype("<i8").tobytes()], "codes": [np.concatenate(codes).tobytes()], "norms": [np.concatenate(norms).astype("<f4").tobytes()]})
+            return pd.DataFrame({name: [np.concatenate(c).astype(kind).tobytes()] for name, kind, c in zip(names, kinds, zip(*parts, strict=True), strict=True)})
 
         for pdf in batches:
             for at in range(0, len(pdf), CHUNK // 8):
                 part = pdf.iloc[at : at + CHUNK // 8]
-                c, n = encode(np.stack(part["v"].to_numpy()), shared.value)
-                ids.append(part["vec_id"].to_numpy())
-                codes.append(c)
-                norms.append(n)
+                x = np.stack(part["v"].to_numpy())
+                parts.append((part["vec_id"].to_numpy(), *encode(x, shared.value), x))
                 held += len(part)
                 if held >= CHUNK:
                     yield row()
-                    ids, codes, norms, held = [], [], [], 0
+                    parts, held = [], 0
         if held:
             yield row()
 
-    return vectors.mapInPandas(pack, "ids binary, codes binary, norms binary")
+    return vectors.mapInPandas(pack, ", ".join(f"{name} binary" for name in names))
 
 
 def query_blocks(queries: DataFrame, count: int) -> DataFrame:
@@ -117,48 +117,52 @@ def query_blocks(queries: DataFrame, count: int) -> DataFrame:
     blocks = max(1, -(-count // BLOCK))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf["v"].to_numpy()).astype("<f4")
+        m = np.stack(pdf["v"].to_numpy()).astype("<f8")
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "query_ids": [pdf["vec_id"].to_numpy().astype("<i8").tobytes()], "matrix": [m.tobytes()]})
 
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("block").applyInPandas(pack, "block int, query_ids binary, matrix binary")
 
 
-def scan(pairs: DataFrame, books: np.ndarray, keep: int, total: int) -> DataFrame:
-    """(query_id, vec_id, approx): the best of each query in each chunk, by table look-up.
+def true_nearest(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and distances of the k nearest of x to q by (distance, row); the sum runs over the components in order."""
+    d2 = ((x - q) ** 2).sum(axis=1)
+    near = np.flatnonzero(d2 <= np.partition(d2, k - 1)[k - 1] * (1 + 1e-9)) if len(d2) > k else np.arange(len(d2))
+    d = np.sqrt(np.cumsum((x[near] - q) ** 2, axis=1)[:, -1])
+    best = np.argsort(d, kind="stable")[:k]
+    return near[best], d[best]
 
-    A chunk gives twice its even share of `keep` and SPARE more, so that what a query gathers over all chunks stays near
-    2 * keep however large the table is.
-    """
+
+def scan(pairs: DataFrame, books: np.ndarray, k: int, keep: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of each query in each chunk, found through the codes and exact."""
     shared = pairs.sparkSession.sparkContext.broadcast(books)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        books = shared.value
-        m, k, d = books.shape
+        books = shared.value.astype(float)
+        m, words, d = books.shape
         for pdf in batches:
-            for ids, codes, norms, query_ids, matrix in zip(pdf["ids"], pdf["codes"], pdf["norms"], pdf["query_ids"], pdf["matrix"], strict=True):
-                ids, codes, norms = np.frombuffer(ids, "<i8"), np.frombuffer(codes, np.uint8).reshape(-1, m), np.frombuffer(norms, "<f4")
-                order = np.argsort(ids, kind="stable")
-                ids, codes, norms = ids[order], codes[order], norms[order]
-                asked, q = np.frombuffer(query_ids, "<i8"), np.frombuffer(matrix, "<f4").reshape(-1, d)
-                most = min(keep, -(-2 * keep * len(ids) // total) + SPARE)
-                tables = np.einsum("mkd,qd->qmk", books, q)
-                flat = codes.astype(np.int32) + np.arange(m, dtype=np.int32) * k
+            for ids, codes, norms, errors, vectors, query_ids, matrix in zip(*(pdf[c] for c in ("ids", "codes", "norms", "errors", "vectors", "query_ids", "matrix")), strict=True):
+                ids = np.frombuffer(ids, "<i8")
+                order = np.argsort(ids, kind="stable")  # ids rise, so ties keep the smaller
+                ids, codes, norms, errors, x = ids[order], np.frombuffer(codes, "u1").reshape(-1, m)[order], np.frombuffer(norms, "<f8")[order], np.frombuffer(errors, "<f8")[order], np.frombuffer(vectors, "<f8").reshape(-1, d)[order]
+                asked, queries = np.frombuffer(query_ids, "<i8"), np.frombuffer(matrix, "<f8").reshape(-1, d)
+                flat = codes.astype(np.int32) + np.arange(m, dtype=np.int32) * words
                 found: list[tuple[np.ndarray, ...]] = []
-                for x, t in zip(asked, tables, strict=True):
-                    approx = norms - 2 * t.ravel()[flat].sum(axis=1)
-                    approx[ids == x] = np.inf
-                    if len(approx) > most:
-                        limit = np.partition(approx, most - 1)[most - 1]
-                        best = np.flatnonzero(approx <= limit)
-                        best = best[np.argsort(approx[best], kind="stable")[:most]]  # ids rise, so ties keep the smaller
-                    else:
-                        best = np.arange(len(approx))
-                    best = best[np.isfinite(approx[best])]
-                    found.append((np.full(len(best), x), ids[best], approx[best].astype(float)))
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "approx"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    return pairs.mapInPandas(score, "query_id long, vec_id long, approx double")
+                for own, q in zip(asked, queries, strict=True):
+                    table = (books @ q).ravel()
+                    square = q @ q
+                    coded = norms - 2 * table[flat].sum(axis=1) + square
+                    coded[ids == own] = np.inf
+                    first = np.argpartition(coded, keep - 1)[:keep] if len(coded) > keep else np.arange(len(coded))
+                    first = first[np.isfinite(coded[first])]
+                    limit = true_nearest(x[first], q, k)[1][-1] if len(first) >= k else np.inf
+                    slack = 1e-6 * np.sqrt(square + norms)  # far above the rounding of coded
+                    rows = np.flatnonzero((np.sqrt(np.maximum(coded, 0)) - errors <= limit + slack) & np.isfinite(coded))
+                    best, distance = true_nearest(x[rows], q, k)
+                    found.append((np.full(len(best), own), ids[rows[best]], distance))
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    return pairs.mapInPandas(score, "query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, keep: int = KEEP) -> DataFrame:
@@ -176,13 +180,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, keep: int = KEEP
     blocks = saved(query_blocks(queries, count))
     numbers = F.sequence(F.lit(0), F.lit(max(1, -(-count // BLOCK)) - 1))
     pairs = chunks.withColumn("block", F.explode(numbers)).join(blocks, "block")
-    rank = lambda *by: F.row_number().over(W.partitionBy("query_id").orderBy(*by))
-    best = scan(pairs, books, keep, n).withColumn("_r", rank("approx", "vec_id")).where(F.col("_r") <= keep).select("query_id", "vec_id")
-    best = cut(best.distinct())
-    near = best.join(vectors.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    exact = near.withColumn("score", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
-    ranked = exact.select("query_id", rank("score", "vec_id").alias("rank"), "vec_id", "score")
-    return ranked.where(F.col("rank") <= k)
+    ranked = scan(pairs, books, k, keep).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
+    return cut(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
 
 def query(spark, sf_dir):

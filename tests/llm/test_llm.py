@@ -386,6 +386,23 @@ def test_nearest_recall_and_awkward_vectors(spark):
     assert nearest.search(vectors.limit(4), vectors.limit(1)).count() == 3
 
 
+@pytest.mark.parametrize("n", [500, 2000, 8000])
+def test_nearest_is_exact_at_each_size_and_among_copies(spark, monkeypatch, n):
+    monkeypatch.setattr(nearest, "CHUNK", 1024)
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x[: n // 4] = x[0]  # copies in one place, and others close to them
+    x[n // 4 : n // 4 + 15] = x[0] + 1e-3 + rng.normal(size=(15, 64)) * 1e-5  # closer to each other, with the same codes
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    got = {}
+    for r in nearest.search(vectors, vectors.where(f"vec_id % 100 = 0 OR vec_id = {n // 4 + 3}"), keep=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q, found in got.items():
+        d = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])
+        d[q] = np.inf
+        assert found == np.lexsort((np.arange(n), d))[:10].tolist()
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header><div>Site name</div></header><div class="cookie-notice"><p>We use cookies to improve it.</p></div>
 <nav><a href=x>Home</a></nav>%s<aside>Side stuff that is rather long</aside><div id="comments"><p>A reader wrote this long comment here.</p></div><form><p>Sign up</p></form><footer>&copy; us</footer></body></html>"""
 
