@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most this many rows of a few numbers (under about 32 MB) may be broadcast once its rows have been counted.
 BROADCAST_ROWS = 1_000_000
+#: Rows are sampled by a hash modulo this.
+SHARE = 1_000_003
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,16 +55,21 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds) == fold
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, label) of about `sample` rows of each label at most, and how many rows of each label that is about.
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, text, label) of about `sample` rows of each label, 0 and 1, at most.
 
-    labels has (doc_id, label); the choice is by a hash of doc_id, before the join, so what is broadcast to the texts is
-    bounded by the sample and no text is shuffled. Null ids, labels and texts are left out.
+    labels has (doc_id, label); the choice is by a hash of doc_id, before the join, and an id counts once for each label,
+    so what meets the texts is bounded by the sample and, once counted, broadcast: no other text is shuffled. A repeated
+    id gives its least text. Null ids, labels and texts are left out.
     """
-    labels = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect() if r["label"] in (0, 1)}
-    share = {k: min(1.0, sample / n) for k, n in sizes.items()}
-    limit = F.when(F.col("label") == 1, int(1_000_003 * share.get(1, 0))).when(F.col("label") == 0, int(1_000_003 * share.get(0, 0)))
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= limit)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    return rows, {k: int(n * share[k]) for k, n in sizes.items()}
+    labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
+    sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    limit = F.when(F.col("label") == 1, share_limit(sample, sizes.get(1, 0))).otherwise(share_limit(sample, sizes.get(0, 0)))
+    chosen = cut(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) < limit).distinct())
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(small(chosen, chosen.count()), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def share_limit(sample: int, n: int) -> int:
+    """Hashes modulo SHARE below this are about `sample` of n."""
+    return SHARE if n <= sample else SHARE * sample // n

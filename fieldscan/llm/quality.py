@@ -6,10 +6,10 @@ and agreement with the lines beside it; each measure becomes a few soft bins. Th
 weights for the bins of a line, of the line before and of the line after, and for each pair of neighbouring labels.
 Training uses the documents' labels for their lines; forward and backward sums give the gradient of the likelihood and,
 when scoring, each line's marginal. A document's quality is the mean of the marginals weighted by length, brought to a
-probability by a logistic curve on the same sample.
+probability by a logistic curve on whole texts of the same sample.
 
 Null and empty texts have no line and get the share of good documents in the sample. Without labels of both kinds every
-score is 0.5. Repeated rows get equal scores. score_quality keeps all columns.
+score is 0.5. Repeated rows get equal scores. score_quality keeps all columns but one named `quality`, which it replaces.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, table
+from .common import cut, held_out, labelled_sample, table
+from .toxicity import fit_logistic
 
 #: Characters of a line piece, measures of a line, soft bins of a measure.
 LINE, MEASURES, BINS = 400, 12, 5
-#: Labelled rows of each label used at most, about; lines of a training document used at most, spread over it.
-SAMPLE, TRAIN_LINES = 1_500, 24
+#: Labelled rows of each label used at most, about. A training document gives all its lines up to TRAIN_LINES; a longer one
+#: gives runs of RUN neighbouring lines spread over the whole of it, each line with its true neighbours' measures.
+SAMPLE, TRAIN_LINES, RUN = 1_500, 512, 32
 CENTRES = np.linspace(0.0, 1.0, BINS)
 PIECE = re.compile(r"[^\n]{1,%d}(?:[^\s]{0,40})" % LINE)
 FIELDS = MEASURES * BINS
@@ -66,17 +68,36 @@ def measures(line: str, before: set[str], words: list[str]) -> list[float]:
     ]
 
 
-def emissions(lines: list[str]) -> np.ndarray:
-    """(lines, 3 * FIELDS + 1): soft bins of each line, of the one before and of the one after, and a constant."""
+def triples(lines: list[str]) -> np.ndarray:
+    """(lines, 3 * MEASURES): measures of each line, of the one before and of the one after; -9, in no bin, for none."""
     raw, before = [], set()
     for x in lines:
         words = x.split()
         raw.append(measures(x, before, words))
         before = set(words)
-    m = np.array(raw)[:, :, None]
-    own = np.maximum(0, 1 - np.abs(m - CENTRES) * (BINS - 1)).reshape(len(lines), FIELDS)
-    none = np.zeros((1, FIELDS))
-    return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none]), np.ones((len(lines), 1))])
+    own, none = np.array(raw, dtype=np.float32), np.full((1, MEASURES), -9, dtype=np.float32)
+    return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none])])
+
+
+def binned(m: np.ndarray) -> np.ndarray:
+    """Soft bins of measures in the last axis, and a constant."""
+    bins = np.maximum(0, 1 - np.abs(m[..., None].astype(float) - CENTRES) * (BINS - 1)).reshape(*m.shape[:-1], -1)
+    return np.concatenate([bins, np.ones((*m.shape[:-1], 1))], axis=-1)
+
+
+def emissions(lines: list[str]) -> np.ndarray:
+    """(lines, 3 * FIELDS + 1)."""
+    return binned(triples(lines))
+
+
+def training_runs(lines: list[str], most: int = TRAIN_LINES) -> list[np.ndarray]:
+    """triples of all lines, or, above `most`, of most / RUN runs of neighbours spread from the first line to the last."""
+    if not lines:
+        return []
+    found = triples(lines)
+    if len(found) <= most:
+        return [found]
+    return [found[at : at + RUN] for at in np.linspace(0, len(found) - RUN, most // RUN).astype(int)]
 
 
 @dataclass
@@ -124,87 +145,85 @@ class Field:
         return float(1 / (1 + np.exp(-np.clip(self.slope * mean + self.bias, -30, 30))))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 60, rate: float = 0.15, ridge: float = 1e-4) -> Field:
-    """Maximum likelihood by Adam over whole passes; every line of a document has its label. Documents count so that both
-    labels weigh the same."""
-    labels_ = np.array(labels)
-    prepared = []
-    for text, y in zip(texts, labels, strict=True):
-        lines = lines_of(text)
-        if lines:
-            step = max(1, len(lines) // TRAIN_LINES)
-            first = (len(lines) // 2) % step
-            at = max(0, min(first, len(lines) - TRAIN_LINES))
-            prepared.append((emissions(lines[at : at + TRAIN_LINES] if step == 1 else lines[first::step][:TRAIN_LINES]), y))
-    size = 3 * FIELDS + 1
-    field = Field(np.zeros(size), np.zeros((2, 2)), prior=float(labels_.mean()))
-    weight = {k: len(prepared) / 2 / max(1, sum(y == k for _, y in prepared)) for k in (0, 1)}
-    theta, m, v = np.zeros(size + 4), np.zeros(size + 4), np.zeros(size + 4)
-    # all lines at once: documents are padded to one length, so that a pass is a few products
-    longest = max(len(x) for x, _ in prepared)
-    x = np.zeros((len(prepared), longest, size))
-    mask = np.zeros((len(prepared), longest), dtype=bool)
-    for k, (e, _) in enumerate(prepared):
-        x[k, : len(e)], mask[k, : len(e)] = e, True
-    y = np.array([y for _, y in prepared])
-    w = np.array([weight[k] for k in y]) / mask.sum(axis=1)
-    last = mask.sum(axis=1) - 1
+def fit(runs: list[np.ndarray], labels: list[int], weights: list[float], rounds: int = 60, rate: float = 0.15, ridge: float = 1e-4) -> Field:
+    """Maximum likelihood by Adam over whole passes from runs of triples; every line of a run has the run's label.
+
+    Runs of like length are padded to one length, so that a pass is a few products for each such group; soft bins are made
+    anew in each pass, so memory follows the measures.
+    """
+    size, field = 3 * FIELDS + 1, Field(np.zeros(3 * FIELDS + 1), np.zeros((2, 2)))
+    order = sorted(range(len(runs)), key=lambda k: len(runs[k]))
+    groups, at = [], 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and len(runs[order[end]]) * (end + 1 - at) <= 8_192:
+            end += 1
+        own = order[at:end]
+        m = np.full((len(own), len(runs[own[-1]]), 3 * MEASURES), -9, dtype=np.float32)
+        for row, k in enumerate(own):
+            m[row, : len(runs[k])] = runs[k]
+        groups.append((m, np.array([len(runs[k]) for k in own]), np.array([labels[k] for k in own]), np.array([weights[k] for k in own])))
+        at = end
+    theta, m1, m2 = np.zeros(size + 4), np.zeros(size + 4), np.zeros(size + 4)
     for t in range(1, rounds + 1):
-        line, pair = theta[:size], theta[size:].reshape(2, 2)
-        score = np.zeros((*mask.shape, 2))
-        score[:, :, 1] = x @ line
-        f, b = np.zeros_like(score), np.zeros_like(score)
-        f[:, 0] = score[:, 0]
-        for i in range(1, longest):
-            f[:, i] = score[:, i] + np.logaddexp(f[:, i - 1, :1] + pair[0], f[:, i - 1, 1:] + pair[1])
-        for i in range(longest - 2, -1, -1):
-            ahead = score[:, i + 1] + b[:, i + 1]
-            b[:, i] = np.where(mask[:, i + 1, None], np.logaddexp(pair[:, 0] + ahead[:, :1], pair[:, 1] + ahead[:, 1:]), 0.0)
-        end = f[np.arange(len(y)), last]
-        total = np.logaddexp(end[:, 0], end[:, 1])
-        good = np.exp(f[:, :, 1] + b[:, :, 1] - total[:, None]) * mask
-        gap = (y[:, None] * mask - good) * w[:, None]
-        gradient = np.tensordot(gap, x, axes=([0, 1], [0, 1])) - ridge * len(y) * line
-        both = mask[:, 1:, None, None]
-        joint = np.exp(np.where(both, f[:, :-1, :, None] + pair + (score + b)[:, 1:, None, :] - total[:, None, None, None], -1e9)) * both
-        seen = np.zeros((len(y), 2, 2))
-        seen[np.arange(len(y)), y, y] = last
-        pairs = ((seen - joint.sum(axis=1)) * w[:, None, None]).sum(axis=0) - ridge * len(y) * pair
-        g = np.concatenate([gradient, pairs.ravel()]) / len(y)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        field.line, field.pair = theta[:size], theta[size:].reshape(2, 2)
+        g = sum(_gradient(field, *group) for group in groups) - ridge * theta
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        theta = theta + rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
     field.line, field.pair = theta[:size], theta[size:].reshape(2, 2)
-    means = np.array([(field.mean_good(t), y) for t, y in zip(texts, labels, strict=True) if lines_of(t)])
-    field.slope, field.bias = _platt(means[:, 0], means[:, 1])
     return field
 
 
-def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    from .toxicity import fit_logistic
-
-    slope, bias = fit_logistic(x[:, None], y, ridge=1.0)
-    return float(slope), float(bias)
+def _gradient(field: Field, m: np.ndarray, n: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient of the log-likelihood, by forward and backward sums, of runs padded to one length: n lines each, label y,
+    weight w."""
+    x, pair = binned(m), field.pair
+    rows, longest = m.shape[:2]
+    mask = np.arange(longest) < n[:, None]
+    score = np.zeros((rows, longest, 2))
+    score[:, :, 1] = x @ field.line
+    f, b = np.zeros_like(score), np.zeros_like(score)
+    f[:, 0] = score[:, 0]
+    for i in range(1, longest):
+        f[:, i] = score[:, i] + np.logaddexp(f[:, i - 1, :1] + pair[0], f[:, i - 1, 1:] + pair[1])
+    for i in range(longest - 2, -1, -1):
+        ahead = score[:, i + 1] + b[:, i + 1]
+        b[:, i] = np.where(mask[:, i + 1, None], np.logaddexp(pair[:, 0] + ahead[:, :1], pair[:, 1] + ahead[:, 1:]), 0.0)
+    end = f[np.arange(rows), n - 1]
+    total = np.logaddexp(end[:, 0], end[:, 1])
+    good = np.exp(np.where(mask, f[:, :, 1] + b[:, :, 1] - total[:, None], -1e9))
+    line = np.tensordot((y[:, None] * mask - good) * w[:, None], x, axes=([0, 1], [0, 1]))
+    both = mask[:, 1:, None, None]
+    joint = np.exp(np.where(both, f[:, :-1, :, None] + pair + (score + b)[:, 1:, None, :] - total[:, None, None, None], -1e9))
+    seen = np.zeros((rows, 2, 2))
+    seen[np.arange(rows), y, y] = n - 1
+    return np.concatenate([line, ((seen - joint.sum(axis=1)) * w[:, None, None]).sum(axis=0).ravel()])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
     """The field from docs (doc_id, text) and labels (doc_id, label): at most about `sample` rows of each label, chosen by a
-    hash of doc_id. Of their texts, lines spread over the whole text come to the driver, at most TRAIN_LINES each."""
-    rows, sizes = labelled_sample(docs, labels, sample)
-    if not sizes.get(0) or not sizes.get(1):
-        return None
-
-    @F.pandas_udf("string")
-    def spread(texts: pd.Series) -> pd.Series:
-        def some(text: str) -> str:
-            lines = lines_of(text)
-            return "\n".join(lines[:: max(1, -(-len(lines) // TRAIN_LINES))])
-
-        return texts.map(some)
-
-    got = rows.select("doc_id", spread("text").alias("text"), "label").toPandas().sort_values("doc_id")
-    if got["label"].nunique() < 2:
+    hash of doc_id. The driver gets the measures of the lines that training_runs gives, and one mean of whole-text
+    marginals for each row, on which the final curve is fitted. Both labels weigh the same."""
+    rows = cut(labelled_sample(docs, labels, sample))
+
+    @F.pandas_udf("array<binary>")
+    def runs_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [x.tobytes() for x in training_runs(lines_of(t))])
+
+    got = sorted(rows.select("doc_id", "label", runs_of("text").alias("runs")).collect(), key=lambda r: (r["doc_id"], r["label"]))
+    got = [(r["label"], [np.frombuffer(x, dtype=np.float32).reshape(-1, 3 * MEASURES) for x in r["runs"]]) for r in got if r["runs"]]
+    n = {k: sum(y == k for y, _ in got) for k in (0, 1)}
+    if not n[0] or not n[1]:
         return None
-    return fit(got["text"].tolist(), got["label"].tolist())
+    flat = [(x, y, 1 / (2 * n[y] * sum(map(len, runs)))) for y, runs in got for x in runs]
+    field = fit(*map(list, zip(*flat, strict=True)))
+    field.prior = n[1] / len(got)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    mean = F.pandas_udf(lambda texts: texts.map(shared.value.mean_good), "double")
+    means = sorted((r["label"], r["mean"]) for r in rows.select("label", mean("text").alias("mean")).where("mean IS NOT NULL").collect())
+    y, x = np.array(means).T
+    field.slope, field.bias = map(float, fit_logistic(x[:, None], y, ridge=1.0))
+    return field
 
 
 def score_quality(docs: DataFrame, field: Field | None) -> DataFrame:

@@ -1,9 +1,10 @@
 """Toxicity: a learned lexicon, matched through Levenshtein automata, with windows that tell quotation from abuse.
 
-Lexicon. Over a bounded sample of labelled rows, Spark counts for each word, and for each beginning of a word, in how many
-distinct families of toxic and other documents it occurs (the least of three counts of distinct least hashes; near copies
-mostly share those, so a copied document does not teach its every word). Terms with a far larger share of the toxic families are kept with the log ratio as weight, whole
-words or stems, whichever parts the two kinds best.
+Lexicon. From a bounded sample of labelled rows, Spark first leaves one row of each family of near copies (rows of a label
+that share one of three least hashes of five-word shingles), so a copied document does not teach its every word. It then
+counts, for each word and each beginning of a word, the toxic and other rows that hold it. Terms that a likelihood-ratio
+test of fixed level finds to part the labels, with a far larger share among the toxic rows, are kept with the log ratio as
+weight, whole words or stems, whichever parts the two kinds best.
 
 Matching. The terms form a trie. Words run through the intersection of that trie with the Levenshtein automaton of each
 term's error budget, made deterministic as states are met: whole words of 5 letters allow one error, of 9 two; stems of 6
@@ -14,7 +15,8 @@ address. Quoted and reported hits count little, addressed ones more. A logistic
 the same sample, gives the score.
 
 Null and empty texts have no hit and get the score of a text without one. Without labelled rows of both kinds every score
-is 0. Repeated rows get equal scores. Extra columns are kept by score_toxicity.
+is 0. Repeated rows get equal scores; a repeated doc_id is learned from once for each label. Extra columns are kept by
+score_toxicity.
 """
 
 from __future__ import annotations
@@ -25,17 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, held_out, labelled_sample, table
+from .simhash import shingle_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM_SIZES = range(4, 9)
 #: Labelled rows used at most, about.
 SAMPLE = 4_000
-#: Terms kept at most.
-TERMS = 2_000
+#: Least likelihood ratio (chi-square with one degree: one in a million) and least ratio of shares of a term.
+EVIDENCE, RATIO = 24.0, 6.0
 WINDOW = 6
 QUOTES = "\"'`«»‘’“”„"
 #: Words of report and of address, in the languages of the tables.
@@ -44,48 +47,47 @@ ADDRESS = frozenset("you your yours du dein ihr euch tu toi vous votre usted tú
 FEATURES = 6
 
 
-#: Seeds of the hashes whose least value over a document's words stands for its family.
-FAMILIES = (11, 23, 37)
+#: Odd multipliers that order a text's shingle hashes; the least under each names a family of near copies.
+FAMILIES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Ends a term that is a stem.
+STEM = "*"
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, stem, pos, neg): families of rows (text, label) of either label that hold a word, or a word's beginning.
+def terms_of(text: str) -> list[str]:
+    """The distinct words of a text, and the distinct beginnings of its words, marked with STEM."""
+    words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 40}
+    return [*words, *{w[:n] + STEM for w in words for n in STEM_SIZES if len(w) > n}]
 
-    Rows are dealt by their first family hash, so near copies mostly meet in one task. A task counts each term's distinct
-    values of every family hash, keeps the least count, and the tasks' counts are added.
-    """
 
-    def families(words: set[str]) -> tuple[int, ...]:
-        import xxhash
+def families_of(text: str) -> list[int]:
+    h = shingle_hashes(text)
+    return [int((h * np.uint64(k)).min().view(np.int64)) for k in FAMILIES] if len(h) else [0] * len(FAMILIES)
 
-        return tuple(min(xxhash.xxh64_intdigest(w, k) for w in words) for k in FAMILIES)
 
-    @F.pandas_udf("long")
-    def first_family(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: families(words)[0] >> 1 if (words := set(WORD.findall(t.lower()))) else 0)
+def one_of_each_family(rows: DataFrame) -> DataFrame:
+    """rows (text, label) without near copies: a row stays where it comes first, by a hash of the row, in each of its
+    families; of equal rows one stays."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[str, bool], tuple[list[set], list[set]]] = {}
-        for pdf in batches:
-            for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 40}
-                if not words:
-                    continue
-                own = families(words)
-                terms = {(w, False) for w in words} | {(w[:n], True) for w in words for n in STEM_SIZES if len(w) > n}
-                for term in terms:
-                    sets = seen.get(term)
-                    if sets is None:
-                        sets = seen[term] = ([set(), set(), set()], [set(), set(), set()])
-                    for kinds, f in zip(sets[label], own, strict=True):
-                        kinds.add(f)
-        rows = [(t, stem, min(map(len, pos)), min(map(len, neg))) for (t, stem), (neg, pos) in seen.items()]
-        yield pd.DataFrame(rows, columns=["term", "stem", "pos", "neg"])
-
-    tasks = max(8, rows.sparkSession.sparkContext.defaultParallelism * 2)
-    dealt = rows.withColumn("_f", first_family("text")).repartition(tasks, "_f").select("text", "label")
-    partial = dealt.mapInPandas(count, "term string, stem boolean, pos long, neg long")
-    return partial.groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    @F.pandas_udf("array<long>")
+    def families(texts: pd.Series) -> pd.Series:
+        return texts.map(families_of)
+
+    own = F.xxhash64("text", "label")
+    named = cut(rows.select("text", "label", own.alias("row")).withColumn("families", families("text")))
+    firsts = named.select("label", "row", F.posexplode("families")).groupBy("label", "pos", "col").agg(F.min("row").alias("row"))
+    kept = firsts.groupBy("label", "row").agg(F.count("*").alias("n")).where(F.col("n") == len(FAMILIES)).select("row")
+    return named.join(kept, "row", "left_semi").groupBy("row", "label").agg(F.min("text").alias("text")).select("text", "label")
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, pos, neg): rows of (text, label) of either label that hold a word, or a word's beginning."""
+
+    @F.pandas_udf("array<string>")
+    def terms(texts: pd.Series) -> pd.Series:
+        return texts.map(terms_of)
+
+    found = rows.select("label", F.explode(terms("text")).alias("term"))
+    return found.groupBy("term").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
 
 
 Term = tuple[str, bool, float]
@@ -110,13 +112,18 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], positives: int, negat
 
 
 def learn_terms(rows: DataFrame, positives: int, negatives: int) -> list[Term]:
-    """Terms with six times the share of families among toxic rows, and with so many of them that chance among a million
-    candidates would not give it."""
-    prior = positives / (positives + negatives)
-    least = max(4, positives // 100, math.ceil((math.log(1e6) + 2) / -math.log(prior)))
-    apart = term_counts(rows).where((F.col("pos") >= least) & (F.col("pos") * negatives >= 6.0 * positives * F.col("neg")))
-    top = apart.orderBy(F.desc("pos"), "term", "stem").limit(TERMS).collect()
-    return choose_terms([tuple(r) for r in top], positives, negatives)
+    """The terms of rows (text, label) that pass EVIDENCE and RATIO; their number is bounded by the sample."""
+    n = positives + negatives
+    held = F.col("pos") + F.col("neg")
+
+    def cell(seen, row, column):  # observed times log of observed over expected
+        return F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
+
+    pos, neg, without = F.col("pos"), F.col("neg"), n - held
+    ratio = 2 * (cell(pos, held, positives) + cell(neg, held, negatives) + cell(positives - pos, without, positives) + cell(negatives - neg, without, negatives))
+    apart = term_counts(rows).where((F.col("pos") * negatives >= RATIO * positives * F.col("neg")) & (ratio >= EVIDENCE))
+    stem = F.col("term").endswith(STEM)
+    return choose_terms([tuple(r) for r in apart.select(F.rtrim(F.translate("term", STEM, " ")), stem, "pos", "neg").collect()], positives, negatives)
 
 
 class Lexicon:
@@ -240,19 +247,6 @@ class Scanner:
         return quoted, (0.25 if quoted else 1.0) * (0.5 if reported and quoted else 1.0) * (1.5 if addressed and not quoted else 1.0)
 
 
-def with_features(docs: DataFrame, terms: list[Term]) -> DataFrame:
-    """docs with `_x`, the features of text."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    @F.pandas_udf("array<double>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(shared.value)
-        for texts in batches:
-            yield pd.Series([scanner.features(t) for t in texts])
-
-    return docs.withColumn("_x", of("text"))
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
     """Weights with the bias last, by Newton steps on the ridge-penalised likelihood."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -271,25 +265,40 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[Term], list[float]]:
     """Terms and weights from docs (doc_id, text) and labels (doc_id, label). At most about `sample` rows of each label are
     used, chosen by a hash of doc_id; beside the terms, the driver gets one row of features for each of them."""
-    rows, sizes = labelled_sample(docs, labels, sample)
-    if not sizes.get(0) or not sizes.get(1):
+    rows = cut(labelled_sample(docs, labels, sample).select("text", "label"))
+    apart = cut(one_of_each_family(rows))
+    sizes = {r["label"]: r["count"] for r in apart.groupBy("label").count().collect()}
+    if len(sizes) < 2:
         return [], []
-    rows = cut(rows.select("text", "label"))
-    terms = learn_terms(rows, sizes[1], sizes[0])
-    got = with_features(rows, terms).select("_x", "label").collect()
-    x, y = np.array([r["_x"] for r in got]), np.array([r["label"] for r in got], dtype=float)
-    return (terms, fit_logistic(x, y).tolist()) if len(set(y)) == 2 else ([], [])
+    terms = learn_terms(apart, sizes[1], sizes[0])
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    @F.pandas_udf("array<double>")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scanner = Scanner(shared.value)
+        for texts in batches:
+            yield pd.Series([scanner.features(t) for t in texts])
+
+    got = sorted((r["label"], *r["x"]) for r in rows.select("label", features("text").alias("x")).collect())
+    table_ = np.array(got, dtype=float)
+    return terms, fit_logistic(table_[:, 1:], table_[:, 0]).tolist()
 
 
 def score_toxicity(docs: DataFrame, terms: list[Term], weights: list[float]) -> DataFrame:
-    """docs with `toxicity` from 0 to 1."""
+    """docs with `toxicity` from 0 to 1; it takes the place of a column of that name, other columns stay."""
     if not weights:
         return docs.withColumn("toxicity", F.lit(0.0))
-    z = F.lit(weights[-1])
-    out = with_features(docs, terms)
-    for k, w in enumerate(weights[:-1]):
-        z = z + F.get("_x", F.lit(k)) * w
-    return out.withColumn("toxicity", 1 / (1 + F.exp(-z))).drop("_x")
+    shared = docs.sparkSession.sparkContext.broadcast((terms, np.array(weights)))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        terms, w = shared.value
+        scanner = Scanner(terms)
+        for texts in batches:
+            x = np.array([scanner.features(t) for t in texts]).reshape(-1, FEATURES)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+
+    return docs.withColumn("toxicity", score("text"))
 
 
 def query(spark, sf_dir):
