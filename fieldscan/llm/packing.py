@@ -20,7 +20,10 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,7 @@ from .common import cut, table
 
 CAPACITY = 2048
 #: Pieces of a district, islands of a district, epochs, generations in an epoch, packings of an island.
-DISTRICT, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2000, 2, 2, 4, 4
+DISTRICT, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2000, 3, 5, 8, 6
 #: Characters that Python's split parts words at and the tokenizer does not.
 NOT_BLANK = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -41,18 +44,24 @@ NOT_BLANK = ("\x1c", "\x1d", "\x1e", "\x1f")
 class TextIds:
     """Little-endian ids of texts.
 
-    White space never reaches a token of this tokenizer, and its own first split parts a text into runs of letters, single
-    digits and runs of the rest, which are encoded one by one. So each distinct part is encoded once and kept. In a
-    Latin-1 text lower case and composition need no context, and the split is a plain pattern; other texts, and those
-    with a special token, are encoded word by word by the tokenizer itself.
+    Where white space never reaches a token and the tokenizer's own first split is FIRST_SPLIT, which a set of probes
+    shows when it is built, each distinct part of a text is encoded once and kept. In a Latin-1 text lower case and
+    composition need no context, and the split is a plain pattern; other texts, and those with a special token, are
+    encoded word by word by the tokenizer itself. For any other tokenizer whole texts are encoded.
     """
 
     #: The tokenizer's first split, as its file states it, with its letters and numbers among Latin-1 in lower case.
     LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-    FIRST_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+    FIRST_SPLIT = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{LETTERS}{NUMBERS}]+")
     END = "</w>"
-    #: Parts and words that are kept; beyond, the memory starts anew.
-    MOST = 400_000
+    #: Texts whose ids the split must give: contractions, cases, digits, runs of signs and of white space, accents.
+    PROBES = (
+        "It's we'd THEY'LL 'Quoted' o'clock x'y 12345 a1b22c ...?! -- (a)[b]{c} e@f.gh\n\n\tend  of   line\r\n",
+        "Ça déjà VU Übergröße ÄÖÜ ß ñandú ¿Qué? ¡Sí! 5¼ x² ªº µm «a» © ® £5 naïve ÿ Þorn ÷×",
+        "snake_case camelCase UPPER_CASE http://x.yz/a?b=c&d=e%20f # $ % ^ & * ~ ` | \\ / < > = + ; :",
+    )
+    #: Parts and words that are kept; beyond, the memory starts anew with the next texts.
+    MOST = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,34 +72,30 @@ class TextIds:
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.by_parts = True
+        self.by_parts = all(got == self.encode([t])[0].tobytes() == self.by_word(t) for t, got in zip(self.PROBES, self.of(list(self.PROBES)), strict=True))
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, parts: set[str]) -> None:
         """Encodes parts in one call: the last token of each part, and no other, carries the word-end mark."""
-        if len(self.parts) + len(parts) > self.MOST:
-            self.parts.clear()
         new = list(parts)
-        ids = self.encode(" ".join(new))
+        ids = self.encode([" ".join(new)])[0]
         stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, dtype=int)
         if len(stops) == len(new):
             raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
             self.parts.update({p: raw[i:j] for p, i, j in zip(new, at, at[1:], strict=False)})
         else:
-            self.parts.update({p: self.encode(p).tobytes() for p in new})
+            self.parts.update({p: x.tobytes() for p, x in zip(new, self.encode(new), strict=True)})
 
     def by_word(self, text: str) -> bytes:
         if any(c in text for c in NOT_BLANK):
-            return self.encode(text).tobytes()
-        out = []
-        for w in text.split():
-            if w not in self.words:
-                if len(self.words) > self.MOST:
-                    self.words.clear()
-                self.words[w] = self.encode(w).tobytes()
-            out.append(self.words[w])
-        return b"".join(out)
+            return self.encode([text])[0].tobytes()
+        words = text.split()
+        if new := [w for w in dict.fromkeys(words) if w not in self.words]:
+            self.words.update({w: x.tobytes() for w, x in zip(new, self.encode(new), strict=True)})
+        return b"".join(map(self.words.__getitem__, words))
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -103,22 +108,32 @@ class TextIds:
         return True
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        found = [self.FIRST_SPLIT.findall(t.lower()) if self.plain(t) else None for t in (t or "" for t in texts)]
-        seen = set().union(*(f for f in found if f))
-        if new := seen.difference(self.parts):
+        texts = [t or "" for t in texts]
+        if not self.by_parts:
+            return [x.tobytes() for x in self.encode(texts)]
+        found = [self.FIRST_SPLIT.findall(t.lower()) if self.plain(t) else None for t in texts]
+        for kept in (self.parts, self.words):
+            if len(kept) > self.MOST:
+                kept.clear()
+        if new := set(filterfalse(self.parts.__contains__, chain.from_iterable(f for f in found if f))):
             self.learn(new)
-            if lost := seen.difference(self.parts):  # when the memory was cleared
-                self.learn(lost)
         part = self.parts.__getitem__
         return [self.by_word(t) if f is None else b"".join(map(part, f)) for t, f in zip(texts, found, strict=True)]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids): ids are little-endian unsigned 32-bit numbers in one binary."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+@lru_cache(maxsize=1)
+def text_ids(path: str) -> TextIds:
+    """One for each Python worker, whatever the number of its tasks."""
+    return TextIds(path)
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids): ids are little-endian unsigned 32-bit numbers in one binary, null
+    unless `with_ids`."""
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, end = TextIds(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        texts, end = text_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
@@ -127,10 +142,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
                     ids = text + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]
-                        out.append((doc_id, k, at // 4, len(piece) // 4, piece))
+                        out.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece if with_ids else None))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 Bins = list[list[int]]
@@ -224,9 +239,13 @@ def evolve(lengths: list[int], population: list[Bins], rng: np.random.Generator,
 
 def evolve_districts(pieces: DataFrame, districts: int, capacity: int, seed: int) -> DataFrame:
     """(key, length, bin): pieces with the bin that the best island of their district gave them."""
-    state_schema = "district long, island int, n_bins int, state binary"
+    state_schema = "district long, island int, n_bins int, bound int, state binary, elite binary"
     dealt = pieces.withColumn("district", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(districts)))
 
+    def row(district: int, island: int, keys: np.ndarray, lengths: list[int], population: list[Bins]) -> tuple:
+        state = pickle.dumps((keys, lengths, population[1:]))
+        return district, island, len(population[0]), -(-sum(lengths) // capacity), state, pickle.dumps(population[0])
+
     def start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
         keys, lengths = pdf["key"].to_numpy(), pdf["length"].tolist()
@@ -234,34 +253,42 @@ def evolve_districts(pieces: DataFrame, districts: int, capacity: int, seed: int
         for island in range(ISLANDS):
             rng = np.random.default_rng([int(key[0]), island, seed])
             best = evolve(lengths, first_population(lengths, rng, POPULATION, capacity), rng, GENERATIONS, capacity)
-            out.append((key[0], island, len(best[0]), pickle.dumps((keys, lengths, best, None))))
-        return pd.DataFrame(out, columns=["district", "island", "n_bins", "state"])
+            out.append(row(key[0], island, keys, lengths, best))
+            if out[-1][2] <= out[-1][3]:  # no packing has fewer bins: the other islands have nothing to find
+                break
+        return pd.DataFrame(out, columns=state_schema.replace(",", "").split()[::2])
 
     def epoch(number: int):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            own = pickle.loads(pdf.loc[pdf["migrant"] == 0, "state"].iloc[0])
-            guest = pickle.loads(pdf.loc[pdf["migrant"] == 1, "state"].iloc[0])
-            keys, lengths, population, _ = own
-            population = [*population[:-1], guest[2][0]]
-            if -(-sum(lengths) // capacity) < len(population[0]):
-                population = evolve(lengths, population, np.random.default_rng([*map(int, key), number, seed]), GENERATIONS, capacity)
-            return pd.DataFrame([(key[0], key[1], len(population[0]), pickle.dumps((keys, lengths, population, None)))], columns=["district", "island", "n_bins", "state"])
+            own, guest = pdf[pdf["migrant"] == 0].iloc[0], pdf[pdf["migrant"] == 1].iloc[0]
+            keys, lengths, rest = pickle.loads(own["state"])
+            population = [pickle.loads(own["elite"]), *rest[:-1], pickle.loads(guest["elite"])]
+            best = evolve(lengths, population, np.random.default_rng([*map(int, key), number, seed]), GENERATIONS, capacity)
+            return pd.DataFrame([row(*key, keys, lengths, best)], columns=state_schema.replace(",", "").split()[::2])
 
         return run
 
-    islands = cut(dealt.groupBy("district").applyInPandas(start, state_schema))
-    for number in range(1, EPOCHS):
-        guests = islands.withColumn("island", (F.col("island") + 1) % ISLANDS).withColumn("migrant", F.lit(1))
-        islands = cut(islands.withColumn("migrant", F.lit(0)).unionByName(guests).groupBy("district", "island").applyInPandas(epoch(number), state_schema))
+    todo = cut(dealt.groupBy("district").applyInPandas(start, state_schema))
+    finished = []
+    for number in range(1, EPOCHS):  # of districts whose islands all miss the bound by total length
+        reached = todo.groupBy("district").agg((F.min("n_bins") <= F.max("bound")).alias("reached"))
+        marked = todo.join(reached, "district")
+        finished.append(marked.where("reached").drop("reached"))
+        todo = marked.where("NOT reached").drop("reached")
+        if todo.isEmpty():
+            break
+        guests = todo.select("district", ((F.col("island") + 1) % ISLANDS).alias("island"), "n_bins", "bound", F.lit(None).cast("binary").alias("state"), "elite", F.lit(1).alias("migrant"))
+        todo = cut(todo.withColumn("migrant", F.lit(0)).unionByName(guests).groupBy("district", "island").applyInPandas(epoch(number), state_schema))
+    islands = reduce(DataFrame.unionByName, finished, todo)
 
     def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for district, state in zip(pdf["district"], pdf["state"], strict=True):
-                keys, lengths, population, _ = pickle.loads(state)
-                rows = [(keys[i], lengths[i], district, b, capacity - sum(lengths[j] for j in x)) for b, x in enumerate(population[0]) for i in x]
+            for district, best in zip(pdf["district"], pdf["best"], strict=True):
+                (keys, lengths, _), bins = pickle.loads(best["state"]), pickle.loads(best["elite"])
+                rows = [(keys[i], lengths[i], district, b, capacity - sum(lengths[j] for j in x)) for b, x in enumerate(bins) for i in x]
                 yield pd.DataFrame(rows, columns=["key", "length", "district", "bin", "room"])
 
-    best = islands.groupBy("district").agg(F.min_by("state", F.struct("n_bins", "island")).alias("state"))
+    best = islands.groupBy("district").agg(F.min_by(F.struct("state", "elite"), F.struct("n_bins", "island")).alias("best"))
     return best.mapInPandas(unfold, "key long, length long, district long, bin long, room long")
 
 
@@ -307,6 +334,5 @@ def default_tokenizer() -> str:
 
 def query(spark, sf_dir):
     """op1: the pieces of all documents and their places."""
-    pieces = token_pieces(table(spark, sf_dir, "documents"), default_tokenizer())
-    digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = token_pieces(table(spark, sf_dir, "documents"), default_tokenizer(), with_ids=False)
+    return pack(pieces.drop("ids")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
