@@ -49,8 +49,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
-    pieces = packing.token_pieces(docs, packing.default_tokenizer())
-    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    pieces = packing.token_pieces(docs, packing.default_tokenizer(), with_ids=False)
+    return packing.pack(pieces.drop("ids"))
 
 
 STAGES = [
