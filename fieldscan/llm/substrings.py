@@ -4,38 +4,45 @@ A window is `size` consecutive words. Four passes over partitions, each bounded
 
 1. Sketch. Each window is represented by its anchor, the smallest hash among its runs of `gram` words: equal windows have
    equal anchors, and a document has some 4.5 anchors per 100 windows. A task adds each distinct anchor of a document once
-   to a count-min sketch of saturating 8-bit counts; the tasks' sketches are merged block by block in a tree. The merged
-   count of an anchor is never below the number of documents that hold it, so a window in two documents always has an
-   anchor estimated at two or more. The sketch has a fixed size (`rows` x 2^`bits` bytes, 48 MB): where the input has far
-   more anchors than cells, it lets more windows pass and stays lossless.
+   to a count-min sketch of saturating counts, kept sparse; the tasks' sketches are merged block by block. The merged count
+   of an anchor is never below the number of documents that hold it, so a window in two documents always has an anchor
+   estimated at two or more. The number of cells follows the bytes of text, at least CELLS for each anchor, so the share of
+   windows passed in vain stays near 1 %. What tasks read is one bit for each cell; where that would be above MOST_BITS,
+   the counts of anchors stay distributed and the repeated ones meet their documents in a join.
 2. Candidates. Windows whose anchor is estimated to repeat are emitted with 128 bits of rolling hash, and grouped exactly:
    the smallest doc_id per window, combined before the shuffle, so a passage in a third of all rows is one row per task.
-3. Windows joined with their smallest doc_id are removed where it is smaller than their own.
-4. Places to remove meet the texts by doc_id.
+3. Windows joined with their smallest doc_id, kept as a table of repeated windows alone so that a hot one can be split, are
+   removed where it is smaller than their own.
+4. Places to remove meet the texts by doc_id and digest of the text.
 
 Texts equal to the byte are one class: the document with the smallest id goes through passes 2 and 3, and in the others
 every window has a smaller document, so all their words go if there are `size` of them. Null and empty texts have no words
-and lose none; a text under `size` words keeps all. Two different windows with equal 128-bit hashes are taken as equal.
+and lose none; a text under `size` words keeps all. Rows that repeat an id are judged row by row, against ids smaller than
+theirs; a null id is smaller than none and has none smaller, so its row keeps all words. Two different windows with equal
+128-bit hashes are taken as equal. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, saved, table
+from .common import BROADCAST_ROWS, cut, saved, small, table
 
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: White space that parts words, \x20 and \x09-\x0D, which is also what bytes.split() takes.
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-BLOCK_BITS = 18
+#: Cells of a sketch row are merged in blocks of 2^BLOCK_BITS; a sketch has ROWS rows of at most 2^MOST_BITS cells each,
+#: which is a bit a cell where tasks read it, so 64 MB, and CELLS cells or more for each anchor.
+BLOCK_BITS, ROWS, MOST_BITS, CELLS = 18, 2, 28, 8
+#: Entries that a task's sparse sketch holds before it is sent.
+PENDING = 2_000_000
 #: Bytes of text hashed at once; a longer document is hashed alone.
 CHUNK = 1 << 20
 
@@ -117,98 +124,150 @@ class Chunk:
         return spans_hash(self.words, at, at + self.size, self.powers[2]), spans_hash(self.words, at, at + self.size, self.powers[3])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[tuple[np.ndarray, Chunk]]:
-    """Document ids and their windows, CHUNK bytes at a time."""
+def chunks(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
+    """Rows and their windows, CHUNK bytes at a time."""
     powers = [Powers(b) for b in ODD]
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text").cast(pa.binary()).to_pylist()
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
         begin = held = 0
         for k, text in enumerate(texts):
             if held and held + len(text) > CHUNK:
-                yield ids[begin:k], Chunk(texts[begin:k], size, gram, powers)
+                yield batch.slice(begin, k - begin), Chunk(texts[begin:k], size, gram, powers)
                 begin, held = k, 0
             held += len(text)
         if begin < len(texts):
-            yield ids[begin:], Chunk(texts[begin:], size, gram, powers)
+            yield batch.slice(begin), Chunk(texts[begin:], size, gram, powers)
+
+
+def of_document(anchors: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One number for an anchor in a document of a chunk."""
+    return mix(anchors + doc.astype(np.uint64) * np.uint64(ODD[3]))
+
+
+def distinct_anchors(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct anchor of each document, and the document's place in the chunk."""
+    first = chunk.runs()
+    anchors, doc = chunk.anchor[first], chunk.doc[first]
+    once = np.sort(np.unique(of_document(anchors, doc), return_index=True)[1])
+    return anchors[once], doc[once]
 
 
 def cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(anchors) * np.uint64(ODD[row])) >> np.uint64(64 - bits)
 
 
-def merged_sketch(docs: DataFrame, size: int, gram: int, rows: int, bits: int) -> np.ndarray:
-    """The count-min sketch of all documents' anchors, rows x 2^bits counts that stop at 2."""
-    block = 1 << min(BLOCK_BITS, bits)
+def sketch_bits(n_bytes: int, size: int, gram: int) -> int:
+    """Two to this are CELLS cells for each anchor of so many bytes of text, words being three letters and a blank."""
+    anchors = n_bytes / 4 * 2 / (size - gram + 2)
+    return max(BLOCK_BITS, int(CELLS * anchors).bit_length())
+
+
+def repeated_cells(docs: DataFrame, size: int, gram: int, bits: int) -> np.ndarray:
+    """ROWS x 2^bits bits: cells of the count-min sketch of all documents' anchors whose count is two or more."""
+    block = 1 << BLOCK_BITS
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        held: list[np.ndarray] = []
 
-        own = np.zeros((rows, 1 << bits), dtype=np.uint8)
-        for _, chunk in chunks(batches, size, gram):
-            first = chunk.runs()
-            anchors, doc = chunk.anchor[first], chunk.doc[first].astype(np.uint64)
-            anchors = anchors[np.unique(mix(anchors + doc * np.uint64(ODD[3])), return_index=True)[1]]
-            for r in range(rows):
+        def send() -> Iterator[pa.RecordBatch]:
+            anchors = np.concatenate(held)
+            held.clear()
+            for r in range(ROWS):
                 at, n = np.unique(cells(anchors, r, bits), return_counts=True)
-                own[r, at] = np.minimum(own[r, at] + n, 2)
-        for k, x in enumerate(own.reshape(-1, block)):
-            if x.any():
-                yield pa.RecordBatch.from_pylist([{"block": k, "source": TaskContext.get().partitionId(), "counts": zlib.compress(x.tobytes(), 1)}], schema=pa.schema([("block", pa.int32()), ("source", pa.int32()), ("counts", pa.binary())]))
+                edges = np.searchsorted(at, np.arange(0, (1 << bits) + 1, block, dtype=np.uint64))
+                low, n = (at & np.uint64(block - 1)).astype("<u4"), np.minimum(n, 2).astype("u1")
+                rows = [((r << bits) // block + k, low[i:j].tobytes(), n[i:j].tobytes()) for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "cells", "counts"])
+
+        for _, chunk in chunks(batches, size, gram):
+            held.append(distinct_anchors(chunk)[0])
+            if sum(map(len, held)) > PENDING:
+                yield from send()
+        if sum(map(len, held)):
+            yield from send()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(block, dtype=np.uint8)
-        for x in pdf["counts"]:
-            total = np.minimum(total + np.frombuffer(zlib.decompress(x), dtype=np.uint8), 2)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "source": pdf["source"].iloc[:1] // 64, "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    schema = "block int, source int, counts binary"
-    parts = cut(docs.mapInArrow(sketch, schema))
-    left = (parts.agg(F.max("source")).first()[0] or 0) + 1
-    while True:  # groups of at most 64 sketches of a block, until one is left
-        parts = parts.groupBy("block", F.floor(F.col("source") / 64).alias("_g")).applyInPandas(merge, schema)
-        left = -(-left // 64)
-        if left == 1:
-            break
-    out = np.zeros((rows << bits) // block * block, dtype=np.uint8).reshape(-1, block)
-    for r in parts.collect():  # (rows << bits) / block blocks
-        out[r["block"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.uint8)
-    return out.reshape(rows, 1 << bits)
-
-
-def candidate_windows(docs: DataFrame, size: int, gram: int, rows: int, bits: int) -> DataFrame:
-    """(doc_id, start, h1, h2) of the windows whose anchor the sketch estimates in two documents or more."""
-    sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, size, gram, rows, bits))
+        for at, n in zip(pdf["cells"], pdf["counts"], strict=True):  # cells of one sketch are distinct
+            at = np.frombuffer(at, "<u4")
+            total[at] = np.minimum(total[at] + np.frombuffer(n, "u1"), 2)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.packbits(total >= 2, bitorder="little").tobytes()]})
+
+    merged = docs.mapInArrow(sketch, "block int, cells binary, counts binary").groupBy("block").applyInPandas(merge, "block int, bits binary")
+    out = np.zeros((ROWS << bits) // 8, dtype=np.uint8).reshape(-1, block // 8)
+    for r in merged.collect():  # ROWS * 2^bits / block blocks
+        out[r["block"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out.reshape(ROWS, -1)
+
+
+def part_of(text: str) -> Column:
+    """Tells apart rows of one id with different texts."""
+    return F.xxhash64(text).alias("part")
+
+
+def with_repeated_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """docs (doc_id, part, text) that hold an anchor which another row holds too, with `anchors`: those anchors."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, chunk in chunks(batches, size, gram):
+            anchors, doc = distinct_anchors(chunk)
+            edges = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(anchors.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("part"), lists], names=["doc_id", "part", "anchors"])
+
+    held = saved(docs.mapInArrow(listed, "doc_id long, part long, anchors array<long>")).select("doc_id", "part", F.explode("anchors").alias("anchor"))
+    repeated = saved(held.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    found = held.join(repeated, "anchor").groupBy("doc_id", "part").agg(F.collect_set("anchor").alias("anchors"))
+    return docs.join(found, ["doc_id", "part"])
+
+
+def candidate_windows(docs: DataFrame, size: int, gram: int, most_bits: int) -> DataFrame:
+    """(doc_id, part, start, h1, h2) of the windows of docs (doc_id, part, text) whose anchor is estimated in two rows or
+    more."""
+    bits = sketch_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, size, gram)
+    if bits <= most_bits:
+        sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, size, gram, bits))
+    else:
+        sketch, docs = None, saved(with_repeated_anchors(docs, size, gram))
+
+    def repeated(rows: pa.RecordBatch, chunk: Chunk, first: np.ndarray) -> np.ndarray:
+        anchors = chunk.anchor[first]
+        if sketch is None:
+            own = rows.column("anchors")
+            wanted = of_document(own.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(own)), own.value_lengths().to_numpy()))
+            return np.isin(of_document(anchors, chunk.doc[first]), wanted)
+        passed = np.ones(len(anchors), dtype=bool)
+        for r in range(ROWS):
+            at = cells(anchors, r, bits)
+            passed &= (sketch.value[r, at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return passed
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        for ids, chunk in chunks(batches, size, gram):
+        for rows, chunk in chunks(batches, size, gram):
             first = chunk.runs()
             if not len(first):
                 continue
-            passed = np.ones(len(first), dtype=bool)
-            for r in range(rows):
-                passed &= counts[r, cells(chunk.anchor[first], r, bits)] >= 2
-            keep = np.flatnonzero(np.repeat(passed, np.diff(np.append(first, len(chunk.at)))))
+            keep = np.flatnonzero(np.repeat(repeated(rows, chunk, first), np.diff(np.append(first, len(chunk.at)))))
             h1, h2 = chunk.hashes(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[chunk.doc[keep]], pa.int64()), pa.array(chunk.start[keep], pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "start", "h1", "h2"])
-
-    return docs.mapInArrow(emit, "doc_id long, start int, h1 long, h2 long")
-
-
-def repeated_starts(docs: DataFrame, size: int = 50, gram: int = 8, rows: int = 3, bits: int = 24) -> DataFrame:
-    """(doc_id, starts): places (in words) of windows that a document with a smaller id has too, and, for a whole copy
-    of such a document, null starts."""
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    classes = cut(docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("class")))
-    firsts = classes.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
-    copies = cut(classes.join(firsts, "class").where("doc_id > first").select("doc_id"))
-    n = copies.count()
-    left = docs.join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, "doc_id", "left_anti")
-    found = saved(candidate_windows(left, size, gram, rows, bits))
-    least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+            ids = [rows.column(name).take(pa.array(chunk.doc[keep])) for name in ("doc_id", "part")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(chunk.start[keep], pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "part", "start", "h1", "h2"])
+
+    return docs.mapInArrow(emit, "doc_id long, part long, start int, h1 long, h2 long")
+
+
+def repeated_starts(docs: DataFrame, size: int = 50, gram: int = 8, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, part, starts), one row for each id and digest of a text: places (in words) of windows that a document with a
+    smaller id has too, and, for a whole copy of such a document, null starts."""
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", part_of("text"), "text")
+    classes = cut(docs.select("doc_id", "part", F.md5(F.col("text").cast("binary")).alias("class")).distinct())
+    firsts = cut(classes.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first"))
+    copies = cut(classes.join(small(firsts, firsts.count()), "class").where("doc_id > first").select("doc_id", "part"))
+    left = docs.join(small(copies, copies.count()), ["doc_id", "part"], "left_anti")
+    found = saved(candidate_windows(left, size, gram, most_bits))
+    least = saved(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least"))
     later = found.join(least, ["h1", "h2"]).where("doc_id > least")
-    starts = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    return starts.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts")))
+    starts = later.groupBy("doc_id", "part").agg(F.collect_set("start").alias("starts"))
+    return starts.unionByName(copies.select("doc_id", "part", F.lit(None).cast("array<int>").alias("starts")))
 
 
 def removal_mask(n: int, starts: np.ndarray | None, size: int) -> np.ndarray:
@@ -225,16 +284,16 @@ def removal_mask(n: int, starts: np.ndarray | None, size: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is what is left of each document's words, joined by one space."""
-    marked = cut(repeated_starts(docs, size)).withColumn("_hit", F.lit(True))
-    docs = docs.select("doc_id", "text")
-    n = marked.count()
-    if n <= BROADCAST_ROWS:  # texts that keep every word stay where they are
-        ids = F.broadcast(marked.select("doc_id"))
-        hit = docs.join(ids, "doc_id", "left_semi").join(marked, "doc_id")
-        both = docs.join(ids, "doc_id", "left_anti").select("*", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("_hit")).unionByName(hit)
+    marked = cut(repeated_starts(docs, size).withColumn("hit", F.lit(True)))
+    docs = docs.select("doc_id", part_of("text"), "text")
+    if marked.count() <= BROADCAST_ROWS:  # texts that keep every word stay where they are
+        ids = F.broadcast(marked.select("doc_id", "part"))
+        hit = docs.join(ids, ["doc_id", "part"], "left_semi").join(marked, ["doc_id", "part"])
+        kept = docs.join(ids, ["doc_id", "part"], "left_anti").select("*", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("hit"))
+        both = kept.unionByName(hit)
     else:
-        both = docs.join(marked, "doc_id", "left")
-    both = both.select("doc_id", "text", "starts", F.coalesce("_hit", F.lit(False)).alias("hit"))
+        both = docs.join(marked, ["doc_id", "part"], "left")
+    both = both.select("doc_id", "text", "starts", F.coalesce("hit", F.lit(False)).alias("hit"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

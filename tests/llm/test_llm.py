@@ -208,40 +208,53 @@ def test_markov_model_adds_a_random_string(spark):
 # substrings
 
 
-def brute_removed(texts, size=50):
-    docs = {i: (t or "").encode().split() for i, t in texts.items()}
+def brute_removed(rows, size=50):
+    """(id, n_words, n_removed, kept) of rows (id, text), sorted."""
+    split = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
-    for i in sorted(docs):
-        for k in range(len(docs[i]) - size + 1):
-            first.setdefault(tuple(docs[i][k : k + size]), i)
-    out = {}
-    for i, w in docs.items():
+    for i, w in split:
+        for k in range(len(w) - size + 1) if i is not None else ():
+            win = tuple(w[k : k + size])
+            first[win] = min(first.get(win, i), i)
+    out = []
+    for i, w in split:
         gone = set()
-        for k in range(len(w) - size + 1):
+        for k in range(len(w) - size + 1) if i is not None else ():
             if first[tuple(w[k : k + size])] < i:
                 gone |= set(range(k, k + size))
-        out[i] = b" ".join(x for k, x in enumerate(w) if k not in gone).decode()
-    return out
+        out.append((-1 if i is None else i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return sorted(out)
 
 
-def test_substrings_against_brute_force(spark):
+@pytest.mark.parametrize("most_bits", [28, 0])
+def test_substrings_against_brute_force(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(substrings.repeated_starts, "__defaults__", (50, 8, most_bits))
     rng = random.Random(6)
     word = lambda: f"v{rng.randrange(400)}"
     shared = [word() for _ in range(70)]
-    texts = dict(enumerate(TEXTS[:6]))
+    rows = list(enumerate(TEXTS[:6]))
     for i in range(6, 40):
         w = [word() for _ in range(rng.randrange(20, 200))]
         if i % 3:
             at, cut = rng.randrange(len(w)), rng.randrange(20)
             w[at:at] = shared[cut : cut + rng.randrange(45, 70)]
-        texts[i] = rng.choice((" ", "\n", "  ")).join(w)
-    texts[40], texts[41], texts[42] = texts[9], "same " * 130, "same " * 80
-    docs = awkward(spark, [texts[i] for i in range(len(texts))])
-    got = {r.doc_id: r.kept for r in substrings.remove_repeats(docs).collect()}
-    assert got == brute_removed(texts)
+        rows.append((i, rng.choice((" ", "\n", "  ")).join(w)))
+    rows += [(40, rows[9][1]), (41, "same " * 130), (42, "same " * 80)]
+    # repeated rows, one id with different texts, null ids, and ids below those they copy
+    rows += [rows[10], rows[10], (10, rows[13][1]), (13, rows[25][1]), (None, rows[14][1]), (None, rows[14][1]), (-5, rows[30][1]), (43, " ".join(shared)), (43, " ".join(shared)), (44, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, part string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs).collect())
+    assert got == brute_removed(rows)
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_sketch_passes_few_windows_in_vain(spark):
+    """At any number of anchors, windows passed but not repeated stay near 1 %."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, i, " ".join(f"{rng.getrandbits(30):x}"[:4] for _ in range(500))) for i in range(2000)], "doc_id long, part long, text string")
+    assert 0 < substrings.candidate_windows(docs, 50, 8, 28).count() < 0.03 * 2000 * 451
+
+
 # benchmark
 
 
