@@ -6,20 +6,22 @@ k-means to what the earlier ones leave.
 Encoding. Every vector is encoded as the sum of one word of each codebook, found by a beam search that keeps BEAM partial
 sums; its codes, the squared norm of its reconstruction and its distance from it are stored with it, chunk by chunk.
 
-Search. Queries go in blocks. A block meets each chunk once: inner products of a query with all words are a table, and the
-distance to a reconstruction is its stored norm less twice the sum of the codes' entries. The `keep` nearest by codes are
-compared exactly, in double precision; their k-th distance bounds the k-th of the chunk from above, and every other vector
-whose distance to its reconstruction does not rule it out (triangle inequality) is compared too. So a chunk gives its true k
-nearest, ties to the smaller id, whatever the table's size and however many vectors are equal; those are merged by rank.
+Search. Queries go in blocks of a bounded size, which every task gets; the stored vectors stay where they are. Inner products
+of a query with all words are a table, and the distance to a reconstruction is its stored norm less twice the sum of the
+codes' entries. A task keeps the k nearest of each query so far. The first vectors of a task are those nearest by codes, compared
+exactly, in double precision; from then on the k-th distance so far is a bound, and every vector whose distance to its
+reconstruction does not rule it out (triangle inequality) is compared exactly too. So a task gives its true k nearest, ties
+to the smaller id, whatever the table's size and however many vectors are equal; those are merged by rank.
 
 Null, zero, and non-finite vectors and those with a null component take no part, and neither do vectors of another length
-than the most common one. With fewer candidates than asked for, all are returned. Ids should be distinct; a repeated id is
-a candidate for each of its rows but its own queries.
+than the most common one. With fewer candidates than asked for, all are returned. A repeated id is a candidate for each of
+its rows, but not for its own query, which is one: the least of its vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, saved, table
+from .common import SHARE, saved, share_limit, table
 
 CODEBOOKS, WORDS, BEAM = 16, 256, 4
-#: Vectors of the training sample, at most about; vectors of a chunk and queries of a block.
-SAMPLE, CHUNK, BLOCK = 10_000, 8_192, 1_024
+#: Vectors of the training sample, at most about; vectors of a chunk; bytes of a block of queries.
+SAMPLE, CHUNK, BLOCK = 10_000, 8_192, 1 << 23
 #: Vectors of a chunk that are compared exactly before the others are ruled out.
 KEEP = 600
 
@@ -112,18 +114,6 @@ def encoded_chunks(vectors: DataFrame, books: np.ndarray) -> DataFrame:
     return vectors.mapInPandas(pack, ", ".join(f"{name} binary" for name in names))
 
 
-def query_blocks(queries: DataFrame, count: int) -> DataFrame:
-    """(block, query_ids, matrix): queries in blocks of about BLOCK rows."""
-    blocks = max(1, -(-count // BLOCK))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf["v"].to_numpy()).astype("<f8")
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "query_ids": [pdf["vec_id"].to_numpy().astype("<i8").tobytes()], "matrix": [m.tobytes()]})
-
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(pack, "block int, query_ids binary, matrix binary")
-
-
 def true_nearest(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and distances of the k nearest of x to q by (distance, row); the sum runs over the components in order."""
     d2 = ((x - q) ** 2).sum(axis=1)
@@ -133,55 +123,72 @@ def true_nearest(x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return near[best], d[best]
 
 
-def scan(pairs: DataFrame, books: np.ndarray, k: int, keep: int) -> DataFrame:
-    """(query_id, vec_id, score): the k nearest of each query in each chunk, found through the codes and exact."""
-    shared = pairs.sparkSession.sparkContext.broadcast(books)
+def search_chunk(q: np.ndarray, own: int, chunk: tuple[np.ndarray, ...], flat: np.ndarray, books: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest to q, as ids and distances, of those in `best` and of a chunk's vectors but those of id `own`."""
+    ids, norms, errors, x = chunk
+    table, square = (books @ q).ravel(), q @ q
+    coded = norms - 2 * table[flat].sum(axis=1) + square
+    coded[ids == own] = np.inf
+    if len(best[0]) == k:
+        limit = best[1][-1]
+    else:
+        first = np.argpartition(coded, keep - 1)[:keep] if len(coded) > keep else np.arange(len(coded))
+        first = first[np.isfinite(coded[first])]
+        limit = true_nearest(x[first], q, k)[1][-1] if len(first) >= k else np.inf
+    slack = 1e-6 * np.sqrt(square + norms)  # far above the rounding of coded
+    rows = np.flatnonzero((np.sqrt(np.maximum(coded, 0)) - errors <= limit + slack) & np.isfinite(coded))
+    if not len(rows):
+        return best
+    near, distance = true_nearest(x[rows], q, k)
+    both, d = np.concatenate([best[0], ids[rows[near]]]), np.concatenate([best[1], distance])
+    order = np.lexsort((both, d))[:k]
+    return both[order], d[order]
+
+
+def scan(chunks: DataFrame, asked: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, keep: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of each query, of ids `asked`, in each task, found through the codes and exact."""
+    shared = chunks.sparkSession.sparkContext.broadcast((asked, queries, books))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        books = shared.value.astype(float)
+        asked, queries, books = shared.value
+        books = books.astype(float)
         m, words, d = books.shape
+        best = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(asked)
         for pdf in batches:
-            for ids, codes, norms, errors, vectors, query_ids, matrix in zip(*(pdf[c] for c in ("ids", "codes", "norms", "errors", "vectors", "query_ids", "matrix")), strict=True):
-                ids = np.frombuffer(ids, "<i8")
+            for row in zip(*(pdf[c] for c in ("ids", "codes", "norms", "errors", "vectors")), strict=True):
+                ids, codes, norms, errors, x = map(np.frombuffer, row, ("<i8", "u1", "<f8", "<f8", "<f8"))
                 order = np.argsort(ids, kind="stable")  # ids rise, so ties keep the smaller
-                ids, codes, norms, errors, x = ids[order], np.frombuffer(codes, "u1").reshape(-1, m)[order], np.frombuffer(norms, "<f8")[order], np.frombuffer(errors, "<f8")[order], np.frombuffer(vectors, "<f8").reshape(-1, d)[order]
-                asked, queries = np.frombuffer(query_ids, "<i8"), np.frombuffer(matrix, "<f8").reshape(-1, d)
-                flat = codes.astype(np.int32) + np.arange(m, dtype=np.int32) * words
-                found: list[tuple[np.ndarray, ...]] = []
-                for own, q in zip(asked, queries, strict=True):
-                    table = (books @ q).ravel()
-                    square = q @ q
-                    coded = norms - 2 * table[flat].sum(axis=1) + square
-                    coded[ids == own] = np.inf
-                    first = np.argpartition(coded, keep - 1)[:keep] if len(coded) > keep else np.arange(len(coded))
-                    first = first[np.isfinite(coded[first])]
-                    limit = true_nearest(x[first], q, k)[1][-1] if len(first) >= k else np.inf
-                    slack = 1e-6 * np.sqrt(square + norms)  # far above the rounding of coded
-                    rows = np.flatnonzero((np.sqrt(np.maximum(coded, 0)) - errors <= limit + slack) & np.isfinite(coded))
-                    best, distance = true_nearest(x[rows], q, k)
-                    found.append((np.full(len(best), own), ids[rows[best]], distance))
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    return pairs.mapInPandas(score, "query_id long, vec_id long, score double")
+                chunk = ids[order], norms[order], errors[order], x.reshape(-1, d)[order]
+                flat = codes.reshape(-1, m)[order].astype(np.int32) + np.arange(m, dtype=np.int32) * words
+                best = [search_chunk(q, own, chunk, flat, books, b, k, keep) for own, q, b in zip(asked, queries, best, strict=True)]
+        if sum(len(b[0]) for b in best):
+            sizes = [len(b[0]) for b in best]
+            yield pd.DataFrame({"query_id": np.repeat(asked, sizes), "vec_id": np.concatenate([b[0] for b in best]), "score": np.concatenate([b[1] for b in best])})
+
+    return chunks.mapInPandas(score, "query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, keep: int = KEEP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of vectors (vec_id, v) to each of queries (vec_id, v)."""
     spark = vectors.sparkSession
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n = vectors.count()
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = int(1_000_003 * min(1.0, SAMPLE / n))
-    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) <= share).orderBy("vec_id").toPandas()
+        return none
+    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(SHARE)) < share_limit(SAMPLE, n)).orderBy("vec_id").toPandas()
     sample = sample if len(sample) else vectors.limit(SAMPLE).toPandas()
     books = train(np.stack(sample["v"].to_numpy()))
     chunks = saved(encoded_chunks(vectors, books))
-    count = queries.count()
-    blocks = saved(query_blocks(queries, count))
-    numbers = F.sequence(F.lit(0), F.lit(max(1, -(-count // BLOCK)) - 1))
-    pairs = chunks.withColumn("block", F.explode(numbers)).join(blocks, "block")
-    ranked = scan(pairs, books, k, keep).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
-    return cut(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    asked = saved(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
+    blocks = -(-asked.count() * books.shape[2] * 8 // BLOCK)
+    found = []
+    for block in range(blocks):  # each is of a bounded size, whatever the number of queries
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toPandas()
+        if len(part):
+            near = scan(chunks, part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy()), books, k, keep)
+            ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
+            found.append(saved(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")))
+    return reduce(DataFrame.unionByName, found, none)
 
 
 def query(spark, sf_dir):
