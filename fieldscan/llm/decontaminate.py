@@ -6,9 +6,9 @@ word: a document without that word cannot hold the window. Each place of such a
 the words around it; the join is on the word, bounds on the position drop candidates that would start before the
 document or end after it, and the words are then compared one by one.
 
-Null and empty texts have no words, no hits and no items. Repeated documents are judged row by row; repeated items count
-by item_id. Items without words match nothing. Other columns are kept by flag_contaminated and clash with nothing: names
-of its own start with an underscore.
+Null and empty texts have no words, no hits and no items. Documents are judged row by row, also those that repeat an id or
+have none; repeated items count by item_id. Items without words match nothing. flag_contaminated keeps other columns and
+replaces `_n_hit` and `_items`.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, fold_ascii, small, table
+from .common import BROADCAST_ROWS, cut, fold_ascii, table
 
 #: ASCII characters that part words, once A-Z are folded.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Of so many distinct prefix words at most, each task gets a copy; beyond, words are joined by a shuffle.
-PREFIX_WORDS = 200_000
+#: A table goes to every task up to so many bytes of text and BROADCAST_ROWS rows; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 32_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -35,20 +35,16 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("window")).distinct()
 
 
-def _places(docs: DataFrame, keys: DataFrame, n_keys: int, of: Column) -> DataFrame:
-    """docs with `_place`: one row for each word of docs that is a key, as of(position from 0, word)."""
-    if n_keys <= PREFIX_WORDS:
-        wanted = [r[0] for r in keys.collect()]
-        index = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_words", i).isin(wanted))
-        return docs.where(F.size("_words") > 0).withColumn("_place", F.explode(F.transform(index, of)))
-    places = docs.select("*", F.posexplode("_words").alias("_pos", "_word")).join(keys.select(F.col("word").alias("_word")), "_word", "left_semi")
-    return places.withColumn("_place", of(F.col("_pos"))).drop("_pos", "_word")
+def held(df: DataFrame, text: Column) -> DataFrame:
+    """df with a broadcast hint when its counted rows and bytes of text are within the limits."""
+    n, n_bytes = df.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (n_bytes or 0) <= BROADCAST_BYTES else df
 
 
-def word_counts(docs: DataFrame, vocabulary: DataFrame, n: int) -> DataFrame:
+def word_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, count) over all documents for the words of the vocabulary."""
-    places = _places(docs.select(words_of(F.col("text")).alias("_words")), vocabulary, n, lambda i: F.get("_words", i))
-    return places.groupBy(F.col("_place").alias("word")).count()
+    words = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
+    return words.join(held(vocabulary, F.col("word")), "word", "left_semi").groupBy("word").count()
 
 
 def prefixes(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
@@ -59,51 +55,51 @@ def prefixes(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     """
     windows = item_windows(benchmark, size).withColumn("length", F.size("window"))
     vocabulary = cut(windows.select(F.explode("window").alias("word")).distinct())
-    n = vocabulary.count()
-    counts = word_counts(docs, vocabulary, n)
-    ranked = windows.select("item_id", "window", "length", F.posexplode("window").alias("offset", "word")).join(small(counts, n), "word", "left")
+    counts = cut(word_counts(docs, vocabulary))
+    ranked = windows.select("item_id", "window", "length", F.posexplode("window").alias("offset", "word")).join(held(counts, F.col("word")), "word", "left")
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word", "offset")).alias("first")
     return ranked.groupBy("item_id", "window", "length").agg(rarest).where("first.count > 0").select("item_id", "window", "length", F.col("first.word").alias("key"), F.col("first.offset").alias("offset"))
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """(doc_id, item_id, start, length): each occurrence of an item's window, start counted in words from 0."""
+    """(doc_id, part, item_id, start, length): each occurrence of an item's window, start counted in words from 0; part, a
+    hash of the text, tells apart rows of one id."""
     keyed = cut(prefixes(docs, benchmark, size))
-    keys = keyed.select(F.col("key").alias("word")).distinct()
-    n, n_keys = keyed.count(), keys.count()
-    words = docs.select("doc_id", words_of(F.col("text")).alias("_words"))
-
-    def around(i: Column) -> Column:
-        first = F.greatest(i - (size - 1), F.lit(0))
-        return F.struct(i.alias("pos"), (i - first).alias("before"), F.get("_words", i).alias("key"), F.slice("_words", first + 1, i - first + size).alias("near"))
-
-    found = _places(words, keys, n_keys, around).select("doc_id", "_place.*")
-    joined = found.join(small(keyed, n, BROADCAST_ROWS // 10), "key")
+    keys = held(cut(keyed.select("key").distinct()), F.col("key"))
+    words = docs.select("doc_id", F.xxhash64("text").alias("part"), words_of(F.col("text")).alias("words"))
+    places = words.select("*", F.posexplode("words").alias("pos", "key")).join(keys, "key", "left_semi")
+    first = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+    found = places.select("doc_id", "part", "pos", "key", (F.col("pos") - first).alias("before"), F.slice("words", first + 1, F.col("pos") - first + size).alias("near"))
+    joined = found.join(held(keyed, F.array_join("window", " ")), "key")
     begins = F.col("before") - F.col("offset")
     bounded = joined.where((begins >= 0) & (begins + F.col("length") <= F.size("near")))
     same = bounded.where(F.slice("near", begins + 1, F.col("length")) == F.col("window"))
-    return same.select("doc_id", "item_id", (F.col("pos") - F.col("offset")).cast("long").alias("start"), F.col("length").cast("long").alias("length"))
+    return same.select("doc_id", "part", "item_id", (F.col("pos") - F.col("offset")).cast("long").alias("start"), F.col("length").cast("long").alias("length"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """(doc_id, n_hit, items) for documents with a hit: words inside any occurrence, and the sorted ids of the items.
+    """(doc_id, part, n_hit, items) for documents with a hit: words inside any occurrence, and the sorted ids of the items.
 
     Hits of a word are made distinct per document and place before they are counted, so a passage that many items share,
     or a document that repeats one, adds partial sums and no large group.
     """
-    hits = cut(occurrences(docs, benchmark, size))
-    places = hits.select("doc_id", "start", "length").distinct().select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("word")).distinct()
-    n_hit = places.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    items = hits.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    return n_hit.join(items, "doc_id")
+    hits = cut(occurrences(docs, benchmark, size).distinct())
+    covered = hits.select("doc_id", "part", "start", "length").distinct().select("doc_id", "part", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("word")).distinct()
+    n_hit = covered.groupBy("doc_id", "part").agg(F.count("*").alias("n_hit"))
+    items = hits.select("doc_id", "part", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id", "part").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    same = n_hit["doc_id"].eqNullSafe(items["doc_id"]) & (n_hit["part"] == items["part"])
+    return n_hit.join(items, same).select(n_hit["doc_id"], n_hit["part"], "n_hit", "items")
 
 
 def flag_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """docs with `_n_hit` (0 where none) and `_items` (empty where none)."""
-    found = contamination(docs, benchmark, size).withColumnsRenamed({"n_hit": "_n_hit", "items": "_items"})
-    n = (found := cut(found)).count()
-    out = docs.join(small(found, n, BROADCAST_ROWS // 10), "doc_id", "left")
-    return out.withColumns({"_n_hit": F.coalesce("_n_hit", F.lit(0).cast("long")), "_items": F.coalesce("_items", F.array().cast("array<string>"))})
+    rest = docs.drop("_n_hit", "_items")
+    found = cut(contamination(docs, benchmark, size).select(F.col("doc_id").alias("hit_id"), F.col("part").alias("hit_part"), "n_hit", "items"))
+    found = held(found, F.array_join("items", ","))
+    same = rest["doc_id"].eqNullSafe(found["hit_id"]) & (F.xxhash64(rest["text"]) == found["hit_part"])
+    n_hit = F.coalesce(found["n_hit"], F.lit(0).cast("long")).alias("_n_hit")
+    items = F.coalesce(found["items"], F.array().cast("array<string>")).alias("_items")
+    return rest.join(found, same, "left").select(*(rest[c] for c in rest.columns), n_hit, items)
 
 
 def query(spark, sf_dir):

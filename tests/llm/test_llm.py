@@ -258,7 +258,9 @@ def test_sketch_passes_few_windows_in_vain(spark):
 # benchmark
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("most", [1_000_000, -1])
+def test_decontamination_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
     rng = random.Random(7)
     word = lambda: rng.choice("abcdefgh") + rng.choice("äxyz")
     items = {"i1": [word() for _ in range(14)], "i2": [word() for _ in range(10)], "i3": ["Ab", "cD"], "i4": [], "i5": [word() for _ in range(14)]}
@@ -272,8 +274,14 @@ def test_decontamination_against_brute_force(spark):
         texts.append(rng.choice(" .\n").join(w).upper() if k % 5 == 0 else "-".join(w))
     bench = spark.createDataFrame([*[(i, " ".join(w)) for i, w in items.items()], ("i7", None)], "item_id string, text string")
     fold = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(simhash.FOLD)) if w]
-    for r in decontaminate.flag_contaminated(awkward(spark, texts), bench).collect():
-        w, hit, found = fold(texts[r.doc_id]), set(), set()
+    rows = [(i, t, "clash", 5) for i, t in enumerate(texts)]
+    rows += [(7, " ".join(items["i3"]), "other text", 5), rows[10], rows[10], (None, "x " + " ".join(items["i2"]), "no id", 5), (None, None, "no id", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, _n_hit int")
+    judged = decontaminate.flag_contaminated(docs, bench).collect()
+    assert len(judged) == len(rows) and sum(r["_n_hit"] == 10 and r.item_id == "no id" for r in judged) == 1
+    assert sorted(r.text or "" for r in judged) == sorted(t or "" for _, t, _, _ in rows)
+    for r in judged:
+        w, hit, found = fold(r.text), set(), set()
         for i, own in items.items():
             own = fold(" ".join(own))
             for win in [own[k : k + 10] for k in range(max(1, len(own) - 9))] if own else []:
