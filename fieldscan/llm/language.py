@@ -3,40 +3,48 @@
 Words are lower-cased runs of letters, padded on both sides; a model gives the probability of each character after up to
 three before it, inside the padded word. The counts of all 4-character runs per language come from every learning row:
 each task counts its distinct words once and sums partial counts before the shuffle. Lower orders are continuation
-counts of the order above. For each order the models of all languages share one array of sorted 64-bit hashes with a
-matrix of discounted probabilities, and one of contexts with a matrix of back-off weights, which a binary search reads.
+counts of the order above, and back-off weights what discounts leave; all are Spark aggregations over all runs. Runs
+with less than LEAST of an order's count in their language are left to the order below, so a model has at most 1 / LEAST
+runs of an order whatever the table's size, and still sums to one. For each order the models of all languages share one
+array of sorted 64-bit hashes, with the (language, probability) entries of each hash in a row, which a binary search reads.
 
-A text goes to the language with the lowest cross-entropy per character. The score is a posterior whose temperature is
-fitted on learning rows, and texts whose cross-entropy is above that of nearly all learning rows of the language are
-marked as rejected.
+A text goes to the language with the lowest cross-entropy per character. The score is a posterior; its temperature, and
+the cross-entropy above which a text is marked as rejected, are fitted on a tenth of the learning rows by a model of the
+other nine tenths.
 
 Null texts and texts without a letter are `und` with score 0, and rejected. Ties go to the language that sorts first.
-Without a learning row every text is `und`. Repeated rows count as often as they occur.
+Without a learning row every text is `und`. Repeated rows count as often as they occur. identify keeps other columns and
+replaces lang_pred, score and rejected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, table
+from .common import SHARE, cut, held_out, share_limit, table
 
 ORDER = 4
 LETTERS = regex.compile(r"\p{L}+")
 PAD_LEFT, PAD_RIGHT = "\x02" * (ORDER - 1), "\x03"
-#: 4-character runs kept for each language, the most frequent: the bound on the model's size.
-RUNS = 150_000
+#: Share of an order's count in a language below which a run is left to lower orders.
+LEAST = 2.0**-20
+DISCOUNT = 0.75
+#: Characters beyond which a text is no surer.
+LENGTH = 200
 #: Characters over which the lowest order's back-off is spread evenly.
 CHARACTERS = 1_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Rows of the calibration sample.
-CALIBRATION = 4_000
+#: Distinct texts of the calibration sample, about, out of one in FOLDS of the learning rows.
+CALIBRATION, FOLDS = 4_000, 10
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -66,13 +74,13 @@ def many_runs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_counts(docs: DataFrame) -> DataFrame:
-    """(lang, run, n) over all rows of docs (lang, text)."""
+    """(fold, lang, run, n) over all rows of docs (fold, lang, text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, dict[str, int]] = {}
+        held: dict[tuple[bool, str], dict[str, int]] = {}
 
         def flush() -> Iterator[pd.DataFrame]:
-            for lang, seen in held.items():
+            for (fold, lang), seen in held.items():
                 words = list(seen)
                 if not words:
                     continue
@@ -80,29 +88,56 @@ def run_counts(docs: DataFrame) -> DataFrame:
                 weights = np.repeat(np.fromiter(seen.values(), dtype=np.int64), [len(w) + 1 for w in words])
                 text = np.ascontiguousarray(runs).view(f"<U{ORDER}").ravel()
                 which, total = np.unique(text, return_inverse=True)
-                yield pd.DataFrame({"lang": lang, "run": which, "n": np.bincount(total, weights=weights).astype(np.int64)})
+                yield pd.DataFrame({"fold": fold, "lang": lang, "run": which, "n": np.bincount(total, weights=weights).astype(np.int64)})
             held.clear()
 
         for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                seen = held.setdefault(lang, {})
+            for fold, lang, text in zip(pdf["fold"], pdf["lang"], pdf["text"], strict=True):
+                seen = held.setdefault((fold, lang), {})
                 for w in letter_words(text):
                     seen[w] = seen.get(w, 0) + 1
             if sum(map(len, held.values())) > 200_000:
                 yield from flush()
         yield from flush()
 
-    partial = docs.select("lang", "text").mapInPandas(count, "lang string, run string, n long")
-    return partial.groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    partial = docs.select("fold", "lang", "text").mapInPandas(count, "fold boolean, lang string, run string, n long")
+    return partial.groupBy("fold", "lang", "run").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Table:
+    """Sorted hashes; entries starts[k] to starts[k + 1] of `lang` and `value` belong to hash k."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, lang: np.ndarray, value: np.ndarray) -> Table:
+        order = np.lexsort((lang, hashes))
+        keys, starts = np.unique(hashes[order], return_index=True)
+        return cls(keys, np.append(starts, len(hashes)), lang[order].astype(np.int32), value[order].astype(np.float32))
+
+    def look_up(self, wanted: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Writes the values of the wanted hashes into the rows of out (n, languages), which keeps its own elsewhere."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            rows = np.flatnonzero(self.keys[at] == wanted)
+            first, last = self.starts[at[rows]], self.starts[at[rows] + 1]
+            n = last - first
+            entry = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+            out[np.repeat(rows, n), self.lang[entry]] = self.value[entry]
+        return out
 
 
 @dataclass
 class Model:
     languages: list[str]
-    #: For each order 1..ORDER: sorted hashes of the runs and (n, languages) discounted probabilities.
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    #: For each order 2..ORDER: sorted hashes of the contexts and (n, languages) back-off weights.
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    #: For each order 1..ORDER: discounted probabilities of the runs.
+    grams: list[Table]
+    #: For each order 2..ORDER: back-off weights of the contexts, 1 for any other.
+    contexts: list[Table]
     #: Back-off weight of each language's order 1, spread evenly over CHARACTERS.
     floor: np.ndarray
     temperature: float = 1.0
@@ -110,11 +145,12 @@ class Model:
 
     def probability(self, runs: np.ndarray) -> np.ndarray:
         """(n, languages) probability of the last character of each run after the others."""
-        p = np.full((len(runs), len(self.languages)), 1.0 / CHARACTERS)
+        shape = len(runs), len(self.languages)
+        p = np.full(shape, 1.0 / CHARACTERS)
         for order in range(1, ORDER + 1):
             tail = runs[:, ORDER - order :]
-            p *= look_up(*self.contexts[order - 2], hash_runs(tail[:, :-1]), 1.0) if order > 1 else self.floor
-            p += look_up(*self.grams[order - 1], hash_runs(tail), 0.0)
+            p *= self.contexts[order - 2].look_up(hash_runs(tail[:, :-1]), np.ones(shape)) if order > 1 else self.floor
+            p += self.grams[order - 1].look_up(hash_runs(tail), np.zeros(shape))
         return p
 
     def entropy(self, words: list[str]) -> np.ndarray:
@@ -125,76 +161,83 @@ class Model:
         return np.add.reduceat(-np.log2(self.probability(runs)), starts, axis=0)
 
 
-def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full((len(wanted), values.shape[1]), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where((keys[at] == wanted)[:, None], values[at], missing)
+def hash_of(runs: str) -> Column:
+    """hash_runs of strings of one length."""
 
+    @F.pandas_udf("long")
+    def of(runs: pd.Series) -> pd.Series:
+        points = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return pd.Series(hash_runs(points.reshape(len(runs), -1)).view(np.int64) if len(runs) else np.zeros(0, dtype=np.int64))
 
-def _matrix(hashes: np.ndarray, lang: np.ndarray, value: np.ndarray, n: int, fill: float) -> tuple[np.ndarray, np.ndarray]:
-    keys, row = np.unique(hashes, return_inverse=True)
-    out = np.full((len(keys), n), fill)
-    out[row, lang] = value
-    return keys, out
+    return of(runs)
 
 
-def kneser_ney(counts: pd.DataFrame, discount: float = 0.75) -> Model:
-    """The models from (lang, run, n). Each lower order counts the distinct characters before its runs."""
-    languages = sorted(counts["lang"].unique())
-    lang = np.searchsorted(languages, counts["lang"].to_numpy().astype(str))
-    codes = np.array([np.frombuffer(r.encode("utf-32-le", "surrogatepass"), dtype="<u4") for r in counts["run"]]).reshape(-1, ORDER)
-    n = counts["n"].to_numpy().astype(float)
-    grams, contexts = [], []
+def kneser_ney(counts: DataFrame, least: float = LEAST) -> Model:
+    """The models from (lang, run, n), all computed over all runs; the driver gets hashes and numbers of the runs kept."""
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    number = {name: k for k, name in enumerate(languages)}
+    grams, contexts, floor = [], [], np.ones(len(languages))
+    level = counts
     for order in range(ORDER, 0, -1):
-        h = hash_runs(codes)
-        own, row = np.unique(np.stack([lang.astype(np.uint64), h]), axis=1, return_inverse=True)
-        if order == ORDER:
-            first = np.arange(len(h))
-        else:  # rows here are distinct longer runs: their number is the continuation count
-            first = np.unique(row, return_index=True)[1]
-            n = np.bincount(row.ravel()).astype(float)
-            lang, codes, h = lang[first], codes[first], h[first]
-        context = hash_runs(codes[:, :-1]) if order > 1 else np.zeros(len(h), dtype=np.uint64)
-        pair, group = np.unique(np.stack([lang.astype(np.uint64), context]), axis=1, return_inverse=True)
-        group = group.ravel()
-        total, kinds = np.bincount(group, weights=n), np.bincount(group)
-        grams.insert(0, _matrix(h, lang, np.maximum(n - discount, 0) / total[group], len(languages), 0.0))
+        own = W.partitionBy("lang", "context")
+        placed = level.withColumn("context", F.substring("run", 1, order - 1))
+        share = F.col("n") / F.sum("n").over(W.partitionBy("lang"))
+        p = placed.select("lang", "run", "context", ((F.col("n") - DISCOUNT) / F.sum("n").over(own)).alias("p"), share.alias("share")).where(F.col("share") >= least)
+        kept = cut(p.select("lang", "context", "p", hash_of("run").alias("h")))
+        got = kept.select("lang", "h", "p").toPandas()
+        grams.insert(0, Table.of(got["h"].to_numpy().view(np.uint64), got["lang"].map(number).to_numpy(dtype=np.int32), got["p"].to_numpy()))
+        left = kept.groupBy("lang", "context").agg((1 - F.sum("p")).alias("left"))
         if order > 1:
-            contexts.insert(0, _matrix(pair[1], pair[0].astype(np.int64), discount * kinds / total, len(languages), 1.0))
+            got = left.select("lang", "left", hash_of("context").alias("h")).toPandas()
+            contexts.insert(0, Table.of(got["h"].to_numpy().view(np.uint64), got["lang"].map(number).to_numpy(dtype=np.int32), got["left"].to_numpy()))
+            level = cut(level.groupBy("lang", F.substring("run", 2, order - 1).alias("run")).agg(F.count("*").alias("n")))
         else:
-            floor = np.ones(len(languages))
-            floor[pair[0].astype(np.int64)] = discount * kinds / total
-        codes = codes[:, 1:]
+            for r in left.collect():
+                floor[number[r["lang"]]] = r["left"]
     return Model(languages, grams, contexts, floor)
 
 
-def train(docs: DataFrame, runs: int = RUNS, calibration: int = CALIBRATION) -> Model:
-    """Models of docs (lang, text) with non-null lang, temperature and rejection limits fitted on at most about
-    `calibration` rows chosen by a hash of their text. The driver gets the `runs` most frequent runs of each language."""
-    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+def train(docs: DataFrame, calibration: int = CALIBRATION) -> Model:
+    """Models of docs (lang, text) with non-null lang. Temperature and rejection limits are fitted on about `calibration`
+    distinct texts at most of one fold, by a model of the others; the driver gets their entropies alone."""
+    text_hash = F.xxhash64("text")
+    fold = F.pmod(text_hash, F.lit(FOLDS)) == 0
+    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", fold.alias("fold"))
     counts = cut(run_counts(docs))
-    got = frequent(counts, runs)
-    if got.empty:
+    if counts.isEmpty():
         return Model([], [], [], np.zeros(0))
-    model = kneser_ney(got)
-    share = min(1.0, calibration / max(docs.count(), 1))
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) <= int(1_000_003 * share)).toPandas()
-    rows = [(model.languages.index(a), h / max(c, 1), c) for a, (h, c) in zip(sample["lang"], map(lambda t: text_entropy(model, t), sample["text"]), strict=True) if c]
+    model = kneser_ney(cut(counts.groupBy("lang", "run").agg(F.sum("n").alias("n"))))
+    others = kneser_ney(counts.where("NOT fold").select("lang", "run", "n"))
+    apart = docs.where("fold").select("lang", "text", text_hash.alias("h"))
+    n = apart.agg(F.approx_count_distinct("h")).first()[0]
+    shared = docs.sparkSession.sparkContext.broadcast(others)
+
+    @F.pandas_udf("array<double>")
+    def entropies(texts: pd.Series) -> pd.Series:
+        found = [text_entropy(shared.value, t) for t in texts]
+        return pd.Series([[float(c), *(h / max(c, 1))] for h, c in found])
+
+    chosen = apart.where(F.pmod(F.floor(F.col("h") / FOLDS), F.lit(SHARE)) < share_limit(calibration, n)).where(F.col("lang").isin(others.languages))
+    rows = chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", entropies("text").alias("x")).collect() if others.languages else []
+    rows = [r for r in sorted(rows, key=lambda r: (r["lang"], r["h"])) if r["x"][0]]
     if rows:
-        true, h = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
-        c = np.minimum(np.array([r[2] for r in rows]), 200)[:, None]
-        fits = {t: -np.log(softmax(-h * c * t)[np.arange(len(true)), true] + 1e-9).mean() for t in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)}
-        model.temperature = min(fits, key=fits.get)
-        model.limits = np.array([np.quantile(h[true == k, k], 0.999) * 1.1 if (true == k).any() else np.inf for k in range(len(model.languages))])
+        true = np.array([others.languages.index(r["lang"]) for r in rows])
+        x = np.array([r["x"] for r in rows])
+        model.temperature = fit_temperature(x[:, 1:] * np.minimum(x[:, :1], LENGTH), true)
+        own = x[np.arange(len(x)), true + 1]
+        limit = {others.languages[k]: float(np.quantile(own[true == k], 0.999)) for k in set(true.tolist())}
+        model.limits = np.array([limit.get(name, np.inf) for name in model.languages])
     return model
 
 
-def frequent(counts: DataFrame, runs: int) -> pd.DataFrame:
-    """The most frequent runs of each language: those above the count that leaves about `runs` of them."""
-    cuts = counts.groupBy("lang").agg(F.count("*").alias("kinds"), F.percentile_approx("n", [q / 1000 for q in range(1, 1000)], 10_000).alias("q"))
-    limit = F.when(F.col("kinds") <= runs, F.lit(0)).otherwise(F.get("q", F.least(F.lit(998), (1000 * (1 - F.lit(runs) / F.col("kinds"))).cast("int"))))
-    return counts.join(F.broadcast(cuts.select("lang", limit.alias("least"))), "lang").where("n > least").select("lang", "run", "n").toPandas()
+def fit_temperature(bits: np.ndarray, true: np.ndarray) -> float:
+    """The factor of -bits under which a softmax makes the true columns likeliest, to a thousandth of its logarithm."""
+    low, high = math.log(1e-4), math.log(2.0)
+    loss = lambda t: -np.log(softmax(-bits * math.exp(t))[np.arange(len(true)), true] + 1e-9).mean()
+    while high - low > 1e-3:
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    return math.exp((low + high) / 2)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -222,15 +265,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf(schema)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
+        most = 1_200_000 // max(4, len(model.languages))
         cache: dict[str, int] = {}
         table_ = np.zeros((0, len(model.languages)))
         for texts in batches:
             split = [letter_words(t) if model.languages else [] for t in texts]
-            if len(cache) > 300_000:
+            if len(cache) > most:
                 cache, table_ = {}, table_[:0]
             new = list({w for ws in split for w in ws if w not in cache})
-            for at in range(0, len(new), 50_000):
-                part = new[at : at + 50_000]
+            for at in range(0, len(new), most // 6):
+                part = new[at : at + most // 6]
                 cache.update(zip(part, range(len(table_), len(table_) + len(part)), strict=True))
                 table_ = np.concatenate([table_, model.entropy(part)])
             out = []
@@ -241,11 +285,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 n = sum(map(len, ws)) + len(ws)
                 h = table_[np.fromiter(map(cache.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(axis=0) / n
                 k = int(np.argmin(h))
-                p = softmax(-h * min(n, 200) * model.temperature)
+                p = softmax(-h * min(n, LENGTH) * model.temperature)
                 out.append((model.languages[k], float(p[k]), bool(model.limits is not None and h[k] > model.limits[k])))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
-    return docs.select("*", predict("text").alias("_p")).select(*docs.columns, "_p.*")
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    both = docs.select(F.struct(*rest).alias("row"), predict("text").alias("found"))
+    return both.select("row.*", "found.*")
 
 
 def query(spark, sf_dir):

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldscan.llm import decontaminate, html, language, nearest, packing, queries, quality, secrets, simhash, substrings, toxicity
 
@@ -367,18 +368,53 @@ def test_language(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in judged) / len(judged) > 0.98
 
 
-def test_kneser_ney_sums_to_one():
-    import pandas as pd
+def plain_kneser_ney(words, discount=0.75):
+    """P(character | up to three before it) of padded words, from the definition."""
+    from collections import Counter
 
-    words = ["abab", "abba", "b"]
-    runs = [w for x in words for w in ["".join(map(chr, r)) for r in language.many_runs([x])[0]]]
-    counts = pd.Series(runs).value_counts().rename_axis("run").reset_index(name="n").assign(lang="en")
+    padded = ["\x02" * 3 + w + "\x03" for w in words]
+    level = Counter(w[i : i + 4] for w in padded for i in range(len(w) - 3))
+    orders = [level]
+    for _ in range(3):
+        level = Counter(r[1:] for r in level)
+        orders.insert(0, level)
+
+    def p(context, c):
+        out = 1 / language.CHARACTERS
+        for order in range(1, 5):
+            own = {r: n for r, n in orders[order - 1].items() if r[:-1] == context[4 - order :]}
+            total = sum(own.values())
+            if total:
+                out = max(own.get(context[4 - order :] + c, 0) - discount, 0) / total + discount * len(own) / total * out
+        return out
+
+    return p
+
+
+def test_kneser_ney_is_that_of_the_definition(spark):
+    rng = random.Random(13)
+    docs = {"en": ["".join(rng.choices("abcde", [5, 3, 2, 1, 1], k=rng.randrange(1, 7))) for _ in range(120)], "fr": ["".join(rng.choices("abéfg", k=rng.randrange(1, 6))) for _ in range(60)]}
+    rows = spark.createDataFrame([(False, k, " ".join(v[i::3])) for k, v in docs.items() for i in range(3)], "fold boolean, lang string, text string")
+    counts = language.run_counts(rows).select("lang", "run", "n")
     model = language.kneser_ney(counts)
-    symbols = ["a", "b", language.PAD_RIGHT]
-    for context in ("aba", "\x02\x02a", "bbb"):
-        points = np.array([[ord(c) for c in context + s] for s in [*symbols, "z"]], dtype="<u4")
-        p = model.probability(points).ravel()
-        assert p[:3].sum() + p[3] * (language.CHARACTERS - 3) == pytest.approx(1.0)
+    pruned = language.kneser_ney(counts, least=0.01)
+    symbols = [*"abcdeéfgz", language.PAD_RIGHT]
+    for k, name in enumerate(model.languages):
+        plain = plain_kneser_ney(docs[name])
+        for context in ("\x02\x02\x02", "\x02\x02a", "aba", "bcd", "ééé", "zzz"):
+            points = np.array([[ord(c) for c in context + s] for s in symbols], dtype="<u4")
+            p = model.probability(points)[:, k]
+            assert p == pytest.approx([plain(context, s) for s in symbols], rel=1e-5)
+            for q in (p, pruned.probability(points)[:, k]):
+                assert sum(q) - q[8] + q[8] * (language.CHARACTERS - 9) == pytest.approx(1.0, rel=1e-5)
+
+
+def test_language_of_awkward_rows(spark):
+    rows = [(i, f"the words {w} of this text", "en") for i, w in enumerate("abcdefgh")] + [(i + 8, f"les mots {w} de ce texte", "fr") for i, w in enumerate("abcdefgh")] + [(20, "x", None), (21, None, "de"), (22, "12 34", "en")]
+    docs = spark.createDataFrame(rows, "score long, text string, lang string").withColumn("doc_id", F.col("score"))
+    got = {r.doc_id: r for r in language.identify(docs, language.train(docs)).collect()}
+    assert len(got) == len(rows) and all(got[i].lang_pred == ("en" if i < 8 else "fr") and 0 < got[i].score <= 1 for i in range(16))
+    assert all((got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True) for i in (21, 22))
 
 
 # search, pages
