@@ -7,16 +7,18 @@ lines, so they have no text to distribute. The length of a line counts without i
 `width` lines are the distribution: a surge is a window that rises from nothing, or past `surge`, and a dive is where
 `width` lines in a row have nothing; the text between a surge and its dive is a candidate. With an article or main
 element the lines outside it have no length. The candidate with the most text is kept, and with it all others inside the
-same article element.
+same article element. A page is read once from its beginning to its end, whatever its tags.
 
 Null and empty pages, and pages without a candidate, give the empty text. Nothing is capped. Each row is read alone, so
-repeats and ties of rows do not matter; of two candidates with equal text the first is kept. Extra columns stay.
+repeats and ties of rows do not matter; of two candidates with equal text the first is kept. Extra columns stay, but for one
+named `text`, which is replaced.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,7 +44,9 @@ NAMES = frozenset(
     "social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A tag ends at >, before the next < or with the page, so that no place is read twice; quoted values may hold both signs.
+QUOTED = r"""\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]{0,500}\"|'[^']{0,500}'"""
+TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|{QUOTED}|[\"'])*+)>?""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -68,6 +72,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements with the mark of those apart
+    opened: Counter[str] = Counter()  # how many of each name the stack holds
     off = links = article = articles = 0
     open_articles: list[int] = []
 
@@ -82,6 +87,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         nonlocal off, links, article
         while stack:
             top, was_off = stack.pop()
+            opened[top] -= 1
             off -= was_off
             links -= top == "a"
             if top in ("article", "main") and open_articles:
@@ -105,7 +111,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if name in BLOCKS:
             end_line()
         if m[1]:
-            if any(top == name for top, _ in stack):
+            if opened[name]:
                 close(name)
             continue
         if name == "p" and stack and any(top == "p" for top, _ in stack[-3:]):
@@ -120,6 +126,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             at = stop.end() if stop else end
             continue
         stack.append((name, mark))
+        opened[name] += 1
         off += mark
         links += name == "a"
         if name in ("article", "main") and not off:

@@ -20,6 +20,7 @@ so thousands of copies cost one row in the search.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ GENERATOR = 0b110001110101
 PAIR_LIMIT = 48
 #: near_copies: words of a shingle, bands of least hashes, and hashes of a band.
 SHINGLE, BANDS, ROWS = 5, 30, 5
+#: near_copies: cells in which shingles are counted to order them, and the ratio of sizes within a bucket.
+CELLS, SIZE_STEP = 1 << 20, 1.03
 
 
 def words(text: str) -> list[str]:
@@ -136,7 +139,9 @@ def golay_keys(nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, bits: int = 2) -> DataFrame:
     """(view, a, b), a < b: verified links between distinct fingerprints of one view; within a full key, a star for each
-    common word."""
+    common word. Keys and stars are exact for two bits or fewer, so more are refused."""
+    if bits > 2:
+        raise ValueError("links are exact up to 2 bits")
     keyed = golay_keys(nodes)  # made twice: cheaper than keeping 16 rows for each fingerprint
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = saved(keyed.join(shared, "key"))
@@ -220,31 +225,93 @@ def shingle_keys(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("class"), of("text").alias("k")).select("doc_id", "class", "k.size", "k.keys")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose texts have at least this Jaccard similarity of shingle sets, all compared in full.
-    Sets are made for the texts of the pairs alone."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set): the shingle hashes of the texts whose doc_id is a `node` of wanted; other texts are read and left."""
 
     @F.pandas_udf("array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([shingle_hashes(t).view(np.int64) for t in batch])
 
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = saved(docs.join(small(wanted, wanted.count()), "doc_id", "left_semi").select("doc_id", of("text").alias("set")))
+    named = docs.select(F.col("doc_id").alias("node"), "text").join(small(wanted, wanted.count()), "node", "left_semi")
+    return saved(named.select("node", of("text").alias("set")).distinct())
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sets have at least this Jaccard similarity, all compared in full."""
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return saved(both.where(common / (F.size("set_a") + F.size("set_b") - common) >= similarity).select("a", "b"))
 
 
+def least_common(n: int, m: int, similarity: float) -> int:
+    """Shingles that sets of n and m have in common at least if their Jaccard similarity is this."""
+    return math.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+
+
+def prefix_keys(h: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set's necessary prefixes, and the rank of the shingle of each. Shingles are ranked by their counts, rarest
+    first. For each bucket of sizes that a similar set may have, the prefix is as long as the smallest such size asks for;
+    a key is a shingle with both buckets."""
+    order = np.lexsort((h, counts[(h % np.uint64(len(counts))).astype(np.int64)]))
+    bucket = lambda n: int(math.log(n) / math.log(SIZE_STEP) + 1e-9)
+    n, keys, ranks = len(h), [], []
+    low, high = math.ceil(similarity * n - 1e-9), int(n / similarity + 1e-9)
+    for b in range(bucket(low), bucket(high) + 1):
+        size = max(low, math.ceil(SIZE_STEP**b - 1e-6))
+        first = order[: max(0, n - least_common(n, size, similarity) + 1)]
+        both = np.uint64((min(b, bucket(n)) << 12 | max(b, bucket(n))) * 2 + 1)
+        mixed = (h[first] ^ (h[first] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + both * np.uint64(0xD6E8FEB86659FD93)
+        keys.append(mixed ^ (mixed >> np.uint64(32)))
+        ranks.append(np.arange(len(first)))
+    return np.concatenate(keys).view(np.int64), np.concatenate(ranks)
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (node, size, label) of different labels that may have this Jaccard similarity: an exact
+    prefix-filtered join with bounds on sizes and places. Sets that share only frequent shingles do not meet."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for pdf in batches:
+            for x in pdf["set"]:
+                np.add.at(total, (x.view(np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at, "n": total[at]})
+
+    counts = np.zeros(CELLS, dtype=np.int64)
+    got = sets.select("set").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts[got["cell"].to_numpy(dtype=np.int64)] = got["n"]
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    @F.pandas_udf("keys array<long>, ranks array<int>")
+    def keys_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [prefix_keys(x.view(np.uint64), shared.value, similarity) for x in batch]
+            yield pd.DataFrame({"keys": [k for k, _ in found], "ranks": [r.astype(np.int32) for _, r in found]})
+
+    prefixes = nodes.join(sets, "node").select("node", "size", "label", keys_of("set").alias("k"))
+    rows = saved(prefixes.select("node", "size", "label", F.explode(F.arrays_zip("k.keys", "k.ranks")).alias("k")).select("node", "size", "label", F.col("k.keys").alias("key"), F.col("k.ranks").alias("rank")))
+    shared_keys = saved(rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
+    rows = saved(rows.join(shared_keys, "key", "left_semi"))
+    x, y = rows.alias("x"), rows.alias("y")
+    most = F.least(F.col("x.size") - F.col("x.rank"), F.col("y.size") - F.col("y.rank"))
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & (most >= needed))
+    return saved(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) where near copies are wanted rather than one fixed fingerprint: texts that are equal, or whose
-    sets of five-word shingles have a Jaccard similarity of `similarity` or more, are linked. Ids should be distinct.
-
-    Candidates share one of BANDS keys of ROWS least hashes each: at 0.8 a pair has none in 7 of a million cases. Each is
-    verified on the full sets. A key with many texts is first compared with four of them; then all its pairs that are not in
-    one component by then are compared, but for those within its largest component, so that a group of copies costs
-    rows in proportion to its size and no pair is left out that could join two components. Texts without a word are linked
-    to their equals only.
+    sets of five-word shingles have a Jaccard similarity of `similarity` or more, are linked. Rows that repeat an id count
+    as that id's; rows without an id are left out. An empty table gives none.
+
+    Texts that may be linked share one of BANDS keys of ROWS least hashes each: at 0.8 a pair has none in 7 of a million
+    cases. In each key, all texts are compared in full with one: the one with most company over all its keys, which is
+    close to the text that a group was copied from. Keys whose texts are in one component by then are done. The texts of
+    the others meet in an exact prefix-filtered join, where only texts of different components that share a rare enough
+    shingle are compared. So a group of copies costs rows in proportion to its size, and no pair is left out that could
+    join two components. Texts without a word are linked to their equals only.
     """
     docs = docs.where("doc_id IS NOT NULL")
     prints = saved(shingle_keys(docs))
@@ -252,29 +319,24 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     keyed = classes.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = saved(keyed.join(shared, "key"))
-    fits = lambda x, y: F.least(x["size"], y["size"]) / F.greatest(x["size"], y["size"]) >= similarity  # noqa: E731  (else the sets cannot agree)
-    as_pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
-    own = F.struct("node", "size")
-
-    few = members.where(F.col("n") <= PAIR_LIMIT).groupBy("key").agg(F.collect_list(own).alias("m"))
-    paired = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & fits(x, y)), lambda y: as_pair(x, y))))
-    pairs = few.select(F.explode(paired).alias("p")).select("p.a", "p.b")
-    full = members.where(F.col("n") > PAIR_LIMIT)
-    mixed = F.xxhash64("node")
-    centres = full.groupBy("key").agg(F.array(F.min(own), F.max(own), F.min_by(own, mixed), F.max_by(own, mixed)).alias("centres"))
-    stars = full.join(centres, "key").select(own.alias("x"), F.explode("centres").alias("y")).where(fits(F.col("x"), F.col("y"))).select(as_pair(F.col("x"), F.col("y")).alias("p")).select("p.a", "p.b").where("a < b")
-    edges = alike(saved(pairs.unionByName(stars).distinct()), docs, similarity)
+    scores = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score"))
+    scored = members.join(scores, "node")
+    centres = scored.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("score", -F.col("node"))).alias("centre"))
+    ratio = F.least("size", "centre.size") / F.greatest("size", "centre.size")
+    stars = members.join(centres, "key").where((F.col("node") != F.col("centre.node")) & (ratio >= similarity))
+    pairs = saved(stars.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct())
+    edges = alike(pairs, shingle_sets(docs, saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())), similarity)
     labels = saved(components(edges))
 
-    if not full.isEmpty():
-        placed = saved(full.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")))
-        groups = placed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
-        apart = placed.join(groups, "key").where("label != largest").select("key", F.col("label").alias("own"), own.alias("x"))
-        rest = apart.join(placed.select("key", "label", own.alias("y")), "key").where((F.col("own") != F.col("label")) & fits(F.col("x"), F.col("y")))
-        more = alike(saved(rest.select(as_pair(F.col("x"), F.col("y")).alias("p")).select("p.a", "p.b").distinct()), docs, similarity)
-        labels = saved(components(edges.unionByName(more)))
-    named = prints.select("doc_id", "class").join(classes.select("class", "node"), "class").join(labels, "node", "left")
-    return named.select("doc_id", F.coalesce("label", "node").alias("component_id"))
+    placed = saved(members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")))
+    apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rest = saved(placed.join(apart, "key", "left_semi").select("node", "size", "label").distinct())
+    if not rest.isEmpty():
+        sets = shingle_sets(docs, rest.select("node"))
+        more = alike(prefix_pairs(rest, sets, similarity), sets, similarity)
+        labels = saved(components(saved(edges.unionByName(more))))
+    ids = prints.select("doc_id", "class").join(classes.select("class", "node"), "class").join(labels, "node", "left")
+    return ids.groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("component_id"))
 
 
 def hex16(fp: Column) -> Column:

@@ -157,9 +157,7 @@ def test_near_copies(spark):
     assert {got[i] for i in range(7)} == {0} and all(got[i] == i for i in range(7, 17)) and got[18] == 17
 
 
-@pytest.mark.parametrize("limit", [2, 48])
-def test_near_copies_are_those_of_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(simhash, "PAIR_LIMIT", limit)
+def test_near_copies_are_those_of_brute_force(spark):
     rng, texts = random.Random(11), [None, "", "one two", "ONE  two", "one two three"]
     for _ in range(12):
         base = [f"word{rng.randrange(3000)}" for _ in range(rng.randrange(30, 200))]
@@ -169,6 +167,13 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch, limit):
                 copy[rng.randrange(len(base))] = f"other{rng.randrange(3000)}"
             texts.append(" ".join(copy))
         texts.append(" ".join(rng.sample(base, len(base))))  # the same words in another order
+    base = [f"word{rng.randrange(3000)}" for _ in range(150)]
+    for _ in range(80):  # many copies of one text around the limit, most of them farther from each other than from it
+        copy = list(base)
+        for _ in range(rng.randrange(10)):
+            k = rng.randrange(len(copy))
+            copy[k : k + rng.randrange(2)] = [f"other{rng.randrange(5000)}"] * rng.randrange(2)
+        texts.append(" ".join(copy))
     sets = []
     for t in texts:
         w = (t or "").lower().split()
@@ -201,11 +206,31 @@ def test_markov_model_adds_a_random_string(spark):
     words = ["the internationalization of configurationManager2 and administrationService1 with administration service configuration manager " * 5, 'token = "Zx81QkP0vW72bTgY5LmN" secret: 9fK2mXq7Rw4Tz8Lp']
     docs = awkward(spark, words * 30 + ["see Qw7Zx9Kp2Rt5Vb8Nm3Lj now"])
     last = secrets.scan_secrets(docs).where("doc_id = 60").first()
-    assert [s.kind for s in last.spans] == ["markov"]
+    assert [s.kind for s in last.spans] == ["markov"] and last.label == "clash"
     assert secrets.scan_secrets(docs).where("doc_id = 0").first().spans == []
     assert secrets.redact(secrets.scan_secrets(docs)).where("doc_id = 60").first().text == "see [secret] now"
 
 
+def test_markov_spans_on_held_out_strings(spark):
+    """Random strings without a rule's context are found; words, numbers, paths and identifiers are left alone."""
+    import string
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secrets.train_models(docs)
+    rng = random.Random(15)
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"]
+    found = {n: 0 for n in (16, 24, 32)}
+    rows = [(n, k, "see " + "".join(rng.choices(kinds[k], k=n)) + " now") for n in found for k in range(4) for _ in range(50)]
+    for r in secrets.scan_secrets(spark.createDataFrame(rows, "n int, kind int, text string"), model=model).collect():
+        found[r.n] += any(s.kind != "hex" for s in r.spans)
+    assert found[16] >= 180 and found[24] >= 190 and found[32] >= 195
+    plain = ["the thing 2024-01-15 123456789012 and 00000000000000", "/the/thand/anonthing/from", "the_thing_and_the_other"]
+    assert all(not r.spans for r in secrets.scan_secrets(spark.createDataFrame([(t,) for t in plain], "text string"), model=model).collect())
+    spans = secrets.scan_secrets(docs, model=model).select(F.explode("spans").alias("s")).where("s.kind = 'markov'").count()
+    words = docs.select(F.sum(F.size(F.split("text", " ")))).first()[0]
+    assert spans < words / 5_000
+
+
 # substrings
 
 
@@ -470,6 +495,48 @@ def test_main_text(wrap):
     assert html.main_text(PAGE % body) == "Big & small First para é of some length. Second bold link . One Two".replace("link .", "link.")
 
 
+def test_candidates_lie_between_surge_and_dive():
+    """Against the definition, line by line."""
+    rng = random.Random(14)
+    for _ in range(500):
+        lengths = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randrange(30))]
+        width, surge = rng.randrange(1, 6), rng.choice([1, 40, 80])
+        total = lambda i: sum(lengths[i : i + width])  # noqa: B023, E731
+        inside, kept = False, []
+        for i, n in enumerate(lengths):
+            if inside and not total(i):
+                inside = False
+            elif not inside and n and (total(i) >= surge or i == 0 or not total(i - 1) or not lengths[i - 1]):
+                inside = True
+            if inside:
+                kept.append(i)
+        assert [i for first, last in html.candidates(lengths, width, surge) for i in range(first, last)] == kept
+
+
+def test_pages_keep_the_article_and_nothing_else(spark):
+    """Word precision and recall against the article element of the synthetic pages."""
+    import html as references
+    from collections import Counter
+
+    got = {r.page_id: r.text for r in html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    common = ours = theirs = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        article = re.search(r"<article[^>]*>(.*?)</article>", r.html or "", re.S)
+        want = Counter(references.unescape(re.sub(r"<[^>]*>", " ", article[1])).split()) if article else Counter()
+        have = Counter(got[r.page_id].split())
+        common, ours, theirs = common + (want & have).total(), ours + have.total(), theirs + want.total()
+    assert common / ours > 0.99 and common / theirs > 0.99
+
+
+@pytest.mark.parametrize("piece", ["<div></p>", "<p '", '<a href="x', "<b <i", "<article><main>", "&amp<", "<!-", "<td><tr><li>"])
+def test_time_follows_the_page(piece):
+    import time
+
+    began = time.process_time()
+    html.main_text(piece * 60_000)
+    assert time.process_time() - began < 5
+
+
 def test_pages_awkward(spark):
     rows = [(0, "u", None), (1, "u", ""), (2, "u", "plain"), (3, "u", "<p>a<p>b"), (4, "u", "<article>" + "<p>" + "word " * 50_000), (5, "u", "<<<>>><p")]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
