@@ -43,8 +43,8 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 BLOCK_BITS, ROWS, MOST_BITS, CELLS = 18, 2, 28, 8
 #: Entries that a task's sparse sketch holds before it is sent.
 PENDING = 2_000_000
-#: Bytes of text hashed at once; a longer document is hashed alone.
-CHUNK = 1 << 20
+#: Bytes of text whose windows are made at once, a longer document alone, and whose words are hashed at once.
+CHUNK, PART_BYTES = 1 << 20, 1 << 17
 
 
 class Powers:
@@ -75,6 +75,16 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def words_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
+    """spans_hash of the words of a text's bytes, PART_BYTES at a time, so that a long text needs a few bytes a byte."""
+    out, i = np.zeros(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PART_BYTES)))
+        out[i:j] = spans_hash(data[starts[i] : ends[j - 1]].astype(np.uint64) + np.uint64(1), starts[i:j] - starts[i], ends[i:j] - starts[i], powers)
+        i = j
+    return out
+
+
 def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
     """Minimum of each `span` consecutive values, by doubling."""
     have, out = 1, values
@@ -98,7 +108,7 @@ class Chunk:
         border[begins] = True
         starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | border[:-1]))
         ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | border[1:])) + 1
-        self.words = spans_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, powers[0])
+        self.words = words_hash(data, starts, ends, powers[0])
         first = np.searchsorted(starts, begins)
         counts = np.diff(first)
         at = np.arange(max(0, len(self.words) - size + 1))
@@ -297,16 +307,21 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
-            for text, at, hit in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist(), batch.column("hit").to_pylist(), strict=True):
-                kept = words = (text or b"").split()
-                if hit:
-                    gone = removal_mask(len(words), None if at is None else np.asarray(at, dtype=np.int64), size)
-                    kept = [w for w, g in zip(words, gone, strict=True) if not g]
-                out["n_words"].append(len(words))
-                out["n_removed"].append(len(words) - len(kept))
-                out["kept"].append(b" ".join(kept))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.binary()).cast(pa.string())], names=["doc_id", *out])
+            for first in range(0, batch.num_rows, 128):  # few at once: words and places are Python objects and arrays
+                part = batch.slice(first, 128)
+                texts, starts, hit = part.column("text").cast(pa.binary()), part.column("starts"), part.column("hit")
+                n_words, n_removed, all_kept = [], [], []
+                for k in range(part.num_rows):
+                    kept = words = (texts[k].as_py() or b"").split()
+                    if hit[k].as_py():
+                        at = starts[k].values.to_numpy().astype(np.int64) if starts[k].is_valid else None
+                        gone = removal_mask(len(words), at, size)
+                        kept = [w for w, g in zip(words, gone, strict=True) if not g]
+                    n_words.append(len(words))
+                    n_removed.append(len(words) - len(kept))
+                    all_kept.append(b" ".join(kept))
+                columns = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(all_kept, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
     return both.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 
