@@ -7,20 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: list[str], value_cols: list[str], max_age: float | None = None, forward: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: list[str], value_cols: list[str], max_age: float | None = None, forward: bool = False, strict: bool = False, bucket: float | None = None) -> DataFrame:
     """left (key, t, seq, ...) with `prev_t` and `prev_<col>` of the last right row (key, t, seq, value_cols) at or before
-    its time; with forward, of the first at or after. Older than max_age counts as none.
+    its time, or, when strict, before it; with forward, of the first at or after. Older than max_age counts as none.
 
     Both sides are stacked and a running last value carries right rows to left ones, so nothing multiplies. A key's rows
-    meet in one task: a key that holds much of the table should carry a time bucket beside it.
+    meet in one task, unless `bucket` seconds split them: then each bucket walks its own rows, and what it starts with is
+    the last right row of the nearest bucket before it that has one, found among one row for each bucket. The result is the
+    same; a key that holds much of the table costs many tasks instead of one.
     """
     cols = [c for c in left.columns]
+    first = forward != strict
     payload = F.struct(F.col("t").alias("t"), *[F.col(c).alias(c) for c in value_cols])
-    a = left.select(*cols, F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_p"), F.lit(1 if not forward else 0).alias("_side"))
-    b = right.select(*[F.col(c) if c in (*key, "t", "seq") else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], payload.alias("_p"), F.lit(0 if not forward else 1).alias("_side"))
-    w = W.partitionBy(*key).orderBy("t", "_side", "seq")
-    found = F.first("_p", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)) if forward else F.last("_p", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    out = a.unionByName(b).withColumn("_f", found).where(F.col("_side") == (0 if forward else 1))
+    a = left.select(*cols, F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_p"), F.lit(0 if first else 1).alias("_side"))
+    b = right.select(*[F.col(c) if c in (*key, "t", "seq") else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], payload.alias("_p"), F.lit(1 if first else 0).alias("_side"))
+    both = a.unionByName(b)
+    over = lambda w: F.first("_p", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)) if forward else F.last("_p", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    if bucket is None:
+        out = both.withColumn("_f", over(W.partitionBy(*key).orderBy("t", "_side", "seq")))
+    else:
+        both = both.withColumn("_b", F.floor(F.col("t") / bucket))
+        edge = F.struct("t", "_side", "seq")
+        edges = both.groupBy(*key, "_b").agg((F.min_by if forward else F.max_by)("_p", F.when(F.col("_p").isNotNull(), edge)).alias("_p"))
+        before = W.partitionBy(*key).orderBy("_b").rowsBetween(*((1, W.unboundedFollowing) if forward else (W.unboundedPreceding, -1)))
+        carried = (F.first if forward else F.last)("_p", ignorenulls=True).over(before)
+        edges = edges.select(*key, "_b", carried.alias("_carried"))
+        walked = both.withColumn("_f", over(W.partitionBy(*key, "_b").orderBy("t", "_side", "seq")))
+        out = walked.join(edges, [*key, "_b"]).withColumn("_f", F.coalesce("_f", "_carried"))
+    out = out.where(F.col("_side") == (0 if first else 1))
     if max_age is not None:
         out = out.withColumn("_f", F.when(F.abs(F.col("t") - F.col("_f.t")) <= max_age, F.col("_f")))
     side = "next" if forward else "prev"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import extra, folds, maps, motion, space, vision
+from .plans import extra, folds, lidar, maps, motion, space, vision
 
 flagship = motion.flagship
-ALL = {**motion.QUERIES, **space.QUERIES, **folds.QUERIES, **vision.QUERIES, **maps.QUERIES, **extra.QUERIES}
+ALL = {**motion.QUERIES, **space.QUERIES, **folds.QUERIES, **vision.QUERIES, **maps.QUERIES, **extra.QUERIES, **lidar.QUERIES}
 
 
 def queries() -> dict:
