@@ -87,8 +87,13 @@ def raw_range_to_m(raw: Column, scale: float, low: float, high: float, sentinel:
     return F.when(m.between(low, high), m)
 
 
-#: Names of the bits of an inertial status word, from bit 0.
-WORK_STATES = (("fault", 15), ("navigating", 2), ("aligning", 1), ("ready", 0))
+#: The bits of an inertial status word, from bit 0.
+STATUS_NAMES = (
+    "ready", "coarse_alignment", "fine_alignment", "pure_ins_navigation", "gnss_integrated_navigation", "dvl_integrated_navigation", "gnss_dvl_integrated_navigation", "no_position_reference",
+    "bound_position", "gnss_position", "no_velocity_reference", "zero_velocity", "gnss_velocity", "dvl_velocity", "ins_data_valid", "fault",
+)
+#: Work states by priority, with the mask of the bits that mean them.
+WORK_STATES = (("fault", 1 << 15), ("navigating", 0b1111000), ("aligning", 0b110), ("ready", 1))
 
 
 def status_bits(raw: Column, names: tuple[str, ...]) -> Column:
@@ -97,12 +102,11 @@ def status_bits(raw: Column, names: tuple[str, ...]) -> Column:
 
 
 def work_state(raw: Column) -> Column:
-    """The first of fault, navigating, aligning, ready that is set, else none."""
-    out = None
-    for name, bit in WORK_STATES:
-        cond = F.getbit(raw, F.lit(bit)) == 1
-        out = F.when(cond, name) if out is None else out.when(cond, name)
-    return out.otherwise("none")
+    """The first of fault, navigating, aligning, ready that has a bit set, else none."""
+    out = F.lit("none")
+    for name, mask in reversed(WORK_STATES):
+        out = F.when(raw.bitwiseAND(F.lit(mask)) != 0, name).otherwise(out)
+    return out
 
 
 def cost_class(cost: Column) -> Column:

@@ -1,17 +1,19 @@
 """Filters with feedback: one keyed fold, the same step in batch and in a stream.
 
-A fold walks a key's rows in order of (t, seq) with a small state. Keys run in parallel. A long key is cut where the filter
-starts anew anyway: `cut` names a column that changes there (a segment, a day); without such a column each key is walked
-whole, in sorted Arrow batches, and only the state stays in memory.
+A fold walks a key's rows in order of (t, seq) with a small state. Keys run in parallel; each key is walked whole, in sorted
+Arrow batches, and only the state stays in memory. Where a filter starts anew anyway (a segment, a day), a column that changes
+there belongs into the key, so that a long record becomes many keys.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Step = Callable[[Any, dict], tuple[Any, dict]]
@@ -62,24 +64,24 @@ def median_step(n: int, max_jump: float) -> tuple[Callable[[], Any], Step]:
 
 def debounce_step(danger: float, warn: float, trigger: int, clear: int) -> tuple[Callable[[], Any], Step]:
     """Latches: danger after `trigger` danger rows in a row, which sets warn too; warn after `trigger` warn rows; both clear
-    after `clear` safe rows. A danger row leaves the warn count, a warn row resets the other two. Missing rows change nothing."""
+    after `clear` safe rows. A danger row leaves the warn count, a warn row resets the other two. A missing reading is neither
+    danger nor warn and counts as safe."""
 
     def step(state, row):
         nd, nw, nc, is_danger, is_warn = state
-        x = row["value"]
-        if x is not None:
-            if x < danger:
-                nd, nc = nd + 1, 0
-                if nd >= trigger:
-                    is_danger = is_warn = True
-            elif x < warn:
-                nw, nd, nc = nw + 1, 0, 0
-                if nw >= trigger:
-                    is_warn = True
-            else:
-                nd, nw, nc = 0, 0, nc + 1
-                if nc >= clear:
-                    is_danger = is_warn = False
+        x = math.inf if row["value"] is None else row["value"]
+        if x < danger:
+            nd, nc = nd + 1, 0
+            if nd >= trigger:
+                is_danger = is_warn = True
+        elif x < warn:
+            nw, nd, nc = nw + 1, 0, 0
+            if nw >= trigger:
+                is_warn = True
+        else:
+            nd, nw, nc = 0, 0, nc + 1
+            if nc >= clear:
+                is_danger = is_warn = False
         return (nd, nw, nc, is_danger, is_warn), {"danger": is_danger, "warn": is_warn}
 
     return lambda: (0, 0, 0, False, False), step
@@ -155,8 +157,52 @@ def track_step(reach: float, ttl: float) -> tuple[Callable[[], Any], Step]:
 
 
 def track_clusters(clusters: DataFrame, key: list[str], reach: float, ttl: float) -> DataFrame:
-    """(key, t, seq, track) of clusters (t, seq, x, y) in order."""
-    return ordered_fold(clusters, key, ["x", "y"], "track long", *track_step(reach, ttl))
+    """(key, t, seq, track) of clusters (t, size, x, y): those of one time by falling size, then x and y; seq is that order."""
+    place = F.row_number().over(W.partitionBy(*key, "t").orderBy(F.desc("size"), "x", "y")).cast("long")
+    return ordered_fold(clusters.withColumn("seq", place), key, ["x", "y"], "track long", *track_step(reach, ttl))
+
+
+def arrival_step(waypoints: list[tuple[float, float]], within: float) -> tuple[Callable[[], Any], Step]:
+    """The waypoint reached by a row, if any: the next one in order, when the row is nearer than `within` in x and in y. A row
+    reaches one waypoint at most."""
+
+    def step(done, row):
+        if done < len(waypoints) and all(abs(row[c] - v) < within for c, v in zip("xy", waypoints[done], strict=True)):
+            return done + 1, {"waypoint": done}
+        return done, {"waypoint": None}
+
+    return lambda: 0, step
+
+
+def alignment_step(enter: float, leave: float, hold: float, nearest: float, moved: float = 0.05) -> tuple[Callable[[], Any], Step]:
+    """Whether a robot turns towards its goal before it drives. Rows are goals (gx, gy) or poses (x, y, yaw), in order; a goal is
+    new when its time or, by more than `moved`, its place changes. From a heading error of `enter` degrees on, once a goal,
+    until the error stayed within `leave` degrees for `hold` seconds. A goal nearer than `nearest` needs no turn."""
+
+    def step(state, row):
+        goal, active, done, since = state
+        if row["gx"] is not None:
+            new = goal is None or row["t"] != goal[2] or math.hypot(row["gx"] - goal[0], row["gy"] - goal[1]) > moved
+            goal = (row["gx"], row["gy"], row["t"])
+            if new:
+                active, done, since = False, False, None
+        elif goal is not None:
+            dx, dy = goal[0] - row["x"], goal[1] - row["y"]
+            if math.hypot(dx, dy) < nearest:
+                active, done, since = False, True, None
+            else:
+                error = math.degrees(abs((math.atan2(dy, dx) - row["yaw"] + math.pi) % (2 * math.pi) - math.pi))
+                if not done and not active and error >= enter:
+                    active, since = True, None
+                if active and error <= leave:
+                    since = row["t"] if since is None else since
+                    if row["t"] - since >= hold:
+                        active, done, since = False, True, None
+                elif active:
+                    since = None
+        return (goal, active, done, since), {"aligning": active}
+
+    return lambda: (None, False, False, None), step
 
 
 def stream_fold(stream: DataFrame, key: list[str], columns: list[str], out: str, init: Callable[[], Any], step: Step) -> DataFrame:

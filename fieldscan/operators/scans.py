@@ -20,13 +20,29 @@ def shadow_filter_neighbours(beams: DataFrame, n: int, d: float, increment: floa
     return out.withColumn("kept", F.when(F.col("_c"), F.col("range"))).drop("_ok", "_c")
 
 
-def fill_single_gaps(beams: DataFrame, n: int) -> DataFrame:
-    """A missing beam between two seen neighbours gets their mean, around the circle of n beams."""
-    ring = beams.select("scan_id", "beam", "range")
-    padded = ring.unionByName(ring.where(F.col("beam") == 0).withColumn("beam", F.lit(n))).unionByName(ring.where(F.col("beam") == n - 1).withColumn("beam", F.lit(-1)))
+def fill_bright_gaps(beams: DataFrame, n: int, bright: float = 200.0) -> DataFrame:
+    """beams (scan_id, beam, range, energy) with `filled` and `filled_energy`: one missing beam, or two in a row, get the
+    mean of the seen beams at both sides where these are bright (energy above `bright`) and so is the next one on at least
+    one side, or, for two, on both. Around the circle of n beams; what is filled does not light up later gaps."""
+    columns = ["scan_id", "beam", "range", "energy"]
+    ring = beams.select(*columns)
+    low = ring.where(F.col("beam") < 3).withColumn("beam", F.col("beam") + n)
+    high = ring.where(F.col("beam") >= n - 4).withColumn("beam", F.col("beam") - n)
     w = W.partitionBy("scan_id").orderBy("beam")
-    filled = padded.withColumn("filled", F.coalesce("range", (F.lag("range").over(w) + F.lead("range").over(w)) / 2))
-    return filled.where(F.col("beam").between(0, n - 1))
+    at = lambda c, k: F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
+    lit = lambda k: F.coalesce(at("range", k).isNotNull() & (at("energy", k) > bright), F.lit(False))
+    one = (lit(-1) & lit(1) & lit(2)) | (lit(-1) & lit(-2) & lit(1))
+    first = lit(-1) & lit(-2) & ~lit(1) & lit(2) & lit(3)
+    second = lit(-2) & lit(-3) & ~lit(-1) & lit(1) & lit(2)
+
+    def filled(c: str):
+        mean = lambda a, b: (at(c, a) + at(c, b)) / 2
+        gap = F.when(one, mean(-1, 1)).when(first, mean(-1, 2)).when(second & at("range", -1).isNull(), mean(-2, 1))
+        return F.when(F.col("range").isNotNull(), F.col(c)).otherwise(gap)
+
+    padded = ring.unionByName(low.select(*columns)).unionByName(high.select(*columns))
+    out = padded.withColumns({"filled": filled("range"), "filled_energy": filled("energy")})
+    return out.where(F.col("beam").between(0, n - 1))
 
 
 def angle_compensate(beams: DataFrame, mult: int, degrees: Column) -> DataFrame:

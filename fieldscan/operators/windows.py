@@ -96,15 +96,16 @@ def neighbour_geometry(points: DataFrame, key: list[str], order: list[str]) -> D
     return points.withColumn("planar_range", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).withColumn("next_distance", F.sqrt(step))
 
 
-def shadow_filter_run(beams: DataFrame, n: int, d: float) -> DataFrame:
-    """Beams of no n-run whose members stay within d of the run's first become missing."""
+def shadow_filter_run(beams: DataFrame, n: int, d: float, near: float, far: float) -> DataFrame:
+    """Beams of no n-run whose members stay within d of the run's first become missing; those nearer than near or farther
+    than far stay as they are."""
     w = W.partitionBy("scan_id").orderBy("beam")
     ahead = w.rowsBetween(0, n - 1)
     spread = F.greatest(F.max("range").over(ahead) - F.col("range"), F.col("range") - F.min("range").over(ahead))
     full = (F.count("range").over(ahead) == n) & (spread < d)
     out = beams.withColumn("_ok", F.coalesce(full, F.lit(False)))
     covered = F.bool_or("_ok").over(w.rowsBetween(-(n - 1), 0))
-    return out.withColumn("kept", F.when(covered, F.col("range"))).drop("_ok")
+    return out.withColumn("kept", F.when(covered | (F.col("range") < near) | (F.col("range") > far), F.col("range"))).drop("_ok")
 
 
 def resample_scan(beams: DataFrame, n: int, beams_in: int) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, sensors
-from ..operators import grid, timejoin, windows
+from ..operators import grid, health, timejoin, windows
 from ..sources import fixtures as fx
 from . import motion
 from .motion import rounded
@@ -95,19 +94,24 @@ COST_SQL = "SELECT CASE WHEN c < 0 THEN 'unknown' WHEN c = 0 THEN 'free' WHEN c
 
 
 def verdict_q(spark, sf_dir):
-    t = fx.topics(spark, sf_dir).groupBy("device_id").agg(F.bool_or(F.col("topic") == "click").alias("raw"), F.bool_or(F.col("value") > 100).alias("active"), F.bool_or(F.col("value") > 250).alias("lethal"))
-    verdict = F.when(~F.col("raw"), "no raw scan").when(~F.col("active"), "no active scan").when(~F.col("lethal"), "no lethal cell").otherwise("ok")
-    return t.select("device_id", verdict.alias("verdict"))
+    t = fx.topics(spark, sf_dir).select("device_id", (F.col("topic") == "click").alias("raw"), (F.col("value") > 100).alias("active"), (F.col("value") > 250).alias("lethal"))
+    return health.pipeline_verdict(t, ["device_id"], [("raw", "no raw scan"), ("active", "no active scan"), ("lethal", "no lethal cell")])
 
 
 def imu_init_q(spark, sf_dir):
-    first = fx.topics(spark, sf_dir).withColumn("r", F.row_number().over(W.partitionBy("device_id").orderBy("t", "seq"))).where("r <= 20")
-    return first.groupBy("device_id").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_pop("value"), 4).alias("spread"), F.count("*").alias("n"))
+    imu = fx.topics(spark, sf_dir).selectExpr("device_id", "t", "seq", "value / 100 AS ax", "(seq % 7 - 3) / 10.0D AS ay", "9.8D + (seq % 5) / 50.0D AS az", "(seq % 11 - 5) / 100.0D AS gx", "value / 1000 AS gy", "0.01D AS gz")
+    out = health.imu_init_stats(imu, ["device_id"], 20)
+    return rounded(out, *[c for c in out.columns if c not in ("device_id", "n")], digits=5)
+
+
+IMU_SQL = """, a AS (SELECT device_id, value / 100 AS ax, (seq % 7 - 3) / 10.0::DOUBLE AS ay, 9.8::DOUBLE + (seq % 5) / 50.0::DOUBLE AS az, (seq % 11 - 5) / 100.0::DOUBLE AS gx, value / 1000 AS gy, 0.01::DOUBLE AS gz FROM f_topics QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY t, seq) <= 20),
+ m AS (SELECT device_id, count(*) AS n, """ + ", ".join(f"avg({c}) AS mean_{c}, var_pop({c}) AS var_{c}" for c in ("ax", "ay", "az", "gx", "gy", "gz")) + """ FROM a GROUP BY 1), g AS (SELECT *, sqrt(mean_ax * mean_ax + mean_ay * mean_ay + mean_az * mean_az) AS norm FROM m)
+ SELECT device_id, n, """ + ", ".join(f"round(mean_{c}, 5) AS mean_{c}, round(var_{c}, 5) AS var_{c}" for c in ("ax", "ay", "az", "gx", "gy", "gz")) + ", " + ", ".join(f"round(-mean_a{c} / norm * 9.81, 5) AS gravity_{c}" for c in "xyz") + " FROM g"
 
 
 def by_size_q(spark, sf_dir):
     c = windows.gap_clusters(fx.scans(spark, sf_dir), 1.5, 2)
-    return c.select("scan_id", "first_beam", "n", F.row_number().over(W.partitionBy("scan_id").orderBy(F.desc("n"), "first_beam")).alias("place"))
+    return health.clusters_by_size(c, "scan_id").select("scan_id", "first_beam", "n", "place")
 
 
 def around_q(spark, sf_dir):
@@ -125,12 +129,12 @@ AROUND_SQL = motion.DEAD_SQL + """, l AS (SELECT device_id, arg_max(x, (t, seq))
 def transform_join_q(spark, sf_dir):
     poses = windows.dead_reckon(fx.odometry(spark, sf_dir)).withColumn("seq", F.col("seq"))
     shots = fx.topics(spark, sf_dir).where("topic = 'click'").select("device_id", "seq", "t", "value")
-    got = timejoin.asof_join(shots, poses.where("seq % 3 = 0"), ["device_id"], ["x", "y", "theta"], max_age=3.0)
+    got = timejoin.asof_join(shots, poses, ["device_id"], ["x", "y", "theta"], max_age=3.0)
     x, y = geo.transform2d(F.col("value") / 100, F.lit(0.5), F.col("prev_x"), F.col("prev_y"), F.col("prev_theta"))
     return got.select("device_id", "seq", F.round(x, 4).alias("wx"), F.round(y, 4).alias("wy"))
 
 
-TRANSFORM_SQL = motion.DEAD_SQL + """, shot AS (SELECT * FROM f_topics WHERE topic = 'click'), pose AS (SELECT * FROM reck WHERE seq % 3 = 0)
+TRANSFORM_SQL = motion.DEAD_SQL + """, shot AS (SELECT * FROM f_topics WHERE topic = 'click'), pose AS (SELECT * FROM reck)
  SELECT shot.device_id, shot.seq, CASE WHEN shot.t - pose.t <= 3 THEN round(cos(theta) * value / 100 - sin(theta) * 0.5 + x, 4) END AS wx, CASE WHEN shot.t - pose.t <= 3 THEN round(sin(theta) * value / 100 + cos(theta) * 0.5 + y, 4) END AS wy
  FROM shot ASOF LEFT JOIN pose ON shot.device_id = pose.device_id AND shot.t >= pose.t"""
 
@@ -146,7 +150,7 @@ QUERIES = {
     "s12_cells_between": (between_q, o("SELECT 52 - ix - 0.5::DOUBLE AS x, 52 - iy - 0.5::DOUBLE AS y, round(mean_z, 6) AS mean_z FROM f_cells WHERE mean_z BETWEEN 0.45 AND 0.55", C)),
     "a12_cost_classes": (cost_counts_q, o(COST_SQL, C)),
     "a16_verdict": (verdict_q, o("SELECT device_id, CASE WHEN NOT bool_or(topic = 'click') THEN 'no raw scan' WHEN NOT bool_or(value > 100) THEN 'no active scan' WHEN NOT bool_or(value > 250) THEN 'no lethal cell' ELSE 'ok' END AS verdict FROM f_topics GROUP BY 1", T)),
-    "a17_imu_init": (imu_init_q, o("SELECT device_id, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS spread, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY t, seq) AS r FROM f_topics) WHERE r <= 20 GROUP BY 1", T)),
+    "a17_imu_init": (imu_init_q, o(IMU_SQL, T)),
     "k04_clusters_by_size": (by_size_q, o(motion.CLUSTERS_SQL + " SELECT scan_id, first_beam, n, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, first_beam)::INT AS place FROM cl", S)),
     "j03_transform_join": (transform_join_q, o(TRANSFORM_SQL, T, O)),
     "g25_cells_around": (around_q, o(AROUND_SQL, O, C)),

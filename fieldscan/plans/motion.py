@@ -44,12 +44,19 @@ def enu_q(spark, sf_dir):
     return f.join(origin, "device_id").select("seq", F.round(e, 3).alias("east"), F.round(n, 3).alias("north"), F.round(u, 3).alias("up"))
 
 
+ENU_SQL = """, e AS (SELECT *, (1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE) AS e2, radians(lat) AS p, radians(lon) AS q FROM f_fixes), n AS (SELECT *, 6378137.0::DOUBLE / sqrt(1 - e2 * sin(p) * sin(p)) AS n FROM e),
+ x AS (SELECT device_id, seq, t, p, q, (n + alt) * cos(p) * cos(q) AS x, (n + alt) * cos(p) * sin(q) AS y, (n * (1 - e2) + alt) * sin(p) AS z FROM n), o AS (SELECT device_id, arg_min({'p': p, 'q': q, 'x': x, 'y': y, 'z': z}, (t, seq)) AS o FROM x GROUP BY 1),
+ d AS (SELECT seq, o.p AS p, o.q AS q, x - o.x AS dx, y - o.y AS dy, z - o.z AS dz FROM x JOIN o USING (device_id))
+ SELECT seq, round(cos(q) * dy - sin(q) * dx, 3) AS east, round(cos(p) * dz - sin(p) * cos(q) * dx - sin(p) * sin(q) * dy, 3) AS north, round(cos(p) * cos(q) * dx + cos(p) * sin(q) * dy + sin(p) * dz, 3) AS up FROM d"""
+
+
 def haversine_q(spark, sf_dir):
-    d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat") + (F.col("seq") % 7) * 1e-6, F.col("lon"))
-    return fx.fixes(spark, sf_dir).select("seq", F.round(d, 5).alias("metres"))
+    d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat") + (F.col("seq") % 7) * 0.01, F.col("lon") - (F.col("seq") % 5) * 0.02)
+    return fx.fixes(spark, sf_dir).select("seq", F.round(d, 3).alias("metres"))
 
 
-HAVERSINE_SQL = """SELECT seq, round(2 * 6371000 * asin(sqrt(pow(sin(radians(((seq % 7) * 1e-6)) / 2), 2))), 5) AS metres FROM f_fixes"""
+HAVERSINE_SQL = """SELECT seq, round(2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(b - lat) / 2), 2) + cos(radians(lat)) * cos(radians(b)) * pow(sin(radians(m - lon) / 2), 2)))), 3) AS metres
+ FROM (SELECT *, lat + (seq % 7) * 0.01::DOUBLE AS b, lon - (seq % 5) * 0.02::DOUBLE AS m FROM f_fixes)"""
 
 
 def wrap_q(spark, sf_dir):
@@ -86,17 +93,16 @@ def raw_range_q(spark, sf_dir):
     return fx.topics(spark, sf_dir).select("seq", r6(m).alias("metres"), m.isNotNull().alias("valid"))
 
 
-STATUS_NAMES = tuple(f"flag_{k:02d}" for k in range(16))
 
 
 def status_q(spark, sf_dir):
     raw = (F.col("seq") * 2654435761) % 65536
-    bits = geo.status_bits(raw, STATUS_NAMES)
+    bits = geo.status_bits(raw, geo.STATUS_NAMES)
     return fx.topics(spark, sf_dir).select("seq", F.concat_ws(",", bits).alias("active"), F.size(bits).cast("long").alias("n_active"), geo.work_state(raw).alias("state"))
 
 
-STATUS_SQL = """SELECT seq, array_to_string(list_transform(list_filter(range(16), lambda k: (raw >> k) & 1 = 1), lambda k: format('flag_{:02d}', k)), ',') AS active,
- CAST(bit_count(raw) AS BIGINT) AS n_active, CASE WHEN (raw >> 15) & 1 = 1 THEN 'fault' WHEN (raw >> 2) & 1 = 1 THEN 'navigating' WHEN (raw >> 1) & 1 = 1 THEN 'aligning' WHEN raw & 1 = 1 THEN 'ready' ELSE 'none' END AS state
+STATUS_SQL = f"""SELECT seq, array_to_string(list_transform(list_filter(range(16), lambda k: (raw >> k) & 1 = 1), lambda k: {list(geo.STATUS_NAMES)}[k + 1]), ',') AS active, CAST(bit_count(raw) AS BIGINT) AS n_active,
+ CASE WHEN raw >= 32768 THEN 'fault' WHEN (raw >> 3) & 15 > 0 THEN 'navigating' WHEN (raw >> 1) & 3 > 0 THEN 'aligning' WHEN raw & 1 = 1 THEN 'ready' ELSE 'none' END AS state
  FROM (SELECT seq, (seq * 2654435761) % 65536 AS raw FROM f_topics)"""
 
 
@@ -234,11 +240,11 @@ RING_SQL = """SELECT frame_id, line, l_orderkey, l_partkey, round(sqrt(x*x + y*y
 
 
 def shadow_q(spark, sf_dir):
-    return rounded(windows.shadow_filter_run(fx.scans(spark, sf_dir), 2, 2.5).select("scan_id", "beam", "kept"), "kept")
+    return rounded(windows.shadow_filter_run(fx.scans(spark, sf_dir), 2, 2.5, 0.5, 9.0).select("scan_id", "beam", "kept"), "kept")
 
 
 SHADOW_SQL = """, a AS (SELECT *, count(range) OVER k = 2 AND greatest(max(range) OVER k - range, range - min(range) OVER k) < 2.5 AS ok FROM f_scans WINDOW k AS (PARTITION BY scan_id ORDER BY beam ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING))
- SELECT scan_id, beam, CASE WHEN bool_or(coalesce(ok, false)) OVER (PARTITION BY scan_id ORDER BY beam ROWS 1 PRECEDING) THEN round(range, 6) END AS kept FROM a"""
+ SELECT scan_id, beam, CASE WHEN range < 0.5 OR range > 9.0 OR bool_or(coalesce(ok, false)) OVER (PARTITION BY scan_id ORDER BY beam ROWS 1 PRECEDING) THEN round(range, 6) END AS kept FROM a"""
 
 
 def resample_q(spark, sf_dir):
@@ -307,7 +313,7 @@ T, O, X, FA, P, SC = "f_topics", "f_odom", "f_fixes", "f_faulty", "f_points", "f
 o = fx.oracle
 QUERIES = {
     "p01_geodetic_to_ecef": (ecef_q, o(ECEF_SQL, X)),
-    "p02_geodetic_to_enu": (enu_q, None),
+    "p02_geodetic_to_enu": (enu_q, o(ENU_SQL, "f_fixes")),
     "p03_haversine": (haversine_q, o(HAVERSINE_SQL, X)),
     "p04_wrap_angles": (wrap_q, o(WRAP_SQL, O)),
     "p06_rotate_translate": (rotate_q, o(ROTATE_SQL, P)),

@@ -117,7 +117,13 @@ def hull_q(spark, sf_dir):
 
 def planes_q(spark, sf_dir):
     p = fx.points(spark, sf_dir)
-    return rounded(points.fit_planes(p, ["frame_id"]), "a", "b", "c")
+    return rounded(points.fit_planes(p, ["frame_id"]), "a", "b", "c", digits=4)
+
+
+PLANES_SQL = """, s AS (SELECT frame_id, count(*) AS n, sum(x*x) AS xx, sum(x*y) AS xy, sum(x*z) AS xz, sum(y*y) AS yy, sum(y*z) AS yz, sum(z*z) AS zz, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz FROM f_points GROUP BY 1),
+ d AS (SELECT *, xx*(yy*zz - yz*yz) - xy*(xy*zz - yz*xz) + xz*(xy*yz - yy*xz) AS det FROM s)
+ SELECT frame_id, n, round(-(sx*(yy*zz - yz*yz) - xy*(sy*zz - yz*sz) + xz*(sy*yz - yy*sz)) / det, 4) AS a, round(-(xx*(sy*zz - yz*sz) - sx*(xy*zz - yz*xz) + xz*(xy*sz - sy*xz)) / det, 4) AS b,
+ round(-(xx*(yy*sz - sy*yz) - xy*(xy*sz - sy*xz) + sx*(xy*yz - yy*xz)) / det, 4) AS c FROM d"""
 
 
 def clusters_q(spark, sf_dir):
@@ -332,7 +338,7 @@ QUERIES = {
     "a18_polygon_measures": (measures_q, MEASURES_SQL),
     "a19_convex_hull": (hull_q, None),
     "a20_elevation": (elevation_q, o(ELEVATION_SQL, P)),
-    "a23_planes": (planes_q, None),
+    "a23_planes": (planes_q, o(PLANES_SQL, P)),
     "g03_submap": (submap_q, o("SELECT ix, iy, round(mean_z, 6) AS mean_z FROM f_cells WHERE ix BETWEEN 10 AND 29 AND iy BETWEEN 5 AND 34", C)),
     "g05_ellipse": (ellipse_q, o("SELECT ix, iy FROM f_cells WHERE pow((52 - ix - 0.5 - 20.2) / 12.3, 2) + pow((52 - iy - 0.5 - 25.1) / 5.1, 2) <= 1", C)),
     "g06_polygon_cells": (grid_polygon_q, o(f", g AS (SELECT a.i::INT AS ix, b.i::INT AS iy, 52 - a.i - 0.5::DOUBLE AS x, 52 - b.i - 0.5::DOUBLE AS y FROM range(52) a(i), range(52) b(i)) SELECT ix, iy, x, y, n FROM g LEFT JOIN f_cells USING (ix, iy) WHERE {polygon_sql()}", C)),

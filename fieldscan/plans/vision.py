@@ -131,10 +131,17 @@ NEIGHBOURS_SQL = """, ok AS (SELECT a.scan_id, a.beam, count(*) FILTER (WHERE sq
 
 
 def gaps_q(spark, sf_dir):
-    return rounded(scans.fill_single_gaps(fx.scans(spark, sf_dir), 100).select("scan_id", "beam", "filled"), "filled")
+    lit = fx.scans(spark, sf_dir).withColumn("energy", F.when(F.col("range").isNotNull(), 150.0 + (F.col("beam") * 37 + F.col("scan_id")) % 200))
+    return rounded(scans.fill_bright_gaps(lit, 100).select("scan_id", "beam", "filled", "filled_energy"), "filled", "filled_energy")
 
 
-GAPS_SQL = """SELECT a.scan_id, a.beam, round(coalesce(a.range, (b.range + c.range) / 2), 6) AS filled FROM f_scans a JOIN f_scans b ON a.scan_id = b.scan_id AND b.beam = (a.beam + 99) % 100 JOIN f_scans c ON a.scan_id = c.scan_id AND c.beam = (a.beam + 1) % 100"""
+GAPS_SQL = """, e AS (SELECT scan_id, beam, range AS r, CASE WHEN range IS NOT NULL THEN 150.0::DOUBLE + (beam * 37 + scan_id) % 200 END AS g FROM f_scans),
+ l AS (SELECT scan_id, beam, r, g, list(r) OVER k AS rs, list(g) OVER k AS gs FROM e WINDOW k AS (PARTITION BY scan_id ORDER BY beam ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ n AS (SELECT *, list_transform(range(-3, 4), lambda k: rs[(beam + k + 100) % 100 + 1]) AS rr, list_transform(range(-3, 4), lambda k: gs[(beam + k + 100) % 100 + 1]) AS gg FROM l),
+ b AS (SELECT *, list_transform(gg, lambda x: coalesce(x > 200, false)) AS h FROM n),
+ c AS (SELECT *, CASE WHEN r IS NOT NULL THEN 0 WHEN h[3] AND h[5] AND (h[6] OR h[2]) THEN 1 WHEN h[3] AND h[2] AND NOT h[5] AND h[6] AND h[7] THEN 2 WHEN h[2] AND h[1] AND NOT h[3] AND rr[3] IS NULL AND h[5] AND h[6] THEN 3 END AS kind FROM b)
+ SELECT scan_id, beam, round(CASE kind WHEN 0 THEN r WHEN 1 THEN (rr[3] + rr[5]) / 2 WHEN 2 THEN (rr[3] + rr[6]) / 2 WHEN 3 THEN (rr[2] + rr[5]) / 2 END, 6) AS filled,
+ round(CASE kind WHEN 0 THEN g WHEN 1 THEN (gg[3] + gg[5]) / 2 WHEN 2 THEN (gg[3] + gg[6]) / 2 WHEN 3 THEN (gg[2] + gg[5]) / 2 END, 6) AS filled_energy FROM c"""
 
 
 def compensate_q(spark, sf_dir):

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,100 @@ def test_health(spark):
 
     df = spark.createDataFrame([(10.0, 9.9, 9.0), (10.0, 9.0, 9.9), (10.0, None, 9.9)], "t double, a double, b double")
     assert [r.health for r in streams.health(df, {"a": "a", "b": "b"}, {"a": 0.5, "b": 0.5}).collect()] == ["b_timeout", "a_timeout", "a_timeout"]
+
+
+def test_asof_join_by_bucket_is_the_same(spark):
+    from fieldscan.operators import timejoin
+
+    rng = random.Random(21)
+    rows = lambda n, none: [(rng.choice("ab"), rng.randrange(400) / 10, i, None if none and rng.random() < 0.2 else rng.random()) for i in range(n)]
+    left, right = (spark.createDataFrame(rows(n, k), "device_id string, t double, seq long, v double") for n, k in ((300, False), (60, True)))
+    for kind in ({}, {"forward": True}, {"strict": True}, {"max_age": 1.5}):
+        plain = timejoin.asof_join(left, right, ["device_id"], ["v"], **kind).collect()
+        split = timejoin.asof_join(left, right, ["device_id"], ["v"], bucket=3.0, **kind).collect()
+        assert sorted(map(repr, plain)) == sorted(map(repr, split))
+
+
+def test_tracks_against_a_plain_walk(spark):
+    from fieldscan.operators import fold
+
+    rng = random.Random(22)
+    rows = [(k, float(t), rng.randrange(2, 6), rng.randrange(40) / 10, rng.randrange(40) / 10) for k in range(3) for t in range(12) for _ in range(rng.randrange(5))]
+    df = spark.createDataFrame(rows, "device_id long, t double, size long, x double, y double")
+    got = {(r.device_id, r.t, r.seq): r.track for r in fold.track_clusters(df, ["device_id"], 1.0, 3.0).collect()}
+    for key in range(3):
+        tracks, serial = {}, 0
+        for t in range(12):
+            tracks = {i: p for i, p in tracks.items() if p[2] > t}
+            taken = set()
+            own = sorted((r for r in rows if r[0] == key and r[1] == t), key=lambda r: (-r[2], r[3], r[4]))
+            for place, (_, _, _, x, y) in enumerate(own, 1):
+                near = min(((math.hypot(p[0] - x, p[1] - y), i) for i, p in tracks.items() if i not in taken), default=None)
+                i = near[1] if near and near[0] <= 1.0 else serial
+                serial += i == serial
+                taken.add(i)
+                tracks[i] = (x, y, t + 3.0)
+                assert got[key, float(t), place] == i
+
+
+def test_heading_alignment_once_a_goal():
+    from fieldscan.operators import fold
+
+    init, step = fold.alignment_step(30.0, 10.0, 0.4, 0.5)
+    state, seen = init(), []
+    pose = lambda t, yaw, x=0.0: {"t": t, "x": x, "y": 0.0, "yaw": math.radians(yaw), "gx": None, "gy": None}
+    goal = lambda t, x, y: {"t": t, "x": None, "y": None, "yaw": None, "gx": x, "gy": y}
+    rows = [pose(0, 0), goal(1, 0.0, 5.0), pose(1.1, 0), pose(1.2, 85), pose(1.5, 70), pose(1.6, 88), pose(1.9, 89), pose(2.1, 91), pose(2.2, 0), goal(3, 5.0, 0.0), pose(3.1, 5), goal(4, 0.2, 0.0), pose(4.1, 90)]
+    for row in rows:
+        state, out = step(state, row)
+        seen.append(out["aligning"])
+    #                 goal         near   away   near               held          once         new    small         close
+    assert seen == [False, False, True, True, True, True, True, False, False, False, False, False, False]
+
+
+def test_deskew_against_matrices(spark):
+    from fieldscan.operators import lidar
+
+    rng = np.random.default_rng(23)
+
+    def matrix(q):
+        x, y, z, w = q
+        return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+
+    def exp(v):
+        a = np.linalg.norm(v)
+        k = v / a
+        m = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+        return np.eye(3) + np.sin(a) * m + (1 - np.cos(a)) * m @ m
+
+    unit = lambda: (v := rng.normal(size=4)) / np.linalg.norm(v)
+    poses = [(1, k, 0.02 + 0.03 * k, *unit(), *rng.normal(size=12)) for k in range(3)]
+    end, mount, shift = (*unit(), *rng.normal(size=3)), unit(), rng.normal(size=3)
+    points = [(1, i, float(t), *rng.normal(size=3)) for i, t in enumerate([0.01, 0.02, 0.03, 0.05, 0.06, 0.1])]
+    frame = lambda rows, names: spark.createDataFrame([tuple(float(v) if isinstance(v, np.floating) else v for v in r) for r in rows], "scan_id long, " + names)
+    kinds = ", ".join(f"{c} double" for c in lidar.POSE)
+    out = lidar.deskew(frame(points, "seq long, t double, x double, y double, z double"), frame(poses, f"seq long, t double, {kinds}"), frame([(1, *end)], ", ".join(f"{c} double" for c in lidar.POSE[:7])), tuple(map(float, mount)), tuple(map(float, shift)))
+    got = {r.seq: np.array([r.x, r.y, r.z]) for r in out.collect()}
+    li, re_ = matrix(mount), matrix(end[:4])
+    for _, i, t, *p in points:
+        own = [q for q in poses if q[2] < t]
+        want = np.array(p)
+        if own:
+            _, _, t0, *q = own[-1]
+            dt = t - t0
+            p0, v, a, w = (np.array(q[k : k + 3]) for k in (4, 7, 10, 13))
+            world = matrix(q[:4]) @ exp(w * dt) @ (li @ want + shift) + p0 + v * dt + 0.5 * a * dt * dt - np.array(end[4:])
+            want = li.T @ (re_.T @ world - shift)
+        assert np.allclose(got[i], want, atol=1e-9)
+
+
+def test_cubic_surface_gives_cubics_back(spark):
+    from fieldscan.operators import grid, sampling
+
+    g = grid.Geometry(8.0, 8.0, 1.0)
+    f = lambda x, y: 1 + x - 2 * y + x * y + 0.5 * x * x
+    cells = grid.with_center(grid.make_grid(spark, g), g).withColumn("h", f(F.col("x"), F.col("y")))
+    rng = random.Random(24)
+    q = spark.createDataFrame([(i, rng.uniform(-2.4, 2.4), rng.uniform(-2.4, 2.4)) for i in range(40)] + [(40, 9.0, 0.0), (41, 3.9, -3.9)], "query_id long, x double, y double")
+    got = {r.query_id: r for r in sampling.sample_cubic(cells, q, g, "h").collect()}
+    assert all(got[i].value == pytest.approx(f(got[i].x, got[i].y)) for i in range(40)) and got[40].value is None and got[41].value is not None
