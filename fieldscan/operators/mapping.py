@@ -73,7 +73,7 @@ def sample_cubic(cells: DataFrame, queries: DataFrame, g: Geometry, layer: str)
     return joined.groupBy("query_id").agg(F.when(F.count("value") == 16, F.sum(F.col("w") * F.col("value"))).alias("value"))
 
 
-def distance_3d(cells: DataFrame, layer: str, heights: list[float], reach: int) -> DataFrame:
+def distance_3d(cells: DataFrame, layer: str, heights: list[float], reach: int = 8) -> DataFrame:
     """(map_id, iz, ix, iy, distance): for each height the signed planar distance to terrain as high as that. Each height is
     a map of its own, so they run side by side."""
     stacked = cells.withColumn("_z", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(h)).alias("h")) for k, h in enumerate(heights)])))

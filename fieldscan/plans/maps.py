@@ -41,12 +41,12 @@ TRANSFORM_SQL = """, m AS (SELECT ix AS sx, iy AS sy, mean_z + 0.25 AS h, n, cos
 
 
 def distance_3d_q(spark, sf_dir):
-    return rounded(mapping.distance_3d(fx.cells(spark, sf_dir), "max_z", [0.9, 0.95, 1.0], 6).drop("map_id"), "distance")
+    return rounded(mapping.distance_3d(fx.cells(spark, sf_dir), "max_z", [0.9, 0.95, 1.0, 2.0]).drop("map_id"), "distance")
 
 
-DISTANCE_3D_SQL = """, g AS (SELECT k::INT AS iz, ix, iy, max_z >= h AS occ FROM f_cells, (VALUES (0, 0.9::DOUBLE), (1, 0.95::DOUBLE), (2, 1.0::DOUBLE)) z(k, h)),
+DISTANCE_3D_SQL = """, g AS (SELECT k::INT AS iz, ix, iy, max_z >= h AS occ FROM f_cells, (VALUES (0, 0.9::DOUBLE), (1, 0.95::DOUBLE), (2, 1.0::DOUBLE), (3, 2.0::DOUBLE)) z(k, h)),
  d AS (SELECT a.iz, a.ix, a.iy, sqrt(min(pow(greatest(abs(a.ix - b.ix) - 0.5, 0), 2) + pow(greatest(abs(a.iy - b.iy) - 0.5, 0), 2))) AS d FROM g a JOIN g b ON a.iz = b.iz AND a.occ <> b.occ GROUP BY 1, 2, 3)
- SELECT g.iz, g.ix, g.iy, CASE WHEN d <= 6 THEN round(CASE WHEN occ THEN -d ELSE d END, 6) END AS distance FROM g LEFT JOIN d USING (iz, ix, iy)"""
+ SELECT g.iz, g.ix, g.iy, CASE WHEN occ THEN -1 ELSE 1 END * coalesce(round(d, 6), 'infinity'::DOUBLE) AS distance FROM g LEFT JOIN d USING (iz, ix, iy)"""
 
 
 def safety_q(spark, sf_dir):

@@ -272,7 +272,7 @@ def distance_q(spark, sf_dir):
 
 DISTANCE_SQL = """, g AS (SELECT a.i::INT AS ix, b.i::INT AS iy, coalesce(n % 7 = 0, false) AS occ FROM range(52) a(i), range(52) b(i) LEFT JOIN f_cells c ON c.ix = a.i AND c.iy = b.i),
  d AS (SELECT a.ix, a.iy, a.occ, sqrt(min(pow(greatest(abs(a.ix - b.ix) - 0.5, 0), 2) + pow(greatest(abs(a.iy - b.iy) - 0.5, 0), 2))) AS d FROM g a JOIN g b ON a.occ <> b.occ GROUP BY 1, 2, 3)
- SELECT g.ix, g.iy, CASE WHEN d <= 8 THEN round(CASE WHEN g.occ THEN -d ELSE d END, 6) END AS distance FROM g LEFT JOIN d USING (ix, iy)"""
+ SELECT g.ix, g.iy, round(CASE WHEN g.occ THEN -d ELSE d END, 6) AS distance FROM g LEFT JOIN d USING (ix, iy)"""
 
 
 def inpaint_q(spark, sf_dir):
