@@ -119,6 +119,12 @@ class Table:
         keys, starts = np.unique(hashes[order], return_index=True)
         return cls(keys, np.append(starts, len(hashes)), lang[order].astype(np.int32), value[order].astype(np.float32))
 
+    def part(self, wanted: list[int]) -> Table:
+        """The entries of those languages, numbered anew."""
+        at = np.searchsorted(wanted, self.lang)
+        mine = np.isin(self.lang, wanted)
+        return Table.of(np.repeat(self.keys, np.diff(self.starts))[mine], at[mine], self.value[mine])
+
     def look_up(self, wanted: np.ndarray, out: np.ndarray) -> np.ndarray:
         """Writes the values of the wanted hashes into the rows of out (n, languages), which keeps its own elsewhere."""
         if len(self.keys):
@@ -153,6 +159,12 @@ class Model:
             p += self.grams[order - 1].look_up(hash_runs(tail), np.zeros(shape))
         return p
 
+    def part(self, prefix: str) -> Model:
+        """The models of the languages whose names begin so, without the beginning."""
+        wanted = [k for k, name in enumerate(self.languages) if name.startswith(prefix)]
+        pick = lambda tables: [t.part(wanted) for t in tables]
+        return Model([self.languages[k].removeprefix(prefix) for k in wanted], pick(self.grams), pick(self.contexts), self.floor[wanted])
+
     def entropy(self, words: list[str]) -> np.ndarray:
         """(words, languages) sum of -log2 p over each word's characters and end."""
         if not words:
@@ -174,16 +186,14 @@ def hash_of(runs: str) -> Column:
 
 def kneser_ney(counts: DataFrame, least: float = LEAST) -> Model:
     """The models from (lang, run, n), all computed over all runs; the driver gets hashes and numbers of the runs kept."""
-    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    number = {name: k for k, name in enumerate(languages)}
-    grams, contexts, floor = [], [], np.ones(len(languages))
+    number = {name: k for k, name in enumerate(sorted(r["lang"] for r in counts.select("lang").distinct().collect()))}
+    grams, contexts, floor = [], [], np.ones(len(number))
     level = counts
     for order in range(ORDER, 0, -1):
-        own = W.partitionBy("lang", "context")
-        placed = level.withColumn("context", F.substring("run", 1, order - 1))
-        share = F.col("n") / F.sum("n").over(W.partitionBy("lang"))
-        p = placed.select("lang", "run", "context", ((F.col("n") - DISCOUNT) / F.sum("n").over(own)).alias("p"), share.alias("share")).where(F.col("share") >= least)
-        kept = cut(p.select("lang", "context", "p", hash_of("run").alias("h")))
+        whole = level.groupBy("lang").agg(F.sum("n").alias("whole"))  # one row for each language
+        placed = level.join(F.broadcast(whole), "lang").withColumn("context", F.substring("run", 1, order - 1))
+        p = placed.withColumn("p", (F.col("n") - DISCOUNT) / F.sum("n").over(W.partitionBy("lang", "context")))
+        kept = cut(p.where(F.col("n") / F.col("whole") >= least).select("lang", "context", "p", hash_of("run").alias("h")))
         got = kept.select("lang", "h", "p").toPandas()
         grams.insert(0, Table.of(got["h"].to_numpy().view(np.uint64), got["lang"].map(number).to_numpy(dtype=np.int32), got["p"].to_numpy()))
         left = kept.groupBy("lang", "context").agg((1 - F.sum("p")).alias("left"))
@@ -194,7 +204,7 @@ def kneser_ney(counts: DataFrame, least: float = LEAST) -> Model:
         else:
             for r in left.collect():
                 floor[number[r["lang"]]] = r["left"]
-    return Model(languages, grams, contexts, floor)
+    return Model(list(number), grams, contexts, floor)
 
 
 def train(docs: DataFrame, calibration: int = CALIBRATION) -> Model:
@@ -206,8 +216,11 @@ def train(docs: DataFrame, calibration: int = CALIBRATION) -> Model:
     counts = cut(run_counts(docs))
     if counts.isEmpty():
         return Model([], [], [], np.zeros(0))
-    model = kneser_ney(cut(counts.groupBy("lang", "run").agg(F.sum("n").alias("n"))))
-    others = kneser_ney(counts.where("NOT fold").select("lang", "run", "n"))
+    # both models in one pass, as if they were languages of their own
+    name = lambda part: F.concat(F.lit(part), "lang").alias("lang")
+    both = counts.groupBy("lang", "run").agg(F.sum("n").alias("n")).select(name("all "), "run", "n")
+    both = kneser_ney(cut(both.unionByName(counts.where("NOT fold").select(name("not "), "run", "n"))))
+    model, others = both.part("all "), both.part("not ")
     apart = docs.where("fold").select("lang", "text", text_hash.alias("h"))
     n = apart.agg(F.approx_count_distinct("h")).first()[0]
     shared = docs.sparkSession.sparkContext.broadcast(others)
