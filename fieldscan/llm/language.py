@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -106,34 +107,45 @@ def run_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Table:
-    """Sorted hashes; entries starts[k] to starts[k + 1] of `lang` and `value` belong to hash k."""
+    """Sorted hashes; entries starts[k] to starts[k + 1] of `lang` and `value` belong to hash k. `fill` stands for any other."""
 
     keys: np.ndarray
     starts: np.ndarray
     lang: np.ndarray
     value: np.ndarray
+    fill: float
+    #: One row of all languages for each hash, made in a worker where it takes at most four times the room of the entries.
+    matrix: np.ndarray | None = None
 
     @classmethod
-    def of(cls, hashes: np.ndarray, lang: np.ndarray, value: np.ndarray) -> Table:
+    def of(cls, hashes: np.ndarray, lang: np.ndarray, value: np.ndarray, fill: float) -> Table:
         order = np.lexsort((lang, hashes))
         keys, starts = np.unique(hashes[order], return_index=True)
-        return cls(keys, np.append(starts, len(hashes)), lang[order].astype(np.int32), value[order].astype(np.float32))
+        return cls(keys, np.append(starts, len(hashes)), lang[order].astype(np.int32), value[order].astype(np.float32), fill)
 
     def part(self, wanted: list[int]) -> Table:
         """The entries of those languages, numbered anew."""
         at = np.searchsorted(wanted, self.lang)
         mine = np.isin(self.lang, wanted)
-        return Table.of(np.repeat(self.keys, np.diff(self.starts))[mine], at[mine], self.value[mine])
-
-    def look_up(self, wanted: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """Writes the values of the wanted hashes into the rows of out (n, languages), which keeps its own elsewhere."""
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            rows = np.flatnonzero(self.keys[at] == wanted)
-            first, last = self.starts[at[rows]], self.starts[at[rows] + 1]
-            n = last - first
-            entry = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
-            out[np.repeat(rows, n), self.lang[entry]] = self.value[entry]
+        return Table.of(np.repeat(self.keys, np.diff(self.starts))[mine], at[mine], self.value[mine], self.fill)
+
+    def look_up(self, wanted: np.ndarray, languages: int) -> np.ndarray:
+        """(n, languages) values of the wanted hashes."""
+        if not len(self.keys):
+            return np.full((len(wanted), languages), self.fill)
+        if self.matrix is None and len(self.keys) * languages <= 4 * len(self.value):
+            self.matrix = np.full((len(self.keys) + 1, languages), self.fill)
+            self.matrix[np.repeat(np.arange(len(self.keys)), np.diff(self.starts)), self.lang] = self.value
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        found = self.keys[at] == wanted
+        if self.matrix is not None:
+            return self.matrix[np.where(found, at, len(self.keys))]
+        out = np.full((len(wanted), languages), self.fill)
+        rows = np.flatnonzero(found)
+        first, last = self.starts[at[rows]], self.starts[at[rows] + 1]
+        n = last - first
+        entry = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        out[np.repeat(rows, n), self.lang[entry]] = self.value[entry]
         return out
 
 
@@ -148,15 +160,18 @@ class Model:
     floor: np.ndarray
     temperature: float = 1.0
     limits: np.ndarray | None = None
+    #: Places and sums of the words that a worker has met, kept from task to task.
+    met: dict[str, int] = field(default_factory=dict)
+    sums: np.ndarray | None = None
 
     def probability(self, runs: np.ndarray) -> np.ndarray:
         """(n, languages) probability of the last character of each run after the others."""
-        shape = len(runs), len(self.languages)
-        p = np.full(shape, 1.0 / CHARACTERS)
+        n = len(self.languages)
+        p = np.full((len(runs), n), 1.0 / CHARACTERS)
         for order in range(1, ORDER + 1):
             tail = runs[:, ORDER - order :]
-            p *= self.contexts[order - 2].look_up(hash_runs(tail[:, :-1]), np.ones(shape)) if order > 1 else self.floor
-            p += self.grams[order - 1].look_up(hash_runs(tail), np.zeros(shape))
+            p *= self.contexts[order - 2].look_up(hash_runs(tail[:, :-1]), n) if order > 1 else self.floor
+            p += self.grams[order - 1].look_up(hash_runs(tail), n)
         return p
 
     def part(self, prefix: str) -> Model:
@@ -195,11 +210,11 @@ def kneser_ney(counts: DataFrame, least: float = LEAST) -> Model:
         p = placed.withColumn("p", (F.col("n") - DISCOUNT) / F.sum("n").over(W.partitionBy("lang", "context")))
         kept = cut(p.where(F.col("n") / F.col("whole") >= least).select("lang", "context", "p", hash_of("run").alias("h")))
         got = kept.select("lang", "h", "p").toPandas()
-        grams.insert(0, Table.of(got["h"].to_numpy().view(np.uint64), got["lang"].map(number).to_numpy(dtype=np.int32), got["p"].to_numpy()))
+        grams.insert(0, Table.of(got["h"].to_numpy().view(np.uint64), got["lang"].map(number).to_numpy(dtype=np.int32), got["p"].to_numpy(), 0.0))
         left = kept.groupBy("lang", "context").agg((1 - F.sum("p")).alias("left"))
         if order > 1:
             got = left.select("lang", "left", hash_of("context").alias("h")).toPandas()
-            contexts.insert(0, Table.of(got["h"].to_numpy().view(np.uint64), got["lang"].map(number).to_numpy(dtype=np.int32), got["left"].to_numpy()))
+            contexts.insert(0, Table.of(got["h"].to_numpy().view(np.uint64), got["lang"].map(number).to_numpy(dtype=np.int32), got["left"].to_numpy(), 1.0))
             level = cut(level.groupBy("lang", F.substring("run", 2, order - 1).alias("run")).agg(F.count("*").alias("n")))
         else:
             for r in left.collect():
@@ -279,24 +294,25 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         most = 1_200_000 // max(4, len(model.languages))
-        cache: dict[str, int] = {}
-        table_ = np.zeros((0, len(model.languages)))
+        if model.sums is None:
+            model.sums = np.zeros((0, len(model.languages)))
         for texts in batches:
             split = [letter_words(t) if model.languages else [] for t in texts]
-            if len(cache) > most:
-                cache, table_ = {}, table_[:0]
-            new = list({w for ws in split for w in ws if w not in cache})
+            if len(model.met) > most:
+                model.met.clear()
+                model.sums = model.sums[:0]
+            new = list(set(filterfalse(model.met.__contains__, chain.from_iterable(split))))
             for at in range(0, len(new), most // 6):
                 part = new[at : at + most // 6]
-                cache.update(zip(part, range(len(table_), len(table_) + len(part)), strict=True))
-                table_ = np.concatenate([table_, model.entropy(part)])
+                model.met.update(zip(part, range(len(model.sums), len(model.sums) + len(part)), strict=True))
+                model.sums = np.concatenate([model.sums, model.entropy(part)])
             out = []
             for ws in split:
                 if not ws:
                     out.append(("und", 0.0, True))
                     continue
                 n = sum(map(len, ws)) + len(ws)
-                h = table_[np.fromiter(map(cache.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(axis=0) / n
+                h = model.sums[np.fromiter(map(model.met.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(axis=0) / n
                 k = int(np.argmin(h))
                 p = softmax(-h * min(n, LENGTH) * model.temperature)
                 out.append((model.languages[k], float(p[k]), bool(model.limits is not None and h[k] > model.limits[k])))
