@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import checkpoint_dir, saved
+
+__all__ = ["checkpoint_dir", "cut", "fold_ascii", "held_out", "labelled_sample", "saved", "share_limit", "small", "table"]
+
 #: A table of at most this many rows of a few numbers (under about 32 MB) may be broadcast once its rows have been counted.
 BROADCAST_ROWS = 1_000_000
 #: Rows are sampled by a hash modulo this.
@@ -19,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder: the session's, or a folder of this machine where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldscan-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: smaller than a checkpoint where there are many rows."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that a lost executor costs a file read and no recomputation."""
     checkpoint_dir(df.sparkSession)
