@@ -1,8 +1,9 @@
-"""A document pipeline: reject toxic texts, keep one of each near-duplicate group, cut benchmark passages, mask secrets,
-pack into sequences. Each stage is one operator applied to all that the stage before it kept.
+"""A document pipeline: reject toxic texts, keep one of each near-duplicate group, drop documents with benchmark passages,
+mask secrets, pack into sequences. Each stage is one operator applied to all that the stage before it kept.
 
-Rows with a null doc_id cannot be joined or labelled and are kept by no stage but the first. Null texts are kept as they
-are; empty tables give empty tables. Columns beyond those of documents are dropped.
+Rows with a null doc_id cannot be linked, so the second stage drops them; the others judge them like any row. Rows that
+repeat a doc_id share its fate in the second stage and are judged one by one elsewhere. Null texts are kept as they are;
+empty tables give empty tables. Columns beyond those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL cannot state the learned stages, the fingerprints and the packing; tests hold them against plain versions.
+#: SQL cannot state the learned stages and the packing; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
