@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import checkpoint_dir, saved
 
-__all__ = ["checkpoint_dir", "cut", "fold_ascii", "held_out", "labelled_sample", "saved", "share_limit", "small", "table"]
+__all__ = ["checkpoint_dir", "fold_ascii", "held_out", "labelled_sample", "saved", "share_limit", "small", "table"]
 
 #: A table of at most this many rows of a few numbers (under about 32 MB) may be broadcast once its rows have been counted.
 BROADCAST_ROWS = 1_000_000
@@ -20,12 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor costs a file read and no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, n: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint when its counted rows, n, are within the limit; else as it is, for a shuffled join."""
     return F.broadcast(df) if n <= limit else df
@@ -51,7 +45,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     limit = F.when(F.col("label") == 1, share_limit(sample, sizes.get(1, 0))).otherwise(share_limit(sample, sizes.get(0, 0)))
-    chosen = cut(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) < limit).distinct())
+    chosen = saved(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) < limit).distinct())
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(small(chosen, chosen.count()), "doc_id")
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 

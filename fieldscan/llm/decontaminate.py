@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, fold_ascii, table
+from .common import BROADCAST_ROWS, fold_ascii, saved, table
 
 #: ASCII characters that part words, once A-Z are folded.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,8 +54,8 @@ def prefixes(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     rarest, so their windows leave the join at once.
     """
     windows = item_windows(benchmark, size).withColumn("length", F.size("window"))
-    vocabulary = cut(windows.select(F.explode("window").alias("word")).distinct())
-    counts = cut(word_counts(docs, vocabulary))
+    vocabulary = saved(windows.select(F.explode("window").alias("word")).distinct())
+    counts = saved(word_counts(docs, vocabulary))
     ranked = windows.select("item_id", "window", "length", F.posexplode("window").alias("offset", "word")).join(held(counts, F.col("word")), "word", "left")
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word", "offset")).alias("first")
     return ranked.groupBy("item_id", "window", "length").agg(rarest).where("first.count > 0").select("item_id", "window", "length", F.col("first.word").alias("key"), F.col("first.offset").alias("offset"))
@@ -64,8 +64,8 @@ def prefixes(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """(doc_id, part, item_id, start, length): each occurrence of an item's window, start counted in words from 0; part, a
     hash of the text, tells apart rows of one id."""
-    keyed = cut(prefixes(docs, benchmark, size))
-    keys = held(cut(keyed.select("key").distinct()), F.col("key"))
+    keyed = saved(prefixes(docs, benchmark, size))
+    keys = held(saved(keyed.select("key").distinct()), F.col("key"))
     words = docs.select("doc_id", F.xxhash64("text").alias("part"), words_of(F.col("text")).alias("words"))
     places = words.select("*", F.posexplode("words").alias("pos", "key")).join(keys, "key", "left_semi")
     first = F.greatest(F.col("pos") - (size - 1), F.lit(0))
@@ -83,7 +83,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     Hits of a word are made distinct per document and place before they are counted, so a passage that many items share,
     or a document that repeats one, adds partial sums and no large group.
     """
-    hits = cut(occurrences(docs, benchmark, size).distinct())
+    hits = saved(occurrences(docs, benchmark, size).distinct())
     covered = hits.select("doc_id", "part", "start", "length").distinct().select("doc_id", "part", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("word")).distinct()
     n_hit = covered.groupBy("doc_id", "part").agg(F.count("*").alias("n_hit"))
     items = hits.select("doc_id", "part", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id", "part").agg(F.sort_array(F.collect_list("item")).alias("items"))
@@ -94,7 +94,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 def flag_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """docs with `_n_hit` (0 where none) and `_items` (empty where none)."""
     rest = docs.drop("_n_hit", "_items")
-    found = cut(contamination(docs, benchmark, size).select(F.col("doc_id").alias("hit_id"), F.col("part").alias("hit_part"), "n_hit", "items"))
+    found = saved(contamination(docs, benchmark, size).select(F.col("doc_id").alias("hit_id"), F.col("part").alias("hit_part"), "n_hit", "items"))
     found = held(found, F.array_join("items", ","))
     same = rest["doc_id"].eqNullSafe(found["hit_id"]) & (F.xxhash64(rest["text"]) == found["hit_part"])
     n_hit = F.coalesce(found["n_hit"], F.lit(0).cast("long")).alias("_n_hit")

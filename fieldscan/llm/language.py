@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SHARE, cut, held_out, share_limit, table
+from .common import SHARE, held_out, saved, share_limit, table
 
 ORDER = 4
 LETTERS = regex.compile(r"\p{L}+")
@@ -208,14 +208,14 @@ def kneser_ney(counts: DataFrame, least: float = LEAST) -> Model:
         whole = level.groupBy("lang").agg(F.sum("n").alias("whole"))  # one row for each language
         placed = level.join(F.broadcast(whole), "lang").withColumn("context", F.substring("run", 1, order - 1))
         p = placed.withColumn("p", (F.col("n") - DISCOUNT) / F.sum("n").over(W.partitionBy("lang", "context")))
-        kept = cut(p.where(F.col("n") / F.col("whole") >= least).select("lang", "context", "p", hash_of("run").alias("h")))
+        kept = saved(p.where(F.col("n") / F.col("whole") >= least).select("lang", "context", "p", hash_of("run").alias("h")))
         got = kept.select("lang", "h", "p").toPandas()
         grams.insert(0, Table.of(got["h"].to_numpy().view(np.uint64), got["lang"].map(number).to_numpy(dtype=np.int32), got["p"].to_numpy(), 0.0))
         left = kept.groupBy("lang", "context").agg((1 - F.sum("p")).alias("left"))
         if order > 1:
             got = left.select("lang", "left", hash_of("context").alias("h")).toPandas()
             contexts.insert(0, Table.of(got["h"].to_numpy().view(np.uint64), got["lang"].map(number).to_numpy(dtype=np.int32), got["left"].to_numpy(), 1.0))
-            level = cut(level.groupBy("lang", F.substring("run", 2, order - 1).alias("run")).agg(F.count("*").alias("n")))
+            level = saved(level.groupBy("lang", F.substring("run", 2, order - 1).alias("run")).agg(F.count("*").alias("n")))
         else:
             for r in left.collect():
                 floor[number[r["lang"]]] = r["left"]
@@ -228,13 +228,13 @@ def train(docs: DataFrame, calibration: int = CALIBRATION) -> Model:
     text_hash = F.xxhash64("text")
     fold = F.pmod(text_hash, F.lit(FOLDS)) == 0
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", fold.alias("fold"))
-    counts = cut(run_counts(docs))
+    counts = saved(run_counts(docs))
     if counts.isEmpty():
         return Model([], [], [], np.zeros(0))
     # both models in one pass, as if they were languages of their own
     name = lambda part: F.concat(F.lit(part), "lang").alias("lang")
     both = counts.groupBy("lang", "run").agg(F.sum("n").alias("n")).select(name("all "), "run", "n")
-    both = kneser_ney(cut(both.unionByName(counts.where("NOT fold").select(name("not "), "run", "n"))))
+    both = kneser_ney(saved(both.unionByName(counts.where("NOT fold").select(name("not "), "run", "n"))))
     model, others = both.part("all "), both.part("not ")
     apart = docs.where("fold").select("lang", "text", text_hash.alias("h"))
     n = apart.agg(F.approx_count_distinct("h")).first()[0]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import saved, table
 
 CAPACITY = 2048
 #: Pieces of a district, islands of a district, epochs, generations in an epoch, packings of an island.
@@ -268,7 +268,7 @@ def evolve_districts(pieces: DataFrame, districts: int, capacity: int, seed: int
 
         return run
 
-    todo = cut(dealt.groupBy("district").applyInPandas(start, state_schema))
+    todo = saved(dealt.groupBy("district").applyInPandas(start, state_schema))
     finished = []
     for number in range(1, EPOCHS):  # of districts whose islands all miss the bound by total length
         reached = todo.groupBy("district").agg((F.min("n_bins") <= F.max("bound")).alias("reached"))
@@ -278,7 +278,7 @@ def evolve_districts(pieces: DataFrame, districts: int, capacity: int, seed: int
         if todo.isEmpty():
             break
         guests = todo.select("district", ((F.col("island") + 1) % ISLANDS).alias("island"), "n_bins", "bound", F.lit(None).cast("binary").alias("state"), "elite", F.lit(1).alias("migrant"))
-        todo = cut(todo.withColumn("migrant", F.lit(0)).unionByName(guests).groupBy("district", "island").applyInPandas(epoch(number), state_schema))
+        todo = saved(todo.withColumn("migrant", F.lit(0)).unionByName(guests).groupBy("district", "island").applyInPandas(epoch(number), state_schema))
     islands = reduce(DataFrame.unionByName, finished, todo)
 
     def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,10 +296,10 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, slack: int = 2) -> DataF
     """(key, length, sequence_id) for pieces (key, length) with distinct keys from 0. A full piece has sequence_id -1 - key;
     others have their level, district and bin in its bits."""
     done = pieces.where(F.col("length") == capacity).select("key", "length", (-1 - F.col("key")).alias("sequence_id"))
-    left, level = cut(pieces.where(F.col("length") < capacity).select("key", "length")), 0
+    left, level = saved(pieces.where(F.col("length") < capacity).select("key", "length")), 0
     while n := left.count():
         districts = -(-n // DISTRICT)
-        packed = cut(evolve_districts(left, districts, capacity, level))
+        packed = saved(evolve_districts(left, districts, capacity, level))
         tight = F.col("room") <= (slack if districts > 1 else capacity)
         done = done.unionByName(packed.where(tight).select("key", "length", ((F.lit(level).cast("long") * (1 << 56)) + F.col("district") * (1 << 16) + F.col("bin")).alias("sequence_id")))
         left, level = packed.where(~tight).select("key", "length"), level + 1
@@ -310,7 +310,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, slack: int = 2) -> DataF
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, length, and others) with sequence_id and the offset of each in its sequence."""
-    keyed = cut(pieces.withColumn("_key", F.monotonically_increasing_id()))
+    keyed = saved(pieces.withColumn("_key", F.monotonically_increasing_id()))
     placed = assign(keyed.select(F.col("_key").alias("key"), F.col("length")), capacity)
     # a sequence holds at most `capacity` pieces, so a window over it is bounded
     before = W.partitionBy("sequence_id").orderBy("key").rowsBetween(W.unboundedPreceding, -1)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, labelled_sample, table
+from .common import held_out, labelled_sample, saved, table
 from .toxicity import fit_logistic
 
 #: Characters of a line piece, measures of a line, soft bins of a measure.
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
     """The field from docs (doc_id, text) and labels (doc_id, label): at most about `sample` rows of each label, chosen by a
     hash of doc_id. The driver gets the measures of the lines that training_runs gives, and one mean of whole-text
     marginals for each row, on which the final curve is fitted. Both labels weigh the same."""
-    rows = cut(labelled_sample(docs, labels, sample))
+    rows = saved(labelled_sample(docs, labels, sample))
 
     @F.pandas_udf("array<binary>")
     def runs_of(texts: pd.Series) -> pd.Series:

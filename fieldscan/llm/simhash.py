@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, saved, small, table
+from .common import LOWER, UPPER, saved, small, table
 
 FOLD = str.maketrans(UPPER, LOWER)
 #: ASCII white space that parts words: \x20 and \x09-\x0D.
@@ -179,8 +179,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most `bits` (2) bits."""
-    prints = cut(fingerprints(docs, width))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    prints = saved(fingerprints(docs, width))
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = saved(components(links(nodes.withColumn("view", F.lit(0)), bits)))
     named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     named = saved(named)

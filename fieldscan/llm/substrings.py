@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, saved, small, table
+from .common import BROADCAST_ROWS, saved, small, table
 
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: White space that parts words, \x20 and \x09-\x0D, which is also what bytes.split() takes.
@@ -269,9 +269,9 @@ def repeated_starts(docs: DataFrame, size: int = 50, gram: int = 8, most_bits: i
     """(doc_id, part, starts), one row for each id and digest of a text: places (in words) of windows that a document with a
     smaller id has too, and, for a whole copy of such a document, null starts."""
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", part_of("text"), "text")
-    classes = cut(docs.select("doc_id", "part", F.md5(F.col("text").cast("binary")).alias("class")).distinct())
-    firsts = cut(classes.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first"))
-    copies = cut(classes.join(small(firsts, firsts.count()), "class").where("doc_id > first").select("doc_id", "part"))
+    classes = saved(docs.select("doc_id", "part", F.md5(F.col("text").cast("binary")).alias("class")).distinct())
+    firsts = saved(classes.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first"))
+    copies = saved(classes.join(small(firsts, firsts.count()), "class").where("doc_id > first").select("doc_id", "part"))
     left = docs.join(small(copies, copies.count()), ["doc_id", "part"], "left_anti")
     found = saved(candidate_windows(left, size, gram, most_bits))
     least = saved(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least"))
@@ -294,7 +294,7 @@ def removal_mask(n: int, starts: np.ndarray | None, size: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is what is left of each document's words, joined by one space."""
-    marked = cut(repeated_starts(docs, size).withColumn("hit", F.lit(True)))
+    marked = saved(repeated_starts(docs, size).withColumn("hit", F.lit(True)))
     docs = docs.select("doc_id", part_of("text"), "text")
     if marked.count() <= BROADCAST_ROWS:  # texts that keep every word stay where they are
         ids = F.broadcast(marked.select("doc_id", "part"))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, labelled_sample, table
+from .common import held_out, labelled_sample, saved, table
 from .simhash import shingle_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -73,7 +73,7 @@ def one_of_each_family(rows: DataFrame) -> DataFrame:
         return texts.map(families_of)
 
     own = F.xxhash64("text", "label")
-    named = cut(rows.select("text", "label", own.alias("row")).withColumn("families", families("text")))
+    named = saved(rows.select("text", "label", own.alias("row")).withColumn("families", families("text")))
     firsts = named.select("label", "row", F.posexplode("families")).groupBy("label", "pos", "col").agg(F.min("row").alias("row"))
     kept = firsts.groupBy("label", "row").agg(F.count("*").alias("n")).where(F.col("n") == len(FAMILIES)).select("row")
     return named.join(kept, "row", "left_semi").groupBy("row", "label").agg(F.min("text").alias("text")).select("text", "label")
@@ -265,8 +265,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[Term], list[float]]:
     """Terms and weights from docs (doc_id, text) and labels (doc_id, label). At most about `sample` rows of each label are
     used, chosen by a hash of doc_id; beside the terms, the driver gets one row of features for each of them."""
-    rows = cut(labelled_sample(docs, labels, sample).select("text", "label"))
-    apart = cut(one_of_each_family(rows))
+    rows = saved(labelled_sample(docs, labels, sample).select("text", "label"))
+    apart = saved(one_of_each_family(rows))
     sizes = {r["label"]: r["count"] for r in apart.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return [], []
