@@ -13,10 +13,9 @@ REASONS = ("class_not_enabled", "class_ignored", "low_confidence", "bbox_too_nar
 
 def classify(detections: DataFrame, classes: DataFrame, default_confidence: float, least_width: int, least_height: int, near: float, far: float) -> DataFrame:
     """detections with `reason`: the first of REASONS that applies, else accepted. classes (class_name, min_confidence,
-    enabled, ignored) is a small settings table of at most MAX_CLASSES rows."""
-    if classes.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    d = detections.join(F.broadcast(classes), "class_name", "left")
+    enabled, ignored) is a settings table: up to MAX_CLASSES rows go to every task, more are joined by a shuffle."""
+    few = classes.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES
+    d = detections.join(F.broadcast(classes) if few else classes, "class_name", "left")
     tests = (
         ~F.coalesce("enabled", F.lit(False)),
         F.coalesce("ignored", F.lit(False)),

@@ -55,16 +55,14 @@ def knn_join(queries: DataFrame, points: DataFrame, key: list[str], query_id: li
     return near.withColumn("rank", rank).where(F.col("rank") <= k).drop("_d")
 
 
-def in_box(points: DataFrame, boxes: DataFrame, keep: bool = True) -> DataFrame:
-    """Points inside any box (x0, x1, y0, y1, z0, z1), borders included; with keep=False those in none. Boxes are a
-    parameter table: their number is limited to MAX_BOXES, and each task gets a copy."""
-    if boxes.limit(MAX_BOXES + 1).count() > MAX_BOXES:
-        raise ValueError(f"more than {MAX_BOXES} boxes: use box_join")
-    cond = reduce(lambda a, b: a & b, [points[a].between(boxes[f"{a}0"], boxes[f"{a}1"]) for a in "xyz"])
-    return points.join(F.broadcast(boxes), cond, "left_semi" if keep else "left_anti")
-
-
-MAX_BOXES = 1_000
+def in_box(points: DataFrame, boxes: DataFrame, tile: float, keep: bool = True) -> DataFrame:
+    """Points inside any box (x0, x1, y0, y1, z0, z1), borders included; with keep=False those in none. Any number of boxes:
+    both sides meet on tiles of the ground, and a point stays one row."""
+    span = lambda a: F.sequence(F.floor(F.col(f"{a}0") / tile), F.floor(F.col(f"{a}1") / tile))
+    tiles = boxes.withColumn("_tx", F.explode(span("x"))).withColumn("_ty", F.explode(span("y")))
+    p = points.withColumn("_tx", F.floor(F.col("x") / tile)).withColumn("_ty", F.floor(F.col("y") / tile))
+    same = [p[c] == tiles[c] for c in ("_tx", "_ty")] + [p[a].between(tiles[f"{a}0"], tiles[f"{a}1"]) for a in "xyz"]
+    return p.join(tiles, reduce(lambda a, b: a & b, same), "left_semi" if keep else "left_anti").drop("_tx", "_ty")
 
 
 def box_join(points: DataFrame, boxes: DataFrame, tile: float) -> DataFrame:

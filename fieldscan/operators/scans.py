@@ -70,14 +70,18 @@ def mask_angles(beams: DataFrame, low: float, high: float, masks: list[tuple[flo
     return beams.where(F.col("angle").between(low, high)).withColumn("range", F.when(~hidden, F.col("range")))
 
 
-def best_direction(levels: DataFrame, goal: int, n: int, free: float, cone: int) -> DataFrame:
-    """Per scan (scan_id, sector, level): the goal's sector when the sectors within cone of it are free; else the boundary
-    between two free neighbours nearest to it, around the circle of n; else -1."""
-    gap = lambda s: F.least(F.pmod(s - goal, F.lit(n)), F.pmod(goal - s, F.lit(n)))
+def best_direction(levels: DataFrame, beams: DataFrame, goal: float, n: int, cone: float, near: float, far: float, free: float = 0.1) -> DataFrame:
+    """(scan_id, direction) in degrees: the goal where the beams (scan_id, degrees, range) from `cone` before it to `cone` behind
+    it lack less than `free` to `far`, summed; else the border between two of the n sectors (scan_id, sector, level) that are
+    both free, nearest to it around the circle, the lower sector first at equal distance; else -1."""
+    ahead = F.pmod(F.col("degrees") - goal + cone, F.lit(360.0)) < 2 * cone
+    close = F.when(ahead & (F.col("range") >= near) & (F.col("range") < far), far - F.col("range"))
+    ways = beams.groupBy("scan_id").agg((F.coalesce(F.sum(close), F.lit(0.0)) < free).alias("_open"))
     ring = levels.unionByName(levels.where("sector = 0").withColumn("sector", F.lit(n)))
     w = W.partitionBy("scan_id").orderBy("sector")
     pairs = ring.withColumn("_next", F.lead("level").over(w)).where(F.col("sector") < n)
     both = (F.col("level") < free) & (F.col("_next") < free)
-    at = F.pmod(F.col("sector") + 1, F.lit(n))
-    out = pairs.groupBy("scan_id").agg(F.bool_and(F.when(gap(F.col("sector")) <= cone, F.col("level") < free)).alias("_open"), F.min_by(F.when(both, at), F.when(both, F.struct(gap(at), at))).alias("_best"))
-    return out.select("scan_id", F.when(F.col("_open"), goal).otherwise(F.coalesce("_best", F.lit(-1))).alias("direction"))
+    border = F.pmod(F.col("sector") + 1, F.lit(n)) * (360.0 / n)
+    gap = F.least(F.pmod(border - goal, F.lit(360.0)), F.pmod(goal - border, F.lit(360.0)))
+    best = pairs.groupBy("scan_id").agg(F.min_by(F.when(both, border), F.when(both, F.struct(F.round(gap, 9), "sector"))).alias("_best"))
+    return ways.join(best, "scan_id", "left").select("scan_id", F.when(F.col("_open"), F.lit(float(goal))).otherwise(F.coalesce("_best", F.lit(-1.0))).alias("direction"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grid, mapping
+from ..operators import detections, grid, mapping
 from ..sources import fixtures as fx
 from . import space
 from .motion import rounded
@@ -71,7 +71,38 @@ def goals_q(spark, sf_dir):
     return rounded(mapping.accept_goals(g, 180.0), "east", "distance", "bearing")
 
 
+def make_grid_q(spark, sf_dir):
+    return grid.make_grid(spark, space.MAP).join(fx.cells(spark, sf_dir).select("ix", "iy", "n"), ["ix", "iy"], "left")
+
+
+def circle_q(spark, sf_dir):
+    return rounded(grid.cells_in_circle(fx.cells(spark, sf_dir), space.MAP, 20.2, 25.1, 9.7).select("ix", "iy", "mean_z"), "mean_z")
+
+
+def extend_q(spark, sf_dir):
+    wide = mapping.extend_geometry(space.MAP, grid.Geometry(30.0, 20.0, 1.0, 60.0, 10.0))
+    ix, iy = wide.index(F.col("x"), F.col("y"))
+    return grid.with_center(fx.cells(spark, sf_dir), space.MAP).select(ix.alias("ix"), iy.alias("iy"), "n", F.lit(wide.nx).alias("nx"), F.lit(wide.ny).alias("ny"))
+
+
+def box_depth_q(spark, sf_dir):
+    pixels = fx.points(spark, sf_dir).selectExpr("frame_id AS frame", "l_partkey % 64 AS u", "l_orderkey % 48 AS v", "CASE WHEN x > 3 THEN x / 5 END AS depth")
+    boxes = fx.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("det_id"))
+    boxes = boxes.selectExpr("frame", "det_id", "frame % 20 + det_id * 10 AS x_min", "frame % 20 + det_id * 10 + 24 AS x_max", "frame % 12 AS y_min", "frame % 12 + 30 AS y_max", "frame % 20 + det_id * 10 + 12 AS center_u", "frame % 12 + 15 AS center_v")
+    return rounded(detections.depth_in_boxes(pixels, boxes, 5, 12), "depth")
+
+
+BOX_DEPTH_SQL = """, b AS (SELECT s_suppkey AS frame, d AS det_id, s_suppkey % 20 + d * 10 AS x0, s_suppkey % 12 AS y0 FROM supplier, (VALUES (0), (1), (2)) AS vd(d)),
+ p AS (SELECT frame, det_id, abs(l_partkey % 64 - x0 - 12) <= 5 AND abs(l_orderkey % 48 - y0 - 15) <= 5 AS w, l_partkey % 64 BETWEEN x0 + 6 AND x0 + 18 AND l_orderkey % 48 BETWEEN y0 + 7.5 AND y0 + 22.5 AS i, x / 5 AS depth
+ FROM b JOIN f_points ON frame_id = frame WHERE x > 3 AND l_partkey % 64 BETWEEN x0 AND x0 + 24 AND l_orderkey % 48 BETWEEN y0 AND y0 + 30),
+ s AS (SELECT frame, det_id, CASE WHEN count(*) FILTER (WHERE w) >= 12 THEN median(depth) FILTER (WHERE w) WHEN count(*) FILTER (WHERE i) >= 12 THEN median(depth) FILTER (WHERE i) END AS depth FROM p GROUP BY 1, 2)
+ SELECT frame, det_id, round(depth, 6) AS depth FROM b LEFT JOIN s USING (frame, det_id)"""
+
 QUERIES = {
+    "g01_make_grid": (make_grid_q, o("SELECT a.i::INT AS ix, b.i::INT AS iy, n FROM range(52) a(i), range(52) b(i) LEFT JOIN f_cells ON ix = a.i AND iy = b.i", "f_cells")),
+    "g04_circle": (circle_q, o("SELECT ix, iy, round(mean_z, 6) AS mean_z FROM f_cells WHERE pow(52 - ix - 0.5 - 20.2, 2) + pow(52 - iy - 0.5 - 25.1, 2) <= 9.7 * 9.7", "f_cells")),
+    "u02_extend": (extend_q, o("SELECT ix + 23 AS ix, iy, n, 75 AS nx, 52 AS ny FROM f_cells", "f_cells")),
+    "a11_box_depth": (box_depth_q, o(BOX_DEPTH_SQL, "f_points")),
     "p39_accept_goals": (goals_q, o("SELECT seq, round(east, 6) AS east, north, round(sqrt(east*east + north*north), 6) AS distance, round(atan2(north, east), 6) AS bearing FROM (SELECT seq, value - 200 AS east, (seq % 400) - 200.0::DOUBLE AS north FROM f_topics) WHERE sqrt(east*east + north*north) <= 180", "f_topics")),
     "a22_polygon_safety": (safety_q, o(SAFETY_SQL, "f_cells")),
     "g12_cubic": (cubic_q, o(CUBIC_SQL, "f_topics", "f_cells")),

@@ -280,10 +280,10 @@ RATE_SQL = """SELECT device_id, topic, count(*) AS n, round(CASE WHEN count(*) >
 
 
 def quality_q(spark, sf_dir):
-    return windows.frame_quality(fx.faulty(spark, sf_dir).withColumn("device_id", F.col("device_id") % 7))
+    return windows.frame_quality(fx.faulty(spark, sf_dir).withColumn("counter", F.floor(F.col("seq") / 40)))
 
 
-QUALITY_SQL = """, a AS (SELECT device_id % 7 AS device_id, (counter - lag(counter) OVER (PARTITION BY device_id % 7 ORDER BY seq) + 65536) % 65536 AS s FROM f_faulty)
+QUALITY_SQL = """, a AS (SELECT device_id, (seq // 40 - lag(seq // 40) OVER (PARTITION BY device_id ORDER BY seq) + 65536) % 65536 AS s FROM f_faulty)
  SELECT device_id, count(*) AS n, count(*) FILTER (WHERE s <> 0 AND s <> 1) AS anomalies FROM a GROUP BY 1"""
 
 

@@ -75,7 +75,7 @@ def boxes_q(spark, sf_dir):
 
 
 def delete_boxes_q(spark, sf_dir):
-    return points.in_box(fx.points(spark, sf_dir), boxes(spark, sf_dir), keep=False).groupBy("frame_id").agg(F.count("*").alias("n"))
+    return points.in_box(fx.points(spark, sf_dir), boxes(spark, sf_dir), 5.0, keep=False).groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
 INSIDE = "x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1"
@@ -243,11 +243,11 @@ def move_q(spark, sf_dir):
 
 
 def updates_q(spark, sf_dir):
-    patches = fx.topics(spark, sf_dir).where("seq % 10 = 0").selectExpr("seq", "CAST(seq % 60 AS INT) AS x", "CAST(seq * 7 % 50 AS INT) AS y", "3 AS width", "2 AS height", "transform(sequence(1, IF(seq % 70 = 0, 5, 6)), k -> seq + k / 10.0D) AS data")
+    patches = fx.topics(spark, sf_dir).selectExpr("seq", "CAST(seq % 60 AS INT) AS x", "CAST(seq * 7 % 50 AS INT) AS y", "3 AS width", "2 AS height", "transform(sequence(1, IF(seq % 70 = 0, 5, 6)), k -> seq + k / 10.0D) AS data")
     return rounded(grid.apply_updates(fx.cells(spark, sf_dir).select("ix", "iy", "mean_z"), patches, MAP, "mean_z"), "mean_z")
 
 
-UPDATES_SQL = """, p AS (SELECT seq, seq % 60 AS x, seq * 7 % 50 AS y, unnest(range(6)) AS k FROM f_topics WHERE seq % 10 = 0 AND seq % 70 <> 0 AND seq % 60 + 3 <= 52 AND seq * 7 % 50 + 2 <= 52),
+UPDATES_SQL = """, p AS (SELECT seq, seq % 60 AS x, seq * 7 % 50 AS y, unnest(range(6)) AS k FROM f_topics WHERE seq % 70 <> 0 AND seq % 60 + 3 <= 52 AND seq * 7 % 50 + 2 <= 52),
  l AS (SELECT (x + k % 3)::INT AS ix, (y + k // 3)::INT AS iy, arg_max(seq + (k + 1) / 10.0::DOUBLE, seq) AS v FROM p GROUP BY 1, 2) SELECT ix, iy, round(coalesce(v, mean_z), 6) AS mean_z FROM f_cells LEFT JOIN l USING (ix, iy)"""
 
 

@@ -173,13 +173,15 @@ def levels(spark, sf_dir):
 
 
 def direction_q(spark, sf_dir):
-    return scans.best_direction(levels(spark, sf_dir), 3, 20, 0.1, 1)
+    beams = fx.scans(spark, sf_dir).withColumn("degrees", F.col("beam") * 3.6)
+    return scans.best_direction(levels(spark, sf_dir), beams, 60.0, 20, 25.0, 0.3, 1.5)
 
 
 DIRECTION_SQL = """, l AS (SELECT scan_id, (beam // 5)::INT AS sector, coalesce(sum(CASE WHEN range BETWEEN 0.3 AND 1.5 THEN 1.5 - range END), 0) AS level FROM f_scans GROUP BY 1, 2),
- p AS (SELECT a.scan_id, (a.sector + 1) % 20 AS spot FROM l a JOIN l b ON a.scan_id = b.scan_id AND b.sector = (a.sector + 1) % 20 WHERE a.level < 0.1 AND b.level < 0.1),
- best AS (SELECT scan_id, arg_min(spot, least((spot + 17) % 20, (23 - spot) % 20) * 100 + spot) AS spot FROM p GROUP BY 1), op AS (SELECT scan_id, bool_and(level < 0.1) AS open FROM l WHERE sector IN (2, 3, 4) GROUP BY 1)
- SELECT scan_id, CASE WHEN open THEN 3 ELSE coalesce(spot, -1) END AS direction FROM op LEFT JOIN best USING (scan_id)"""
+ p AS (SELECT a.scan_id, a.sector, (a.sector + 1) % 20 * 18.0::DOUBLE AS border FROM l a JOIN l b ON a.scan_id = b.scan_id AND b.sector = (a.sector + 1) % 20 WHERE a.level < 0.1 AND b.level < 0.1),
+ best AS (SELECT scan_id, arg_min(border, (least(abs(border - 60), 360 - abs(border - 60)), sector)) AS border FROM p GROUP BY 1),
+ op AS (SELECT scan_id, coalesce(sum(CASE WHEN beam * 3.6::DOUBLE >= 35 AND beam * 3.6::DOUBLE < 85 AND range >= 0.3 AND range < 1.5 THEN 1.5 - range END), 0) < 0.1 AS open FROM f_scans GROUP BY 1)
+ SELECT scan_id, CASE WHEN open THEN 60.0::DOUBLE ELSE coalesce(border, -1) END AS direction FROM op LEFT JOIN best USING (scan_id)"""
 
 
 def disagreement_q(spark, sf_dir):
