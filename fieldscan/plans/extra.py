@@ -99,12 +99,12 @@ def verdict_q(spark, sf_dir):
 
 
 def imu_init_q(spark, sf_dir):
-    imu = fx.topics(spark, sf_dir).selectExpr("device_id", "t", "seq", "value / 100 AS ax", "(seq % 7 - 3) / 10.0D AS ay", "9.8D + (seq % 5) / 50.0D AS az", "(seq % 11 - 5) / 100.0D AS gx", "value / 1000 AS gy", "0.01D AS gz")
+    imu = fx.topics(spark, sf_dir).selectExpr("device_id", "t", "seq", "sqrt(value) / 9 AS ax", "sin(seq) / 3 AS ay", "9.8D + cos(seq) / 7 AS az", "sin(seq * 2) / 11 AS gx", "ln(1 + value) / 10 AS gy", "0.01D AS gz")
     out = health.imu_init_stats(imu, ["device_id"], 20)
     return rounded(out, *[c for c in out.columns if c not in ("device_id", "n")], digits=5)
 
 
-IMU_SQL = """, a AS (SELECT device_id, value / 100 AS ax, (seq % 7 - 3) / 10.0::DOUBLE AS ay, 9.8::DOUBLE + (seq % 5) / 50.0::DOUBLE AS az, (seq % 11 - 5) / 100.0::DOUBLE AS gx, value / 1000 AS gy, 0.01::DOUBLE AS gz FROM f_topics QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY t, seq) <= 20),
+IMU_SQL = """, a AS (SELECT device_id, sqrt(value) / 9 AS ax, sin(seq) / 3 AS ay, 9.8::DOUBLE + cos(seq) / 7 AS az, sin(seq * 2) / 11 AS gx, ln(1 + value) / 10 AS gy, 0.01::DOUBLE AS gz FROM f_topics QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY t, seq) <= 20),
  m AS (SELECT device_id, count(*) AS n, """ + ", ".join(f"avg({c}) AS mean_{c}, var_pop({c}) AS var_{c}" for c in ("ax", "ay", "az", "gx", "gy", "gz")) + """ FROM a GROUP BY 1), g AS (SELECT *, sqrt(mean_ax * mean_ax + mean_ay * mean_ay + mean_az * mean_az) AS norm FROM m)
  SELECT device_id, n, """ + ", ".join(f"round(mean_{c}, 5) AS mean_{c}, round(var_{c}, 5) AS var_{c}" for c in ("ax", "ay", "az", "gx", "gy", "gz")) + ", " + ", ".join(f"round(-mean_a{c} / norm * 9.81, 5) AS gravity_{c}" for c in "xyz") + " FROM g"
 

@@ -271,11 +271,11 @@ def stale_q(spark, sf_dir):
 
 
 def timings_q(spark, sf_dir):
-    log = fx.topics(spark, sf_dir).selectExpr("device_id", "value / 1000 AS search", "(seq % 13) / 100.0D AS solve", "CASE WHEN seq % 4 > 0 THEN value / 500 END AS publish")
+    log = fx.topics(spark, sf_dir).selectExpr("device_id", "sqrt(value) AS search", "(seq % 13) / 7.0D AS solve", "CASE WHEN seq % 4 > 0 THEN ln(1 + value) END AS publish")
     return rounded(health.stage_timings(log, ["device_id"], ["search", "solve", "publish"]), "mean", "p95")
 
 
-TIMINGS_SQL = """, l AS (SELECT device_id, 'search' AS stage, value / 1000 AS s FROM f_topics UNION ALL SELECT device_id, 'solve', (seq % 13) / 100.0::DOUBLE FROM f_topics UNION ALL SELECT device_id, 'publish', CASE WHEN seq % 4 > 0 THEN value / 500 END FROM f_topics)
+TIMINGS_SQL = """, l AS (SELECT device_id, 'search' AS stage, sqrt(value) AS s FROM f_topics UNION ALL SELECT device_id, 'solve', (seq % 13) / 7.0::DOUBLE FROM f_topics UNION ALL SELECT device_id, 'publish', CASE WHEN seq % 4 > 0 THEN ln(1 + value) END FROM f_topics)
  SELECT device_id, stage, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.95), 6) AS p95, count(s) AS n FROM l GROUP BY 1, 2"""
 
 
