@@ -13,14 +13,43 @@ def by_time(key: str = "device_id"):
     return W.partitionBy(key).orderBy("t", "seq")
 
 
-def dead_reckon(odom: DataFrame) -> DataFrame:
-    """odom (device_id, t, seq, v, w) with theta, x, y: each step turns after it moves, so it moves by the heading before."""
-    w = by_time()
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    dt = F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0))
-    out = odom.withColumn("_dt", dt).withColumn("theta", F.sum(F.col("w") * F.col("_dt")).over(upto))
-    out = out.withColumn("_before", F.coalesce(F.lag("theta").over(w), F.lit(0.0)))
-    return out.withColumn("x", F.sum(F.col("v") * F.cos("_before") * F.col("_dt")).over(upto)).withColumn("y", F.sum(F.col("v") * F.sin("_before") * F.col("_dt")).over(upto)).drop("_dt", "_before")
+def before(df: DataFrame, names: list[str], bucket: float | None) -> DataFrame:
+    """df with `_before`: the names of the row before, by device and time; null for the first. With a bucket, each bucket of so
+    many seconds is walked by itself, and its first row takes the last row of the bucket before it, found among one row for
+    each bucket: a busy device is many tasks then."""
+    if bucket is None:
+        return df.withColumn("_before", F.lag(F.struct(*names)).over(by_time()))
+    cut = df.withColumn("_b", F.floor(F.col("t") / bucket))
+    w = W.partitionBy("device_id", "_b").orderBy("t", "seq")
+    last = cut.groupBy("device_id", "_b").agg(F.max_by(F.struct(*names), F.struct("t", "seq")).alias("_last"))
+    last = last.select("device_id", "_b", F.lag("_last").over(W.partitionBy("device_id").orderBy("_b")).alias("_carried"))
+    out = cut.withColumn("_own", F.lag(F.struct(*names)).over(w)).join(last, ["device_id", "_b"])
+    return out.withColumn("_before", F.coalesce("_own", "_carried")).drop("_own", "_carried", "_b")
+
+
+def running_sums(df: DataFrame, sums: dict[str, Column], bucket: float | None) -> DataFrame:
+    """df with running sums by device and time. With a bucket, sums inside each bucket start from the sum of the buckets
+    before it."""
+    w = by_time().rowsBetween(W.unboundedPreceding, 0)
+    if bucket is None:
+        return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
+    cut = df.withColumns({"_b": F.floor(F.col("t") / bucket), **{f"_s_{name}": c for name, c in sums.items()}})
+    earlier = W.partitionBy("device_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy("device_id", "_b").agg(*[F.sum(f"_s_{name}").alias(f"_t_{name}") for name in sums])
+    totals = totals.select("device_id", "_b", *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0.0)).alias(f"_t_{name}") for name in sums])
+    inside = W.partitionBy("device_id", "_b").orderBy("t", "seq").rowsBetween(W.unboundedPreceding, 0)
+    out = cut.withColumns({name: F.sum(f"_s_{name}").over(inside) for name in sums}).join(totals, ["device_id", "_b"])
+    return out.withColumns({name: F.col(name) + F.col(f"_t_{name}") for name in sums}).drop("_b", *[f"_{k}_{name}" for k in "st" for name in sums])
+
+
+def dead_reckon(odom: DataFrame, bucket: float | None = None) -> DataFrame:
+    """odom (device_id, t, seq, v, w) with theta, x, y: each step turns after it moves, so it moves by the heading before.
+    bucket: as for running_sums."""
+    out = before(odom, ["t"], bucket).withColumn("_dt", F.coalesce(F.col("t") - F.col("_before.t"), F.lit(0.0)))
+    out = running_sums(out.drop("_before"), {"theta": F.col("w") * F.col("_dt")}, bucket)
+    heading = F.col("theta") - F.col("w") * F.col("_dt") if bucket is not None else F.coalesce(F.lag("theta").over(by_time()), F.lit(0.0))
+    out = out.withColumn("_heading", heading)
+    return running_sums(out, {"x": F.col("v") * F.cos("_heading") * F.col("_dt"), "y": F.col("v") * F.sin("_heading") * F.col("_dt")}, bucket).drop("_dt", "_heading")
 
 
 def yaw_rate(poses: DataFrame, limit: float) -> DataFrame:
@@ -31,10 +60,10 @@ def yaw_rate(poses: DataFrame, limit: float) -> DataFrame:
     return poses.withColumn("yaw_rate", F.when((dt > 1e-4) & (dt < 1), F.greatest(F.lit(-limit), F.least(F.lit(limit), rate))).otherwise(0.0))
 
 
-def path_length(poses: DataFrame) -> DataFrame:
-    w = by_time()
-    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
-    return poses.withColumn("_d", step).groupBy("device_id").agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length_m"), F.count("*").alias("n"))
+def path_length(poses: DataFrame, bucket: float | None = None) -> DataFrame:
+    """(device_id, length_m, n) of poses (device_id, t, seq, x, y). bucket: as for before."""
+    step = F.sqrt(F.pow(F.col("x") - F.col("_before.x"), 2) + F.pow(F.col("y") - F.col("_before.y"), 2))
+    return before(poses, ["x", "y"], bucket).withColumn("_d", step).groupBy("device_id").agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length_m"), F.count("*").alias("n"))
 
 
 def last_n(df: DataFrame, n: int) -> DataFrame:

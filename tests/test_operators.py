@@ -276,3 +276,15 @@ def test_cubic_surface_gives_cubics_back(spark):
     q = spark.createDataFrame([(i, rng.uniform(-2.4, 2.4), rng.uniform(-2.4, 2.4)) for i in range(40)] + [(40, 9.0, 0.0), (41, 3.9, -3.9)], "query_id long, x double, y double")
     got = {r.query_id: r for r in sampling.sample_cubic(cells, q, g, "h").collect()}
     assert all(got[i].value == pytest.approx(f(got[i].x, got[i].y)) for i in range(40)) and got[40].value is None and got[41].value is not None
+
+
+def test_walks_by_bucket_are_the_same(spark):
+    rng = random.Random(25)
+    odom = spark.createDataFrame([(k, i, rng.randrange(600) / 10, rng.random(), rng.uniform(-1, 1)) for k in "ab" for i in range(200)], "device_id string, seq long, t double, v double, w double")
+    plain, split = windows.dead_reckon(odom), windows.dead_reckon(odom, bucket=2.5)
+    assert plain.columns == split.columns
+    rows = lambda df: {(r.device_id, r.seq): (r.theta, r.x, r.y) for r in df.collect()}
+    a, b = rows(plain), rows(split)
+    assert a.keys() == b.keys() and all(b[k] == pytest.approx(v) for k, v in a.items())
+    lengths = [{r.device_id: (r.length_m, r.n) for r in windows.path_length(plain, x).collect()} for x in (None, 2.5)]
+    assert lengths[0].keys() == lengths[1].keys() and all(lengths[1][k] == pytest.approx(v) for k, v in lengths[0].items())
