@@ -42,9 +42,9 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 #: which is a bit a cell where tasks read it, so 64 MB, and CELLS cells or more for each anchor.
 BLOCK_BITS, ROWS, MOST_BITS, CELLS = 18, 2, 28, 8
 #: Entries that a task's sparse sketch holds before it is sent.
-PENDING = 2_000_000
+PENDING = 500_000
 #: Bytes of text whose windows are made at once, a longer document alone, and whose words are hashed at once.
-CHUNK, PART_BYTES = 1 << 20, 1 << 17
+CHUNK, PART_BYTES = 1 << 19, 1 << 17
 
 
 class Powers:
