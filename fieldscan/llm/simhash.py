@@ -43,7 +43,7 @@ PAIR_LIMIT = 48
 #: near_copies: words of a shingle, bands of least hashes, and hashes of a band.
 SHINGLE, BANDS, ROWS = 5, 30, 5
 #: near_copies: cells in which shingles are counted to order them, and the ratio of sizes within a bucket.
-CELLS, SIZE_STEP = 1 << 17, 1.03
+CELLS, SIZE_STEP = 1 << 17, 1.1
 
 
 def words(text: str) -> list[str]:
