@@ -16,6 +16,7 @@ NAMES = {
     "op8_nearest": "nearest",
     "op9_decontamination": "decontaminate",
     "op10_html_text": "html",
+    "op11_source_divergence": "divergence",
     "op13_lm_scoring": "likelihood",
 }
 

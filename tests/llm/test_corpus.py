@@ -2,13 +2,14 @@
 empty tables and clashing names."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from fieldscan.llm import likelihood
+from fieldscan.llm import divergence, likelihood
 
 LONG = " ".join(f"w{i % 977}" for i in range(40_000))
 TEXTS = [None, "", "   \n\t", "one", "one", "A b C d e", "token = abcdefghij0123456789", LONG, LONG, "é ü ß 日本", "x" * 5000, "abracadabra abra", "the cat sat on the mat, the cat"]
@@ -109,3 +110,62 @@ def test_cuts_are_between_words():
     at = likelihood.cuts(text, 10)
     assert b"".join(text[i:j] for i, j in zip(at, at[1:], strict=False)) == text
     assert [w for i, j in zip(at, at[1:], strict=False) for w in text[i:j].split()] == text.split()
+
+
+# divergence
+
+
+def plain_audit(rows, least, top):
+    import re
+
+    groups, docs, counts = set(), Counter(), Counter()
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        docs.update((lang, t) for t in set(found))
+        counts.update((lang, source, t) for t in found)
+    kept = defaultdict(list)
+    for (lang, t), n in docs.items():
+        if n >= least:
+            kept[lang].append(t)
+    out = []
+    for lang, source in groups:
+        terms, others = kept[lang], [s for k, s in groups if k == lang]
+        total = {s: sum(counts[lang, s, t] for t in terms) for s in others}
+        share = lambda n, whole: 1 + 10**9 * (n + 5) // (whole + 5 * len(terms))
+        p = {s: {t: share(counts[lang, s, t], total[s]) for t in terms} for s in others}
+        pairs = [(sum(abs(p[source][t] - p[s][t]) for t in terms), s) for s in others if s != source]
+        more = [(p[source][t] - share(sum(counts[lang, s, t] for s in others), sum(total.values())), t) for t in terms if counts[lang, source, t]]
+        for part, found, limit in (("pair", pairs, None), ("term", [x for x in more if x[0] > 0], top)):
+            found.sort(key=lambda x: (-x[0], x[1].encode()))
+            out += [(lang, source, part, item, value, k + 1) for k, (value, item) in enumerate(found[:limit])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("paths", [4_096, 2])
+def test_audit_is_that_of_a_plain_count(spark, paths):
+    rng = random.Random(3)
+    words = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxyzéß日"] + ["A", "a", "Ä", "ä"]
+    rows = [(rng.choice(("en", "de", None)), rng.choice(("s1", "s1", "s1", "s2", "s3", "É", None)), " ".join(rng.choices(words, weights=range(1, len(words) + 1), k=rng.randrange(12)))) for _ in range(300)]
+    rows += [("xx", "s1", "a b"), ("xx", "s2", None), ("en", "silent", "12 !?"), *[("en", "s2", "copy copy Copy")] * 40]
+    rows += [("en", "s1", (("long" + "x" * 40 + " ") * 3000))]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "lang string, source string, text string, term int")
+    divergence.PATHS, held = paths, divergence.PATHS
+    got = divergence.audit(df, 5, 7).select("lang", "source", "part", "item", "value", "rank").collect()
+    divergence.PATHS = held
+    assert sorted(map(tuple, got)) == plain_audit(rows, 5, 7)
+    assert divergence.audit(df.limit(0)).count() == 0
+
+
+def test_shares_of_huge_counts_are_exact(spark):
+    n, total, kept = 3_000_000_000_000_007, 9_000_000_000_000_011, 12_345
+    found = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(kept)).alias("p")).first().p
+    assert found == 1 + 10**9 * (n + 5) // (total + 5 * kept)
+
+
+def test_slices_keep_terms_whole(monkeypatch):
+    monkeypatch.setattr(divergence, "SLICE", 7)
+    text = "ab cdefghijklmnop é日本語x1y" .encode()
+    parts = list(divergence.slices(text))
+    assert b"".join(parts) == text and [t for p in parts for t in divergence.TERM.findall(p)] == divergence.TERM.findall(text)
