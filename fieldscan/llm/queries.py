@@ -17,6 +17,7 @@ NAMES = {
     "op9_decontamination": "decontaminate",
     "op10_html_text": "html",
     "op11_source_divergence": "divergence",
+    "op12_prefix_trie": "prefixes",
     "op13_lm_scoring": "likelihood",
 }
 

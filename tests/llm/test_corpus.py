@@ -1,6 +1,7 @@
 """Corpus audits, prefix tries and model scores against plain versions, with nulls, empty and long texts, ties, repeated rows,
 empty tables and clashing names."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -9,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from fieldscan.llm import divergence, likelihood
+from fieldscan.llm import divergence, likelihood, prefixes
 
 LONG = " ".join(f"w{i % 977}" for i in range(40_000))
 TEXTS = [None, "", "   \n\t", "one", "one", "A b C d e", "token = abcdefghij0123456789", LONG, LONG, "é ü ß 日本", "x" * 5000, "abracadabra abra", "the cat sat on the mat, the cat"]
@@ -169,3 +170,70 @@ def test_slices_keep_terms_whole(monkeypatch):
     text = "ab cdefghijklmnop é日本語x1y" .encode()
     parts = list(divergence.slices(text))
     assert b"".join(parts) == text and [t for p in parts for t in divergence.TERM.findall(p)] == divergence.TERM.findall(text)
+
+
+# prefixes
+
+
+def plain_trie(convs):
+    """Rows of the trie of {conv_id: [(role, text), ...]}."""
+    members, out = defaultdict(list), []
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = Counter(k[:-1] for k in members if k)
+    for k, ids in members.items():
+        under = [u for u in members if u[: len(k)] == k]
+        saving = sum((len(members[u]) - 1) * len(u[-1][1].split()) for u in under if u)
+        ends = ",".join(str(c) for c in sorted(ids) if len(convs[c]) == len(k))
+        out.append((min(ids), len(k), min(members[k[:-1]]) if k else None, len(ids), children[k], sum(not children[u] for u in under), saving, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def turn_rows(rng, n):
+    rows = []
+    for c in range(n):
+        for t in range(rng.choice((0, 1, 2, 3, 5, 8, 9, 17))):
+            rows.append((c, rng.choice((t, t, None)) if c % 9 == 0 else t, rng.choice(("u", None, "")), rng.choice(("a", "a", "a b", None, "  c\td "))))
+    return rows
+
+
+def ordered(rows):
+    convs = defaultdict(list)
+    for c, _, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        convs[c].append((role or "", text or ""))
+    return dict(convs)
+
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def test_trie_is_that_of_a_plain_walk(spark):
+    rows = turn_rows(random.Random(8), 60)
+    rows += [(c, t, "u", "same words here") for c in range(100, 130) for t in range(6)] + [(None, 0, "u", "x")] + rows[:5]
+    rows += [(500, t, "u", f"long {t}") for t in range(300)] + [(501, t, "u", f"long {t}") for t in range(299)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("depth", F.lit("clash"))
+    got = sorted(map(tuple, prefixes.trie_of(df).collect()), key=repr)
+    assert got == plain_trie(ordered(rows))
+    assert prefixes.trie_of(df.limit(0)).count() == 0 and prefixes.trie_of(df.where("conv_id IS NULL")).count() == 0
+
+
+def test_rebuilt_conversations_share_heads(spark):
+    rng = random.Random(9)
+    rows = [r for r in turn_rows(rng, 90) if r[0] not in (20, 60) and (r[0] % 7 or r[1] in (0, None))] + [(-3, 0, "u", "below")]
+    own = ordered(rows)
+    rebuilt = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = int(math.copysign(abs(c) // 20 * 20, c))
+        rebuilt[c] = own.get(base, [])[:h] + turns[h:]
+    assert any(not t for t in rebuilt.values())
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = prefixes.prefix_trie(*prefixes.with_shared_heads(prefixes.numbered_turns(df)))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_trie(rebuilt)
+
+
+def test_conversations_without_turns_are_one_root(spark):
+    lengths = spark.createDataFrame([(7, 0), (3, 0)], "conv_id long, turns long")
+    none = spark.createDataFrame([], "conv_id long, at long, turn_key binary, words long")
+    assert [tuple(r) for r in prefixes.prefix_trie(lengths, none).collect()] == [(3, 0, None, 2, 0, 1, 0, hashlib.sha256(b"3,7").hexdigest())]
