@@ -213,7 +213,7 @@ def query(spark, sf_dir):
 
 ORACLE_SQL = r"""
 WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS at,
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
     sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
   FROM conversations WHERE conv_id IS NOT NULL),
@@ -222,9 +222,9 @@ c AS (
     lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: xor(r >> 1, 3988292384::BIGINT * (r & 1)))), 4294967295::BIGINT) % 4 AS h
   FROM (SELECT DISTINCT conv_id FROM t)),
 r AS (
-  SELECT c.conv_id, 0 AS part, t.at, k, w FROM c JOIN t ON t.conv_id = c.base WHERE t.at < h
-  UNION ALL SELECT c.conv_id, 1, t.at, k, w FROM c JOIN t USING (conv_id) WHERE t.at >= h),
-l AS (SELECT c.conv_id, coalesce(list(k ORDER BY part, at) FILTER (WHERE k IS NOT NULL), []) AS ks, coalesce(list(w ORDER BY part, at) FILTER (WHERE k IS NOT NULL), []) AS ws FROM c LEFT JOIN r USING (conv_id) GROUP BY 1),
+  SELECT c.conv_id, 0 AS part, t.pos, k, w FROM c JOIN t ON t.conv_id = c.base WHERE t.pos < h
+  UNION ALL SELECT c.conv_id, 1, t.pos, k, w FROM c JOIN t USING (conv_id) WHERE t.pos >= h),
+l AS (SELECT c.conv_id, coalesce(list(k ORDER BY part, pos) FILTER (WHERE k IS NOT NULL), []) AS ks, coalesce(list(w ORDER BY part, pos) FILTER (WHERE k IS NOT NULL), []) AS ws FROM c LEFT JOIN r USING (conv_id) GROUP BY 1),
 p AS (SELECT conv_id, d AS depth, len(ks) AS n, array_to_string(ks[1 : d], ',') AS key, array_to_string(ks[1 : d - 1], ',') AS up, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w FROM l, unnest(generate_series(0, len(ks))) AS g(d)),
 node AS (
   SELECT depth, key, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(w) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
