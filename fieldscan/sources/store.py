@@ -16,8 +16,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet under the shared folder and read again: lineage ends there, and a lost executor costs a read."""
+def saved(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """df written as Parquet under the shared folder and read again: lineage ends there, and a lost executor costs a read.
+    compression is a codec other than the session's."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
