@@ -23,9 +23,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -60,34 +62,67 @@ def cuts(text: bytes, part: int) -> list[int]:
     return [*out, len(text)]
 
 
-def text_parts(docs: DataFrame, part: int = PART, block: int = BLOCK) -> DataFrame:
-    """(row, learn, block, before, text, last, own) of docs (own, learn, text): the parts of each text, in order, with up to
-    ORDER bytes before each; parts of a block are next to each other, and a text's last part has what `own` holds."""
+@dataclass
+class Part:
+    """A part of a text: its row, whether it is learnt from, whether the text ends with it, and the bytes before and in it."""
+
+    row: int
+    learn: bool
+    last: bool
+    before: bytes
+    text: bytes
+
+
+def pack(parts: list[Part]) -> tuple[list[int], bytes]:
+    """Numbers and compressed bytes of some parts."""
+    numbers = [x for p in parts for x in (p.row, int(p.learn), int(p.last), len(p.before), len(p.text))]
+    return numbers, pa.compress(b"".join(x for p in parts for x in (p.before, p.text)), codec="zstd", asbytes=True)
+
+
+def unpacked(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Part]]:
+    """Block and part, one by one, of rows (block, numbers, bytes)."""
+    for block, numbers, data in zip(*(batch.column(c).to_pylist() for c in ("block", "numbers", "bytes")), strict=True):
+        numbers, at = np.array(numbers, dtype=np.int64).reshape(-1, 5), 0
+        data = pa.decompress(data, decompressed_size=int(numbers[:, 3:].sum()), codec="zstd", asbytes=True)
+        for row, learn, last, lead, size in numbers.tolist():
+            yield block, Part(row, bool(learn), bool(last), data[at : at + lead], data[at + lead : at + lead + size])
+            at += lead + size
+
+
+def text_packs(docs: DataFrame, part: int = PART, block: int = BLOCK) -> DataFrame:
+    """(block, numbers, bytes, own, rows) of docs (own, learn, text): packs of parts, about `part` bytes each, in the order of the
+    texts and of the blocks; rows and own have the number and the `own` of the texts that end in the pack."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = number = TaskContext.get().partitionId() << 32
         held = 0
+
+        def send(parts: list[Part], own: pa.Array, ended: list[int]) -> pa.RecordBatch:
+            numbers, data = pack(parts)
+            taken = own.take(pa.array(ended, pa.int64()))
+            arrays = [pa.array([number]), pa.array([numbers], pa.list_(pa.int64())), pa.array([data], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ended)], pa.int32()), taken), pa.array([[p.row for p in parts if p.last]], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["block", "numbers", "bytes", "own", "rows"])
+
         for batch in batches:
             texts, learn, own = batch.column("text").cast(pa.binary()), batch.column("learn"), batch.column("own")
-            rows, sent = [], 0
+            parts, ended, size = [], [], 0
             for k in range(batch.num_rows):
                 text = (texts[k].as_py() or b"").lower()
                 at = cuts(text, part)
                 for i, j in zip(at, at[1:], strict=False):
-                    last = j == len(text)
-                    rows.append((row, learn[k].as_py(), number, text[max(0, i - ORDER) : i], text[i:j], last, k if last else None))
-                    held, sent = held + j - i + 1, sent + j - i + 1
+                    parts.append(Part(row, learn[k].as_py(), j == len(text), text[max(0, i - ORDER) : i], text[i:j]))
+                    ended += [k] * parts[-1].last
+                    size, held = size + j - i + 1, held + j - i + 1
+                    if size >= part or held >= block:
+                        yield send(parts, own, ended)
+                        parts, ended, size = [], [], 0
                     if held >= block:
                         number, held = number + 1, 0
                 row += 1
-                if sent >= PART or k == batch.num_rows - 1:
-                    columns = list(zip(*rows, strict=True))
-                    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int32())
-                    arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*arrays[:-1], own.take(arrays[-1])], names=["row", "learn", "block", "before", "text", "last", "own"])
-                    rows, sent = [], 0
-
-    schema = T.StructType.fromDDL("row long, learn boolean, block long, before binary, text binary, last boolean").add("own", docs.schema["own"].dataType)
+            if parts:
+                yield send(parts, own, ended)
+
+    schema = T.StructType.fromDDL("block long, numbers array<long>, bytes binary").add("own", T.ArrayType(docs.schema["own"].dataType)).add("rows", T.ArrayType(T.LongType()))
     return docs.select("own", "learn", "text").mapInArrow(split, schema)
 
 
@@ -131,11 +166,11 @@ class Asked:
         self.size = 0
         self.words: dict[bytes, int] = {}
 
-    def add(self, before: bytes, text: bytes, last: bool, learn: bool) -> None:
-        for word, n in Counter(part_words(text, last)).items():
-            self.words[word] = self.words.get(word, 0) + n * learn
-        for codes in pieces(before, text, last):
-            self.pending.append((codes, learn))
+    def add(self, part: Part) -> None:
+        for word, n in Counter(part_words(part.text, part.last)).items():
+            self.words[word] = self.words.get(word, 0) + n * part.learn
+        for codes in pieces(part.before, part.text, part.last):
+            self.pending.append((codes, part.learn))
             self.size += len(codes)
             if self.size >= PENDING:
                 self.sort()
@@ -167,25 +202,23 @@ class Asked:
             yield whole.slice(at, 1 << 16)
 
 
-def asked(parts: DataFrame) -> DataFrame:
+def asked(packs: DataFrame) -> DataFrame:
     """(block, code or word, n): what each block asks for, with counts in its learning texts. Tasks send each block's part of
     theirs, so a block may ask twice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, Asked()
         for batch in batches:
-            columns = [batch.column(c) for c in ("block", "learn", "before", "text", "last")]
-            for k in range(batch.num_rows):
-                block, learn, before, text, last = (c[k].as_py() for c in columns)
+            for block, part in unpacked(batch):
                 if block != current:
                     if current is not None:
                         yield from held.batches(current)
                     current, held = block, Asked()
-                held.add(before, text, last, learn)
+                held.add(part)
         if current is not None:
             yield from held.batches(current)
 
-    return parts.select("block", "learn", "before", "text", "last").mapInArrow(count, "block long, code long, word binary, n long")
+    return packs.select("block", "numbers", "bytes").mapInArrow(count, "block long, code long, word binary, n long")
 
 
 class Answers:
@@ -265,37 +298,47 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     one added, score that of the lower-cased text's bytes and its end by the model.
     """
     rest = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    parts = saved(text_parts(docs.select(F.struct(*rest).alias("own"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))))
-    asks = saved(asked(parts))
-    grams = saved(asks.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n")))
-    words = saved(asks.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
-    whole, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    answers = asks.where("code IS NOT NULL").select("block", "code").join(probabilities(grams), "code").select("block", "code", F.lit(None).cast("binary").alias("word"), F.log10("p").alias("value"))
-    answers = answers.unionByName(asks.where("word IS NOT NULL").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("code"), "word", F.col("n").cast("double").alias("value")))
+    packs = saved(text_packs(docs.select(F.struct(*rest).alias("own"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))))
+    asks = saved(asked(packs), "zstd")
+    codes, words = asks.where("code IS NOT NULL").select("block", "code", "n"), asks.where("word IS NOT NULL").select("block", "word", "n")
+    # a word has a row for each block at most, so this window has no hot key
+    w = W.partitionBy("word")
+    first = F.row_number().over(w.orderBy("block")) == 1
+    counted = saved(words.select("block", "word", "n", F.sum("n").over(w).alias("c"), first.alias("first")), "zstd")
+    totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("whole"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("distinct"))
+    whole, distinct = totals.first()
+    grams = saved(codes.groupBy("code").agg(F.sum("n").alias("n")))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    # a logarithm's error of 1e-7 of itself leaves sums of many right to more digits than that
+    answers = codes.drop("n").join(probabilities(grams), "code").select("block", "code", none("binary", "word"), F.log10("p").cast("float").alias("value"), none("long", "c"))
+    answers = answers.unionByName(counted.select("block", none("long", "code"), "word", none("float", "value"), "c"))
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        is_code, value = found.column("code").is_valid().to_numpy(), found.column("value").to_numpy()
-        answers = Answers(found.column("code").filter(pa.array(is_code)).to_numpy(), value[is_code])
-        words = dict(zip(found.column("word").filter(pa.array(~is_code)).to_pylist(), np.log10((value[~is_code] + 1) / (whole + distinct + 1)).tolist(), strict=True))
+        is_code = found.column("code").is_valid()
+        logs, counts = found.filter(is_code), found.filter(pa.compute.invert(is_code))
+        answers = Answers(logs.column("code").to_numpy(), logs.column("value").to_numpy().astype(float))
+        words = dict(zip(counts.column("word").to_pylist(), np.log10((counts.column("c").to_numpy() + 1) / (whole + distinct + 1)).tolist(), strict=True))
         unmet = math.log10(1 / (whole + distinct + 1))
-        columns = [texts.column(c).to_pylist() for c in ("row", "before", "text", "last")]
-        tokens = []
-        for k, (_, before, text, last) in enumerate(zip(*columns, strict=True)):
-            for piece in pieces(before, text, last):
+        rows, tokens = [], []
+        for k, (_, part) in enumerate(unpacked(texts)):
+            for piece in pieces(part.before, part.text, part.last):
                 answers.ask(k, piece)
             n = known = 0
             base = 0.0
-            for w, m in Counter(part_words(text, last)).items():
-                p = words[w]
+            for word, m in Counter(part_words(part.text, part.last)).items():
+                p = words[word]
                 n, known, base = n + m, known + m * (p > unmet), base + m * p
+            rows.append(part.row)
             tokens.append((n, known, base))
         n, known, base = zip(*tokens, strict=True)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip((columns[0], n, known, base, answers.sums(len(tokens))), kinds, strict=True)], names=["row", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([pa.array(c, t) for c, t in zip((rows, n, known, base, answers.sums(len(tokens))), kinds, strict=True)], names=["row", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "row long, n_tokens long, n_known long, base_score double, score double")
+    texts = packs.select("block", "numbers", "bytes")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "row long, n_tokens long, n_known long, base_score double, score double")
     sums = scored.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return parts.where("last").select("own", "row").join(sums, "row").select("own.*", "n_tokens", "n_known", F.lit(whole).cast("long").alias("train_tokens"), "base_score", "score")
+    own = packs.select(F.explode(F.arrays_zip("rows", "own")).alias("e")).select("e.own", F.col("e.rows").alias("row"))
+    return own.join(sums, "row").select("own.*", "n_tokens", "n_known", F.lit(whole).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir):

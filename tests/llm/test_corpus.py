@@ -72,8 +72,8 @@ def plain_base(learnt, text):
 
 @pytest.mark.parametrize("part, block", [(likelihood.PART, likelihood.BLOCK), (50, 300)])
 def test_scores_are_those_of_a_plain_model(spark, monkeypatch, part, block):
-    whole = likelihood.text_parts
-    monkeypatch.setattr(likelihood, "text_parts", lambda docs: whole(docs, part, block))
+    whole = likelihood.text_packs
+    monkeypatch.setattr(likelihood, "text_packs", lambda docs: whole(docs, part, block))
     texts = [t for t in TEXTS if t != LONG] + [LONG[:3000], "every " + "".join(chr(c) for c in range(256))]
     docs = awkward(spark, texts + texts[:3])
     learn = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) != 2
@@ -90,8 +90,8 @@ def test_scores_are_those_of_a_plain_model(spark, monkeypatch, part, block):
 
 def test_probabilities_sum_to_one():
     model = PlainModel(["abracadabra", "the cat", "".join(map(chr, range(256)))])
-    for context in ((97, 98, 114, 97, 99), (1, 2, 3, 97, 98), (7, 7, 7, 7, 7)):
-        assert sum(model.p(context, s) for s in range(likelihood.SYMBOLS)) == pytest.approx(1)
+    for context in ((97, 98, 114, 97, 99, 97, 100), (1, 2, 3, 97, 98, 99, 100), (7,) * 7):
+        assert sum(model.p(context[: likelihood.ORDER], s) for s in range(likelihood.SYMBOLS)) == pytest.approx(1)
 
 
 def test_scores_without_rows_or_learning(spark):
