@@ -8,6 +8,7 @@ there belongs into the key, so that a long record becomes many keys.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -46,6 +47,43 @@ def ordered_fold(df: DataFrame, key: list[str], columns: list[str], out: str, in
     return df.select(*names, *[c for c in columns if c not in names]).repartition(*key).sortWithinPartitions(*names).mapInPandas(run, schema)
 
 
+def delayed_fold(df: DataFrame, key: list[str], columns: list[str], out: str, walk: Callable[[], Any]) -> DataFrame:
+    """(key, t, seq, columns, and those of out) of a walk over each key's rows in order that decides on rows later.
+
+    walk() makes an object for a key: push(row) returns results for rows that wait, oldest first, as soon as they are decided,
+    finish() those of all that still wait. A task holds the rows that wait, as many as the walk needs, and never a whole key.
+    """
+    names = list(dict.fromkeys([*key, "t", "seq", *columns]))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + f", {out}"
+    made = [x.split()[0] for x in out.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        waiting: deque[tuple] = deque()
+        rows: list[tuple] = []
+
+        def take(results: list[dict]) -> None:
+            rows.extend((*waiting.popleft(), *[r[m] for m in made]) for r in results)
+
+        for pdf in batches:
+            for values in zip(*[pdf[c] for c in names], strict=True):
+                own = values[: len(key)]
+                if own != current:
+                    if state is not None:
+                        take(state.finish())
+                    current, state = own, walk()
+                waiting.append(values)
+                take(state.push({c: None if v is None or v != v else v for c, v in zip(names, values, strict=True)}))
+            yield pd.DataFrame(rows, columns=[*names, *made])
+            rows.clear()
+        if state is not None:
+            take(state.finish())
+            yield pd.DataFrame(rows, columns=[*names, *made])
+
+    return df.select(*names).repartition(*key).sortWithinPartitions(*key, "t", "seq").mapInPandas(run, schema)
+
+
 def median_step(n: int, max_jump: float) -> tuple[Callable[[], Any], Step]:
     """Median of the last n accepted values; a jump from the last output repeats that output instead; a missing value
     repeats it without entering."""
