@@ -164,39 +164,6 @@ def to_occupancy(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNull(), -1).otherwise((share * 100).cast("int"))
 
 
-def distance_2d(cells: DataFrame, occupied: Column, reach: int = 8) -> DataFrame:
-    """Distance in cells from each cell to the nearest cell of the other kind's border, negative inside obstacles: per axis
-    max(|difference| - 0.5, 0). Infinite, of either sign, in a map without a cell of the other kind.
-
-    Along y, running last and first values give each place of a column, missing cells too, the nearest cell of either kind
-    in it; along x, each column looks at the columns within `reach`. Cells that have found nothing that near look twice as
-    far, in rounds that are written and read, until none is left or a whole map was seen.
-    """
-    kind = cells.select("map_id", "ix", "iy", occupied.cast("boolean").alias("occ"))
-    rows = kind.groupBy("map_id").agg(F.min("iy").alias("_lo"), F.max("iy").alias("_hi"))
-    whole = kind.select("map_id", "ix").distinct().join(rows, "map_id").select("map_id", "ix", F.explode(F.sequence("_lo", "_hi")).alias("iy"))
-    w = W.partitionBy("map_id", "ix").orderBy("iy")
-    up, down = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    gap = lambda flag: F.least(*[F.abs(F.col("iy") - f(F.when(F.col("occ") == flag, F.col("iy")), ignorenulls=True).over(x)) for f, x in ((F.last, up), (F.first, down))])
-    column = saved(whole.join(kind, ["map_id", "ix", "iy"], "left").withColumn("to_occ", gap(True)).withColumn("to_free", gap(False)).drop("occ"))
-    half = lambda c: F.when(c.isNotNull(), F.greatest(c - 0.5, F.lit(0.0)))
-    nearest = lambda: F.sqrt(F.min(F.pow(half(F.abs("_d")), 2) + F.pow(half(F.when(F.col("occ"), F.col("to_free")).otherwise(F.col("to_occ"))), 2))).alias("d")
-    width = kind.groupBy("map_id").agg((F.max("ix") - F.min("ix")).alias("n")).agg(F.max("n")).first()[0] or 0
-    left, done = kind, []
-    while True:
-        looked = left.withColumn("_d", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_x", F.col("ix") + F.col("_d"))
-        seen = looked.join(column.withColumnRenamed("ix", "_x"), ["map_id", "_x", "iy"])
-        found = saved(seen.groupBy("map_id", "ix", "iy", "occ").agg(nearest()))
-        near = F.coalesce(F.col("d") <= reach, F.lit(False)) if reach < width else F.lit(True)
-        done.append(found.where(near))
-        left = found.where(~near).drop("d")
-        if reach >= width or left.isEmpty():
-            break
-        reach = min(2 * reach, width)
-    d = F.coalesce("d", F.lit(float("inf")))
-    return reduce(DataFrame.unionByName, done).select("map_id", "ix", "iy", F.when(F.col("occ"), -d).otherwise(d).alias("distance"))
-
-
 def inpaint(cells: DataFrame, layer: str, rounds: int) -> DataFrame:
     """Missing values filled from the mean of known neighbours (3 x 3), so many rounds."""
     for _ in range(rounds):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import Geometry, distance_2d, make_grid, sample_nearest
+from .grid import Geometry, make_grid, sample_nearest
 
 
 def extend_geometry(base: Geometry, other: Geometry) -> Geometry:
@@ -73,15 +73,6 @@ def sample_cubic(cells: DataFrame, queries: DataFrame, g: Geometry, layer: str)
     return joined.groupBy("query_id").agg(F.when(F.count("value") == 16, F.sum(F.col("w") * F.col("value"))).alias("value"))
 
 
-def distance_3d(cells: DataFrame, layer: str, heights: list[float], reach: int = 8) -> DataFrame:
-    """(map_id, iz, ix, iy, distance): for each height the signed planar distance to terrain as high as that. Each height is
-    a map of its own, so they run side by side."""
-    stacked = cells.withColumn("_z", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(h)).alias("h")) for k, h in enumerate(heights)])))
-    stacked = stacked.select(F.struct("map_id", F.col("_z.k").alias("iz")).alias("map_id"), "ix", "iy", (F.col(layer) >= F.col("_z.h")).alias("_o"))
-    out = distance_2d(stacked, F.coalesce("_o", F.lit(False)), reach)
-    return out.select("map_id.map_id", "map_id.iz", "ix", "iy", "distance")
-
-
 def polygon_safety(cells: DataFrame, polygons: DataFrame, layer: str, least: float, weak: float, allowed: int) -> DataFrame:
     """Per polygon (poly_id, and its cells ix, iy): mean traversability and whether it is safe: no cell under `least`, and
     at most `allowed` under `weak`."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detections, grid, mapping
+from ..operators import detections, distance, grid, mapping
 from ..sources import fixtures as fx
 from . import space
 from .motion import rounded
@@ -41,12 +41,13 @@ TRANSFORM_SQL = """, m AS (SELECT ix AS sx, iy AS sy, mean_z + 0.25 AS h, n, cos
 
 
 def distance_3d_q(spark, sf_dir):
-    return rounded(mapping.distance_3d(fx.cells(spark, sf_dir), "max_z", [0.9, 0.95, 1.0, 2.0]).drop("map_id"), "distance")
+    return rounded(distance.distance_3d(fx.cells(spark, sf_dir), "mean_z", HEIGHTS, 0.5).drop("map_id"), "distance")
 
 
-DISTANCE_3D_SQL = """, g AS (SELECT k::INT AS iz, ix, iy, max_z >= h AS occ FROM f_cells, (VALUES (0, 0.9::DOUBLE), (1, 0.95::DOUBLE), (2, 1.0::DOUBLE), (3, 2.0::DOUBLE)) z(k, h)),
- d AS (SELECT a.iz, a.ix, a.iy, sqrt(min(pow(greatest(abs(a.ix - b.ix) - 0.5, 0), 2) + pow(greatest(abs(a.iy - b.iy) - 0.5, 0), 2))) AS d FROM g a JOIN g b ON a.iz = b.iz AND a.occ <> b.occ GROUP BY 1, 2, 3)
- SELECT g.iz, g.ix, g.iy, CASE WHEN occ THEN -1 ELSE 1 END * coalesce(round(d, 6), 'infinity'::DOUBLE) AS distance FROM g LEFT JOIN d USING (iz, ix, iy)"""
+HEIGHTS = [-1.0, 0.3, 0.45, 0.55, 2.0]
+DISTANCE_3D_SQL = f""", g AS (SELECT k::INT AS iz, ix, iy, (h - mean_z) / 0.5 AS rise FROM f_cells, (VALUES {", ".join(f"({k}, {h}::DOUBLE)" for k, h in enumerate(HEIGHTS))}) z(k, h)),
+ d AS (SELECT a.iz, a.ix, a.iy, min(pow(greatest(abs(a.ix - b.ix) - 0.5, 0), 2) + pow(greatest(abs(a.iy - b.iy) - 0.5, 0), 2) + pow(greatest(b.rise, 0), 2)) AS over_, min(pow(greatest(abs(a.ix - b.ix) - 0.5, 0), 2) + pow(greatest(abs(a.iy - b.iy) - 0.5, 0), 2) + pow(least(b.rise, 0), 2)) AS under_ FROM g a JOIN g b USING (iz) GROUP BY 1, 2, 3)
+ SELECT iz, ix, iy, round(0.5 * (sqrt(over_) - sqrt(under_)), 6) AS distance FROM d"""
 
 
 def safety_q(spark, sf_dir):

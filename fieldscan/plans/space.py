@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grid, points
+from ..operators import distance, grid, points
 from ..sources import fixtures as fx
 from .motion import rounded
 
@@ -267,7 +267,7 @@ def occupancy_q(spark, sf_dir):
 
 def distance_q(spark, sf_dir):
     c = grid.make_grid(spark, MAP).join(fx.cells(spark, sf_dir).select("ix", "iy", "n"), ["ix", "iy"], "left").withColumn("map_id", F.lit(0))
-    return rounded(grid.distance_2d(c, F.coalesce(F.col("n") % 7 == 0, F.lit(False)), 8).drop("map_id"), "distance")
+    return rounded(distance.distance_2d(c, F.coalesce(F.col("n") % 7 == 0, F.lit(False))).drop("map_id"), "distance")
 
 
 DISTANCE_SQL = """, g AS (SELECT a.i::INT AS ix, b.i::INT AS iy, coalesce(n % 7 = 0, false) AS occ FROM range(52) a(i), range(52) b(i) LEFT JOIN f_cells c ON c.ix = a.i AND c.iy = b.i),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldscan.functions import geo
-from fieldscan.operators import fold, grid, points, timejoin, windows
+from fieldscan.operators import distance, fold, grid, points, timejoin, windows
 
 
 def test_asof_takes_equal_times_and_respects_age(spark):
@@ -39,7 +39,7 @@ def test_distance_against_brute_force(spark, occupied):
     cells = [(0, x, y) for x in range(6) for y in range(5)]
     taken = {(x, y) for _, x, y in cells} if occupied == "all" else occupied
     df = spark.createDataFrame([(m, x, y, (x, y) in taken) for m, x, y in cells], "map_id int, ix int, iy int, occ boolean")
-    got = {(r.ix, r.iy): r.distance for r in grid.distance_2d(df, F.col("occ"), 1).collect()}
+    got = {(r.ix, r.iy): r.distance for r in distance.distance_2d(df, F.col("occ")).collect()}
     for _, x, y in cells:
         others = [(u, v) for _, u, v in cells if ((u, v) in taken) != ((x, y) in taken)]
         if not others:
