@@ -43,7 +43,7 @@ DISCOUNT = 0.3
 #: Symbols beside the 256 bytes, and how many can be predicted.
 END, START, SYMBOLS = 256, 257, 257
 #: Bytes of a part and of a block, about; distinct contexts with symbols that a task holds before it sorts them.
-PART, BLOCK, PENDING = 1 << 20, 1 << 25, 1 << 21
+PART, BLOCK, PENDING = 1 << 20, 1 << 25, 1 << 20
 BLANKS = np.frombuffer(b" \t\n\v\f\r", dtype=np.uint8)
 #: The end of a text among the words, which are never empty.
 END_WORD = b""
@@ -317,8 +317,9 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
         is_code = found.column("code").is_valid()
         logs, counts = found.filter(is_code), found.filter(pa.compute.invert(is_code))
         answers = Answers(logs.column("code").to_numpy(), logs.column("value").to_numpy().astype(float))
-        words = dict(zip(counts.column("word").to_pylist(), np.log10((counts.column("c").to_numpy() + 1) / (whole + distinct + 1)).tolist(), strict=True))
-        unmet = math.log10(1 / (whole + distinct + 1))
+        words = dict(zip(counts.column("word").to_pylist(), counts.column("c").to_pylist(), strict=True))
+        del logs, counts
+        log_share: dict[int, float] = {}
         rows, tokens = [], []
         for k, (_, part) in enumerate(unpacked(texts)):
             for piece in pieces(part.before, part.text, part.last):
@@ -326,8 +327,10 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
             n = known = 0
             base = 0.0
             for word, m in Counter(part_words(part.text, part.last)).items():
-                p = words[word]
-                n, known, base = n + m, known + m * (p > unmet), base + m * p
+                c = words[word]
+                if c not in log_share:
+                    log_share[c] = math.log10((c + 1) / (whole + distinct + 1))
+                n, known, base = n + m, known + m * (c > 0), base + m * log_share[c]
             rows.append(part.row)
             tokens.append((n, known, base))
         n, known, base = zip(*tokens, strict=True)
