@@ -20,6 +20,7 @@ none. With nothing to learn from, every symbol has 1 / 257. A text without white
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -62,6 +63,12 @@ def cuts(text: bytes, part: int) -> list[int]:
     return [*out, len(text)]
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 @dataclass
 class Part:
     """A part of a text: its row, whether it is learnt from, whether the text ends with it, and the bytes before and in it."""
@@ -121,6 +128,7 @@ def text_packs(docs: DataFrame, part: int = PART, block: int = BLOCK) -> DataFra
                 row += 1
             if parts:
                 yield send(parts, own, ended)
+        release()
 
     schema = T.StructType.fromDDL("block long, numbers array<long>, bytes binary").add("own", T.ArrayType(docs.schema["own"].dataType)).add("rows", T.ArrayType(T.LongType()))
     return docs.select("own", "learn", "text").mapInArrow(split, schema)
@@ -217,6 +225,7 @@ def asked(packs: DataFrame) -> DataFrame:
                 held.add(part)
         if current is not None:
             yield from held.batches(current)
+        release()
 
     return packs.select("block", "numbers", "bytes").mapInArrow(count, "block long, code long, word binary, n long")
 
@@ -333,9 +342,12 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
                 n, known, base = n + m, known + m * (c > 0), base + m * log_share[c]
             rows.append(part.row)
             tokens.append((n, known, base))
+        sums = answers.sums(len(tokens))
+        del answers, words
+        release()
         n, known, base = zip(*tokens, strict=True)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip((rows, n, known, base, answers.sums(len(tokens))), kinds, strict=True)], names=["row", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([pa.array(c, t) for c, t in zip((rows, n, known, base, sums), kinds, strict=True)], names=["row", "n_tokens", "n_known", "base_score", "score"])
 
     texts = packs.select("block", "numbers", "bytes")
     scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "row long, n_tokens long, n_known long, base_score double, score double")
