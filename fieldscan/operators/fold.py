@@ -267,8 +267,3 @@ def stream_fold(stream: DataFrame, key: list[str], columns: list[str], out: str,
 
     picked = stream.select(*names, *[c for c in columns if c not in names])
     return picked.groupBy(*key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def first_true(df: DataFrame, key: list[str], flag: str) -> DataFrame:
-    """Per key the first (t, seq) at which a flag of a fold is set."""
-    return df.where(F.col(flag)).groupBy(*key).agg(F.min(F.struct("t", "seq")).alias("f")).select(*key, "f.*")

@@ -56,3 +56,37 @@ def imu_init_stats(df: DataFrame, key: list[str], n: int, gravity: float = 9.81)
 def clusters_by_size(clusters: DataFrame, key: str) -> DataFrame:
     """clusters (key, first_beam, n) with their `place`, largest first."""
     return clusters.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "first_beam")))
+
+
+def hold_events(frames: DataFrame, key: list[str], hold_s: float) -> DataFrame:
+    """(key, t, seq, value, until): each value of frames (key, t, seq, value) and until when it holds, and where no newer one came
+    by then a row of nulls at that time."""
+    next_t = F.lead("t").over(W.partitionBy(*key).orderBy("t", "seq"))
+    held = frames.where("value IS NOT NULL").withColumn("until", F.col("t") + hold_s).withColumn("next_t", next_t)
+    ends = held.where("next_t IS NULL OR next_t > until").select(*key, F.col("until").alias("t"), F.lit(None).cast(held.schema["seq"].dataType).alias("seq"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("until"))
+    return held.select(*key, "t", "seq", "value", "until").unionByName(ends)
+
+
+def health_changes(messages: DataFrame, key: list[str], limits: dict[str, float]) -> DataFrame:
+    """(key, t, seq, health): a row whenever the first unhealthy reason, in the order of limits, changes for a key of messages
+    (key, topic, t, seq).
+
+    A topic is stale from `limits` seconds after its last message on, and before its first; a limit of 0 never ends. Messages of
+    a moment come before what runs out then; what runs out has no seq.
+    """
+    watched = {topic: limit for topic, limit in limits.items() if limit > 0}
+    limit = F.coalesce(*[F.when(F.col("topic") == topic, seconds) for topic, seconds in watched.items()], F.lit(None).cast("double"))
+    ends = messages.where(F.col("topic").isin(*watched)).withColumn("_end", F.col("t") + limit)
+    ends = ends.withColumn("_next", F.lead("t").over(W.partitionBy(*key, "topic").orderBy("t", "seq"))).where("_next IS NULL OR _next > _end")
+    ends = ends.groupBy(*key, F.col("_end").alias("t")).agg(F.collect_set("topic").alias("_gone"))
+    none = F.lit(None)
+    rows = messages.select(*key, "t", "seq", "topic", none.cast("array<string>").alias("_gone"), F.lit(0).alias("_late"))
+    rows = rows.unionByName(ends.select(*key, "t", none.cast(messages.schema["seq"].dataType).alias("seq"), none.cast("string").alias("topic"), "_gone", F.lit(1).alias("_late")))
+    w = W.partitionBy(*key).orderBy("t", "_late", "seq")
+    health = F.lit("healthy")
+    for topic in reversed(watched):
+        alive = F.last(F.when(F.col("topic") == topic, True).when(F.array_contains("_gone", topic), False), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+        health = F.when(~F.coalesce(alive, F.lit(False)), f"{topic}_timeout").otherwise(health)
+    rows = rows.withColumn("health", health)
+    before = F.lag("health").over(w)
+    return rows.withColumn("_before", before).where("_before IS NULL OR _before <> health").select(*key, "t", "seq", "health")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import extra, folds, lidar, maps, motion, rings, space, vision
+from .plans import extra, folds, lidar, live, maps, motion, rings, space, vision
 
 flagship = motion.flagship
-ALL = {**motion.QUERIES, **space.QUERIES, **folds.QUERIES, **vision.QUERIES, **maps.QUERIES, **extra.QUERIES, **lidar.QUERIES, **rings.QUERIES}
+ALL = {**motion.QUERIES, **space.QUERIES, **folds.QUERIES, **vision.QUERIES, **maps.QUERIES, **extra.QUERIES, **lidar.QUERIES, **rings.QUERIES, **live.QUERIES}
 
 
 def queries() -> dict:

@@ -1,15 +1,11 @@
-"""Structured Streaming forms: frames of points, rates, synchronised pairs, holds and filters. Each equals its batch twin."""
+"""Structured Streaming forms that need no state of their own: frames of points and rates in windows, and health at given ticks.
+Those with deadlines, matching and filters are in timed."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fold
-
 
 def stream_frames(points: DataFrame, interval: str, lateness: str) -> DataFrame:
     """Points (ts, lidar_id, x, y, z) merged over all lidars into frames of an interval: start, number and mean position."""
@@ -24,56 +20,6 @@ def stream_metrics(messages: DataFrame, length: str, slide: str, lateness: str)
     return out.agg(F.count("*").alias("n"), F.when(span > 0, (F.count("*") - 1) * 1e6 / span).otherwise(0.0).alias("rate")).select(F.col("w.start").alias("start"), "topic", "n", "rate")
 
 
-def stream_sync(a: DataFrame, b: DataFrame, slop: str, lateness: str) -> DataFrame:
-    """Pairs of messages of one device within slop of each other, from two streams with watermarks."""
-    left = a.withWatermark("ts", lateness).select(F.col("device_id"), F.col("ts").alias("a_ts"), F.col("seq").alias("a_seq"))
-    right = b.withWatermark("ts", lateness).select(F.col("device_id").alias("b_device"), F.col("ts").alias("b_ts"), F.col("seq").alias("b_seq"))
-    near = F.expr(f"device_id = b_device AND b_ts BETWEEN a_ts - INTERVAL {slop} AND a_ts + INTERVAL {slop}")
-    return left.join(right, near).select("device_id", "a_seq", "b_seq", "a_ts", "b_ts")
-
-
-def stream_filter(ranges: DataFrame, n: int, max_jump: float, danger: float, warn: float, trigger: int, clear: int) -> DataFrame:
-    """Median filter and debounced latches on live ranges (device_id, channel, t, seq, value): the batch steps, one after the
-    other in one state."""
-    (start_m, median), (start_d, latch) = fold.median_step(n, max_jump), fold.debounce_step(danger, warn, trigger, clear)
-
-    def step(state, row):
-        m, d = state
-        m, filtered = median(m, row)
-        d, flags = latch(d, {**row, "value": filtered["filtered"]})
-        return (m, d), {**filtered, **flags}
-
-    return fold.stream_fold(ranges, ["device_id", "channel"], ["value"], "filtered double, danger boolean, warn boolean", lambda: (start_m(), start_d()), step)
-
-
-def stream_tracks(clusters: DataFrame, reach: float, ttl: float) -> DataFrame:
-    """Obstacle tracks of live clusters (device_id, t, seq, x, y), as fold.track_clusters gives them in batch. A tick's
-    clusters must arrive in one micro-batch."""
-    init, step = fold.track_step(reach, ttl)
-    return fold.stream_fold(clusters, ["device_id"], ["x", "y"], "track long", init, step)
-
-
-def stream_hold(frames: DataFrame, hold_s: float) -> DataFrame:
-    """Per (device_id, channel) the latest value of each micro-batch and the time until which it holds; newer values replace
-    older ones. State is one value a key."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        for pdf in batches:
-            known = pdf.dropna(subset=["value"])
-            if len(known):
-                last = known.sort_values(["t", "seq"]).iloc[-1]
-                if held is None or last["t"] >= held[0]:
-                    held = (float(last["t"]), float(last["value"]))
-        if held is not None:
-            state.update(held)
-            yield pd.DataFrame({"device_id": [key[0]], "channel": [key[1]], "value": [held[1]], "until": [held[0] + hold_s]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
-    out = f"device_id {kinds['device_id']}, channel string, value double, until double"
-    return frames.select("device_id", "channel", "t", "seq", "value").groupBy("device_id", "channel").applyInPandasWithState(run, out, "t double, value double", "update", "NoTimeout")
-
-
 def health(ticks: DataFrame, last_seen: dict[str, str], timeouts: dict[str, float]) -> DataFrame:
     """ticks (t, and the last receive time of each topic) with the first unhealthy topic in order of timeouts, else healthy;
     a topic never seen is stale, timeout 0 never."""

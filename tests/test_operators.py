@@ -152,18 +152,6 @@ def replay(spark, tmp_path, df, make, name):
     return spark.table(name)
 
 
-def test_stream_filter_equals_batch(spark, tmp_path):
-    from fieldscan.streaming import streams
-
-    rows = [(d, "a", i, float(i), float((i * 5 + d) % 7)) for d in (1, 2) for i in range(30)]
-    df = spark.createDataFrame(rows, "device_id int, channel string, seq int, t double, value double")
-    got = replay(spark, tmp_path, df, lambda s: streams.stream_filter(s, 3, 2.5, 1.0, 3.0, 2, 2), "filtered_live").collect()
-    median = fold.ordered_fold(df, ["device_id", "channel"], ["value"], "filtered double", *fold.median_step(3, 2.5))
-    flags = fold.ordered_fold(median.withColumnRenamed("filtered", "value"), ["device_id", "channel"], ["value"], "danger boolean, warn boolean", *fold.debounce_step(1.0, 3.0, 2, 2))
-    want = {(r.device_id, r.seq): (r.danger, r.warn) for r in flags.collect()}
-    assert {(r.device_id, r.seq): (r.danger, r.warn) for r in got} == want
-
-
 def test_stream_metrics_and_frames(spark, tmp_path):
     from fieldscan.streaming import streams
 
