@@ -29,7 +29,7 @@ HEALTH_SQL = f""", lim(topic, lim) AS (VALUES {", ".join(f"('{topic}', {limit}::
  ev AS (SELECT device_id, t, seq, 0 AS late FROM f_topics UNION ALL SELECT device_id, t, NULL, 1 FROM ends),
  st AS (
   SELECT ev.device_id, ev.t, ev.seq, ev.late, {", ".join(f"coalesce(max(m.t) FILTER (WHERE m.topic = '{topic}') + {limit}::DOUBLE > ev.t OR (ev.late = 0 AND max(m.t) FILTER (WHERE m.topic = '{topic}') + {limit}::DOUBLE = ev.t), false) AS ok{k}" for k, (topic, limit) in enumerate(WATCHED.items()))}
-  FROM ev LEFT JOIN f_topics m ON m.device_id = ev.device_id AND (m.t < ev.t OR m.t = ev.t AND (ev.late = 1 OR m.seq <= ev.seq)) GROUP BY ALL),
+  FROM ev LEFT JOIN f_topics m ON m.device_id = ev.device_id AND (m.t < ev.t OR m.t = ev.t AND (ev.late = 1 OR m.seq <= ev.seq)) GROUP BY ev.device_id, ev.t, ev.seq, ev.late),
  h AS (SELECT *, CASE {" ".join(f"WHEN NOT ok{k} THEN '{topic}_timeout'" for k, topic in enumerate(WATCHED))} ELSE 'healthy' END AS health FROM st)
  SELECT device_id, round(t, 6) AS t, seq, health FROM h QUALIFY coalesce(lag(health) OVER (PARTITION BY device_id ORDER BY t, late, seq) <> health, true)"""
 
