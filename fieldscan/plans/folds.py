@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fold, windows
+from ..operators import chunked, fold, windows
 from ..sources import fixtures as fx
 from . import motion
 from .motion import rounded
@@ -64,6 +64,18 @@ def alignment_q(spark, sf_dir):
     return out.where("seq >= 0").select("device_id", "seq", "aligning")
 
 
+def debounce_chunked_q(spark, sf_dir):
+    return chunked.chunked_fold(fx.ranges(spark, sf_dir), KEY, 2.0, chunked.Latches(0.8, 2.0, 2, 3)).drop("t")
+
+
+def low_pass_chunked_q(spark, sf_dir):
+    return rounded(chunked.chunked_fold(fx.ranges(spark, sf_dir), KEY, 2.0, chunked.LowPass(0.5, 3.0)).drop("t"), "filtered")
+
+
+def sample_chunked_q(spark, sf_dir):
+    return chunked.chunked_fold(fx.odometry(spark, sf_dir), ["device_id"], 5.0, chunked.Sample(0.5)).where("kept").select("device_id", "seq")
+
+
 WAYPOINTS = [(0.5, 0.5), (2.0, 1.0), (3.0, 2.0)]
 WALK = "WITH RECURSIVE "
 #: Rows of a key numbered in order, for recursive walks.
@@ -107,6 +119,9 @@ QUERIES = {
     "w02_debounce": (debounce_q, walk(DEBOUNCE_SQL, "f_ranges")),
     "w03_low_pass": (low_pass_q, walk(LOW_PASS_SQL, "f_ranges")),
     "w07_sample_rate": (sample_q, walk(SAMPLE_SQL, "f_odom")),
+    "w02_debounce_chunked": (debounce_chunked_q, walk(DEBOUNCE_SQL, "f_ranges")),
+    "w03_low_pass_chunked": (low_pass_chunked_q, walk(LOW_PASS_SQL, "f_ranges")),
+    "w07_sample_chunked": (sample_chunked_q, walk(SAMPLE_SQL, "f_odom")),
     "w25_mean_time": (mean_time_q, walk(MEAN_SQL, "f_ranges")),
     "w27_stuck": (stuck_q, walk(STUCK_SQL, "f_odom")),
     "t03_tracks": (tracks_q, None),
