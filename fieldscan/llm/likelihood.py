@@ -25,6 +25,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ ORDER, BITS = 5, 9
 DISCOUNT = 0.3
 #: Symbols beside the 256 bytes, and how many can be predicted.
 END, START, SYMBOLS = 256, 257, 257
-#: Bytes of a part and of a block, about; distinct contexts with symbols that a task holds before it sorts them.
-PART, BLOCK, PENDING = 1 << 20, 1 << 25, 1 << 20
+#: Bytes of a part and of a block, about; symbols that wait to be sorted; rows sent at once.
+PART, BLOCK, PENDING, SENT = 1 << 20, 3 << 23, 1 << 19, 1 << 15
 BLANKS = np.frombuffer(b" \t\n\v\f\r", dtype=np.uint8)
 #: The end of a text among the words, which are never empty.
 END_WORD = b""
@@ -200,14 +201,13 @@ class Asked:
 
     def batches(self, block: int) -> Iterator[pa.RecordBatch]:
         self.sort()
-        words, n = list(self.words), list(self.words.values())
-        rows = len(self.codes) + len(words)
-        code = pa.concat_arrays([pa.array(self.codes), pa.nulls(len(words), pa.int64())])
-        word = pa.concat_arrays([pa.nulls(len(self.codes), pa.binary()), pa.array(words, pa.binary())])
-        n = pa.concat_arrays([pa.array(self.counts), pa.array(n, pa.int64())])
-        whole = pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), code, word, n], names=["block", "code", "word", "n"])
-        for at in range(0, rows, 1 << 16):
-            yield whole.slice(at, 1 << 16)
+        for at in range(0, len(self.codes), SENT):
+            code, n = self.codes[at : at + SENT], self.counts[at : at + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), block)), pa.array(code), pa.nulls(len(code), pa.binary()), pa.array(n)], names=["block", "code", "word", "n"])
+        left = iter(self.words.items())
+        while some := list(islice(left, SENT)):
+            words, n = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.nulls(len(words), pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["block", "code", "word", "n"])
 
 
 def asked(packs: DataFrame) -> DataFrame:
