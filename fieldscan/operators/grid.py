@@ -89,24 +89,33 @@ def window_agg(cells: DataFrame, layer: str, n: int, aggs: dict[str, Column], in
     return cells.select("map_id", "ix", "iy").join(out.drop("_n"), ["map_id", "ix", "iy"], "inner" if inside_only else "left")
 
 
+def map_key(*tables: DataFrame) -> list[str]:
+    """map_id where all tables have it: maps are then kept apart. Tables without it speak of one map."""
+    return ["map_id"] if all("map_id" in t.columns for t in tables) else []
+
+
 def sample_nearest(cells: DataFrame, queries: DataFrame, g: Geometry, layer: str) -> DataFrame:
-    """queries (query_id, x, y) with the value of the cell that holds them; null outside or where the cell is missing."""
+    """queries (query_id, x, y, and map_id where cells are of several maps) with the value of the cell that holds them; null
+    outside or where the cell is missing."""
+    key = map_key(cells, queries)
     ix, iy = g.index(F.col("x"), F.col("y"))
-    return queries.withColumn("ix", ix).withColumn("iy", iy).join(cells.select("ix", "iy", F.col(layer).alias("value")), ["ix", "iy"], "left").select("query_id", "value")
+    return queries.withColumn("ix", ix).withColumn("iy", iy).join(cells.select(*key, "ix", "iy", F.col(layer).alias("value")), [*key, "ix", "iy"], "left").select(*key, "query_id", "value")
 
 
 def sample_linear(cells: DataFrame, queries: DataFrame, g: Geometry, layer: str) -> DataFrame:
-    """Bilinear value from the four cells around a position, where all four are there; else the nearest."""
+    """Bilinear value from the four cells around a position, where all four are there; else the nearest. Queries as for
+    sample_nearest."""
+    key = map_key(cells, queries)
     u = (g.x + g.length_x / 2 - F.col("x")) / g.resolution - 0.5
     v = (g.y + g.length_y / 2 - F.col("y")) / g.resolution - 0.5
     q = queries.withColumn("_u", F.floor(u)).withColumn("_v", F.floor(v)).withColumn("_a", u - F.floor(u)).withColumn("_b", v - F.floor(v))
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
     q = q.withColumn("_c", corner)
     weight = F.when(F.col("_c.i") == 1, F.col("_a")).otherwise(1 - F.col("_a")) * F.when(F.col("_c.j") == 1, F.col("_b")).otherwise(1 - F.col("_b"))
-    q = q.select("query_id", (F.col("_u") + F.col("_c.i")).cast("int").alias("ix"), (F.col("_v") + F.col("_c.j")).cast("int").alias("iy"), weight.alias("w"))
-    near = q.join(cells.select("ix", "iy", F.col(layer).alias("value")), ["ix", "iy"])
-    lin = near.groupBy("query_id").agg(F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value"))).alias("linear"))
-    return sample_nearest(cells, queries, g, layer).join(lin, "query_id", "left").select("query_id", F.coalesce("linear", "value").alias("value"))
+    q = q.select(*key, "query_id", (F.col("_u") + F.col("_c.i")).cast("int").alias("ix"), (F.col("_v") + F.col("_c.j")).cast("int").alias("iy"), weight.alias("w"))
+    near = q.join(cells.select(*key, "ix", "iy", F.col(layer).alias("value")), [*key, "ix", "iy"])
+    lin = near.groupBy(*key, "query_id").agg(F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value"))).alias("linear"))
+    return sample_nearest(cells, queries, g, layer).join(lin, [*key, "query_id"], "left").select(*key, "query_id", F.coalesce("linear", "value").alias("value"))
 
 
 def finite_stats(cells: DataFrame, layer: str, key: list[str]) -> DataFrame:
@@ -118,16 +127,39 @@ def block_max(cells: DataFrame, layer: str, step: int) -> DataFrame:
     return cells.groupBy("map_id", F.floor(F.col("ix") / step).cast("int").alias("bx"), F.floor(F.col("iy") / step).cast("int").alias("by")).agg(F.max(layer).alias("value"))
 
 
-def merge_maps(base: DataFrame, other: DataFrame, layer: str, overwrite: bool) -> DataFrame:
-    """Cells of both; the other map's value where it has one and may be written."""
+def rekeyed(cells: DataFrame, source: Geometry, target: Geometry) -> DataFrame:
+    """cells of one geometry on those of another: each target cell whose centre lies in a source cell becomes that cell."""
+    places = {}
+    for axis, index in (("x", "ix"), ("y", "iy")):
+        top, low = ((getattr(g, axis) + getattr(g, f"length_{axis}") / 2) for g in (source, target))
+        first = (low - top + F.col(index) * source.resolution) / target.resolution - 0.5
+        last = first + source.resolution / target.resolution
+        places[index] = F.explode(F.sequence(F.floor(first).cast("int"), F.ceil(last).cast("int")))
+    spread = cells.withColumnsRenamed({"ix": "_ix", "iy": "_iy"}).withColumn("ix", F.col("_ix")).withColumn("ix", places["ix"]).withColumn("iy", F.col("_iy")).withColumn("iy", places["iy"])
+    ix, iy = source.index(*target.center(F.col("ix"), F.col("iy")))
+    inside = F.col("ix").between(0, target.nx - 1) & F.col("iy").between(0, target.ny - 1)
+    return spread.where(inside & (ix == F.col("_ix")) & (iy == F.col("_iy"))).drop("_ix", "_iy")
+
+
+def merge_maps(base: DataFrame, other: DataFrame, layer: str, overwrite: bool, basic: list[str] | None = None, g: Geometry | None = None, g_other: Geometry | None = None) -> DataFrame:
+    """Cells of both; the other map's value where it has one and may be written: with overwrite everywhere, else where base's
+    cell is not valid. A cell is valid when all its basic layers are there, without any never; basic=None asks for the layer
+    itself. Where the maps differ in geometry, g and g_other place the other's cells on base's."""
+    key = map_key(base, other)
+    if g is not None and g_other is not None:
+        other = rekeyed(other, g_other, g)
     a, b = F.col(f"a.{layer}"), F.col(f"b.{layer}")
-    joined = base.alias("a").join(other.alias("b"), ["ix", "iy"], "full_outer")
-    return joined.select("ix", "iy", (F.coalesce(b, a) if overwrite else F.coalesce(a, b)).alias(layer))
+    names = [layer] if basic is None else basic
+    valid = reduce(lambda p, q: p & q, [F.col(f"a.{c}").isNotNull() & ~F.isnan(F.col(f"a.{c}").cast("double")) for c in names], F.lit(bool(names)))
+    joined = base.alias("a").join(other.alias("b"), [*key, "ix", "iy"], "full_outer")
+    written = F.coalesce(b, a)
+    return joined.select(*key, "ix", "iy", (written if overwrite else F.when(F.coalesce(valid, F.lit(False)), a).otherwise(written)).alias(layer))
 
 
 def max_merge(base: DataFrame, other: DataFrame, layer: str) -> DataFrame:
-    joined = base.alias("a").join(other.alias("b"), ["ix", "iy"], "full_outer")
-    return joined.select("ix", "iy", F.greatest(f"a.{layer}", f"b.{layer}").alias(layer))
+    key = map_key(base, other)
+    joined = base.alias("a").join(other.alias("b"), [*key, "ix", "iy"], "full_outer")
+    return joined.select(*key, "ix", "iy", F.greatest(f"a.{layer}", f"b.{layer}").alias(layer))
 
 
 def move_map(cells: DataFrame, g: Geometry, shift_x: int, shift_y: int) -> DataFrame:
@@ -138,12 +170,13 @@ def move_map(cells: DataFrame, g: Geometry, shift_x: int, shift_y: int) -> DataF
 
 def apply_updates(base: DataFrame, patches: DataFrame, g: Geometry, layer: str) -> DataFrame:
     """Rectangular patches (seq, x, y, width, height, data) over base cells, the latest wins; patches out of bounds or with
-    data of another length are left out."""
+    data of another length are left out. Patches have a map_id where base has several maps."""
     ok = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") + F.col("width") <= g.nx) & (F.col("y") + F.col("height") <= g.ny) & (F.size("data") == F.col("width") * F.col("height"))
-    each = patches.where(ok).select("seq", "x", "y", "width", F.posexplode("data").alias("k", "v"))
-    cells = each.select("seq", (F.col("x") + F.col("k") % F.col("width")).cast("int").alias("ix"), (F.col("y") + F.floor(F.col("k") / F.col("width"))).cast("int").alias("iy"), "v")
-    latest = cells.groupBy("ix", "iy").agg(F.max_by("v", "seq").alias("v"))
-    return base.join(latest, ["ix", "iy"], "left").withColumn(layer, F.coalesce("v", layer)).drop("v")
+    key = map_key(base, patches)
+    each = patches.where(ok).select(*key, "seq", "x", "y", "width", F.posexplode("data").alias("k", "v"))
+    cells = each.select(*key, "seq", (F.col("x") + F.col("k") % F.col("width")).cast("int").alias("ix"), (F.col("y") + F.floor(F.col("k") / F.col("width"))).cast("int").alias("iy"), "v")
+    latest = cells.groupBy(*key, "ix", "iy").agg(F.max_by("v", "seq").alias("v"))
+    return base.join(latest, [*key, "ix", "iy"], "left").withColumn(layer, F.coalesce("v", layer)).drop("v")
 
 
 def gradients(cells: DataFrame, layer: str, resolution: float) -> DataFrame:

@@ -44,8 +44,8 @@ def radius_join(queries: DataFrame, points: DataFrame, key: list[str], radius: f
     return q.join(p, [*key, *cells]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*cells)
 
 
-def _offsets(n: int) -> list[tuple[int, ...]]:
-    return [()] if n == 0 else [(*rest, k) for rest in _offsets(n - 1) for k in (-1, 0, 1)]
+def _offsets(n: int, reach: int = 1) -> list[tuple[int, ...]]:
+    return [()] if n == 0 else [(*rest, k) for rest in _offsets(n - 1, reach) for k in range(-reach, reach + 1)]
 
 
 def knn_join(queries: DataFrame, points: DataFrame, key: list[str], query_id: list[str], k: int, radius: float, tie: list[str]) -> DataFrame:
@@ -166,20 +166,74 @@ def fit_planes(neighbours: DataFrame, key: list[str]) -> DataFrame:
     return g.select(*key, "n", *[F.when(F.abs(whole) > 1e-9, p / whole).alias(name) for name, p in parts.items()])
 
 
+def cell_links(points: DataFrame, key: list[str], point_id: str, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(key, a, b) links between cells that hold points within the tolerance of each other, and points with their cell, `a`. A
+    cell, named by its smallest point_id, is so small that its own points are within the tolerance.
+
+    Occupied cells meet the occupied ones at most two cells away. A pair is linked if the boxes about its points are near enough at
+    their farthest, or if the point of each that is nearest to the other's middle are; it is left out if the boxes are too far at
+    their nearest. Only of pairs that this leaves open, the points near the other's box are compared.
+    """
+    side, near2 = tolerance / 3**0.5 * (1 - 1e-9), tolerance * tolerance
+    cell = [f"_c{a}" for a in "xyz"]
+    placed = points.select(*key, point_id, *"xyz", *[F.floor(F.col(a) / side).alias(c) for a, c in zip("xyz", cell, strict=True)])
+    boxes = [f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    cells = saved(placed.groupBy(*key, *cell).agg(F.min(point_id).alias("a"), *boxes))
+    placed = saved(placed.join(cells.select(*key, *cell, "a"), [*key, *cell]).drop(*cell))
+    box = [f"{n}{a}" for a in "xyz" for n in ("lo", "hi")]
+    ahead = [o for o in _offsets(3, 2) if o > (0, 0, 0)]
+    looked = cells.withColumn("_o", F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in ahead])))
+    looked = looked.select(*key, "a", *box, *[(F.col(c) + F.get("_o", F.lit(i))).alias(c) for i, c in enumerate(cell)])
+    pairs = looked.join(cells.select(*key, *cell, F.col("a").alias("b"), *[F.col(c).alias(f"b_{c}") for c in box]), [*key, *cell])
+    gap = lambda a: F.greatest(F.lit(0.0), F.col(f"lo{a}") - F.col(f"b_hi{a}"), F.col(f"b_lo{a}") - F.col(f"hi{a}"))
+    far = lambda a: F.greatest(F.col(f"hi{a}") - F.col(f"b_lo{a}"), F.col(f"b_hi{a}") - F.col(f"lo{a}"))
+    square = lambda f: reduce(lambda p, q: p + q, [f(a) * f(a) for a in "xyz"])
+    pairs = saved(pairs.where(square(gap) <= near2).withColumn("linked", square(far) <= near2).drop(*cell))
+    open_ = pairs.where("NOT linked")
+
+    def facing(own: str, other: str) -> DataFrame:
+        """For each open pair the point of one cell that is nearest to the middle of the other's box."""
+        names = {c: (f"b_{c}" if own == "a" else c) for c in box}
+        middle = [(F.col(names[f"lo{a}"]) + F.col(names[f"hi{a}"])) / 2 for a in "xyz"]
+        wanted = open_.select(*key, "a", "b", *[m.alias(f"m{a}") for m, a in zip(middle, "xyz", strict=True)])
+        own_points = placed.select(*key, F.col("a").alias(own), *"xyz")
+        d2 = reduce(lambda p, q: p + q, [F.pow(F.col(a) - F.col(f"m{a}"), 2) for a in "xyz"])
+        return wanted.join(own_points, [*key, own]).groupBy(*key, "a", "b").agg(F.min_by(F.struct(*"xyz"), d2).alias(f"at_{own}"))
+
+    both = facing("a", "b").join(facing("b", "a"), [*key, "a", "b"])
+    between = reduce(lambda p, q: p + q, [F.pow(F.col(f"at_a.{a}") - F.col(f"at_b.{a}"), 2) for a in "xyz"])
+    met = saved(both.withColumn("linked", between <= near2).select(*key, "a", "b", "linked"))
+    left = open_.drop("linked").join(met.where("NOT linked").select(*key, "a", "b"), [*key, "a", "b"])
+
+    def beside(own: str) -> DataFrame:
+        """Points of one cell of a pair within the tolerance of the other's box."""
+        names = {c: (f"b_{c}" if own == "a" else c) for c in box}
+        wanted = left.select(*key, "a", "b", *[F.col(names[c]).alias(c) for c in box])
+        near = wanted.join(placed.select(*key, F.col("a").alias(own), *"xyz"), [*key, own])
+        away = lambda a: F.greatest(F.lit(0.0), F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"))
+        return near.where(square(away) <= near2).select(*key, "a", "b", *[F.col(a).alias(f"{a}_{own}") for a in "xyz"]).distinct()
+
+    d2 = reduce(lambda p, q: p + q, [F.pow(F.col(f"{a}_a") - F.col(f"{a}_b"), 2) for a in "xyz"])
+    compared = beside("a").join(beside("b"), [*key, "a", "b"]).where(d2 <= near2).select(*key, "a", "b").distinct()
+    links = pairs.where("linked").select(*key, "a", "b").unionByName(met.where("linked").select(*key, "a", "b")).unionByName(compared)
+    return saved(links), placed
+
+
 def euclid_clusters(points: DataFrame, key: list[str], point_id: str, tolerance: float, least: int) -> DataFrame:
     """(key, cluster, n, x, y, z): connected groups of points within the tolerance, named by their smallest point_id, with
-    their centroid. Labels fall along links until none changes; each round is written and read, so lineage stays short."""
-    near = radius_join(points, points.select(*key, point_id, *"xyz"), key, tolerance)
-    edges = saved(near.where(F.col(point_id) != F.col(f"p_{point_id}")).select(*key, F.col(point_id).alias("a"), F.col(f"p_{point_id}").alias("b")))
-    labels = saved(points.select(*key, F.col(point_id).alias("a"), F.col(point_id).alias("label")))
+    their centroid. Points of a small cell are one node, so links and labels grow with occupied cells, not with points near each
+    other. Labels fall along links until none changes; each round is written and read, so lineage stays short."""
+    links, placed = cell_links(points, key, point_id, tolerance)
+    edges = saved(links.unionByName(links.select(*key, F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = saved(placed.select(*key, "a").distinct().withColumn("label", F.col("a")))
     while True:
         seen = edges.join(labels.withColumnRenamed("a", "b"), [*key, "b"]).groupBy(*key, "a").agg(F.min("label").alias("near"))
         step = labels.join(seen, [*key, "a"], "left").select(*key, "a", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # a label is itself a point: take that point's label too, which halves the rounds
+        # a label is itself a cell: take that cell's label too, which halves the rounds
         hop = step.select(*key, F.col("a").alias("label"), F.col("label").alias("next"))
         now = saved(step.join(hop, [*key, "label"]).select(*key, "a", "old", F.col("next").alias("label")))
         labels = now.select(*key, "a", "label")
         if now.where("old <> label").isEmpty():
             break
-    sized = points.join(labels.withColumnRenamed("a", point_id), [*key, point_id]).groupBy(*key, F.col("label").alias("cluster"))
+    sized = placed.join(labels, [*key, "a"]).groupBy(*key, F.col("label").alias("cluster"))
     return sized.agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z")).where(F.col("n") >= least)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grid import Geometry, with_center
+from .grid import Geometry, map_key, with_center
 
 
 def sample_cubic(cells: DataFrame, queries: DataFrame, g: Geometry, layer: str) -> DataFrame:
@@ -17,6 +17,7 @@ def sample_cubic(cells: DataFrame, queries: DataFrame, g: Geometry, layer: str)
     The surface is a sum of weights times cells: each query meets the nine cells about each of its four corners, so there is
     one join on cells and one sum.
     """
+    key = map_key(cells, queries)
     ix, iy = g.index(F.col("x"), F.col("y"))
     placed = queries.withColumns({"_i": ix, "_j": iy})
     x0, y0 = g.center(F.col("_i"), F.col("_j"))
@@ -38,10 +39,10 @@ def sample_cubic(cells: DataFrame, queries: DataFrame, g: Geometry, layer: str)
 
     (hx, kx), (hy, ky) = basis("_tx", "a"), basis("_ty", "b")
     part = lambda d, h, k: F.when(F.col(f"_o.{d}") == 0, h).otherwise(-F.col(f"_o.{d}") / 2 * k)
-    spots = spots.select("query_id", at("_bi", "a", "dx", g.nx).alias("ix"), at("_bj", "b", "dy", g.ny).alias("iy"), (part("dx", hx, kx) * part("dy", hy, ky)).alias("_w"))
-    found = spots.join(cells.select("ix", "iy", F.col(layer).alias("_v")), ["ix", "iy"])
-    sums = found.groupBy("query_id").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count("_v").alias("_n"))
-    return queries.join(sums, "query_id", "left").select(*queries.columns, F.when(F.col("_n") == len(options), F.col("_s")).alias("value"))
+    spots = spots.select(*key, "query_id", at("_bi", "a", "dx", g.nx).alias("ix"), at("_bj", "b", "dy", g.ny).alias("iy"), (part("dx", hx, kx) * part("dy", hy, ky)).alias("_w"))
+    found = spots.join(cells.select(*key, "ix", "iy", F.col(layer).alias("_v")), [*key, "ix", "iy"])
+    sums = found.groupBy(*key, "query_id").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count("_v").alias("_n"))
+    return queries.join(sums, [*key, "query_id"], "left").select(*queries.columns, F.when(F.col("_n") == len(options), F.col("_s")).alias("value"))
 
 
 def node_position(ix: Column, iy: Column, iz: Column, origin: tuple[float, float, float], resolution: float) -> tuple[Column, Column, Column]:

@@ -14,17 +14,64 @@ o = fx.oracle
 
 
 def cubic_q(spark, sf_dir):
-    return rounded(mapping.sample_cubic(fx.cells(spark, sf_dir), probes(spark, sf_dir), MAP, "mean_z"), "value")
+    return rounded(mapping.sample_convolved(fx.cells(spark, sf_dir), probes(spark, sf_dir), MAP, "mean_z"), "value")
 
 
 W_SQL = "CASE WHEN abs({d}) <= 1 THEN 1.5*pow(abs({d}),3) - 2.5*pow(abs({d}),2) + 1 WHEN abs({d}) < 2 THEN -0.5*pow(abs({d}),3) + 2.5*pow(abs({d}),2) - 4*abs({d}) + 2 ELSE 0 END"
-CUBIC_SQL = f""", {PROBES}, q AS (SELECT *, 52 - x - 0.5 AS u, 52 - y - 0.5 AS v FROM probes), k AS (SELECT query_id, u, v, floor(u) + i AS a, floor(v) + j AS b FROM q, range(-1, 3) r(i), range(-1, 3) s(j)),
- c AS (SELECT query_id, greatest(0, least(51, a))::INT AS ix, greatest(0, least(51, b))::INT AS iy, ({W_SQL.format(d='(u - a)')}) * ({W_SQL.format(d='(v - b)')}) AS w FROM k)
- SELECT query_id, CASE WHEN count(mean_z) = 16 THEN round(sum(w * mean_z), 6) END AS value FROM c LEFT JOIN f_cells USING (ix, iy) GROUP BY 1"""
+CUBIC_SQL = space.LINEAR_SQL.split(" SELECT query_id, round(")[0] + f""", lin AS (SELECT query_id, coalesce(lin, mean_z) AS v FROM n LEFT JOIN l USING (query_id)),
+ kk AS (SELECT query_id, u, v, floor(u) + i AS a, floor(v) + j AS b FROM q, range(-1, 3) r(i), range(-1, 3) s(j)),
+ cc AS (SELECT query_id, greatest(0, least(51, a))::INT AS ix, greatest(0, least(51, b))::INT AS iy, ({W_SQL.format(d='(u - a)')}) * ({W_SQL.format(d='(v - b)')}) AS w FROM kk),
+ cub AS (SELECT query_id, CASE WHEN count(mean_z) = 16 THEN sum(w * mean_z) END AS value FROM cc LEFT JOIN f_cells USING (ix, iy) GROUP BY 1)
+ SELECT query_id, round(coalesce(value, v), 6) AS value FROM cub JOIN lin USING (query_id)"""
+
+
+def many_maps_q(spark, sf_dir):
+    asked = probes(spark, sf_dir).withColumn("map_id", 1 + F.col("query_id") % 50)
+    return rounded(grid.sample_linear(fx.cells(spark, sf_dir, True), asked, MAP, "mean_z"), "value")
+
+
+#: The cells of each frame are a map of their own.
+MANY_SQL = (
+    space.LINEAR_SQL.replace("probes AS (SELECT seq AS query_id,", "fc AS (SELECT frame_id AS map_id, floor(52 - x)::INT AS ix, floor(52 - y)::INT AS iy, avg(z) AS mean_z FROM f_points GROUP BY ALL), probes AS (SELECT 1 + seq % 50 AS map_id, seq AS query_id,")
+    .replace("SELECT query_id, floor(u)::INT", "SELECT map_id, query_id, floor(u)::INT")
+    .replace("f_cells USING (ix, iy)", "fc USING (map_id, ix, iy)")
+    .replace("SELECT query_id, mean_z FROM probes LEFT JOIN f_cells ON ix", "SELECT probes.map_id, query_id, mean_z FROM probes LEFT JOIN fc ON fc.map_id = probes.map_id AND ix")
+    .replace(" SELECT query_id, round(coalesce", " SELECT map_id, query_id, round(coalesce")
+)
+COARSE = grid.Geometry(45.0, 42.0, 1.5, 24.3, 27.1)
+
+
+def merge_geometries_q(spark, sf_dir):
+    """A map of coarser cells at another place, merged into one that lacks a third of its cells."""
+    ix, iy = COARSE.index(F.col("x"), F.col("y"))
+    other = fx.points(spark, sf_dir).select(ix.alias("ix"), iy.alias("iy"), "z").where("ix IS NOT NULL AND iy IS NOT NULL").groupBy("ix", "iy").agg(F.avg("z").alias("mean_z"))
+    base = fx.cells(spark, sf_dir).where("(ix + iy) % 3 <> 0").select("ix", "iy", "mean_z")
+    return rounded(grid.merge_maps(base, other, "mean_z", False, ["mean_z"], MAP, COARSE), "mean_z")
+
+
+MERGE_GEOMETRIES_SQL = """, b AS (SELECT floor((46.8::DOUBLE - x) / 1.5::DOUBLE)::INT AS jx, floor((48.1::DOUBLE - y) / 1.5::DOUBLE)::INT AS jy, avg(z) AS other FROM f_points WHERE floor((46.8::DOUBLE - x) / 1.5::DOUBLE) BETWEEN 0 AND 29 AND floor((48.1::DOUBLE - y) / 1.5::DOUBLE) BETWEEN 0 AND 27 GROUP BY 1, 2),
+ r AS (SELECT a.i::INT AS ix, c.i::INT AS iy, floor((46.8::DOUBLE - (52 - (a.i + 0.5::DOUBLE))) / 1.5::DOUBLE)::INT AS jx, floor((48.1::DOUBLE - (52 - (c.i + 0.5::DOUBLE))) / 1.5::DOUBLE)::INT AS jy FROM range(52) a(i), range(52) c(i)),
+ o AS (SELECT ix, iy, other FROM r JOIN b USING (jx, jy)), a AS (SELECT ix, iy, mean_z FROM f_cells WHERE (ix + iy) % 3 <> 0)
+ SELECT ix, iy, round(coalesce(mean_z, other), 6) AS mean_z FROM a FULL JOIN o USING (ix, iy)"""
+WIDE = grid.Geometry(60.0, 60.0, 1.5, 30.0, 20.0)
+POSE = (0.1, -0.2, 0.3)
+SHIFT = (7.0, -6.0, 0.25)
+
+
+def transform_pose_q(spark, sf_dir):
+    roll, pitch, yaw = POSE
+    return rounded(mapping.transform_map(fx.cells(spark, sf_dir), MAP, "mean_z", ["n"], yaw, SHIFT, 0.25, roll, pitch, WIDE).drop("map_id"), "mean_z")
+
+
+TURN = [" + ".join(f"({m!r}::DOUBLE) * {c}" for m, c in zip(row, ("px", "py", "mean_z"), strict=True)) for row in mapping.rotation(*POSE)]
+TRANSFORM_POSE_SQL = f""", p AS (SELECT ix AS sx, iy AS sy, mean_z, n, 52 - (ix + 0.5) + dx AS px, 52 - (iy + 0.5) + dy AS py FROM f_cells, (VALUES (0, 0), (0.25, 0), (-0.25, 0), (0, 0.25), (0, -0.25)) d(dx, dy)),
+ m AS (SELECT sx, sy, n, {TURN[0]} + 7 AS x, {TURN[1]} - 6 AS y, {TURN[2]} + 0.25 AS h FROM p)
+ SELECT floor((60 - x) / 1.5)::INT AS ix, floor((50 - y) / 1.5)::INT AS iy, round(h, 6) AS mean_z, n FROM m WHERE floor((60 - x) / 1.5) BETWEEN 0 AND 39 AND floor((50 - y) / 1.5) BETWEEN 0 AND 39
+ QUALIFY row_number() OVER (PARTITION BY floor((60 - x) / 1.5), floor((50 - y) / 1.5) ORDER BY h DESC, sx, sy) = 1"""
 
 
 def rotate_q(spark, sf_dir):
-    return rounded(mapping.rotate_map(fx.cells(spark, sf_dir), MAP, "mean_z", 0.5), "value")
+    return rounded(mapping.rotate_map(fx.cells(spark, sf_dir), MAP, "mean_z", 0.5).drop("map_id"), "value")
 
 
 ROTATE_SQL = """, n AS (SELECT a.i::INT AS ix, b.i::INT AS iy, 52 - (a.i + 0.5::DOUBLE) - 26 AS dx, 52 - (b.i + 0.5::DOUBLE) - 26 AS dy FROM range(52) a(i), range(52) b(i)),
@@ -33,7 +80,7 @@ ROTATE_SQL = """, n AS (SELECT a.i::INT AS ix, b.i::INT AS iy, 52 - (a.i + 0.5::
 
 
 def transform_q(spark, sf_dir):
-    return rounded(mapping.transform_map(fx.cells(spark, sf_dir), MAP, "mean_z", ["n"], 0.3, (7.0, -6.0, 0.25)), "mean_z")
+    return rounded(mapping.transform_map(fx.cells(spark, sf_dir), MAP, "mean_z", ["n"], 0.3, (7.0, -6.0, 0.25)).drop("map_id"), "mean_z")
 
 
 TRANSFORM_SQL = """, m AS (SELECT ix AS sx, iy AS sy, mean_z + 0.25 AS h, n, cos(0.3::DOUBLE) * (52 - ix - 0.5) - sin(0.3::DOUBLE) * (52 - iy - 0.5) + 7 AS x, sin(0.3::DOUBLE) * (52 - ix - 0.5) + cos(0.3::DOUBLE) * (52 - iy - 0.5) - 6 AS y FROM f_cells)
@@ -108,6 +155,9 @@ QUERIES = {
     "a22_polygon_safety": (safety_q, o(SAFETY_SQL, "f_cells")),
     "g12_cubic": (cubic_q, o(CUBIC_SQL, "f_topics", "f_cells")),
     "g14_transform_map": (transform_q, o(TRANSFORM_SQL, "f_cells")),
+    "g11_many_maps": (many_maps_q, o(MANY_SQL, "f_topics", "f_points")),
+    "g14_transform_pose": (transform_pose_q, o(TRANSFORM_POSE_SQL, "f_cells")),
+    "u01_merge_geometries": (merge_geometries_q, o(MERGE_GEOMETRIES_SQL, "f_points", "f_cells")),
     "g15_rotate_map": (rotate_q, o(ROTATE_SQL, "f_cells")),
     "g19_distance_3d": (distance_3d_q, o(DISTANCE_3D_SQL, "f_cells")),
     "g23_fan_triangles": (fan_q, f"WITH {space.BOXES} SELECT box_id AS poly_id, k::INT AS k, round((x1 - x0) * (y1 - y0) / 2, 6) AS area FROM boxes, (VALUES (1), (2)) v(k)"),

@@ -276,3 +276,59 @@ def test_walks_by_bucket_are_the_same(spark):
     assert a.keys() == b.keys() and all(b[k] == pytest.approx(v) for k, v in a.items())
     lengths = [{r.device_id: (r.length_m, r.n) for r in windows.path_length(plain, x).collect()} for x in (None, 2.5)]
     assert lengths[0].keys() == lengths[1].keys() and all(lengths[1][k] == pytest.approx(v) for k, v in lengths[0].items())
+
+
+def plain_clusters(rows, tolerance, least):
+    """Smallest id, size of the connected groups of (id, x, y, z)."""
+    label, out = {}, {}
+    for r in sorted(rows):
+        if r[0] in label:
+            continue
+        todo, label[r[0]] = [r], r[0]
+        while todo:
+            p = todo.pop()
+            for q in rows:
+                if q[0] not in label and sum((p[i] - q[i]) ** 2 for i in (1, 2, 3)) <= tolerance * tolerance:
+                    label[q[0]] = r[0]
+                    todo.append(q)
+    for name in label.values():
+        out[name] = out.get(name, 0) + 1
+    return {k: n for k, n in out.items() if n >= least}
+
+
+@pytest.mark.parametrize("spread, n", [(6.0, 250), (2.5, 150), (12.0, 250)])
+def test_clusters_against_brute_force(spark, spread, n):
+    rng = random.Random(int(spread * 7))
+    rows = [(i, rng.uniform(-spread, spread), rng.uniform(-spread, spread), rng.uniform(-1, 1)) for i in range(n)]
+    rows += [(1000 + i, 3.0 + rng.uniform(0, 0.2), -3.0 + rng.uniform(0, 0.2), 0.0) for i in range(120)]  # a dense cell
+    rows += [(2000 + i, rng.choice((3.9, 4.15)), -3.0 + 0.05 * (i % 5), 0.0) for i in range(40)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "k int, pid int, x double, y double, z double")
+    got = {r.cluster: r.n for r in points.euclid_clusters(df, ["k"], "pid", 1.0, 2).collect()}
+    assert got == plain_clusters(rows, 1.0, 2)
+
+
+def test_links_grow_with_cells_not_with_points(spark):
+    rng = random.Random(1)
+    dense = [(1, i, rng.uniform(0, 2.0), rng.uniform(0, 2.0), 0.0) for i in range(3_000)]
+    df = spark.createDataFrame(dense, "k int, pid int, x double, y double, z double")
+    links, placed = points.cell_links(df, ["k"], "pid", 1.0)
+    assert placed.select("a").distinct().count() <= 16 and links.count() <= 16 * 15 / 2
+    assert points.euclid_clusters(df, ["k"], "pid", 1.0, 1).count() == 1
+
+
+def test_maps_are_kept_apart(spark):
+    g = grid.Geometry(4.0, 4.0, 1.0)
+    cells = spark.createDataFrame([(m, x, y, float(10 * m + x)) for m in (1, 2) for x in range(4) for y in range(4)], "map_id int, ix int, iy int, h double")
+    asked = spark.createDataFrame([(m, 5, 0.5, 0.5) for m in (1, 2)], "map_id int, query_id int, x double, y double")
+    from fieldscan.operators import mapping, sampling
+
+    near = {r.map_id: r.value for r in grid.sample_nearest(cells, asked, g, "h").collect()}
+    assert near == {1: 11.0, 2: 21.0}
+    for sample in (grid.sample_linear, mapping.sample_convolved, sampling.sample_cubic):
+        got = {r.map_id: r.value for r in sample(cells, asked.withColumn("x", F.lit(0.0)), g, "h").collect()}
+        assert got == pytest.approx({1: 11.5, 2: 21.5}), sample
+    both = grid.merge_maps(cells, cells.where("map_id = 2").withColumn("h", F.col("h") + 1), "h", True)
+    assert {(r.map_id, r.h) for r in both.where("ix = 0 AND iy = 0").collect()} == {(1, 10.0), (2, 21.0)}
+    turned = mapping.rotate_map(cells, g, "h", math.pi / 2)
+    assert turned.count() == 32 and {r.map_id for r in turned.collect()} == {1, 2}
+    assert mapping.transform_map(cells, g, "h", [], 0.0, (0.0, 0.0, 1.0)).count() == 32
