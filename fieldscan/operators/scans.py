@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .fold import delayed_fold
+
 
 def shadow_filter_neighbours(beams: DataFrame, n: int, d: float, increment: float) -> DataFrame:
     """A beam's window counts when at least n of the beams at +-n lie within d metres of it; a beam is kept in any window
@@ -45,6 +47,71 @@ def fill_bright_gaps(beams: DataFrame, n: int, bright: float = 200.0) -> DataFra
     return out.where(F.col("beam").between(0, n - 1))
 
 
+class GapWalk:
+    """Fills gaps of one scan beam by beam; what was filled lights up later gaps. Beams below 0 are copies of the last ones, as
+    they were, and those from n on of the first ones, as they became. Three beams ahead and two behind are held."""
+
+    def __init__(self, n: int, bright: float):
+        self.n, self.bright = n, bright
+        self.beams: list[list] = []  # [beam, range, energy], the oldest not yet given
+        self.first: list[list] = []
+        self.at = 0  # the beam to look at next
+
+    def push(self, row: dict) -> list[dict]:
+        beam = [row["beam"], row["range"], row["energy"]]
+        if 0 <= row["beam"] < 3:
+            self.first.append(beam)
+        if row["beam"] >= self.n:
+            beam[1:] = self.first[row["beam"] - self.n][1:]
+        self.beams.append(beam)
+        while self.beams and self.at < self.n and self.at + 3 <= self.beams[-1][0]:
+            self.look()
+        return self.release(self.at - 2)
+
+    def finish(self) -> list[dict]:
+        return self.release(self.n + 3)
+
+    def release(self, before: int) -> list[dict]:
+        out = []
+        while self.beams and self.beams[0][0] < before:
+            _, x, energy = self.beams.pop(0)
+            out.append({"filled": x, "filled_energy": energy})
+        return out
+
+    def look(self) -> None:
+        here = self.at - self.beams[0][0]
+        if self.beams[here][1] is not None:
+            self.at += 1
+            return
+        near = lambda k: self.beams[here + k]
+        lit = {k: near(k)[1] is not None and (near(k)[2] or 0) > self.bright for k in (-2, -1, 1, 2, 3)}
+        if lit[-1] and lit[1] and (lit[2] or lit[-2]):
+            fill, other = [0], 1
+        elif lit[-1] and lit[-2] and not lit[1] and lit[2] and lit[3]:
+            fill, other = [0, 1], 2
+        else:
+            self.at += 1
+            return
+        mean = [(near(-1)[i] + near(other)[i]) / 2 for i in (1, 2)]
+        for k in fill:
+            near(k)[1:] = mean
+        self.at += 2
+
+
+def fill_bright_gaps_in_order(beams: DataFrame, n: int, bright: float = 200.0) -> DataFrame:
+    """As fill_bright_gaps, but beam after beam from 0 on: a filled beam lights up the gaps after it, also over the seam, where
+    a gap of the last and the first beam is filled at the end. A task holds six beams."""
+    columns = ["scan_id", "beam", "range", "energy"]
+    ring = beams.select(*columns)
+    before = ring.where(F.col("beam") >= n - 2).withColumn("beam", F.col("beam") - n)
+    after = ring.where(F.col("beam") < 3).withColumn("beam", F.col("beam") + n)
+    rows = ring.unionByName(before).unionByName(after).withColumns({"t": F.col("beam").cast("double"), "seq": F.col("beam")})
+    done = delayed_fold(rows, ["scan_id"], ["beam", "range", "energy"], "filled double, filled_energy double", lambda: GapWalk(n, bright))
+    # beam n is the first one again, as the end of the scan left it
+    once = done.where(F.col("beam").between(0, n)).groupBy("scan_id", (F.col("beam") % n).alias("beam"))
+    return once.agg(F.min_by("range", "t").alias("range"), F.min_by("energy", "t").alias("energy"), F.max("filled").alias("filled"), F.max("filled_energy").alias("filled_energy"))
+
+
 def angle_compensate(beams: DataFrame, mult: int, degrees: Column) -> DataFrame:
     """Seen beams into 360 * mult bins, each filling mult bins from floor(angle * mult), capped at the last; the last beam
     wins."""

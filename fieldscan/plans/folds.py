@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunked, fold, windows
+from ..operators import chunked, fold, scans, windows
 from ..sources import fixtures as fx
 from . import motion
 from .motion import rounded
@@ -76,6 +76,21 @@ def sample_chunked_q(spark, sf_dir):
     return chunked.chunked_fold(fx.odometry(spark, sf_dir), ["device_id"], 5.0, chunked.Sample(0.5)).where("kept").select("device_id", "seq")
 
 
+def gaps_in_order_q(spark, sf_dir):
+    energy = F.when(F.col("range").isNotNull(), 150.0 + (F.col("beam") * 37 + F.col("scan_id")) % 200)
+    beams = fx.scans(spark, sf_dir).withColumn("energy", energy)
+    return rounded(scans.fill_bright_gaps_in_order(beams, 100, 170.0).select("scan_id", "beam", "filled", "filled_energy"), "filled", "filled_energy")
+
+
+#: The scan's lists travel through the walk; a step looks at one beam.
+GAPS_IN_ORDER_SQL = """, l AS (SELECT scan_id, list(range ORDER BY beam) AS rs, list(CASE WHEN range IS NOT NULL THEN 150.0::DOUBLE + (beam * 37 + scan_id) % 200 END ORDER BY beam) AS gs FROM f_scans GROUP BY 1),
+ w(scan_id, i, rs, gs) AS (SELECT scan_id, 0, rs, gs FROM l UNION ALL
+ SELECT scan_id, CASE WHEN kind > 0 THEN i + 2 ELSE i + 1 END,
+  CASE WHEN kind = 0 THEN rs ELSE list_transform(rs, lambda x, j: CASE WHEN j = i + 1 OR (kind = 2 AND j = (i + 1) % 100 + 1) THEN (rs[(i + 99) % 100 + 1] + rs[(i + kind) % 100 + 1]) / 2 ELSE x END) END,
+  CASE WHEN kind = 0 THEN gs ELSE list_transform(gs, lambda x, j: CASE WHEN j = i + 1 OR (kind = 2 AND j = (i + 1) % 100 + 1) THEN (gs[(i + 99) % 100 + 1] + gs[(i + kind) % 100 + 1]) / 2 ELSE x END) END
+ FROM (SELECT *, CASE WHEN rs[i + 1] IS NOT NULL THEN 0 WHEN l1 AND r1 AND (r2 OR l2) THEN 1 WHEN l1 AND l2 AND NOT r1 AND r2 AND r3 THEN 2 ELSE 0 END AS kind FROM (
+  SELECT *, coalesce(gs[(i + 99) % 100 + 1] > 170, false) AS l1, coalesce(gs[(i + 98) % 100 + 1] > 170, false) AS l2, coalesce(gs[(i + 1) % 100 + 1] > 170, false) AS r1, coalesce(gs[(i + 2) % 100 + 1] > 170, false) AS r2, coalesce(gs[(i + 3) % 100 + 1] > 170, false) AS r3 FROM w WHERE i < 100)))
+ SELECT scan_id, k::INT AS beam, round(rs[k + 1], 6) AS filled, round(gs[k + 1], 6) AS filled_energy FROM w, range(100) b(k) WHERE i >= 100"""
 WAYPOINTS = [(0.5, 0.5), (2.0, 1.0), (3.0, 2.0)]
 WALK = "WITH RECURSIVE "
 #: Rows of a key numbered in order, for recursive walks.
@@ -122,6 +137,7 @@ QUERIES = {
     "w02_debounce_chunked": (debounce_chunked_q, walk(DEBOUNCE_SQL, "f_ranges")),
     "w03_low_pass_chunked": (low_pass_chunked_q, walk(LOW_PASS_SQL, "f_ranges")),
     "w07_sample_chunked": (sample_chunked_q, walk(SAMPLE_SQL, "f_odom")),
+    "w20_fill_in_order": (gaps_in_order_q, walk(GAPS_IN_ORDER_SQL, "f_scans")),
     "w25_mean_time": (mean_time_q, walk(MEAN_SQL, "f_ranges")),
     "w27_stuck": (stuck_q, walk(STUCK_SQL, "f_odom")),
     "t03_tracks": (tracks_q, None),

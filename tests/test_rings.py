@@ -80,3 +80,44 @@ def test_small_planes_take_every_second_middle(spark):
     got = [r.label for r in rings.edge_points(df, ["scan", "ring"], cfg).orderBy("seq").collect()]
     # places 3 to 8 may be judged: 3, 5 and 7 are middles that count
     assert got == ["none"] * 2 + ["plane"] * 7 + ["none"] * 3
+
+
+def plain_fill(ranges, energies, bright):
+    """Beam after beam around the circle, as recordings were filled."""
+    r, e, n, i = list(ranges), list(energies), len(ranges), 0
+    lit = lambda k: r[k % n] is not None and e[k % n] > bright
+    while i < n:
+        if r[i] is not None:
+            i += 1
+            continue
+        if lit(i - 1) and lit(i + 1) and (lit(i + 2) or lit(i - 2)):
+            fill, other = [i], i + 1
+        elif lit(i - 1) and lit(i - 2) and not lit(i + 1) and lit(i + 2) and lit(i + 3):
+            fill, other = [i, (i + 1) % n], i + 2
+        else:
+            i += 1
+            continue
+        mean = (r[i - 1] + r[other % n]) / 2, (e[i - 1] + e[other % n]) / 2
+        for k in fill:
+            r[k], e[k] = mean
+        i += 2
+    return r
+
+
+def test_filled_beams_light_up_later_gaps(spark):
+    from fieldscan.operators import scans
+
+    rng, scan_rows, want = random.Random(12), [], {}
+    for scan in range(60):
+        ranges = [None if rng.random() < 0.35 else round(rng.uniform(1, 9), 2) for _ in range(20)]
+        if scan == 0:  # a chain of gaps, each lit by the one filled before it, and a gap over the seam
+            ranges = [None if k in (0, 4, 6, 8, 12, 13, 19) else 2.0 + k for k in range(20)]
+        energies = [None if x is None else rng.choice((150.0, 250.0, 300.0)) if scan else 250.0 for x in ranges]
+        scan_rows += [(scan, k, x, e) for k, (x, e) in enumerate(zip(ranges, energies, strict=True))]
+        want |= {(scan, k): x for k, x in enumerate(plain_fill(ranges, energies, 200.0))}
+    df = spark.createDataFrame(scan_rows, "scan_id int, beam int, range double, energy double")
+    got = {(r.scan_id, r.beam): r.filled for r in scans.fill_bright_gaps_in_order(df, 20).collect()}
+    assert got.keys() == want.keys() and all(g == want[k] or math.isclose(g, want[k]) for k, g in got.items())
+    assert got[0, 0] is not None and got[0, 19] is not None
+    once = {(r.scan_id, r.beam): r.filled for r in scans.fill_bright_gaps(df, 20).collect()}
+    assert once != got
