@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detections, distance, grid, mapping
+from ..operators import detections, distance, grid, mapping, polygons
 from ..sources import fixtures as fx
 from . import space
 from .motion import rounded
@@ -70,6 +70,44 @@ TRANSFORM_POSE_SQL = f""", p AS (SELECT ix AS sx, iy AS sy, mean_z, n, 52 - (ix
  QUALIFY row_number() OVER (PARTITION BY floor((60 - x) / 1.5), floor((50 - y) / 1.5) ORDER BY h DESC, sx, sy) = 1"""
 
 
+def segments(spark, sf_dir):
+    return fx.topics(spark, sf_dir).selectExpr("seq AS seg_id", "(seq * 37 % 9000) / 100.0D - 20 AS x0", "value / 5 - 20 AS y0", "(seq * 53 % 8000) / 100.0D - 15 AS x1", "(seq % 100) * 0.7D - 9.3D AS y1")
+
+
+SEGMENTS = "s AS (SELECT seq AS seg_id, (seq * 37 % 9000) / 100.0::DOUBLE - 20 AS x0, value / 5 - 20 AS y0, (seq * 53 % 8000) / 100.0::DOUBLE - 15 AS x1, (seq % 100) * 0.7::DOUBLE - 9.3::DOUBLE AS y1 FROM f_topics)"
+
+
+def cut_lines_q(spark, sf_dir):
+    return polygons.lines_in_map(segments(spark, sf_dir), MAP).groupBy("ix", "iy").agg(F.count("*").alias("n"), F.min("seg_id").alias("first"))
+
+
+CUT_LINES_SQL = f""", {SEGMENTS}, l AS (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS d FROM s),
+ t AS (SELECT *, unnest(range(0, greatest(0, floor(d + 1e-12)::INT - 1) + 1)) AS k FROM l),
+ p AS (SELECT seg_id, k, floor(52 - (x0 + k * (x1 - x0) / d)) AS ax, floor(52 - (y0 + k * (y1 - y0) / d)) AS ay, floor(52 - (x1 + k * (x0 - x1) / d)) AS bx, floor(52 - (y1 + k * (y0 - y1) / d)) AS by_ FROM t),
+ a AS (SELECT seg_id, arg_min(ax, k)::INT AS ix0, arg_min(ay, k)::INT AS iy0 FROM p WHERE ax BETWEEN 0 AND 51 AND ay BETWEEN 0 AND 51 GROUP BY 1), b AS (SELECT seg_id, arg_min(bx, k)::INT AS ix1, arg_min(by_, k)::INT AS iy1 FROM p WHERE bx BETWEEN 0 AND 51 AND by_ BETWEEN 0 AND 51 GROUP BY 1),
+ d AS (SELECT *, abs(ix1 - ix0) AS dx, abs(iy1 - iy0) AS dy, greatest(abs(ix1 - ix0), abs(iy1 - iy0)) AS n FROM a JOIN b USING (seg_id)), e AS (SELECT *, unnest(range(n + 1)) AS i FROM d)
+ SELECT CAST(ix0 + sign(ix1 - ix0) * CASE WHEN dx >= dy THEN i ELSE (i * dx + n // 2) // n END AS INT) AS ix, CAST(iy0 + sign(iy1 - iy0) * CASE WHEN dx < dy THEN i WHEN n = 0 THEN 0 ELSE (i * dy + n // 2) // n END AS INT) AS iy, count(*) AS n, min(seg_id) AS first FROM e GROUP BY 1, 2"""
+
+
+def builders_q(spark, sf_dir):
+    """Corners of thick lines, of those moved inward, and of the hull about circles at both ends."""
+    ends = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    thick = polygons.thick_line(*ends, 1.5)
+    made = {"thick": thick, "inward": polygons.offset_inward(F.reverse(thick), 0.25), "hull": polygons.hull_of_two_circles(*ends, 0.8, 7)}
+    rows = segments(spark, sf_dir).select("seg_id", F.explode(F.array(*[F.struct(F.lit(n).alias("made"), v.alias("vertices")) for n, v in made.items()])).alias("p"))
+    rows = rows.select("seg_id", "p.made", F.posexplode("p.vertices").alias("k", "v"))
+    return rounded(rows.select("seg_id", "made", "k", F.col("v.x").alias("x"), F.col("v.y").alias("y")), "x", "y")
+
+
+#: A thick line's corners are at right angles, so moving the edges in moves each corner by the margin along both.
+BUILDERS_SQL = f""", {SEGMENTS}, u AS (SELECT *, (x1 - x0) / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS ux, (y1 - y0) / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS uy FROM s),
+ c AS (SELECT seg_id, k, CASE WHEN k < 2 THEN x0 ELSE x1 END AS x, CASE WHEN k < 2 THEN y0 ELSE y1 END AS y, CASE WHEN k IN (0, 3) THEN 1 ELSE -1 END AS side, CASE WHEN k < 2 THEN 1 ELSE -1 END AS along, ux, uy FROM u, range(4) r(k)),
+ h AS (SELECT seg_id, k, CASE WHEN k < 4 THEN x0 ELSE x1 END AS x, CASE WHEN k < 4 THEN y0 ELSE y1 END AS y, pi() * (CASE WHEN k < 4 THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END + (k % 4) / 3.0::DOUBLE) AS a, ux, uy FROM u, range(8) r(k))
+ SELECT seg_id, 'thick' AS made, k::INT AS k, round(x + side * 1.5 * uy, 6) AS x, round(y - side * 1.5 * ux, 6) AS y FROM c
+ UNION ALL SELECT seg_id, 'inward', (3 - k)::INT, round(x + side * 1.25 * uy + along * 0.25 * ux, 6), round(y - side * 1.25 * ux + along * 0.25 * uy, 6) FROM c
+ UNION ALL SELECT seg_id, 'hull', k::INT, round(x + 0.8 * (cos(a) * ux - sin(a) * uy), 6), round(y + 0.8 * (sin(a) * ux + cos(a) * uy), 6) FROM h"""
+
+
 def rotate_q(spark, sf_dir):
     return rounded(mapping.rotate_map(fx.cells(spark, sf_dir), MAP, "mean_z", 0.5).drop("map_id"), "value")
 
@@ -155,6 +193,8 @@ QUERIES = {
     "a22_polygon_safety": (safety_q, o(SAFETY_SQL, "f_cells")),
     "g12_cubic": (cubic_q, o(CUBIC_SQL, "f_topics", "f_cells")),
     "g14_transform_map": (transform_q, o(TRANSFORM_SQL, "f_cells")),
+    "g07_cut_lines": (cut_lines_q, o(CUT_LINES_SQL, "f_topics")),
+    "g23_polygon_builders": (builders_q, o(BUILDERS_SQL, "f_topics")),
     "g11_many_maps": (many_maps_q, o(MANY_SQL, "f_topics", "f_points")),
     "g14_transform_pose": (transform_pose_q, o(TRANSFORM_POSE_SQL, "f_cells")),
     "u01_merge_geometries": (merge_geometries_q, o(MERGE_GEOMETRIES_SQL, "f_points", "f_cells")),
