@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder: the session's, or a folder of this machine where none is set, as in tests."""
+    """The shared folder: the session's, or, in local mode only, a folder of this machine where none is set, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldscan-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors would write where neither the driver nor each other can read")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldscan-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
