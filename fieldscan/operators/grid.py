@@ -197,6 +197,23 @@ def to_occupancy(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNull(), -1).otherwise((share * 100).cast("int"))
 
 
+def from_occupancy(messages: DataFrame, g: Geometry, layer: str) -> DataFrame:
+    """Cells (and map_id, where there is one) of occupancy messages (data): values run from the last cell to the first, x fastest;
+    -1 is unknown. Messages of another size are left out."""
+    key, n = map_key(messages), g.nx * g.ny
+    each = messages.where(F.size("data") == n).select(*key, F.posexplode("data").alias("k", "v")).withColumn("k", F.lit(n - 1) - F.col("k"))
+    return each.select(*key, (F.col("k") % g.nx).cast("int").alias("ix"), F.floor(F.col("k") / g.nx).cast("int").alias("iy"), F.nullif(F.col("v").cast("double"), F.lit(-1.0)).alias(layer))
+
+
+def to_occupancy_message(cells: DataFrame, g: Geometry, value: Column) -> DataFrame:
+    """One message (map_id, data) a map of cells with a value as to_occupancy gives it; cells the map lacks are -1. A message is
+    as long as the geometry has cells."""
+    n = g.nx * g.ny
+    known = cells.select("map_id", (F.lit(n - 1) - g.linear(F.col("ix"), F.col("iy"))).alias("k"), value.cast("int").alias("v")).groupBy("map_id", "k").agg(F.max("v").alias("v"))
+    maps = known.groupBy("map_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("known"))
+    return maps.select("map_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("known", k.cast("int")), F.lit(-1))).alias("data"))
+
+
 def inpaint(cells: DataFrame, layer: str, rounds: int) -> DataFrame:
     """Missing values filled from the mean of known neighbours (3 x 3), so many rounds."""
     for _ in range(rounds):

@@ -166,6 +166,15 @@ def fit_planes(neighbours: DataFrame, key: list[str]) -> DataFrame:
     return g.select(*key, "n", *[F.when(F.abs(whole) > 1e-9, p / whole).alias(name) for name, p in parts.items()])
 
 
+def plane_validity(neighbours: DataFrame, planes: DataFrame, key: list[str], most: float) -> DataFrame:
+    """planes (key, a, b, c) with `residual`, the largest distance of one of its points from a plane, and `valid`: whether no point is
+    farther than `most`. A group without a plane is not valid."""
+    norm = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
+    away = F.try_divide(F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + 1), norm)
+    worst = neighbours.join(planes.select(*key, *"abc"), key).groupBy(*key).agg(F.max(away).alias("residual"))
+    return planes.join(worst, key, "left").withColumn("valid", F.coalesce(F.col("residual") <= most, F.lit(False)))
+
+
 def cell_links(points: DataFrame, key: list[str], point_id: str, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """(key, a, b) links between cells that hold points within the tolerance of each other, and points with their cell, `a`. A
     cell, named by its smallest point_id, is so small that its own points are within the tolerance.

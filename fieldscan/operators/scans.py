@@ -129,6 +129,13 @@ def assemble_revolutions(packets: DataFrame, collect_angle: int, whole: int = 36
     return out.groupBy("device_id", "revolution").agg(F.count("*").alias("packets"), F.sum("n").alias("points"), (F.sum("span") == whole).alias("whole"))
 
 
+def revolution_losses(revolutions: DataFrame) -> DataFrame:
+    """Per device its whole revolutions, and how many were dropped for being incomplete, with their packets and points."""
+    lost = ~F.coalesce(F.col("whole"), F.lit(False))
+    sums = [F.coalesce(F.sum(F.when(lost, F.col(c))), F.lit(0)).alias(f"lost_{c}") for c in ("packets", "points")]
+    return revolutions.groupBy("device_id").agg(F.count_if(~lost).alias("revolutions"), F.count_if(lost).alias("lost"), *sums)
+
+
 def mask_angles(beams: DataFrame, low: float, high: float, masks: list[tuple[float, float]], near: float, far: float) -> DataFrame:
     """Beams with low <= angle <= high; inside a mask or outside the limits they stay, as missing."""
     hidden = ~F.coalesce(F.col("range").between(near, far), F.lit(False))

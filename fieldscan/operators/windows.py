@@ -171,11 +171,16 @@ def topic_rate(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n"), F.when((F.count("*") > 1) & (span > 0), (F.count("*") - 1) / span).otherwise(0.0).alias("rate"))
 
 
-def frame_quality(df: DataFrame, modulus: int = 65536) -> DataFrame:
-    w = W.partitionBy("device_id").orderBy("seq")
+def frame_quality(df: DataFrame, modulus: int = 65536, well_formed: Column | None = None) -> DataFrame:
+    """Per device its frames (seq, counter) and those whose counter is neither the last one's nor the next after it. With a column
+    that tells well-formed frames, n counts them, `malformed` the others, and counters follow from one of them to the next."""
+    ok = F.lit(True) if well_formed is None else F.coalesce(well_formed, F.lit(False))
+    w = W.partitionBy("device_id", "_ok").orderBy("seq")
     step = (F.col("counter") - F.lag("counter").over(w) + modulus) % modulus
-    odd = F.coalesce((step != 0) & (step != 1), F.lit(False))
-    return df.withColumn("_odd", odd).groupBy("device_id").agg(F.count("*").alias("n"), F.count_if("_odd").alias("anomalies"))
+    odd = F.col("_ok") & F.coalesce((step != 0) & (step != 1), F.lit(False))
+    out = df.withColumn("_ok", ok).withColumn("_odd", odd).groupBy("device_id")
+    counts = [F.count_if("_ok").alias("n"), F.count_if("_odd").alias("anomalies")]
+    return out.agg(*counts) if well_formed is None else out.agg(*counts, F.count_if(~F.col("_ok")).alias("malformed"))
 
 
 def hold_values(df: DataFrame, hold: float, at: Column) -> DataFrame:

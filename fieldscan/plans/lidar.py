@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import frames
@@ -92,7 +93,10 @@ MERGE_SQL = """, u AS (SELECT seq, t, 'a' AS lidar FROM f_topics WHERE seq % 2 =
 
 def time_order_q(spark, sf_dir):
     ordered = lidar.points_in_time_order(shots(spark, sf_dir), "scan_id", "t")
-    return ordered.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("t", "seq")))[0]["t"].alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("n"))
+    # places in the partitions as they are, so that a point out of order shows as a step back
+    step = F.col("t") - F.lag("t").over(W.partitionBy("scan_id").orderBy("place"))
+    stepped = ordered.withColumn("place", F.monotonically_increasing_id()).withColumn("step", step)
+    return rounded(stepped.groupBy("scan_id").agg(F.count("*").alias("n"), F.count_if(F.col("step") < 0).alias("back"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("span")), "span")
 
 
 def colors_q(spark, sf_dir):
@@ -295,7 +299,7 @@ QUERIES = {
     "p28_crop": (crop_q, o(CROP_SQL, P)),
     "p42_packets": (packets_q, o(PACKETS_SQL, T)),
     "u06_merge_frames": (merge_frames_q, o(MERGE_SQL, T)),
-    "k03_time_order": (time_order_q, o(f", {SHOTS} SELECT scan_id, min(t) AS first_t, max(t) AS last_t, count(*) AS n FROM shots GROUP BY 1", P)),
+    "k03_time_order": (time_order_q, o(f", {SHOTS} SELECT scan_id, count(*) AS n, 0::BIGINT AS back, round(max(t) - min(t), 6) AS span FROM shots GROUP BY 1", P)),
     "j11_colors": (colors_q, o(COLORS_SQL, P)),
     "t05_active_scan": (active_scan_q, o(ACTIVE_SQL, O, P)),
     "a06_clear_scan": (clear_scan_q, o("SELECT scan_id, 12 AS beams, round(greatest(least(max(range) - 0.5, 9), min(range) + 0.01), 6) AS clear FROM f_scans GROUP BY 1 HAVING max(range) > min(range)", S)),

@@ -287,6 +287,15 @@ QUALITY_SQL = """, a AS (SELECT device_id, (seq // 40 - lag(seq // 40) OVER (PAR
  SELECT device_id, count(*) AS n, count(*) FILTER (WHERE s <> 0 AND s <> 1) AS anomalies FROM a GROUP BY 1"""
 
 
+def malformed_q(spark, sf_dir):
+    return windows.frame_quality(fx.faulty(spark, sf_dir).withColumn("counter", F.floor(F.col("seq") / 40)), well_formed=F.col("seq") % 13 != 0)
+
+
+MALFORMED_SQL = """, a AS (SELECT device_id, (seq // 40 - lag(seq // 40) OVER (PARTITION BY device_id ORDER BY seq) + 65536) % 65536 AS s FROM f_faulty WHERE seq % 13 <> 0)
+ SELECT device_id, coalesce(n, 0) AS n, coalesce(anomalies, 0) AS anomalies, malformed FROM (SELECT device_id, count(*) FILTER (WHERE seq % 13 = 0) AS malformed FROM f_faulty GROUP BY 1)
+ LEFT JOIN (SELECT device_id, count(*) AS n, count(*) FILTER (WHERE s <> 0 AND s <> 1) AS anomalies FROM a GROUP BY 1) USING (device_id)"""
+
+
 def hold_q(spark, sf_dir):
     return rounded(windows.hold_values(fx.ranges(spark, sf_dir), 0.8, F.lit(19740.0)), "value")
 
@@ -328,6 +337,7 @@ QUERIES = {
     "a10_grouped_min": (groups_q, o(GROUPS_SQL, "f_ranges")),
     "a14_topic_rate": (rate_q, o(RATE_SQL, T)),
     "a24_frame_quality": (quality_q, o(QUALITY_SQL, FA)),
+    "a24_malformed": (malformed_q, o(MALFORMED_SQL, FA)),
     "s03_required_topics": (required_q, o("SELECT topic FROM (VALUES ('click'), ('error'), ('imu'), ('lidar')) v(topic) WHERE topic NOT IN (SELECT topic FROM f_topics)", T)),
     "t04_hold_values": (hold_q, o(HOLD_SQL, "f_ranges")),
     "w01a_rolling_median": (median_q, o(MEDIAN_SQL, "f_ranges")),

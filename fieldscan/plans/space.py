@@ -126,6 +126,33 @@ PLANES_SQL = """, s AS (SELECT frame_id, count(*) AS n, sum(x*x) AS xx, sum(x*y)
  round(-(xx*(yy*sz - sy*yz) - xy*(xy*sz - sy*xz) + sx*(xy*yz - yy*xz)) / det, 4) AS c FROM d"""
 
 
+def valid_planes_q(spark, sf_dir):
+    p = fx.points(spark, sf_dir).withColumn("patch", F.floor(F.col("x") / 17) * 3 + F.floor(F.col("y") / 17))
+    key = ["frame_id", "patch"]
+    out = points.plane_validity(p, points.fit_planes(p, key).where("n >= 12"), key, 2.5)
+    return rounded(out.select(*key, "n", "residual", "valid"), "residual", digits=3)
+
+
+VALID_PLANES_SQL = (
+    PLANES_SQL.replace("frame_id", "frame_id, patch").replace("FROM f_points GROUP BY 1)", "FROM q GROUP BY 1, 2)").replace(", s AS", ", q AS (SELECT *, (floor(x / 17) * 3 + floor(y / 17))::BIGINT AS patch FROM f_points), s AS", 1).replace("\n SELECT frame_id, patch, n, round(", ",\n p AS (SELECT frame_id, patch, n, round(", 1).replace(", 4)", ", 14)")
+    + """ WHERE n >= 12)
+ SELECT frame_id, patch, p.n, round(max(abs(a * x + b * y + c * z + 1) / sqrt(a * a + b * b + c * c)), 3) AS residual, max(abs(a * x + b * y + c * z + 1) / sqrt(a * a + b * b + c * c)) <= 2.5 AS valid FROM p JOIN q USING (frame_id, patch) GROUP BY 1, 2, 3"""
+)
+
+
+def import_q(spark, sf_dir):
+    """Occupancy messages of the maps of frames, read back as cells."""
+    small = grid.Geometry(13.0, 13.0, 4.0, 26.0, 26.0)
+    cells = fx.points(spark, sf_dir).selectExpr("frame_id AS map_id", "CAST(floor(x / 18) AS INT) AS ix", "CAST(floor(y / 18) AS INT) AS iy", "z").groupBy("map_id", "ix", "iy").agg(F.max("z").alias("z"), F.count("*").alias("n"))
+    value = grid.to_occupancy(F.when(F.col("n") % 4 > 0, F.round("z", 4)), 0.2, 0.9)
+    return grid.from_occupancy(grid.to_occupancy_message(cells.where("n % 5 > 0"), small, value), small, "occupancy")
+
+
+IMPORT_SQL = """, c AS (SELECT frame_id AS map_id, floor(x / 18)::INT AS ix, floor(y / 18)::INT AS iy, max(z) AS z, count(*) AS n FROM f_points GROUP BY ALL),
+ k AS (SELECT map_id, ix, iy, CASE WHEN n % 4 > 0 THEN trunc(greatest(0, least(1, (round(z, 4) - 0.2::DOUBLE) / (0.9::DOUBLE - 0.2::DOUBLE))) * 100)::DOUBLE END AS occupancy FROM c WHERE n % 5 > 0)
+ SELECT m.map_id, a.i::INT AS ix, b.i::INT AS iy, occupancy FROM (SELECT DISTINCT map_id FROM k) m CROSS JOIN range(3) a(i) CROSS JOIN range(3) b(i) LEFT JOIN k ON k.map_id = m.map_id AND k.ix = a.i AND k.iy = b.i"""
+
+
 def clusters_q(spark, sf_dir):
     p = fx.points(spark, sf_dir).where("l_linenumber = 5").withColumn("pid", F.col("l_orderkey") * 1000000 + F.col("l_partkey"))
     first = p.groupBy("frame_id", "pid").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("z").alias("z"))
@@ -339,6 +366,8 @@ QUERIES = {
     "a19_convex_hull": (hull_q, None),
     "a20_elevation": (elevation_q, o(ELEVATION_SQL, P)),
     "a23_planes": (planes_q, o(PLANES_SQL, P)),
+    "a23_valid_planes": (valid_planes_q, o(VALID_PLANES_SQL, P)),
+    "s08_import": (import_q, o(IMPORT_SQL, P)),
     "g03_submap": (submap_q, o("SELECT ix, iy, round(mean_z, 6) AS mean_z FROM f_cells WHERE ix BETWEEN 10 AND 29 AND iy BETWEEN 5 AND 34", C)),
     "g05_ellipse": (ellipse_q, o("SELECT ix, iy FROM f_cells WHERE pow((52 - ix - 0.5 - 20.2) / 12.3, 2) + pow((52 - iy - 0.5 - 25.1) / 5.1, 2) <= 1", C)),
     "g06_polygon_cells": (grid_polygon_q, o(f", g AS (SELECT a.i::INT AS ix, b.i::INT AS iy, 52 - a.i - 0.5::DOUBLE AS x, 52 - b.i - 0.5::DOUBLE AS y FROM range(52) a(i), range(52) b(i)) SELECT ix, iy, x, y, n FROM g LEFT JOIN f_cells USING (ix, iy) WHERE {polygon_sql()}", C)),

@@ -158,11 +158,18 @@ def revolutions_q(spark, sf_dir):
     return scans.assemble_revolutions(p, 1800)
 
 
+def losses_q(spark, sf_dir):
+    return scans.revolution_losses(revolutions_q(spark, sf_dir))
+
+
 REVOLUTIONS_SQL = """, k AS (SELECT device_id % 5 AS device_id, seq, row_number() OVER (PARTITION BY device_id % 5 ORDER BY seq) AS k FROM f_topics), p AS (SELECT device_id, seq, (k * 360) % 3600 AS angle, seq % 40 AS n FROM k WHERE seq % 53 <> 0),
  r AS (SELECT *, coalesce(sum((angle < 1800 AND angle + 360 >= 1800)::INT) OVER (PARTITION BY device_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS revolution FROM p)
  SELECT device_id, revolution, count(*) AS packets, sum(n)::BIGINT AS points, count(*) * 360 = 3600 AS whole FROM r GROUP BY 1, 2"""
 
 
+LOSSES_SQL = REVOLUTIONS_SQL.replace(" SELECT device_id, revolution,", ", v AS (SELECT device_id, revolution,") + ") SELECT device_id, count(*) FILTER (WHERE whole) AS revolutions, count(*) FILTER (WHERE NOT whole) AS lost, coalesce(sum(packets) FILTER (WHERE NOT whole), 0)::BIGINT AS lost_packets, coalesce(sum(points) FILTER (WHERE NOT whole), 0)::BIGINT AS lost_points FROM v GROUP BY 1"
+
+
 def mask_q(spark, sf_dir):
     return rounded(scans.mask_angles(fx.scans(spark, sf_dir), -2.01, 2.51, [(-0.51, 0.33)], 0.5, 9.0), "angle", "range")
 
@@ -251,6 +258,7 @@ QUERIES = {
     "w20_fill_gaps": (gaps_q, o(GAPS_SQL, S)),
     "w23_compensate": (compensate_q, o(COMPENSATE_SQL, S)),
     "w26_revolutions": (revolutions_q, o(REVOLUTIONS_SQL, T)),
+    "w26_losses": (losses_q, o(LOSSES_SQL, T)),
     "k02_target": (target_q, alone(TARGET_SQL.replace("%s", "confidence DESC"))),
     "k02_nearest_target": (nearest_target_q, alone(TARGET_SQL.replace("%s", "depth_m"))),
     "g16_resolution": (resolution_q, o(RESOLUTION_SQL, "f_cells")),
