@@ -118,6 +118,36 @@ def sample_linear(cells: DataFrame, queries: DataFrame, g: Geometry, layer: str)
     return sample_nearest(cells, queries, g, layer).join(lin, [*key, "query_id"], "left").select(*key, "query_id", F.coalesce("linear", "value").alias("value"))
 
 
+def change_resolution(cells: DataFrame, g: Geometry, new: Geometry, layer: str) -> DataFrame:
+    """(map_id, query_id, value) of every cell of a new geometry, numbered x fastest: the bilinear value at its centre, or the nearest."""
+    key = map_key(cells)
+    place = F.explode(F.sequence(F.lit(0), F.lit(new.nx * new.ny - 1)))
+    grid = cells.select(*key).distinct().select(*key, place.alias("query_id")) if key else cells.sparkSession.range(new.nx * new.ny).select(F.col("id").cast("int").alias("query_id"))
+    centred = with_center(grid.select(*key, "query_id", (F.col("query_id") % new.nx).alias("ix"), F.floor(F.col("query_id") / new.nx).alias("iy")), new)
+    return sample_linear(cells, centred.select(*key, "query_id", "x", "y"), g, layer)
+
+
+def cells_between(cells: DataFrame, g: Geometry, layer: str, low: float, high: float) -> DataFrame:
+    """Cells with their centre whose layer lies from low to high, both included."""
+    return with_center(cells, g).where(F.col(layer).between(low, high))
+
+
+def mark_points(points: DataFrame, g: Geometry) -> DataFrame:
+    """(ix, iy) of the cells that hold a point."""
+    ix, iy = g.index(F.col("x"), F.col("y"))
+    return points.select(ix.alias("ix"), iy.alias("iy")).where("ix IS NOT NULL AND iy IS NOT NULL").distinct()
+
+
+def cells_around(cells: DataFrame, poses: DataFrame, g: Geometry, key: list[str], reach: int) -> DataFrame:
+    """(key, and the cells' columns) of the cells at most `reach` cells, along each axis, from where each pose (key, x, y) is; poses
+    outside the map have none."""
+    ix, iy = g.index(F.col("x"), F.col("y"))
+    near = poses.select(*key, ix.alias("_px"), iy.alias("_py")).where("_px IS NOT NULL AND _py IS NOT NULL")
+    span = near.select(*key, F.explode(F.sequence(F.col("_px") - reach, F.col("_px") + reach)).alias("ix"), "_py")
+    span = span.select(*key, "ix", F.explode(F.sequence(F.col("_py") - reach, F.col("_py") + reach)).alias("iy"))
+    return span.join(cells, [*map_key(cells, poses), "ix", "iy"])
+
+
 def finite_stats(cells: DataFrame, layer: str, key: list[str]) -> DataFrame:
     c = F.when(~F.isnan(layer), F.col(layer))
     return cells.groupBy(*key).agg(F.count(c).alias("n"), F.sum(c).alias("total"), F.avg(c).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high"))

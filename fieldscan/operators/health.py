@@ -19,6 +19,13 @@ def pipeline_verdict(df: DataFrame, key: list[str], checks: list[tuple[str, str]
     return flags.select(*key, verdict.alias("verdict"))
 
 
+def fresh(df: DataFrame, max_age: float, max_future: float = 0.0, keep_unstamped: bool = False) -> DataFrame:
+    """Messages (t, recv_t) received at most max_age seconds after their time and at most max_future before it; those without a
+    time, 0 or null, go or stay by the flag."""
+    stamped, age = F.coalesce(F.col("t") != 0, F.lit(False)), F.col("recv_t") - F.col("t")
+    return df.where((stamped & (age >= -max_future) & (age <= max_age)) | (~stamped & F.lit(keep_unstamped)))
+
+
 def source_current(times: DataFrame, received: DataFrame, key: list[str], timeout: float) -> DataFrame:
     """times (key, t, seq) with `current`: whether something was received at most timeout seconds before. A timeout of 0
     never ends; without any reception a source is stale."""

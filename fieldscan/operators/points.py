@@ -29,6 +29,12 @@ def voxel_nearest_center(points: DataFrame, key: list[str], size: float, tie: li
     return best.select(*key, "p.*")
 
 
+def dedup_cells(points: DataFrame, key: list[str], size: float, order: list[str]) -> DataFrame:
+    """(key, cx, cy, and the columns of order): of the points of a key in one square of the ground the last in order."""
+    cells = [F.floor(F.col(a) / size).alias(f"c{a}") for a in "xy"]
+    return points.groupBy(*key, *cells).agg(F.max(F.struct(*order)).alias("p")).select(*key, "cx", "cy", "p.*")
+
+
 def radius_join(queries: DataFrame, points: DataFrame, key: list[str], radius: float, axes: str = "xyz") -> DataFrame:
     """(query columns, point columns as p_<name>, d2) of all pairs of one key within the radius.
 

@@ -136,6 +136,18 @@ def revolution_losses(revolutions: DataFrame) -> DataFrame:
     return revolutions.groupBy("device_id").agg(F.count_if(~lost).alias("revolutions"), F.count_if(lost).alias("lost"), *sums)
 
 
+def scan_stats(beams: DataFrame, far: float) -> DataFrame:
+    """(scan_id, n_valid, nearest): beams nearer than far, and the nearest range."""
+    return beams.groupBy("scan_id").agg(F.count_if(F.col("range") < far).alias("n_valid"), F.min("range").alias("nearest"))
+
+
+def sector_histogram(beams: DataFrame, per_sector: int, near: float, far: float) -> DataFrame:
+    """(scan_id, sector, level): the sum of far - range over a sector's beams from near to far; others add nothing."""
+    close = F.when(F.col("range").between(near, far), far - F.col("range"))
+    sectors = beams.withColumn("sector", F.floor(F.col("beam") / per_sector).cast("int"))
+    return sectors.groupBy("scan_id", "sector").agg(F.coalesce(F.sum(close), F.lit(0.0)).alias("level"))
+
+
 def mask_angles(beams: DataFrame, low: float, high: float, masks: list[tuple[float, float]], near: float, far: float) -> DataFrame:
     """Beams with low <= angle <= high; inside a mask or outside the limits they stay, as missing."""
     hidden = ~F.coalesce(F.col("range").between(near, far), F.lit(False))

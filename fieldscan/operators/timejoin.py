@@ -57,3 +57,26 @@ def nearest_time_join(a: DataFrame, b: DataFrame, key: list[str], slop: float) -
     best = lambda by, then: F.row_number().over(W.partitionBy(*key, by).orderBy("dt", then))
     ranked = near.withColumn("_ra", best("a_seq", "b_seq")).withColumn("_rb", best("b_seq", "a_seq"))
     return ranked.where("_ra = 1 AND _rb = 1").select(*key, "a_seq", "b_seq", "dt")
+
+
+def transform_join(points: DataFrame, poses: DataFrame, key: list[str], max_age: float, allow_latest: bool = False) -> DataFrame:
+    """points (key, t, seq, x, y, ...) with `wx` and `wy`, their place in the frame of poses (key, t, seq, x, y, theta): by the last pose
+    at or before their time and not older than max_age, else, if allowed, by the key's latest pose. `pose` says which: current, latest,
+    or null for points that no pose places; count those by transform_rejects."""
+    placed = [c for c in points.columns if c not in ("x", "y")]
+    moved = points.withColumnsRenamed({"x": "_x", "y": "_y"})
+    found = asof_join(moved, poses, key, ["x", "y", "theta"], max_age=max_age)
+    pose = F.when(F.col("prev_t").isNotNull(), F.struct(*[F.col(f"prev_{c}").alias(c) for c in ("x", "y", "theta")]))
+    kind = F.when(F.col("prev_t").isNotNull(), F.lit("current"))
+    if allow_latest:
+        last = poses.groupBy(*key).agg(F.max_by(F.struct("x", "y", "theta"), F.struct("t", "seq")).alias("_last"))
+        found = found.join(last, key, "left")
+        pose, kind = F.coalesce(pose, "_last"), F.coalesce(kind, F.when(F.col("_last").isNotNull(), F.lit("latest")))
+    found = found.withColumns({"_p": pose, "pose": kind})
+    c, s = F.cos("_p.theta"), F.sin("_p.theta")
+    return found.select(*placed, (c * F.col("_x") - s * F.col("_y") + F.col("_p.x")).alias("wx"), (s * F.col("_x") + c * F.col("_y") + F.col("_p.y")).alias("wy"), "pose")
+
+
+def transform_rejects(joined: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n, rejected, latest) of what transform_join gives."""
+    return joined.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(F.col("pose").isNull()).alias("rejected"), F.count_if(F.col("pose") == "latest").alias("latest"))

@@ -171,6 +171,12 @@ def topic_rate(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n"), F.when((F.count("*") > 1) & (span > 0), (F.count("*") - 1) / span).otherwise(0.0).alias("rate"))
 
 
+def grouped_min(df: DataFrame, key: list[str | Column], groups: dict[str, list[str] | None]) -> DataFrame:
+    """Per key the least value of each named group of channels, missing ones left out; None stands for all channels."""
+    least = lambda channels: F.min("value") if channels is None else F.min(F.when(F.col("channel").isin(*channels), F.col("value")))
+    return df.groupBy(*key).agg(*[least(channels).alias(name) for name, channels in groups.items()])
+
+
 def frame_quality(df: DataFrame, modulus: int = 65536, well_formed: Column | None = None) -> DataFrame:
     """Per device its frames (seq, counter) and those whose counter is neither the last one's nor the next after it. With a column
     that tells well-formed frames, n counts them, `malformed` the others, and counters follow from one of them to the next."""

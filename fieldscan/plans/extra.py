@@ -82,7 +82,7 @@ def angles_q(spark, sf_dir):
 
 
 def between_q(spark, sf_dir):
-    return rounded(grid.with_center(fx.cells(spark, sf_dir), MAP).where(F.col("mean_z").between(0.45, 0.55)).select("x", "y", "mean_z"), "mean_z")
+    return rounded(grid.cells_between(fx.cells(spark, sf_dir), MAP, "mean_z", 0.45, 0.55).select("x", "y", "mean_z"), "mean_z")
 
 
 def cost_counts_q(spark, sf_dir):
@@ -116,28 +116,45 @@ def by_size_q(spark, sf_dir):
 
 def around_q(spark, sf_dir):
     poses = windows.dead_reckon(fx.odometry(spark, sf_dir)).groupBy("device_id").agg(F.max_by(F.struct("x", "y"), F.struct("t", "seq")).alias("p"))
-    ix, iy = MAP.index(F.col("p.x"), F.col("p.y"))
-    near = poses.select("device_id", ix.alias("px"), iy.alias("py")).where("px IS NOT NULL")
-    span = near.select("device_id", F.explode(F.sequence(F.col("px") - 2, F.col("px") + 2)).alias("ix"), "py").select("device_id", "ix", F.explode(F.sequence(F.col("py") - 2, F.col("py") + 2)).alias("iy"))
-    return span.join(fx.cells(spark, sf_dir).select("ix", "iy", "n"), ["ix", "iy"]).groupBy("device_id").agg(F.sum("n").alias("n"), F.count("*").alias("cells"))
+    found = grid.cells_around(fx.cells(spark, sf_dir).select("ix", "iy", "n"), poses.select("device_id", "p.x", "p.y"), MAP, ["device_id"], 2)
+    return found.groupBy("device_id").agg(F.sum("n").alias("n"), F.count("*").alias("cells"))
 
 
 AROUND_SQL = motion.DEAD_SQL + """, l AS (SELECT device_id, arg_max(x, (t, seq)) AS x, arg_max(y, (t, seq)) AS y FROM reck GROUP BY 1), i AS (SELECT device_id, floor(52 - x) AS px, floor(52 - y) AS py FROM l)
  SELECT device_id, sum(n)::BIGINT AS n, count(*) AS cells FROM i JOIN f_cells ON abs(ix - px) <= 2 AND abs(iy - py) <= 2 WHERE px BETWEEN 0 AND 51 AND py BETWEEN 0 AND 51 GROUP BY 1"""
 
 
+def posed_shots(spark, sf_dir):
+    poses = windows.dead_reckon(fx.odometry(spark, sf_dir))
+    shots = fx.topics(spark, sf_dir).where("topic = 'click'").selectExpr("device_id", "seq", "t", "value / 100 AS x", "0.5D AS y")
+    return shots, poses
+
+
 def transform_join_q(spark, sf_dir):
-    poses = windows.dead_reckon(fx.odometry(spark, sf_dir)).withColumn("seq", F.col("seq"))
-    shots = fx.topics(spark, sf_dir).where("topic = 'click'").select("device_id", "seq", "t", "value")
-    got = timejoin.asof_join(shots, poses, ["device_id"], ["x", "y", "theta"], max_age=3.0)
-    x, y = geo.transform2d(F.col("value") / 100, F.lit(0.5), F.col("prev_x"), F.col("prev_y"), F.col("prev_theta"))
-    return got.select("device_id", "seq", F.round(x, 4).alias("wx"), F.round(y, 4).alias("wy"))
+    joined = timejoin.transform_join(*posed_shots(spark, sf_dir), ["device_id"], 3.0)
+    return rounded(joined.select("device_id", "seq", "wx", "wy"), "wx", "wy", digits=4)
+
+
+def transform_rejects_q(spark, sf_dir):
+    """Poses of every third row only, so that some shots are too old or before all poses."""
+    shots, poses = posed_shots(spark, sf_dir)
+    kept = poses.where("seq % 3 = 0 AND device_id % 7 > 0")
+    current = timejoin.transform_rejects(timejoin.transform_join(shots, kept, ["device_id"], 0.4), ["device_id"])
+    latest = timejoin.transform_join(shots, kept, ["device_id"], 0.4, allow_latest=True)
+    sums = latest.groupBy("device_id").agg(F.count_if(F.col("pose") == "latest").alias("by_latest"), F.sum("wx").alias("sum_wx"))
+    return rounded(current.drop("latest").join(sums, "device_id"), "sum_wx", digits=3)
 
 
 TRANSFORM_SQL = motion.DEAD_SQL + """, shot AS (SELECT * FROM f_topics WHERE topic = 'click'), pose AS (SELECT * FROM reck)
  SELECT shot.device_id, shot.seq, CASE WHEN shot.t - pose.t <= 3 THEN round(cos(theta) * value / 100 - sin(theta) * 0.5 + x, 4) END AS wx, CASE WHEN shot.t - pose.t <= 3 THEN round(sin(theta) * value / 100 + cos(theta) * 0.5 + y, 4) END AS wy
  FROM shot ASOF LEFT JOIN pose ON shot.device_id = pose.device_id AND shot.t >= pose.t"""
 
+REJECTS_SQL = motion.DEAD_SQL + """, pose AS (SELECT * FROM reck WHERE seq % 3 = 0 AND device_id % 7 > 0), shot AS (SELECT device_id, seq, t, value / 100 AS x FROM f_topics WHERE topic = 'click'),
+ m AS (SELECT shot.*, p.t AS pt, p.x AS px, p.theta AS pth FROM shot ASOF LEFT JOIN pose p ON shot.device_id = p.device_id AND shot.t >= p.t),
+ l AS (SELECT device_id, arg_max(x, (t, seq)) AS lx, arg_max(theta, (t, seq)) AS lth FROM pose GROUP BY 1),
+ j AS (SELECT m.*, coalesce(t - pt <= 0.4::DOUBLE, false) AS cur, lx, lth FROM m LEFT JOIN l USING (device_id))
+ SELECT device_id, count(*) AS n, count(*) FILTER (WHERE NOT cur) AS rejected, count(*) FILTER (WHERE NOT cur AND lx IS NOT NULL) AS by_latest, round(sum(CASE WHEN cur THEN cos(pth) * x - sin(pth) * 0.5 + px ELSE cos(lth) * x - sin(lth) * 0.5 + lx END), 3) AS sum_wx FROM j GROUP BY 1"""
+
 QUERIES = {
     "p13_beam_index": (beams_q, o(BEAMS_SQL, O)),
     "p15_depth": (depth_q, o(DEPTH_SQL, T)),
@@ -152,6 +169,7 @@ QUERIES = {
     "a16_verdict": (verdict_q, o("SELECT device_id, CASE WHEN NOT bool_or(topic = 'click') THEN 'no raw scan' WHEN NOT bool_or(value > 100) THEN 'no active scan' WHEN NOT bool_or(value > 250) THEN 'no lethal cell' ELSE 'ok' END AS verdict FROM f_topics GROUP BY 1", T)),
     "a17_imu_init": (imu_init_q, o(IMU_SQL, T)),
     "k04_clusters_by_size": (by_size_q, o(motion.CLUSTERS_SQL + " SELECT scan_id, first_beam, n, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, first_beam)::INT AS place FROM cl", S)),
+    "j03_rejects": (transform_rejects_q, o(REJECTS_SQL, "f_odom", "f_topics")),
     "j03_transform_join": (transform_join_q, o(TRANSFORM_SQL, T, O)),
     "g25_cells_around": (around_q, o(AROUND_SQL, O, C)),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import timejoin, windows
+from ..operators import health, timejoin, windows
 from ..sources import fixtures as fx
 
 r6 = lambda c: F.round(c, 6)
@@ -113,8 +113,7 @@ def deadband_q(spark, sf_dir):
 
 def fresh_q(spark, sf_dir):
     f = fx.faulty(spark, sf_dir).withColumn("recv_t", F.col("t") + (F.col("seq") % 13) / 10.0)
-    age = F.col("recv_t") - F.col("t")
-    return f.where((age >= -0.05) & (age <= 0.75)).select("seq", "topic")
+    return health.fresh(f, 0.75, 0.05).select("seq", "topic")
 
 
 def asof_q(spark, sf_dir):
@@ -305,9 +304,8 @@ HOLD_SQL = """, a AS (SELECT device_id, channel, t, value, row_number() OVER (PA
 
 
 def groups_q(spark, sf_dir):
-    p = fx.ranges(spark, sf_dir)
-    pick = lambda *c: F.round(F.min(F.when(F.col("channel").isin(*c), F.col("value"))), 6)
-    return p.groupBy("device_id", F.floor("t").alias("tick")).agg(pick("click", "view").alias("front"), pick("error").alias("side"), F.round(F.min("value"), 6).alias("nearest"))
+    groups = {"front": ["click", "view"], "side": ["error"], "nearest": None}
+    return rounded(windows.grouped_min(fx.ranges(spark, sf_dir), ["device_id", F.floor("t").alias("tick")], groups), *groups)
 
 
 GROUPS_SQL = """SELECT device_id, CAST(floor(t) AS BIGINT) AS tick, round(min(CASE WHEN channel IN ('click', 'view') THEN value END), 6) AS front, round(min(CASE WHEN channel = 'error' THEN value END), 6) AS side, round(min(value), 6) AS nearest FROM f_ranges GROUP BY 1, 2"""

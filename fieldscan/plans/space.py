@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import distance, grid, points
+from ..operators import distance, grid, points, scans
 from ..sources import fixtures as fx
 from .motion import rounded
 
@@ -167,8 +167,7 @@ CLUSTERS_SQL = """, p AS (SELECT frame_id, l_orderkey * 1000000 + l_partkey AS p
 
 
 def dedup_q(spark, sf_dir):
-    p = fx.points(spark, sf_dir).groupBy("frame_id", F.floor(F.col("x") / 2).alias("cx"), F.floor(F.col("y") / 2).alias("cy")).agg(F.max_by(F.struct(*ID), F.struct(*ID)).alias("p"))
-    return p.select("frame_id", "cx", "cy", "p.*")
+    return points.dedup_cells(fx.points(spark, sf_dir), ["frame_id"], 2.0, list(ID))
 
 
 DEDUP_SQL = """SELECT frame_id, CAST(floor(x / 2) AS BIGINT) AS cx, CAST(floor(y / 2) AS BIGINT) AS cy, l_orderkey, l_linenumber, l_partkey FROM f_points
@@ -321,8 +320,7 @@ ELEVATION_SQL = """, p AS (SELECT floor(52 - x)::INT AS ix, floor(52 - y)::INT A
 
 
 def sectors_q(spark, sf_dir):
-    s = fx.scans(spark, sf_dir).withColumn("sector", F.floor(F.col("beam") / 5).cast("int"))
-    return s.groupBy("scan_id", "sector").agg(F.round(F.coalesce(F.sum(F.when(F.col("range").between(0.3, 6.0), 6.0 - F.col("range"))), F.lit(0.0)), 6).alias("level"))
+    return rounded(scans.sector_histogram(fx.scans(spark, sf_dir), 5, 0.3, 6.0), "level")
 
 
 SECTORS_SQL = "SELECT scan_id, (beam // 5)::INT AS sector, round(coalesce(sum(CASE WHEN range BETWEEN 0.3 AND 6.0 THEN 6.0 - range END), 0), 6) AS level FROM f_scans GROUP BY 1, 2"
@@ -338,7 +336,7 @@ FULL_CIRCLE_SQL = ", n AS (SELECT scan_id, ((beam + k + 100) % 100)::INT AS beam
 
 
 def scan_stats_q(spark, sf_dir):
-    return fx.scans(spark, sf_dir).groupBy("scan_id").agg(F.count_if(F.col("range") < 9.0).alias("n_valid"), F.round(F.min("range"), 6).alias("nearest"))
+    return rounded(scans.scan_stats(fx.scans(spark, sf_dir), 9.0), "nearest")
 
 
 def scan_points_q(spark, sf_dir):

@@ -212,8 +212,7 @@ SCAN_ENDS_SQL = """SELECT a.device_id, b.seq AS scan, count(*) AS n_imu FROM (SE
 
 
 def mark_q(spark, sf_dir):
-    ix, iy = MAP.index(F.col("x"), F.col("y"))
-    return fx.points(spark, sf_dir).where("z > 0.65").select(ix.alias("ix"), iy.alias("iy")).where("ix IS NOT NULL").distinct()
+    return grid.mark_points(fx.points(spark, sf_dir).where("z > 0.65"), MAP)
 
 
 def map_insert_q(spark, sf_dir):
@@ -230,8 +229,7 @@ MAP_INSERT_SQL = """SELECT frame_id, l_orderkey, l_linenumber, l_partkey FROM f_
 
 def resolution_q(spark, sf_dir):
     fine = grid.Geometry(52.0, 52.0, 0.5, 26.0, 26.0)
-    q = grid.with_center(grid.make_grid(spark, fine), fine).withColumn("query_id", F.col("iy") * fine.nx + F.col("ix"))
-    return rounded(grid.sample_linear(fx.cells(spark, sf_dir), q.select("query_id", "x", "y"), MAP, "mean_z"), "value", digits=9)
+    return rounded(grid.change_resolution(fx.cells(spark, sf_dir), MAP, fine, "mean_z").drop("map_id"), "value", digits=9)
 
 
 RESOLUTION_SQL = """, q AS (SELECT b.i * 104 + a.i AS query_id, 52 - (a.i + 0.5::DOUBLE) * 0.5 AS x, 52 - (b.i + 0.5::DOUBLE) * 0.5 AS y FROM range(104) a(i), range(104) b(i)), u AS (SELECT query_id, x, y, 52 - x - 0.5 AS u, 52 - y - 0.5 AS v FROM q),
