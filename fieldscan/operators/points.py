@@ -61,6 +61,39 @@ def knn_join(queries: DataFrame, points: DataFrame, key: list[str], query_id: li
     return near.withColumn("rank", rank).where(F.col("rank") <= k).drop("_d")
 
 
+def start_radius(points: DataFrame, key: list[str], most: int, levels: int = 16) -> float:
+    """The largest of the extent's halves, quarters, ... such that no cell of that side has more than `most` points of a key; the
+    smallest of them where none has."""
+    low, high = zip(*[points.agg(F.min(a), F.max(a)).first() for a in "xyz"], strict=True)
+    extent = max([float(h - b) for b, h in zip(low, high, strict=True) if b is not None] or [1.0]) or 1.0
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    cells = points.select(*key, *"xyz", level.alias("_l")).select(*key, "_l", *[F.floor(F.col(a) * F.pow(F.lit(2.0), F.col("_l")) / extent).alias(f"_c{a}") for a in "xyz"])
+    counts = cells.groupBy(*key, "_l", "_cx", "_cy", "_cz").count().groupBy("_l").agg(F.max("count").alias("n")).orderBy("_l").collect()  # one row a level
+    fitting = [r["_l"] for r in counts if r["n"] <= most]
+    return extent / 2 ** (fitting[0] if fitting else levels)
+
+
+def knn_anywhere(queries: DataFrame, points: DataFrame, key: list[str], query_id: list[str], k: int, tie: list[str], most: int = 256) -> DataFrame:
+    """(key, query_id, p_<name> of the point, d2, rank): the k nearest points of each query's key, however far; all where there are
+    fewer. Ties as in knn_join.
+
+    The first radius is so small that no cell is crowded, so where points are dense few are compared. Queries that have not found
+    enough look twice as far, and only they, in rounds that are written and read: a query's cells grow until they hold k.
+    """
+    have = points.groupBy(*key).agg(F.least(F.count("*"), F.lit(k)).alias("_need"))
+    left, radius, done = saved(queries.join(have, key)), start_radius(points, key, most), []
+    while not left.isEmpty():
+        near = saved(knn_join(left, points, key, query_id, k, radius, tie))
+        found = near.groupBy(*key, *query_id).agg(F.count("*").alias("_n"))
+        enough = left.join(found, [*key, *query_id]).where("_n >= _need").select(*key, *query_id)
+        kept = [c for c in near.columns if c not in queries.columns or c in (*key, *query_id)]
+        done.append(near.select(*kept).drop("_need").join(enough, [*key, *query_id], "left_semi"))
+        left, radius = saved(left.join(enough, [*key, *query_id], "left_anti")), radius * 2
+    if not done:
+        return knn_join(queries, points, key, query_id, k, radius, tie).select(*key, *query_id, *[f"p_{c}" for c in points.columns if c not in key], "d2", "rank")
+    return reduce(DataFrame.unionByName, done)
+
+
 def in_box(points: DataFrame, boxes: DataFrame, tile: float, keep: bool = True) -> DataFrame:
     """Points inside any box (x0, x1, y0, y1, z0, z1), borders included; with keep=False those in none. Any number of boxes:
     both sides meet on tiles of the ground, and a point stays one row."""

@@ -51,6 +51,16 @@ KNN_SQL = """, near AS (SELECT q.frame_id, q.l_orderkey, q.l_linenumber, q.l_par
  FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, l_orderkey, l_linenumber, l_partkey ORDER BY round(d2, 9), po, pl, pp) AS r FROM near) WHERE r <= 5"""
 
 
+def knn_anywhere_q(spark, sf_dir):
+    p = fx.points(spark, sf_dir)
+    asked = p.where("l_linenumber = 7 AND z > 0.55").select("frame_id", *ID, *"xyz").distinct()
+    out = points.knn_anywhere(asked, p.where("z < 0.45").select("frame_id", *ID, *"xyz"), ["frame_id"], ID, 4, ID)
+    return rounded(out.select("frame_id", *ID, "rank", "p_l_orderkey", "p_l_partkey", "d2"), "d2")
+
+
+KNN_ANYWHERE_SQL = KNN_SQL.replace("FROM f_points q JOIN f_points p ON q.frame_id = p.frame_id AND q.l_linenumber = 7 AND p.x BETWEEN q.x - 3.1 AND q.x + 3.1 WHERE pow(q.x - p.x, 2) + pow(q.y - p.y, 2) + pow(q.z - p.z, 2) <= 9.0)", "FROM (SELECT DISTINCT frame_id, l_orderkey, l_linenumber, l_partkey, x, y, z FROM f_points WHERE l_linenumber = 7 AND z > 0.55) q JOIN f_points p ON q.frame_id = p.frame_id AND p.z < 0.45)").replace("WHERE r <= 5", "WHERE r <= 4")
+
+
 def radius_q(spark, sf_dir):
     p = fx.points(spark, sf_dir)
     near = points.radius_join(p.where("l_linenumber = 7"), p.select("frame_id", "x", "y", "z"), ["frame_id"], 2.0)
@@ -348,6 +358,7 @@ QUERIES = {
     "p12_scan_to_points": (scan_points_q, o("SELECT scan_id, beam, round(range * cos(angle), 6) AS x, round(range * sin(angle), 6) AS y FROM f_scans WHERE range BETWEEN 0.3 AND 9.0", S)),
     "p34_cell_of": (cell_of_q, o(CELL_OF_SQL, "f_topics")),
     "j07_knn": (knn_q, o(KNN_SQL, P)),
+    "j07_knn_anywhere": (knn_anywhere_q, o(KNN_ANYWHERE_SQL, P)),
     "j08_radius": (radius_q, o(RADIUS_SQL, P)),
     "j09_boxes": (boxes_q, o(f", {BOXES} SELECT box_id, count(*) AS n FROM f_points, boxes WHERE {INSIDE} GROUP BY 1", P)),
     "j09_delete_boxes": (delete_boxes_q, o(f", {BOXES} SELECT frame_id, count(*) AS n FROM f_points WHERE NOT EXISTS (SELECT 1 FROM boxes WHERE {INSIDE}) GROUP BY 1", P)),

@@ -332,3 +332,22 @@ def test_maps_are_kept_apart(spark):
     turned = mapping.rotate_map(cells, g, "h", math.pi / 2)
     assert turned.count() == 32 and {r.map_id for r in turned.collect()} == {1, 2}
     assert mapping.transform_map(cells, g, "h", [], 0.0, (0.0, 0.0, 1.0)).count() == 32
+
+
+@pytest.mark.parametrize("most", [4, 64])
+def test_nearest_anywhere_in_uneven_density(spark, most):
+    rng = random.Random(most)
+    rows = [(1, i, rng.uniform(0, 0.1), rng.uniform(0, 0.1), 0.0) for i in range(200)] + [(1, 500 + i, rng.uniform(-90, 90), rng.uniform(-90, 90), rng.uniform(-5, 5)) for i in range(40)]
+    rows += [(2, 900 + i, float(i), 0.0, 0.0) for i in range(3)] + [(1, 800 + i, 50.0, 50.0, 0.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "k int, id int, x double, y double, z double")
+    asked = df.where("id % 3 = 0")
+    got = {}
+    for r in points.knn_anywhere(asked, df, ["k"], ["id"], 5, ["id"], most).collect():
+        got.setdefault((r.k, r.id), []).append((r["rank"], r.p_id))
+    for k, i, *at in rows:
+        if i % 3:
+            continue
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(at, r[2:], strict=True)), 9), r[1]) for r in rows if r[0] == k)[:5]
+        assert sorted(got[k, i]) == [(n + 1, p) for n, (_, p) in enumerate(near)]
+    assert points.knn_anywhere(asked.limit(0), df, ["k"], ["id"], 5, ["id"]).count() == 0
+    assert points.start_radius(df, ["k"], most) < 0.2
