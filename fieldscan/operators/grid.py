@@ -89,6 +89,32 @@ def window_agg(cells: DataFrame, layer: str, n: int, aggs: dict[str, Column], in
     return cells.select("map_id", "ix", "iy").join(out.drop("_n"), ["map_id", "ix", "iy"], "inner" if inside_only else "left")
 
 
+def window_values(cells: DataFrame, g: Geometry, layer: str, n: int, edge: str) -> DataFrame:
+    """(map_id, ix, iy, values) of each cell: the n x n values about it (n odd), x fastest, null where one is missing. At the edge of the
+    map: `inside` leaves out cells whose window crosses it, `crop` only its places outside, `empty` gives null for those, `mean` the
+    mean of the window's known values."""
+    if edge not in ("inside", "crop", "empty", "mean"):
+        raise ValueError(edge)
+    k = n // 2
+    span = F.array(*[F.lit(d) for d in range(-k, k + 1)])
+    sent = cells.where(F.col(layer).isNotNull()).withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span))
+    place = (k - F.col("_dy")) * n + (k - F.col("_dx"))
+    sent = sent.select("map_id", (F.col("ix") + F.col("_dx")).alias("ix"), (F.col("iy") + F.col("_dy")).alias("iy"), F.struct(place.alias("k"), F.col(layer).cast("double").alias("v")).alias("_p"))
+    seen = sent.groupBy("map_id", "ix", "iy").agg(F.map_from_entries(F.collect_list("_p")).alias("_known"), F.avg("_p.v").alias("_mean"))  # n * n at most
+    both = cells.select("map_id", "ix", "iy").join(seen, ["map_id", "ix", "iy"], "left")
+    x = lambda i: F.col("ix") + i % n - k
+    y = lambda i: F.col("iy") + F.floor(i / n).cast("int") - k
+    in_map = lambda i: x(i).between(0, g.nx - 1) & y(i).between(0, g.ny - 1)
+    pad = F.col("_mean") if edge == "mean" else F.lit(None).cast("double")
+    places = F.sequence(F.lit(0), F.lit(n * n - 1))
+    if edge == "inside":
+        both = both.where(F.col("ix").between(k, g.nx - 1 - k) & F.col("iy").between(k, g.ny - 1 - k))
+    if edge == "crop":
+        places = F.filter(places, in_map)
+    values = F.transform(places, lambda i: F.when(in_map(i), F.try_element_at("_known", i)).otherwise(pad))
+    return both.select("map_id", "ix", "iy", values.alias("values"))
+
+
 def map_key(*tables: DataFrame) -> list[str]:
     """map_id where all tables have it: maps are then kept apart. Tables without it speak of one map."""
     return ["map_id"] if all("map_id" in t.columns for t in tables) else []
@@ -244,11 +270,16 @@ def to_occupancy_message(cells: DataFrame, g: Geometry, value: Column) -> DataFr
     return maps.select("map_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("known", k.cast("int")), F.lit(-1))).alias("data"))
 
 
-def inpaint(cells: DataFrame, layer: str, rounds: int) -> DataFrame:
-    """Missing values filled from the mean of known neighbours (3 x 3), so many rounds."""
-    for _ in range(rounds):
-        near = window_agg(cells, layer, 3, {"_near": F.avg("value")})
+def inpaint(cells: DataFrame, layer: str, rounds: int, radius: int = 1) -> DataFrame:
+    """Missing values filled from the mean of the known ones at most `radius` cells away along each axis, in rounds that are written
+    and read, until none is missing or so many rounds were made."""
+    for k in range(rounds):
+        near = window_agg(cells, layer, 2 * radius + 1, {"_near": F.avg("value")})
         cells = cells.join(near, ["map_id", "ix", "iy"], "left").withColumn(layer, F.coalesce(layer, "_near")).drop("_near")
+        if k + 1 < rounds:
+            cells = saved(cells)
+            if cells.where(F.col(layer).isNull()).isEmpty():
+                break
     return cells
 
 

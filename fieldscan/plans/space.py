@@ -320,6 +320,32 @@ INPAINT_SQL = """, c AS (SELECT ix, iy, CASE WHEN (ix + 2 * iy) % 4 <> 0 THEN me
  m AS (SELECT a.ix, a.iy, avg(b.mean_z) AS m FROM c a JOIN c b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY 1, 2) SELECT ix, iy, round(coalesce(mean_z, m), 6) AS mean_z FROM c JOIN m USING (ix, iy)"""
 
 
+def inpaint_wide_q(spark, sf_dir):
+    c = fx.cells(spark, sf_dir).withColumn("mean_z", F.when((F.floor(F.col("ix") / 7) + F.floor(F.col("iy") / 5)) % 2 != 0, F.col("mean_z")))
+    return rounded(grid.inpaint(c.select("map_id", "ix", "iy", "mean_z"), "mean_z", 2, 2).drop("map_id"), "mean_z")
+
+
+INPAINT_WIDE_SQL = ", c AS (SELECT ix, iy, CASE WHEN (ix // 7 + iy // 5) % 2 <> 0 THEN mean_z END AS mean_z FROM f_cells)" + "".join(
+    f", m{k} AS (SELECT a.ix, a.iy, coalesce(a.mean_z, avg(b.mean_z)) AS mean_z FROM {t} a JOIN {t} b ON abs(a.ix - b.ix) <= 2 AND abs(a.iy - b.iy) <= 2 GROUP BY a.ix, a.iy, a.mean_z)" for k, t in ((1, "c"), (2, "m1"))
+) + " SELECT ix, iy, round(mean_z, 6) AS mean_z FROM m2"
+
+
+def edges_q(spark, sf_dir):
+    """Sums of 5 x 5 windows with their edge at the mean, and how many places of them are missing with the edge empty or cropped."""
+    c, key = fx.cells(spark, sf_dir), ["map_id", "ix", "iy"]
+    v = {edge: grid.window_values(c, MAP, "mean_z", 5, edge).withColumnRenamed("values", edge) for edge in ("mean", "empty", "crop", "inside")}
+    both = v["mean"].join(v["empty"], key).join(v["crop"], key).join(v["inside"], key, "left")
+    total = F.aggregate("mean", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    missing = lambda edge: F.size(F.filter(edge, lambda x: x.isNull()))
+    return rounded(both.select("ix", "iy", total.alias("total"), missing("empty").alias("n_empty"), missing("crop").alias("n_crop"), F.col("inside").isNotNull().alias("whole"), F.get("mean", F.lit(0)).alias("first")), "total", "first")
+
+
+EDGES_SQL = """, w AS (SELECT a.ix, a.iy, dx.d AS dx, dy.d AS dy, a.ix + dx.d BETWEEN 0 AND 51 AND a.iy + dy.d BETWEEN 0 AND 51 AS inmap, b.mean_z AS v FROM f_cells a CROSS JOIN range(-2, 3) dx(d) CROSS JOIN range(-2, 3) dy(d) LEFT JOIN f_cells b ON b.ix = a.ix + dx.d AND b.iy = a.iy + dy.d),
+ m AS (SELECT *, avg(v) OVER (PARTITION BY ix, iy) AS mean FROM w)
+ SELECT ix, iy, round(sum(CASE WHEN inmap THEN coalesce(v, 0) ELSE mean END), 6) AS total, count(*) FILTER (WHERE v IS NULL)::INT AS n_empty, count(*) FILTER (WHERE inmap AND v IS NULL)::INT AS n_crop,
+ ix BETWEEN 2 AND 49 AND iy BETWEEN 2 AND 49 AS whole, round(max(CASE WHEN dx = -2 AND dy = -2 THEN CASE WHEN inmap THEN v ELSE mean END END), 6) AS first FROM m GROUP BY ix, iy"""
+
+
 def elevation_q(spark, sf_dir):
     return rounded(grid.elevation_fuse(fx.points(spark, sf_dir), MAP, 1e-4, 2.0, 0.01), "height", "variance")
 
@@ -386,6 +412,8 @@ QUERIES = {
     "g10_nearest": (nearest_q, o(f", {PROBES} SELECT query_id, round(mean_z, 6) AS value FROM probes LEFT JOIN f_cells ON ix = floor(52 - x) AND iy = floor(52 - y) AND floor(52 - x) BETWEEN 0 AND 51 AND floor(52 - y) BETWEEN 0 AND 51", "f_topics", C)),
     "g11_linear": (linear_q, o(LINEAR_SQL, "f_topics", C)),
     "g17_inpaint": (inpaint_q, o(INPAINT_SQL, C)),
+    "g09_edges": (edges_q, o(EDGES_SQL, C)),
+    "g17_inpaint_wide": (inpaint_wide_q, o(INPAINT_WIDE_SQL, C)),
     "g18_distance": (distance_q, o(DISTANCE_SQL, C)),
     "g20_gradients": (gradients_q, o(GRADIENTS_SQL, C)),
     "s08_occupancy": (occupancy_q, o("SELECT ix, iy, CASE WHEN n > 15 THEN trunc(greatest(0, least(1, (round(mean_z, 4) - 0.2::DOUBLE) / (0.8::DOUBLE - 0.2::DOUBLE))) * 100)::INT ELSE -1 END AS occupancy FROM f_cells", C)),
