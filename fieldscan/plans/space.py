@@ -122,7 +122,7 @@ MEASURES_SQL = f"WITH {BOXES} SELECT box_id AS poly_id, round((x1 - x0) * (y1 -
 
 
 def hull_q(spark, sf_dir):
-    return points.convex_hull(fx.points(spark, sf_dir), ["frame_id"])
+    return rounded(points.convex_hull(fx.points(spark, sf_dir), ["frame_id"]), "x", "y")
 
 
 def planes_q(spark, sf_dir):
@@ -346,6 +346,15 @@ EDGES_SQL = """, w AS (SELECT a.ix, a.iy, dx.d AS dx, dy.d AS dy, a.ix + dx.d BE
  ix BETWEEN 2 AND 49 AND iy BETWEEN 2 AND 49 AS whole, round(max(CASE WHEN dx = -2 AND dy = -2 THEN CASE WHEN inmap THEN v ELSE mean END END), 6) AS first FROM m GROUP BY ix, iy"""
 
 
+#: Gift wrapping: from the smallest point on, the next corner is the one with the least turn to the left, the farthest of those in line.
+HULL_SQL = """, p AS (SELECT DISTINCT frame_id, x, y FROM f_points), s AS (SELECT frame_id, min((x, y)) AS a FROM p GROUP BY 1),
+ w(frame_id, step, x, y, sx, sy, way) AS (SELECT frame_id, 0, a[1], a[2], a[1], a[2], -pi() / 2 FROM s UNION ALL
+ SELECT frame_id, step + 1, b[1], b[2], sx, sy, b[3] FROM (
+  SELECT w.frame_id, w.step, w.sx, w.sy, arg_min((p.x, p.y, atan2(p.y - w.y, p.x - w.x)), (round((atan2(p.y - w.y, p.x - w.x) - way + 4 * pi() + 1e-9) % (2 * pi()), 8), -pow(p.x - w.x, 2) - pow(p.y - w.y, 2))) AS b
+  FROM w JOIN p ON p.frame_id = w.frame_id AND (p.x <> w.x OR p.y <> w.y) GROUP BY w.frame_id, w.step, w.sx, w.sy) WHERE b[1] <> sx OR b[2] <> sy)
+ SELECT frame_id, step, round(x, 6) AS x, round(y, 6) AS y FROM w"""
+
+
 def elevation_q(spark, sf_dir):
     return rounded(grid.elevation_fuse(fx.points(spark, sf_dir), MAP, 1e-4, 2.0, 0.01), "height", "variance")
 
@@ -398,7 +407,7 @@ QUERIES = {
     "a13_block_max": (block_q, o("SELECT (ix // 4)::INT AS bx, (iy // 4)::INT AS by, round(max(mean_z), 6) AS value FROM f_cells GROUP BY 1, 2", C)),
     "a15_scan_stats": (scan_stats_q, o("SELECT scan_id, count(*) FILTER (WHERE range < 9.0) AS n_valid, round(min(range), 6) AS nearest FROM f_scans GROUP BY 1", S)),
     "a18_polygon_measures": (measures_q, MEASURES_SQL),
-    "a19_convex_hull": (hull_q, None),
+    "a19_convex_hull": (hull_q, o(HULL_SQL, P).replace("WITH ", "WITH RECURSIVE ", 1)),
     "a20_elevation": (elevation_q, o(ELEVATION_SQL, P)),
     "a23_planes": (planes_q, o(PLANES_SQL, P)),
     "a23_valid_planes": (valid_planes_q, o(VALID_PLANES_SQL, P)),

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fieldscan.operators import grid, polygons
+from fieldscan.operators import grid, points, polygons
 
 
 def vertices(df, column):
@@ -16,12 +16,13 @@ def ends(spark, *values):
     return spark.createDataFrame([tuple(map(float, values))], "x0 double, y0 double, x1 double, y1 double")
 
 
-COLUMNS = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+def columns():
+    return [F.col(c) for c in ("x0", "y0", "x1", "y1")]
 
 
 def test_thick_line(spark):
-    assert vertices(ends(spark, 0, 0, 4, 0), polygons.thick_line(*COLUMNS, 1.0)) == [(0, -1), (0, 1), (4, 1), (4, -1)]
-    assert ends(spark, 1, 1, 1, 1).select(polygons.thick_line(*COLUMNS, 1.0).alias("v")).first().v is None
+    assert vertices(ends(spark, 0, 0, 4, 0), polygons.thick_line(*columns(), 1.0)) == [(0, -1), (0, 1), (4, 1), (4, -1)]
+    assert ends(spark, 1, 1, 1, 1).select(polygons.thick_line(*columns(), 1.0).alias("v")).first().v is None
 
 
 def test_offset_inward(spark):
@@ -30,9 +31,9 @@ def test_offset_inward(spark):
 
 
 def test_hull_of_two_circles(spark):
-    got = vertices(ends(spark, 0, 0, 10, 0), polygons.hull_of_two_circles(*COLUMNS, 2.0, 6))
+    got = vertices(ends(spark, 0, 0, 10, 0), polygons.hull_of_two_circles(*columns(), 2.0, 6))
     assert got == [(0, 2), (-2, 0), (0, -2), (10, -2), (12, 0), (10, 2)]
-    one = vertices(ends(spark, 3, 3, 3, 3), polygons.hull_of_two_circles(*COLUMNS, 1.0, 5))
+    one = vertices(ends(spark, 3, 3, 3, 3), polygons.hull_of_two_circles(*columns(), 1.0, 5))
     assert one[0] == one[-1] == (4, 3) and len(one) == 5
 
 
@@ -64,3 +65,19 @@ def test_lines_are_cut_to_the_map(spark):
         else:
             assert (got[k][0], got[k][-1]) == (a, b)
     assert got[900] == [stepped((1.0, -1.0), (1.0, -1.0), g)] and 901 not in got and 903 not in got
+
+
+def test_hull_against_all_pairs(spark):
+    rng = random.Random(4)
+    groups = {k: [(rng.randint(0, 6) + 0.0, rng.randint(0, 6) + 0.0) for _ in range(n)] for k, n in ((1, 40), (2, 7), (3, 2))}
+    df = spark.createDataFrame([(k, *p) for k, ps in groups.items() for p in ps], "k int, x double, y double").repartition(3)
+    got = {}
+    for r in points.convex_hull(df, ["k"]).orderBy("step").collect():
+        got.setdefault(r.k, []).append((r.x, r.y))
+    for k, ps in groups.items():
+        ps = set(ps)
+        side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        # corners: ends of an edge that has all others on its left or between its ends
+        between = lambda a, b, c: min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+        edges = {(a, b) for a in ps for b in ps if a != b and all(side(a, b, c) > 0 or (side(a, b, c) == 0 and between(a, b, c)) for c in ps)}
+        assert set(got[k]) == {a for a, _ in edges} and got[k][0] == min(ps)
