@@ -231,12 +231,14 @@ def cell_links(points: DataFrame, key: list[str], point_id: str, tolerance: floa
     box = [f"{n}{a}" for a in "xyz" for n in ("lo", "hi")]
     ahead = [o for o in _offsets(3, 2) if o > (0, 0, 0)]
     looked = cells.withColumn("_o", F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in ahead])))
-    looked = looked.select(*key, "a", *box, *[(F.col(c) + F.get("_o", F.lit(i))).alias(c) for i, c in enumerate(cell)])
-    pairs = looked.join(cells.select(*key, *cell, F.col("a").alias("b"), *[F.col(c).alias(f"b_{c}") for c in box]), [*key, *cell])
+    looked = looked.select(*key, "a", *[(F.col(c) + F.get("_o", F.lit(i))).alias(c) for i, c in enumerate(cell)])
+    # boxes come after cells have met: what is looked at is far more than what is found
+    pairs = looked.join(cells.select(*key, *cell, F.col("a").alias("b")), [*key, *cell]).drop(*cell)
+    pairs = pairs.join(cells.select(*key, "a", *box), [*key, "a"]).join(cells.select(*key, F.col("a").alias("b"), *[F.col(c).alias(f"b_{c}") for c in box]), [*key, "b"])
     gap = lambda a: F.greatest(F.lit(0.0), F.col(f"lo{a}") - F.col(f"b_hi{a}"), F.col(f"b_lo{a}") - F.col(f"hi{a}"))
     far = lambda a: F.greatest(F.col(f"hi{a}") - F.col(f"b_lo{a}"), F.col(f"b_hi{a}") - F.col(f"lo{a}"))
     square = lambda f: reduce(lambda p, q: p + q, [f(a) * f(a) for a in "xyz"])
-    pairs = saved(pairs.where(square(gap) <= near2).withColumn("linked", square(far) <= near2).drop(*cell))
+    pairs = saved(pairs.where(square(gap) <= near2).withColumn("linked", square(far) <= near2))
     open_ = pairs.where("NOT linked")
 
     def facing(own: str, other: str) -> DataFrame:
