@@ -17,3 +17,21 @@ def test_clusters_send_no_table_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(points, "saved", lambda d: (plans.append(plan_of(d)), kept(d))[1])
     plans.append(plan_of(points.euclid_clusters(df, ["frame"], "pid", 1.0, 2)))
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_hulls_of_many_groups_take_few_frames(spark):
+    """Groups in any order, cut by batches and tasks, against the same hulls of each group alone; one frame a batch, not a group."""
+    rng = random.Random(8)
+    rows = [(k % 40, float(rng.randint(0, 9)), float(rng.randint(0, 9))) for k in range(1_600)]
+    df = spark.createDataFrame(rows, "k int, x double, y double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = points.convex_hull(df, ["k"], 300).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in {r[0] for r in rows}:
+        own = sorted({(x, y) for g, x, y in rows if g == k})
+        want = [own[i] for i in points.chain([p[0] for p in own], [p[1] for p in own], 0, len(own))]
+        assert [(r.x, r.y) for r in sorted((r for r in got if r.k == k), key=lambda r: r.step)] == want
+    plan = plan_of(points.convex_hull(df, ["k"]))
+    assert "FlatMapGroups" not in plan and plan.count("MapInPandas") == 2
