@@ -37,13 +37,13 @@ class Latches:
         self.step = lambda state, row: (lambda s, r: (self.capped(s), r))(*step(state, row))
         self.states = list(product(range(trigger + 1), range(trigger + 1), range(clear + 1), (False, True), (False, True)))
         self.number = {s: k for k, s in enumerate(self.states)}
-        self.moves = [np.array([self.number[self.step(s, {"value": v})[0]] for s in self.states]) for v in (danger - 1, (danger + warn) / 2, None)]
+        self.moves = [np.array([self.number[self.step(s, {"value": v})[0]] for s in self.states], dtype=np.uint8 if len(self.states) < 256 else np.int32) for v in (danger - 1, (danger + warn) / 2, None)]
 
     def capped(self, s: tuple) -> tuple:
         return (min(s[0], self.trigger), min(s[1], self.trigger), min(s[2], self.clear), s[3], s[4])
 
     def begin(self) -> np.ndarray:
-        return np.arange(len(self.states))
+        return np.arange(len(self.states), dtype=self.moves[0].dtype)
 
     def absorb(self, table: np.ndarray, row: dict) -> np.ndarray:
         v = row["value"]
@@ -135,14 +135,17 @@ def chunked_fold(df: DataFrame, key: list[str], chunk: float, rule: Any) -> Data
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, f = None, None
-        for own, row in rows_in(batches, [*names, "t", "seq", *rule.columns]):
-            if own != current:
-                if current is not None:
-                    yield pd.DataFrame([(*current, pickle.dumps(f))], columns=[*names, "_f"])
-                current, f = own, rule.begin()
-            f = rule.absorb(f, row)
+        for pdf in batches:
+            out = []  # chunks may be short, so those that end in a batch go together
+            for own, row in rows_in([pdf], [*names, "t", "seq", *rule.columns]):
+                if own != current:
+                    if current is not None:
+                        out.append((*current, pickle.dumps(f, -1)))
+                    current, f = own, rule.begin()
+                f = rule.absorb(f, row)
+            yield pd.DataFrame(out, columns=[*names, "_f"])
         if current is not None:
-            yield pd.DataFrame([(*current, pickle.dumps(f))], columns=[*names, "_f"])
+            yield pd.DataFrame([(*current, pickle.dumps(f, -1))], columns=[*names, "_f"])
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -151,7 +154,7 @@ def chunked_fold(df: DataFrame, key: list[str], chunk: float, rule: Any) -> Data
             for values in zip(*[pdf[c] for c in [*names, "_f"]], strict=True):
                 if values[: len(key)] != current:
                     current, state = values[: len(key)], rule.init()
-                out.append((*values[: len(names)], pickle.dumps(state)))
+                out.append((*values[: len(names)], pickle.dumps(state, -1)))
                 state = rule.carry(pickle.loads(values[-1]), state)
             yield pd.DataFrame(out, columns=[*names, "_start"])
 

@@ -1,8 +1,11 @@
 """What the driver, a task or a shuffle holds must not follow the size of the tables."""
 
+import pickle
 import random
 
-from fieldscan.operators import points
+import pandas as pd
+
+from fieldscan.operators import chunked, points
 
 
 def plan_of(df):
@@ -35,3 +38,15 @@ def test_hulls_of_many_groups_take_few_frames(spark):
         assert [(r.x, r.y) for r in sorted((r for r in got if r.k == k), key=lambda r: r.step)] == want
     plan = plan_of(points.convex_hull(df, ["k"]))
     assert "FlatMapGroups" not in plan and plan.count("MapInPandas") == 2
+
+
+def test_short_chunks_go_together(spark, monkeypatch):
+    """A frame for each batch, not for each chunk; and small functions, as there may be one for each row."""
+    df = spark.createDataFrame([(k % 7, k * 3.0, k, 1.0) for k in range(700)], "device_id long, t double, seq long, value double")
+    steps, kept = [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda d, f, *a, **k: (steps.append(f), kept(d, f, *a, **k))[1])
+    chunked.chunked_fold(df, ["device_id"], 2.0, chunked.LowPass(0.5, 3.0))
+    rows = pd.DataFrame({"device_id": 1, "_chunk": range(500), "t": [2.0 * k for k in range(500)], "seq": range(500), "value": 1.0})
+    frames = list(steps[0](iter([rows])))
+    assert sum(map(len, frames)) == 500 and len(frames) <= 2
+    assert len(pickle.dumps(chunked.Latches(0.8, 2.0, 2, 3).begin(), -1)) < 400
