@@ -14,8 +14,8 @@ def sample_cubic(cells: DataFrame, queries: DataFrame, g: Geometry, layer: str)
     central differences as slopes and twists. Cells beyond an edge are those of the edge. Null outside the map and where one
     of the cells is missing.
 
-    The surface is a sum of weights times cells: each query meets the nine cells about each of its four corners, so there is
-    one join on cells and one sum.
+    The surface is a sum of weights times cells: the nine cells about each of four corners. They are gathered once for each place
+    of the corners, so a query meets one row and is never multiplied.
     """
     key = map_key(cells, queries)
     ix, iy = g.index(F.col("x"), F.col("y"))
@@ -26,23 +26,26 @@ def sample_cubic(cells: DataFrame, queries: DataFrame, g: Geometry, layer: str)
     placed = placed.withColumns({"_bi": low_i, "_bj": low_j})
     bx, by = g.center(cut(F.col("_bi"), g.nx), cut(F.col("_bj"), g.ny))
     placed = placed.withColumns({"_tx": (F.col("x") - bx) / g.resolution, "_ty": (F.col("y") - by) / g.resolution})
-    options = [F.struct(*[F.lit(v).alias(k) for k, v in zip(("a", "b", "dx", "dy"), (a, b, dx, dy), strict=True)]) for a in (0, 1) for b in (0, 1) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    spots = placed.where("_i IS NOT NULL AND _j IS NOT NULL").withColumn("_o", F.explode(F.array(*options)))
+    options = [(a, b, dx, dy) for a in (0, 1) for b in (0, 1) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    options_of = F.array(*[F.struct(F.lit(n).alias("n"), *[F.lit(v).alias(k) for k, v in zip(("a", "b", "dx", "dy"), o, strict=True)]) for n, o in enumerate(options)])
+    spots = placed.where("_i IS NOT NULL AND _j IS NOT NULL").select(*key, "_bi", "_bj").distinct().withColumn("_o", F.explode(options_of))
     # index falls as the coordinate rises: corner 1 is one index down, and the neighbour on the right is too
     at = lambda low, corner, d, n: cut(cut(F.col(low) - F.col(f"_o.{corner}"), n) + F.col(f"_o.{d}"), n)
 
-    def basis(t: str, corner: str) -> tuple[Column, Column]:
+    spots = spots.select(*key, "_bi", "_bj", F.col("_o.n").alias("_n"), at("_bi", "a", "dx", g.nx).alias("ix"), at("_bj", "b", "dy", g.ny).alias("iy"))
+    found = spots.join(cells.select(*key, "ix", "iy", F.col(layer).alias("_v")), [*key, "ix", "iy"]).where("_v IS NOT NULL")
+    gathered = found.groupBy(*key, "_bi", "_bj").agg(F.array_sort(F.collect_list(F.struct("_n", "_v"))).alias("_c"))
+    gathered = gathered.where(F.size("_c") == len(options)).select(*key, "_bi", "_bj", F.col("_c._v").alias("_c"))
+
+    def factor(t: str, corner: int, d: int) -> Column:
         u = F.col(t)
-        first = F.col(f"_o.{corner}") == 0
-        value = F.when(first, 2 * u * u * u - 3 * u * u + 1).otherwise(3 * u * u - 2 * u * u * u)
-        return value, F.when(first, u * u * u - 2 * u * u + u).otherwise(u * u * u - u * u)
-
-    (hx, kx), (hy, ky) = basis("_tx", "a"), basis("_ty", "b")
-    part = lambda d, h, k: F.when(F.col(f"_o.{d}") == 0, h).otherwise(-F.col(f"_o.{d}") / 2 * k)
-    spots = spots.select(*key, "query_id", at("_bi", "a", "dx", g.nx).alias("ix"), at("_bj", "b", "dy", g.ny).alias("iy"), (part("dx", hx, kx) * part("dy", hy, ky)).alias("_w"))
-    found = spots.join(cells.select(*key, "ix", "iy", F.col(layer).alias("_v")), [*key, "ix", "iy"])
-    sums = found.groupBy(*key, "query_id").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count("_v").alias("_n"))
-    return queries.join(sums, [*key, "query_id"], "left").select(*queries.columns, F.when(F.col("_n") == len(options), F.col("_s")).alias("value"))
+        if d == 0:
+            return 3 * u * u - 2 * u * u * u if corner else 2 * u * u * u - 3 * u * u + 1
+        return -d / 2 * (u * u * u - u * u if corner else u * u * u - 2 * u * u + u)
+
+    total = sum((factor("_tx", a, dx) * factor("_ty", b, dy) * F.get("_c", F.lit(n)) for n, (a, b, dx, dy) in enumerate(options)), F.lit(0.0))
+    inside = placed.withColumn("_bi", F.when(F.col("_j").isNotNull() & F.col("_i").isNotNull(), F.col("_bi")))
+    return inside.join(gathered, [*key, "_bi", "_bj"], "left").select(*queries.columns, total.alias("value"))
 
 
 def node_position(ix: Column, iy: Column, iz: Column, origin: tuple[float, float, float], resolution: float) -> tuple[Column, Column, Column]:

@@ -5,7 +5,7 @@ import random
 
 import pandas as pd
 
-from fieldscan.operators import chunked, points
+from fieldscan.operators import chunked, grid, points, sampling
 
 
 def plan_of(df):
@@ -50,3 +50,14 @@ def test_short_chunks_go_together(spark, monkeypatch):
     frames = list(steps[0](iter([rows])))
     assert sum(map(len, frames)) == 500 and len(frames) <= 2
     assert len(pickle.dumps(chunked.Latches(0.8, 2.0, 2, 3).begin(), -1)) < 400
+
+
+def test_cubic_queries_are_not_multiplied(spark):
+    """Before the queries meet the cells nothing is exploded but places of corners, at most one a cell of the map."""
+    g = grid.Geometry(8.0, 8.0, 1.0, 4.0, 4.0)
+    cells = spark.createDataFrame([(i, j, float(i * j)) for i in range(8) for j in range(8)], "ix int, iy int, h double")
+    q = spark.createDataFrame([(k, 0.5 + k % 7, 0.5 + k % 5) for k in range(2_000)], "query_id long, x double, y double")
+    out = sampling.sample_cubic(cells, q, g, "h")
+    tree = out._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("query_id") and not any("query_id" in line for line in tree.splitlines() if "Aggregate" in line or "Generate" in line)
+    assert out.count() == 2_000 and out.where("value IS NULL").count() == 0
