@@ -61,3 +61,13 @@ def test_cubic_queries_are_not_multiplied(spark):
     tree = out._jdf.queryExecution().optimizedPlan().toString()
     assert tree.count("query_id") and not any("query_id" in line for line in tree.splitlines() if "Aggregate" in line or "Generate" in line)
     assert out.count() == 2_000 and out.where("value IS NULL").count() == 0
+
+
+def test_start_radius_counts_no_level_twice(spark):
+    """A coarse level that fits ends the search, and no point is multiplied by the levels."""
+    df = spark.createDataFrame([(1, float(k % 30), float(k % 17), 0.0) for k in range(500)], "k int, x double, y double, z double")
+    at = points.bounds_of(df)
+    assert at == [(0.0, 29.0), (0.0, 16.0), (0.0, 0.0)] and points.start_radius(df, ["k"], 1_000, at) == 29.0
+    asked = df.limit(9)
+    few, all_ = (points.radius_join(asked, df, ["k"], 29.0, bounds=b) for b in (at, None))
+    assert sorted(few.collect()) == sorted(all_.collect()) and few.count() > 0
