@@ -1,8 +1,8 @@
 """Secret scans: rule matches, plus tokens that a Markov model of random strings explains better than one of identifiers.
 
 All of it is DataFrame operations. Three fixed rules give the base spans. Their values are the labelled samples of
-random strings; the tokens that no rule touches, from a bounded sample of documents, are the samples of ordinary
-identifiers, words and paths. Both train a first-order character Markov model over 65 symbol classes, upper and
+random strings; the tokens that no rule touches, of every distinct text, are the samples of ordinary identifiers,
+words and paths. Both train a first-order character Markov model over 65 symbol classes, upper and
 lower case apart, and every other token of 12 or more characters with a letter among them is scored by the mean
 log-likelihood ratio of its transitions. It is added where the ratio is above `ratio` and a limit set by both kinds of
 samples. Numbers and dates, which have no letter, are left to the rules.
@@ -19,7 +19,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHARE, saved, share_limit, table
+from .common import saved, table
 
 #: Fixed rules.
 ASSIGN = r"""(?=[AaPpSsTt])(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -103,16 +103,15 @@ def _mean_ratio(value: Column, ratios: list[float]) -> Column:
     return F.aggregate(_moves(value), F.lit(0.0), lambda a, m: a + F.get(weights, m)) / (F.length(value) - 1)
 
 
-def train_models(docs: DataFrame, sample_docs: int = 5_000) -> tuple[list[float], float]:
+def train_models(docs: DataFrame) -> tuple[list[float], float]:
     """Log-likelihood ratio (random over ordinary) of each of the CLASSES x CLASSES transitions, and a limit of the mean ratio
     between most ordinary samples and nearly all random ones.
 
-    Labelled samples come from at most about sample_docs documents, chosen by a hash of their text: values that a rule
-    matches are random strings, other tokens are ordinary, but for long ones that occur once. What comes to the driver is one count for each transition and
+    Labelled samples come from every distinct text: values that a rule matches are random strings, other tokens are ordinary,
+    but for long ones that occur once. What comes to the driver is one count for each transition and
     model, and two numbers. Random strings have a uniform prior, so the model works without a single labelled secret.
     """
-    limit = share_limit(sample_docs, docs.count())
-    sampled = base_spans(docs.select("text").where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) < limit).distinct())
+    sampled = base_spans(docs.select("text").where("text IS NOT NULL").distinct())
     value = F.when(F.col("s.kind") == "assign", F.regexp_extract("s.value", ASSIGN, 1)).otherwise(F.col("s.value"))
     secrets = sampled.select(F.explode("_secret_base").alias("s")).select(value.alias("value"), F.lit(1).alias("random"))
     rest = F.regexp_replace("text", "|".join((ASSIGN, ACCESS, HEX)), " ")

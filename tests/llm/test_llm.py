@@ -546,3 +546,12 @@ def test_pages_awkward(spark):
 def test_digest_of_no_items(spark):
     r = queries.queries()["op9_decontamination"](spark, SF).where("n_items = 0").first()
     assert r.items_sha256 == hashlib.sha256(b"").hexdigest() and not r.contaminated
+
+
+def test_secret_models_count_every_text(spark, monkeypatch):
+    """The counts come from all of 6,000 texts, not from a sample of them; copies count once."""
+    kept, seen = secrets.saved, []
+    monkeypatch.setattr(secrets, "saved", lambda d: (lambda s: (seen.append(s), s)[1])(kept(d)))
+    docs = spark.range(6_000).selectExpr("concat('zqzq ', id) AS text")
+    secrets.train_models(docs.unionByName(docs))
+    assert seen[0].where("value = 'zqzq'").first()["count"] == 6_000
