@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscan.llm import decontaminate, packing, secrets, simhash, toxicity
-from fieldscan.llm.common import checkpoint_dir, table
+from fieldscan.llm.common import checkpoint_dir, saved, small, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text goes at this toxicity: where the logistic model takes abuse for more likely than not.
@@ -30,10 +30,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs whose id is the smallest of their component of near copies."""
-    docs = docs.select(*COLUMNS)
-    found = simhash.near_copies(docs.select("doc_id", "text"))
-    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """docs whose id is the smallest of their component. Links are those of fingerprints by Golay keys, as op2 finds them, and those of
+    texts whose shingles are compared in full, which also reach near copies whose fingerprints differ in more bits."""
+    docs = docs.select(*COLUMNS).where("doc_id IS NOT NULL")
+    texts = docs.select("doc_id", "text")
+    found = [simhash.near_duplicates(texts), simhash.near_copies(texts)]
+    links = [f.where("component_id <> doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")) for f in found]
+    gone = saved(simhash.components(links[0].unionByName(links[1]).distinct()).where("node <> label").select(F.col("node").alias("doc_id")).distinct())
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,3 +112,22 @@ def test_stages_take_empty_and_awkward_tables(spark, docs, name, stage):
     else:
         assert out.columns == list(pipeline.COLUMNS) and {r.doc_id for r in got} >= ({1, 3, 4, 5} if name == "simhash_near_dedup" else {1, 2, 3, 4, 5})
     assert stage(spark, awkward.limit(0), SF).count() == 0
+
+
+def test_copies_by_fingerprint_go(spark):
+    """Texts of one fingerprint or two bits apart are linked by the second stage, though their shingles differ too much for near copies."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words)]
+    for k in range(1, 400):
+        other = words[:]
+        for at in range(0, 12):
+            other[(k + at * 33) % 400] = "x"
+        near = simhash.text_fingerprint(" ".join(other)) ^ simhash.text_fingerprint(texts[0])
+        if near.bit_count() <= 2:
+            texts.append(" ".join(other))
+            break
+    assert len(texts) == 2
+    sets = [set(simhash.shingle_hashes(t).tolist()) for t in texts]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], KINDS)
+    assert kept(pipeline.keep_one_of_group(spark, docs, SF)) == [0]
