@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SHARE, held_out, saved, share_limit, table
+from .common import held_out, saved, table
 
 ORDER = 4
 LETTERS = regex.compile(r"\p{L}+")
@@ -44,8 +44,8 @@ LENGTH = 200
 #: Characters over which the lowest order's back-off is spread evenly.
 CHARACTERS = 1_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct texts of the calibration sample, about, out of one in FOLDS of the learning rows.
-CALIBRATION, FOLDS = 4_000, 10
+#: Temperature and limits are fitted on one in FOLDS of the distinct learning texts, each time on GRID temperatures at once.
+FOLDS, GRID = 10, 33
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -222,9 +222,9 @@ def kneser_ney(counts: DataFrame, least: float = LEAST) -> Model:
     return Model(list(number), grams, contexts, floor)
 
 
-def train(docs: DataFrame, calibration: int = CALIBRATION) -> Model:
-    """Models of docs (lang, text) with non-null lang. Temperature and rejection limits are fitted on about `calibration`
-    distinct texts at most of one fold, by a model of the others; the driver gets their entropies alone."""
+def train(docs: DataFrame) -> Model:
+    """Models of docs (lang, text) with non-null lang. Temperature and rejection limits are fitted on all distinct texts of one
+    fold, by a model of the others; the driver gets sums and quantiles alone."""
     text_hash = F.xxhash64("text")
     fold = F.pmod(text_hash, F.lit(FOLDS)) == 0
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", fold.alias("fold"))
@@ -237,7 +237,6 @@ def train(docs: DataFrame, calibration: int = CALIBRATION) -> Model:
     both = kneser_ney(saved(both.unionByName(counts.where("NOT fold").select(name("not "), "run", "n"))))
     model, others = both.part("all "), both.part("not ")
     apart = docs.where("fold").select("lang", "text", text_hash.alias("h"))
-    n = apart.agg(F.approx_count_distinct("h")).first()[0]
     shared = docs.sparkSession.sparkContext.broadcast(others)
 
     @F.pandas_udf("array<double>")
@@ -245,26 +244,38 @@ def train(docs: DataFrame, calibration: int = CALIBRATION) -> Model:
         found = [text_entropy(shared.value, t) for t in texts]
         return pd.Series([[float(c), *(h / max(c, 1))] for h, c in found])
 
-    chosen = apart.where(F.pmod(F.floor(F.col("h") / FOLDS), F.lit(SHARE)) < share_limit(calibration, n)).where(F.col("lang").isin(others.languages))
-    rows = chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", entropies("text").alias("x")).collect() if others.languages else []
-    rows = [r for r in sorted(rows, key=lambda r: (r["lang"], r["h"])) if r["x"][0]]
-    if rows:
-        true = np.array([others.languages.index(r["lang"]) for r in rows])
-        x = np.array([r["x"] for r in rows])
-        model.temperature = fit_temperature(x[:, 1:] * np.minimum(x[:, :1], LENGTH), true)
-        own = x[np.arange(len(x)), true + 1]
-        limit = {others.languages[k]: float(np.quantile(own[true == k], 0.999)) for k in set(true.tolist())}
+    if not others.languages:
+        return model
+    texts = apart.where(F.col("lang").isin(others.languages)).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    true = F.array_position(F.array(*[F.lit(name) for name in others.languages]), F.col("lang")).cast("int")
+    measured = saved(texts.select("lang", true.alias("true"), entropies("text").alias("x"))).where(F.get("x", F.lit(0)) > 0)
+    own = F.percentile_approx(F.get("x", F.col("true")), 0.999, 100_000)
+    limit = {r["lang"]: r["own"] for r in measured.groupBy("lang").agg(own.alias("own")).collect()}  # one row for each language
+    if limit:
+        model.temperature = fit_temperature(measured)
         model.limits = np.array([limit.get(name, np.inf) for name in model.languages])
     return model
 
 
-def fit_temperature(bits: np.ndarray, true: np.ndarray) -> float:
-    """The factor of -bits under which a softmax makes the true columns likeliest, to a thousandth of its logarithm."""
+def fit_temperature(measured: DataFrame) -> float:
+    """The factor of -bits under which a softmax makes the true columns likeliest, to a thousandth of its logarithm. Rows have `x`,
+    characters and bits a character of each language, and `true`, the true one from 1. Of a grid the best place is looked at finer."""
     low, high = math.log(1e-4), math.log(2.0)
-    loss = lambda t: -np.log(softmax(-bits * math.exp(t))[np.arange(len(true)), true] + 1e-9).mean()
     while high - low > 1e-3:
-        a, b = low + (high - low) / 3, high - (high - low) / 3
-        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+        grid = np.linspace(low, high, GRID)
+
+        def losses(batches: Iterator[pd.DataFrame], grid: np.ndarray = grid) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(grid))
+            for pdf in batches:
+                if len(pdf):
+                    x, at = np.stack(pdf["x"].to_list()), pdf["true"].to_numpy() - 1
+                    bits = x[:, 1:] * np.minimum(x[:, :1], LENGTH)
+                    total += [-np.log(softmax(-bits * math.exp(t))[np.arange(len(at)), at] + 1e-9).sum() for t in grid]
+            yield pd.DataFrame({"k": range(len(grid)), "loss": total})
+
+        sums = measured.select("true", "x").mapInPandas(losses, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()
+        best = min(sums, key=lambda r: (r["loss"], r["k"]))["k"]
+        low, high = grid[max(0, best - 1)], grid[min(GRID - 1, best + 1)]
     return math.exp((low + high) / 2)
 
 

@@ -555,3 +555,15 @@ def test_secret_models_count_every_text(spark, monkeypatch):
     docs = spark.range(6_000).selectExpr("concat('zqzq ', id) AS text")
     secrets.train_models(docs.unionByName(docs))
     assert seen[0].where("value = 'zqzq'").first()["count"] == 6_000
+
+
+def test_language_limits_see_every_text(spark, monkeypatch):
+    """All distinct texts of the fold are measured, also beyond 4,000; copies once."""
+    kept, seen = language.saved, []
+    monkeypatch.setattr(language, "saved", lambda d: (lambda s: (seen.append(s), s)[1])(kept(d)))
+    docs = spark.range(60_000).selectExpr("IF(id % 2 = 0, 'en', 'de') AS lang", "concat(IF(id % 2 = 0, 'the ', 'der '), translate(id, '0123456789', 'abcdefghij')) AS text")
+    model = language.train(docs.unionByName(docs))
+    fold = docs.where(F.pmod(F.xxhash64("text"), F.lit(language.FOLDS)) == 0).count()
+    measured = [d.count() for d in seen if "x" in d.columns]
+    assert fold > 5_000 and measured == [fold]
+    assert np.isfinite(model.limits).all() and 1e-4 <= model.temperature <= 2.0
