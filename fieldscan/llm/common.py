@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import checkpoint_dir, saved
 
-__all__ = ["checkpoint_dir", "fold_ascii", "held_out", "labelled_sample", "saved", "share_limit", "small", "table"]
+__all__ = ["TEXT_BATCH", "checkpoint_dir", "fold_ascii", "held_out", "labelled_sample", "release", "saved", "share_limit", "small", "table"]
 
 #: A table of at most this many rows of a few numbers (under about 32 MB) may be broadcast once its rows have been counted.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of texts that a Python worker gets at a time: it holds them several times over, and what it yields.
+TEXT_BATCH = "4m"
 #: Rows are sampled by a hash modulo this.
 SHARE = 1_000_003
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,6 +31,15 @@ def small(df: DataFrame, n: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc, which else keeps what lies below its last block in use
+    if trim is not None:
+        trim(0)
+
+
 def fold_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, UPPER, LOWER)

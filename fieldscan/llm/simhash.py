@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, saved, small, table
+from .common import LOWER, TEXT_BATCH, UPPER, release, saved, small, table
 
 FOLD = str.maketrans(UPPER, LOWER)
 #: ASCII white space that parts words: \x20 and \x09-\x0D.
@@ -79,6 +80,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([text_fingerprint(t, width) for t in batch], dtype=np.uint64).view(np.int64))
+        release()
 
     return docs.select("doc_id", of("text").alias("fp"))
 
@@ -86,9 +88,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     """By syndrome (11 bits): the coset leader of weight at most 3; and the words of weight 4 in cosets whose leader has
     weight 3 (five each; -1 elsewhere)."""
-    word = np.arange(1 << 23, dtype=np.int64)
-    weight = np.bitwise_count(word)
-    light = word[weight <= 4]
+    light = np.array([sum(1 << b for b in bits) for k in range(5) for bits in combinations(range(23), k)], dtype=np.int64)
     syn, w = syndrome(light), np.bitwise_count(light)
     leader = np.zeros(2048, dtype=np.int64)
     leader[syn[w <= 3]] = light[w <= 3]
@@ -133,6 +133,7 @@ def golay_keys(nodes: DataFrame) -> DataFrame:
                 row, col = np.nonzero(near >= 0)
                 out.append(pd.DataFrame({"view": view[row], "fp": fp[row], "key": key[row, col]}))
             yield pd.concat(out)
+        release()
 
     return nodes.select("view", "fp").mapInPandas(make, schema)
 
@@ -179,7 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most `bits` (2) bits."""
-    prints = saved(fingerprints(docs, width))
+    prints = saved(fingerprints(docs, width), batch=TEXT_BATCH)
     nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = saved(components(links(nodes.withColumn("view", F.lit(0)), bits)))
     named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
@@ -221,6 +222,7 @@ def shingle_keys(docs: DataFrame) -> DataFrame:
         for batch in texts:
             hashes = [shingle_hashes(t) for t in batch]
             yield pd.DataFrame({"size": [len(h) for h in hashes], "keys": [band_keys(h) if len(h) else np.array([], dtype=np.int64) for h in hashes]})
+        release()
 
     return docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("class"), of("text").alias("k")).select("doc_id", "class", "k.size", "k.keys")
 
@@ -232,9 +234,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([shingle_hashes(t).view(np.int64) for t in batch])
+        release()
 
     named = docs.select(F.col("doc_id").alias("node"), "text").join(small(wanted, wanted.count()), "node", "left_semi")
-    return saved(named.select("node", of("text").alias("set")).distinct())
+    return saved(named.select("node", of("text").alias("set")).distinct(), batch=TEXT_BATCH)
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -278,6 +281,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
                 np.add.at(total, (x.view(np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
+        release()
 
     counts = np.zeros(CELLS, dtype=np.int64)
     got = sets.select("set").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
@@ -289,9 +293,10 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         for batch in batches:
             found = [prefix_keys(x.view(np.uint64), shared.value, similarity) for x in batch]
             yield pd.DataFrame({"keys": [k for k, _ in found], "ranks": [r.astype(np.int32) for _, r in found]})
+        release()
 
     prefixes = nodes.join(sets, "node").select("node", "size", "label", keys_of("set").alias("k"))
-    rows = saved(prefixes.select("node", "size", "label", F.explode(F.arrays_zip("k.keys", "k.ranks")).alias("k")).select("node", "size", "label", F.col("k.keys").alias("key"), F.col("k.ranks").alias("rank")))
+    rows = saved(prefixes.select("node", "size", "label", F.explode(F.arrays_zip("k.keys", "k.ranks")).alias("k")).select("node", "size", "label", F.col("k.keys").alias("key"), F.col("k.ranks").alias("rank")), batch=TEXT_BATCH)
     shared_keys = saved(rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
     rows = saved(rows.join(shared_keys, "key", "left_semi"))
     x, y = rows.alias("x"), rows.alias("y")
@@ -314,7 +319,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     join two components. Texts without a word are linked to their equals only.
     """
     docs = docs.where("doc_id IS NOT NULL")
-    prints = saved(shingle_keys(docs))
+    prints = saved(shingle_keys(docs), batch=TEXT_BATCH)
     classes = saved(prints.groupBy("class").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     keyed = classes.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, saved, table
+from .common import held_out, labelled_sample, release, saved, table
 from .simhash import shingle_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -297,6 +297,8 @@ def score_toxicity(docs: DataFrame, terms: list[Term], weights: list[float]) ->
         for texts in batches:
             x = np.array([scanner.features(t) for t in texts]).reshape(-1, FEATURES)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+        del scanner
+        release()
 
     return docs.withColumn("toxicity", score("text"))
 

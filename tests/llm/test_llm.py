@@ -5,14 +5,17 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fieldscan.llm import decontaminate, html, language, nearest, packing, queries, quality, secrets, simhash, substrings, toxicity
+from fieldscan.llm.common import TEXT_BATCH, saved
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -82,6 +85,37 @@ def test_packing_no_worse_than_best_fit():
 # near duplicates
 
 
+def test_golay_tables_are_made_in_little_memory():
+    tracemalloc.start()
+    try:
+        leader, fours = simhash.golay_tables()
+        assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    finally:
+        tracemalloc.stop()
+    assert sorted(np.bitwise_count(leader).tolist()) == sorted([0] + [1] * 23 + [2] * 253 + [3] * 1771) and (fours >= 0).sum() == 5 * 1771
+
+
+def test_saved_bounds_what_a_python_worker_gets(spark):
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    df = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("abcd"), 1000).alias("text")).mapInArrow(rows, "n long")
+    n = [r["n"] for r in saved(df, batch=TEXT_BATCH).collect()]
+    assert sum(n) == 6000 and max(n) < 1500
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+    assert [r["n"] for r in saved(df).collect()] == [6000]
+
+
+def test_simhash_gets_texts_in_small_batches(spark, monkeypatch):
+    kept, seen = simhash.saved, []
+    monkeypatch.setattr(simhash, "saved", lambda d, batch=None: (seen.append((set(d.columns), batch)), kept(d, batch=batch))[1])
+    docs = awkward(spark).select("doc_id", "text")
+    assert simhash.near_duplicates(docs).count() == simhash.near_copies(docs).count() == len(TEXTS)
+    made = [batch for columns, batch in seen if columns in ({"doc_id", "fp"}, {"doc_id", "class", "size", "keys"}, {"node", "set"})]
+    assert len(made) >= 3 and set(made) == {TEXT_BATCH}
+
+
 def test_golay_keys_are_shared_at_one_bit():
     tables, rng = simhash.golay_tables(), np.random.default_rng(2)
     u = rng.integers(0, 1 << 23, 20_000)
