@@ -20,12 +20,10 @@ none. With nothing to learn from, every symbol has 1 / 257. A text without white
 
 from __future__ import annotations
 
-import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, saved, table
+from .common import TEXT_BATCH, held_out, release, saved, table
 
 #: Bytes of context; bits of a symbol in a number (ORDER + 2 symbols must fit into 63 bits).
 ORDER, BITS = 5, 9
@@ -44,8 +42,11 @@ ORDER, BITS = 5, 9
 DISCOUNT = 0.3
 #: Symbols beside the 256 bytes, and how many can be predicted.
 END, START, SYMBOLS = 256, 257, 257
-#: Bytes of a part and of a block, about; symbols that wait to be sorted; rows sent at once.
-PART, BLOCK, PENDING, SENT = 1 << 20, 3 << 23, 1 << 19, 1 << 15
+#: Bytes of a part and of a block, about; symbols that wait to be sorted, and words that wait to be summed or looked up; rows
+#: sent at once.
+PART, BLOCK, PENDING, PENDING_WORDS, SENT = 1 << 20, 3 << 23, 1 << 19, 1 << 16, 1 << 15
+#: Tables in which a block's words are summed.
+SHARDS = 16
 BLANKS = np.frombuffer(b" \t\n\v\f\r", dtype=np.uint8)
 #: The end of a text among the words, which are never empty.
 END_WORD = b""
@@ -64,12 +65,6 @@ def cuts(text: bytes, part: int) -> list[int]:
     return [*out, len(text)]
 
 
-def release() -> None:
-    """Gives memory that a task no longer needs back: workers live on between tasks."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-
-
 @dataclass
 class Part:
     """A part of a text: its row, whether it is learnt from, whether the text ends with it, and the bytes before and in it."""
@@ -166,6 +161,34 @@ def part_words(text: bytes, last: bool) -> list[bytes]:
     return [*text.split(), END_WORD] if last else text.split()
 
 
+class WordCounts:
+    """Distinct words with their counts, in columns, which take a fraction of the memory of objects; in SHARDS tables by a hash, as
+    summing a table takes several times its memory."""
+
+    def __init__(self):
+        self.summed = [pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})] * SHARDS
+        self.pending: dict[bytes, int] = {}
+
+    def add(self, word: bytes, n: int) -> None:
+        self.pending[word] = self.pending.get(word, 0) + n
+        if len(self.pending) >= PENDING_WORDS:
+            self.sum()
+
+    def sum(self) -> pa.Table:
+        shards: list[dict[bytes, int]] = [{} for _ in range(SHARDS)]
+        for word, n in self.pending.items():
+            shards[hash(word) % SHARDS][word] = n
+        self.pending = {}
+        for i, shard in enumerate(shards):
+            if shard:
+                more = pa.table({"word": pa.array(list(shard), pa.binary()), "n": pa.array(list(shard.values()), pa.int64())})
+                sums = pa.concat_tables([self.summed[i], more]).group_by("word", use_threads=False).aggregate([("n", "sum")])
+                self.summed[i] = pa.table({"word": sums.column("word"), "n": sums.column("n_sum")})
+                del more, sums
+        pa.default_memory_pool().release_unused()
+        return pa.concat_tables(self.summed)
+
+
 class Asked:
     """Contexts with symbols, and words, of a block, with their counts in learning texts."""
 
@@ -173,11 +196,11 @@ class Asked:
         self.codes = self.counts = np.zeros(0, dtype=np.int64)
         self.pending: list[tuple[np.ndarray, bool]] = []
         self.size = 0
-        self.words: dict[bytes, int] = {}
+        self.words = WordCounts()
 
     def add(self, part: Part) -> None:
         for word, n in Counter(part_words(part.text, part.last)).items():
-            self.words[word] = self.words.get(word, 0) + n * part.learn
+            self.words.add(word, n * part.learn)
         for codes in pieces(part.before, part.text, part.last):
             self.pending.append((codes, part.learn))
             self.size += len(codes)
@@ -204,10 +227,9 @@ class Asked:
         for at in range(0, len(self.codes), SENT):
             code, n = self.codes[at : at + SENT], self.counts[at : at + SENT]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), block)), pa.array(code), pa.nulls(len(code), pa.binary()), pa.array(n)], names=["block", "code", "word", "n"])
-        left = iter(self.words.items())
-        while some := list(islice(left, SENT)):
-            words, n = zip(*some, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.nulls(len(words), pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["block", "code", "word", "n"])
+        for some in self.words.sum().to_batches(SENT):
+            n = some.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int64()), some.column("word"), some.column("n")], names=["block", "code", "word", "n"])
 
 
 def asked(packs: DataFrame) -> DataFrame:
@@ -264,6 +286,39 @@ class Answers:
         return [self.total[k] for k in range(n)]
 
 
+class Tokens:
+    """Tokens, known tokens and base scores of texts: their words are looked up, many at once, among a block's words, whose
+    counts add to `total` with one for each and for an unknown one."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray, total: int):
+        self.words, self.known = words, counts > 0
+        values, at = np.unique(counts, return_inverse=True)
+        self.logs = np.array([math.log10((c + 1) / total) for c in values.tolist()])[at]
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.asked: list[bytes] = []
+        self.times: list[int] = []
+        self.sizes: list[int] = []
+
+    def ask(self, words: dict[bytes, int]) -> None:
+        self.asked += words
+        self.times += words.values()
+        self.sizes.append(len(words))
+        if len(self.asked) >= PENDING_WORDS:
+            self.send()
+
+    def send(self) -> None:
+        at = pa.compute.index_in(pa.array(self.asked, self.words.type), value_set=self.words).to_numpy()
+        text, times = np.repeat(np.arange(len(self.sizes)), self.sizes), np.array(self.times, dtype=np.int64)
+        self.found.append(tuple(np.bincount(text, weights=w, minlength=len(self.sizes)) for w in (times, times * self.known[at], times * self.logs[at])))
+        self.asked, self.times, self.sizes = [], [], []
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts in the order they came."""
+        self.send()
+        n, known, base = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        return n.astype(np.int64), known.astype(np.int64), base
+
+
 def shares(n: Column, t: Column, q: Column, full: Column) -> tuple[Column, Column]:
     """The share of a symbol that counts n of the t counts of q symbols, and the share of those the context has not; a context
     that is full has every symbol and gives none away."""
@@ -307,8 +362,8 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     one added, score that of the lower-cased text's bytes and its end by the model.
     """
     rest = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    packs = saved(text_packs(docs.select(F.struct(*rest).alias("own"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))))
-    asks = saved(asked(packs), "zstd")
+    packs = saved(text_packs(docs.select(F.struct(*rest).alias("own"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))), batch=TEXT_BATCH)
+    asks = saved(asked(packs), "zstd", batch=TEXT_BATCH)
     codes, words = asks.where("code IS NOT NULL").select("block", "code", "n"), asks.where("word IS NOT NULL").select("block", "word", "n")
     # a word has a row for each block at most, so this window has no hot key
     w = W.partitionBy("word")
@@ -326,26 +381,17 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
         is_code = found.column("code").is_valid()
         logs, counts = found.filter(is_code), found.filter(pa.compute.invert(is_code))
         answers = Answers(logs.column("code").to_numpy(), logs.column("value").to_numpy().astype(float))
-        words = dict(zip(counts.column("word").to_pylist(), counts.column("c").to_pylist(), strict=True))
+        tokens = Tokens(counts.column("word").combine_chunks(), counts.column("c").to_numpy(), whole + distinct + 1)
         del logs, counts
-        log_share: dict[int, float] = {}
-        rows, tokens = [], []
+        rows = []
         for k, (_, part) in enumerate(unpacked(texts)):
             for piece in pieces(part.before, part.text, part.last):
                 answers.ask(k, piece)
-            n = known = 0
-            base = 0.0
-            for word, m in Counter(part_words(part.text, part.last)).items():
-                c = words[word]
-                if c not in log_share:
-                    log_share[c] = math.log10((c + 1) / (whole + distinct + 1))
-                n, known, base = n + m, known + m * (c > 0), base + m * log_share[c]
+            tokens.ask(Counter(part_words(part.text, part.last)))
             rows.append(part.row)
-            tokens.append((n, known, base))
-        sums = answers.sums(len(tokens))
-        del answers, words
+        sums, (n, known, base) = answers.sums(len(rows)), tokens.sums()
+        del answers, tokens
         release()
-        n, known, base = zip(*tokens, strict=True)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip((rows, n, known, base, sums), kinds, strict=True)], names=["row", "n_tokens", "n_known", "base_score", "score"])
 

@@ -4,9 +4,12 @@ empty tables and clashing names."""
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +240,36 @@ def test_conversations_without_turns_are_one_root(spark):
     lengths = spark.createDataFrame([(7, 0), (3, 0)], "conv_id long, turns long")
     none = spark.createDataFrame([], "conv_id long, at long, turn_key binary, words long")
     assert [tuple(r) for r in prefixes.prefix_trie(lengths, none).collect()] == [(3, 0, None, 2, 0, 1, 0, hashlib.sha256(b"3,7").hexdigest())]
+
+
+def test_words_of_a_block_are_held_in_columns():
+    texts = [" ".join(f"{'ab'[k % 2]}{(i * 7919 + k) % 400_000}" for k in range(5_000)) for i in range(100)]
+    plain = Counter(w for t in texts for w in [*t.encode().split(), likelihood.END_WORD])
+    first = likelihood.WordCounts()
+    first.add(b"a", 1)
+    first.sum()  # Arrow imports modules when first used
+    tracemalloc.start()
+    try:
+        asked = likelihood.Asked()
+        for i, t in enumerate(texts):
+            asked.add(likelihood.Part(i, True, True, b"", t.encode()))
+        held = tracemalloc.get_traced_memory()[0] - asked.codes.nbytes - asked.counts.nbytes - sum(c.nbytes for c, _ in asked.pending)
+        n = dict(zip(*(asked.words.sum().column(c).to_pylist() for c in ("word", "n")), strict=True))
+    finally:
+        tracemalloc.stop()
+    assert len(plain) > 200_000 and held < 20_000_000  # 39 MB as a dict
+    assert n == plain
+    sent = [b for b in asked.batches(3) if b.column("word").null_count == 0]
+    assert sum(b.num_rows for b in sent) == len(plain) and max(b.num_rows for b in sent) <= likelihood.SENT
+
+
+def test_tokens_are_looked_up_many_at_once(monkeypatch):
+    monkeypatch.setattr(likelihood, "PENDING_WORDS", 3)
+    counts = {b"": 2, b"a": 5, b"b": 0, b"c": 1}
+    tokens = likelihood.Tokens(pa.array(list(counts), pa.binary()), np.array(list(counts.values())), 20)
+    texts = [{b"a": 2, b"": 1}, {}, {b"b": 3, b"a": 1}, {b"": 1}]
+    for t in texts:
+        tokens.ask(t)
+    n, known, base = (x.tolist() for x in tokens.sums())
+    assert n == [3, 0, 4, 1] and known == [3, 0, 1, 1]
+    assert base == pytest.approx([sum(m * math.log10((counts[w] + 1) / 20) for w, m in t.items()) for t in texts])
